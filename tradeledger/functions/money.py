@@ -1,4 +1,7 @@
-"""Decimal arithmetic shared by every report.  Money is never a double."""
+"""Decimal arithmetic shared by every report.  Money is never a double.
+
+Formulas are SQL text: one call into the engine per column, however long it is.
+"""
 
 from __future__ import annotations
 
@@ -10,28 +13,32 @@ MONEY = "decimal(18,2)"    # a computed amount of one line or one document (stil
 TOTAL = "decimal(28,2)"    # sums over a party, a product, a period
 
 
-def cents(column: Column | str, to: str = MONEY) -> Column:
+def cents(column: Column, to: str = MONEY) -> Column:
     """Round half away from zero to two decimals."""
-    return (F.col(column) if isinstance(column, str) else column).cast(to)
+    return column.cast(to)
+
+
+def rounded(formula: str, to: str = MONEY) -> str:
+    return f"CAST({formula} AS {to})"
 
 
-def total(column: Column | str) -> Column:
-    """``sum`` with one result type everywhere; 0 instead of null for no rows."""
-    return F.coalesce(F.sum(column), F.lit(0)).cast(TOTAL)
+def nought(to: str = MONEY) -> str:
+    return f"CAST(0 AS {to})"
 
 
-def zero(to: str = MONEY) -> Column:
-    return F.lit(0).cast(to)
+def summed(formula: str) -> str:
+    """``sum`` with one result type everywhere."""
+    return f"CAST(sum({formula}) AS {TOTAL})"
 
 
-def kept_share(subtotal: Column, share: Column, cost: Column, net: Column) -> Column:
+def kept_share(subtotal: str, share: str, cost: str, net: str) -> str:
     """What a purchase line leaves to the seller after profit share and costs.
 
     ``subtotal * (1 - (share + cost) / (net + cost))``.  The ratio keeps 19
     decimals and every later step is exact, so sums can be rounded at the end.
     A document worth nothing keeps the whole line.
     """
-    wide = lambda c: c.cast("decimal(18,2)")
-    ratio = F.try_divide(wide(share) + wide(cost), wide(net) + wide(cost)).cast("decimal(24,19)")
-    taken = subtotal.cast(LINE) * F.coalesce(ratio, F.lit(0).cast("decimal(24,19)"))
-    return subtotal.cast(LINE) - taken
+    taken = (f"try_divide(CAST({share} AS {MONEY}) + CAST({cost} AS {MONEY}), "
+             f"CAST({net} AS {MONEY}) + CAST({cost} AS {MONEY}))")
+    ratio = f"CAST(coalesce({taken}, 0) AS decimal(24,19))"
+    return f"CAST({subtotal} AS {LINE}) - CAST({subtotal} AS {LINE}) * {ratio}"

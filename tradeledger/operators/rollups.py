@@ -10,26 +10,26 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tradeledger.functions.money import LINE, MONEY, TOTAL, cents
+from tradeledger.functions.money import LINE, MONEY, TOTAL, nought, rounded, summed
 
 c = F.col
 
 
 # ---- building blocks ---------------------------------------------------
 
-def child_sums(children: DataFrame, parent: str, **sums: Column | str) -> DataFrame:
+def child_sums(children: DataFrame, parent: str, **sums: str) -> DataFrame:
     """One row per parent; summed map-side first, so a parent of any size is fine."""
     return children.groupBy(c(parent).alias("id")).agg(
-        *[F.sum(v).cast(TOTAL).alias(n) for n, v in sums.items()])
+        *[F.expr(f"{summed(v)} AS {n}") for n, v in sums.items()])
 
 
 def with_sums(parents: DataFrame, sums: DataFrame) -> DataFrame:
     """Every parent id with its sums, 0 where it has no children."""
     names = [n for n in sums.columns if n != "id"]
-    return parents.select("id").join(sums, "id", "left").select(
-        "id", *[F.coalesce(c(n), F.lit(0)).cast(TOTAL).alias(n) for n in names])
+    return parents.select("id").join(sums, "id", "left").selectExpr(
+        "id", *[f"CAST(coalesce({n}, 0) AS {TOTAL}) AS {n}" for n in names])
 
 
 def signed_changes(changes: DataFrame, parent: str, sign: int = 1, **values: str) -> DataFrame:
@@ -38,23 +38,20 @@ def signed_changes(changes: DataFrame, parent: str, sign: int = 1, **values: str
     ``values`` maps result columns to the child columns they come from.  Both
     sides of a change leave one scan as two rows; unchanged parents drop out.
     """
-    def side(prefix: str, direction: int) -> Column:
-        return F.struct(
-            c(f"{prefix}_{parent}").alias("id"),
-            *[(c(f"{prefix}_{src}") * F.lit(direction * sign)).cast(TOTAL).alias(name)
-              for name, src in values.items()])
-    both = changes.select(F.inline(F.array(side("old", -1), side("new", 1)))).where(c("id").isNotNull())
-    return both.groupBy("id").agg(*[F.sum(n).cast(TOTAL).alias(n) for n in values])
+    def side(prefix: str, direction: int) -> str:
+        fields = [f"'{name}', CAST({direction * sign} * {prefix}_{source} AS {MONEY})"
+                  for name, source in values.items()]
+        return f"named_struct('id', {prefix}_{parent}, {', '.join(fields)})"
+    both = changes.selectExpr(f"inline(array({side('old', -1)}, {side('new', 1)}))").where("id IS NOT NULL")
+    return child_sums(both, "id", **{name: name for name in values})
 
 
 def apply_delta(parents: DataFrame, delta: DataFrame) -> DataFrame:
     """Stored columns plus their change."""
     names = [n for n in delta.columns if n != "id"]
-    moved = delta.select("id", *[c(n).alias(f"_d_{n}") for n in names])
-    return parents.join(moved, "id", "left").select(*[
-        (c(n) + F.coalesce(c(f"_d_{n}"), F.lit(0))).cast(TOTAL).alias(n) if n in names else c(n)
-        for n in parents.columns
-    ])
+    moved = delta.selectExpr("id", *[f"{n} AS _d_{n}" for n in names])
+    return parents.join(moved, "id", "left").selectExpr(*[
+        f"CAST({n} + coalesce(_d_{n}, 0) AS {TOTAL}) AS {n}" if n in names else n for n in parents.columns])
 
 
 # ---- documents ---------------------------------------------------------
@@ -73,8 +70,8 @@ def stock_totals(stocks: DataFrame, lines: DataFrame) -> DataFrame:
 
 def purchase_totals(purchases: DataFrame, lines: DataFrame, costs: DataFrame) -> DataFrame:
     """Quantity, and value net of costs."""
-    both = lines.select("grass_id", c("real_qty").alias("qty"), c("subtotal").cast(MONEY).alias("total")).unionByName(
-        costs.select("grass_id", F.lit(0).alias("qty"), (-c("subtotal")).cast(MONEY).alias("total")))
+    both = lines.selectExpr("grass_id", f"{rounded('real_qty')} AS qty", f"{rounded('subtotal')} AS total").unionByName(
+        costs.selectExpr("grass_id", f"{nought()} AS qty", f"{rounded('-subtotal')} AS total"))
     return with_sums(purchases, child_sums(both, "grass_id", qty="qty", total="total"))
 
 
@@ -107,7 +104,7 @@ def purchase_totals_delta(purchases: DataFrame, changes: DataFrame) -> DataFrame
 
 def purchase_costs_delta(purchases: DataFrame, changes: DataFrame) -> DataFrame:
     """A cost raises ``cost`` and lowers ``total`` by the same amount."""
-    delta = signed_changes(changes, "grass_id", cost="subtotal").withColumn("total", (-c("cost")).cast(TOTAL))
+    delta = signed_changes(changes, "grass_id", cost="subtotal").withColumn("total", F.expr(f"CAST(-cost AS {TOTAL})"))
     return apply_delta(purchases, delta)
 
 
@@ -128,41 +125,36 @@ DIRECTION = {"stock_details": 1, "grass_details": 1, "order_details": -1, "speci
 def stock_moves(tables) -> DataFrame:
     """Signed base quantities of all four line tables."""
     return reduce(DataFrame.unionByName, [
-        getattr(tables, name).select("product_id", (c("real_qty") * F.lit(sign)).cast(MONEY).alias("moved"))
+        getattr(tables, name).selectExpr("product_id", f"CAST({sign} * real_qty AS {MONEY}) AS moved")
         for name, sign in DIRECTION.items()])
 
 
 def stock_on_hand(tables) -> DataFrame:
     """Opening stock plus everything received minus everything sold."""
     moved = child_sums(stock_moves(tables), "product_id", moved="moved")
-    return tables.products.select("id", "first_stock").join(moved, "id", "left").select(
-        "id", (c("first_stock") + F.coalesce(c("moved"), F.lit(0))).cast(TOTAL).alias("stock"))
+    return tables.products.select("id", "first_stock").join(moved, "id", "left").selectExpr(
+        "id", f"CAST(first_stock + coalesce(moved, 0) AS {TOTAL}) AS stock")
 
 
 def stock_on_hand_delta(products: DataFrame, changes: dict[str, DataFrame]) -> DataFrame:
     """Stored stock adjusted by change sets of any of the four line tables."""
     parts = [signed_changes(ch, "product_id", DIRECTION[name], stock="real_qty") for name, ch in changes.items()]
-    delta = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.sum("stock").cast(TOTAL).alias("stock"))
-    return apply_delta(products, delta)
+    return apply_delta(products, child_sums(reduce(DataFrame.unionByName, parts), "id", stock="stock"))
 
 
 def opening_stock_shift(products: DataFrame, openings: DataFrame) -> DataFrame:
     """``openings(id, first_stock)``: stock moves by the change of the opening stock."""
-    new = openings.select("id", c("first_stock").alias("_opening"))
-    opening = F.coalesce(c("_opening"), c("first_stock"))
+    new = openings.selectExpr("id", "first_stock AS _opening")
     return products.join(new, "id", "left").withColumns({
-        "stock": (c("stock") + opening - c("first_stock")).cast(MONEY), "first_stock": opening.cast(MONEY),
+        "stock": F.expr(rounded("stock + coalesce(_opening, first_stock) - first_stock")),
+        "first_stock": F.expr(rounded("coalesce(_opening, first_stock)")),
     }).drop("_opening")
 
 
 def unit_price_refresh(units: DataFrame, prices: DataFrame) -> DataFrame:
     """``prices(id, price)`` of products: their units get new buying and selling prices."""
-    new = prices.select(c("id").alias("product_id"), c("price").cast(LINE).alias("_base"))
-    cost = c("_base") * c("content")
-    changed = c("_base").isNotNull()
-    return units.join(new, "product_id", "left").select(*[
-        F.when(changed, cents(cost)).otherwise(c("buy_price")).alias(n) if n == "buy_price"
-        else F.when(changed, cents(cost + cost * c("margin"))).otherwise(c("price")).alias(n) if n == "price"
-        else c(n)
-        for n in units.columns
-    ])
+    new = prices.selectExpr("id AS product_id", f"CAST(price AS {LINE}) AS _base")
+    fresh = {"buy_price": "_base * content", "price": "_base * content + _base * content * margin"}
+    return units.join(new, "product_id", "left").selectExpr(*[
+        f"IF(_base IS NOT NULL, {rounded(fresh[n])}, {rounded(n)}) AS {n}" if n in fresh else n
+        for n in units.columns])

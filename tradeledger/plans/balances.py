@@ -8,61 +8,60 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tradeledger.functions.money import MONEY, TOTAL
+from tradeledger.functions.money import MONEY, TOTAL, nought, rounded, summed
 
-c = F.col
 
+def _summary(keys: list[str], keep_zero: bool, *rows: tuple[str, DataFrame, str, str]) -> DataFrame:
+    """``rows`` are (title, frame with ``keys``, debt, cred), in output order.
 
-def _summary(sources: list[tuple[DataFrame, Column, Column]], titles: list[str], keys: list[str],
-             keep_zero: bool) -> DataFrame:
-    """``sources``: (frame with ``keys``, debt, cred) in row order."""
-    amounts = [f"{side}{i}" for i in range(len(sources)) for side in ("debt", "cred")]
-    nothing = F.lit(0).cast(MONEY)
+    Without ``keep_zero`` a row needs a positive side to show and to count.
+    """
+    amounts = [f"{side}{i}" for i in range(len(rows)) for side in ("debt", "cred")]
     frames = []
-    for i, (df, debt, cred) in enumerate(sources):
-        here = {f"debt{i}": debt.cast(MONEY), f"cred{i}": cred.cast(MONEY)}
-        frames.append(df.select(*keys, *[here.get(a, nothing).alias(a) for a in amounts]))
+    for i, (_, df, debt, cred) in enumerate(rows):
+        here = {f"debt{i}": rounded(debt), f"cred{i}": rounded(cred)}
+        frames.append(df.selectExpr(*keys, *[f"{here.get(a, nought())} AS {a}" for a in amounts]))
     sums = reduce(DataFrame.unionByName, frames).groupBy(*keys).agg(
-        *[F.sum(a).cast(TOTAL).alias(a) for a in amounts])
+        *[F.expr(f"{summed(a)} AS {a}") for a in amounts])
 
-    rows, balance = [], F.lit(0).cast(TOTAL)
-    for i, title in enumerate(titles):
-        debt, cred = c(f"debt{i}"), c(f"cred{i}")
-        shown = F.lit(True) if keep_zero else (debt > 0) | (cred > 0)
-        balance = (balance + F.when(shown, debt - cred).otherwise(F.lit(0))).cast(TOTAL)
-        rows.append(F.struct(F.lit(i + 1).cast("bigint").alias("id"), F.lit(title).alias("descriptions"),
-                             debt.alias("debt"), cred.alias("cred"), balance.alias("balance"), shown.alias("shown")))
-    return sums.select(*keys, F.inline(F.array(*rows))).where(c("shown")).drop("shown")
+    shown = ["true" if keep_zero else f"(debt{i} > 0 OR cred{i} > 0)" for i in range(len(rows))]
+    steps = [f"IF({shown[i]}, debt{i} - cred{i}, 0)" for i in range(len(rows))]
+    structs = [
+        f"named_struct('id', {i + 1}L, 'descriptions', '{title}', 'debt', debt{i}, 'cred', cred{i}, "
+        f"'balance', {rounded(' + '.join(steps[:i + 1]), TOTAL)}, 'shown', {shown[i]})"
+        for i, (title, *_) in enumerate(rows)]
+    return sums.selectExpr(*keys, f"inline(array({', '.join(structs)}))").where("shown").drop("shown")
 
 
 def customer_balance(t) -> DataFrame:
     """Sales, advances, purchases and instalments; empty rows are left out."""
     return _summary(
-        [(t.orders, c("total"), c("payment")),
-         (t.kasbons, c("total"), F.lit(0)),
-         (t.grass, F.lit(0), c("total") - c("total_div")),
-         (t.payments, F.lit(0), c("total"))],
-        ["Piutang Barang", "Kasbon", "Pembelian", "Cicilan"],
-        ["customer_id", "lunas_id"], keep_zero=False)
+        ["customer_id", "lunas_id"], False,
+        ("Piutang Barang", t.orders, "total", "payment"),
+        ("Kasbon", t.kasbons, "total", "0"),
+        ("Pembelian", t.grass, "0", "total - total_div"),
+        ("Cicilan", t.payments, "0", "total"))
 
 
 def special_balance(t) -> DataFrame:
     """Wholesale orders and instalments; every customer has both rows for open items."""
-    everyone = t.customers.select(c("id").alias("customer_id"), F.lit(0).cast("bigint").alias("lunas_id"))
-    orders = t.special_orders.select("customer_id", "lunas_id", "total", "cash").unionByName(
-        everyone.withColumns({"total": F.lit(0).cast(MONEY), "cash": F.lit(0).cast(MONEY)}))
+    everyone = t.customers.selectExpr("id AS customer_id", "0L AS lunas_id", f"{nought()} AS total", f"{nought()} AS cash")
+    orders = t.special_orders.selectExpr(
+        "customer_id", "lunas_id", f"CAST(total AS {MONEY}) AS total", f"CAST(cash AS {MONEY}) AS cash")
     return _summary(
-        [(orders, c("total"), c("cash")), (t.special_payments, F.lit(0), c("nominal"))],
-        ["Piutang Dagang", "Angsuran"], ["customer_id", "lunas_id"], keep_zero=True)
+        ["customer_id", "lunas_id"], True,
+        ("Piutang Dagang", orders.unionByName(everyone), "total", "cash"),
+        ("Angsuran", t.special_payments, "0", "nominal"))
 
 
 def supplier_balance(t) -> DataFrame:
     """Receipts and their instalments; empty rows are left out."""
-    paid = t.stock_payments.groupBy("stock_id").agg(F.sum("nominal").cast(TOTAL).alias("nominal"))
-    owner = t.stocks.select(c("id").alias("stock_id"), "supplier_id")
+    paid = t.stock_payments.groupBy("stock_id").agg(F.expr(f"{summed('nominal')} AS nominal"))
+    owner = t.stocks.selectExpr("id AS stock_id", "supplier_id")
     return _summary(
-        [(t.stocks, c("total"), c("cash")), (paid.join(owner, "stock_id"), F.lit(0), c("nominal"))],
-        ["Piutang Barang", "Angsuran"], ["supplier_id"], keep_zero=False
+        ["supplier_id"], False,
+        ("Piutang Barang", t.stocks, "total", "cash"),
+        ("Angsuran", paid.join(owner, "stock_id"), "0", "nominal"),
     ).select("supplier_id", "id", "descriptions", "cred", "debt", "balance")

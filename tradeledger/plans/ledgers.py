@@ -14,17 +14,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tradeledger.functions.dates import day_first
-from tradeledger.functions.money import LINE, MONEY, TOTAL, kept_share
-from tradeledger.functions.text import joined
+from tradeledger.functions.money import LINE, MONEY, TOTAL, kept_share, nought, rounded
 from tradeledger.operators.running import HOT_ROWS, Chunks, chunk_width, find_hot, running, slice_of
 
 c = F.col
 
 
-def _no_money() -> Column:
-    return F.lit(0).cast(MONEY)
-
-
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -70,177 +65,163 @@ def _cut_by_document(
 
 # ---- customers ---------------------------------------------------------
 
+def _lines_of(details: DataFrame, parent: str, heads: DataFrame, products: DataFrame) -> DataFrame:
+    """Lines with their document's columns and their product's name."""
+    lines = details.selectExpr(f"{parent} AS doc_id", "id AS line_id", "product_id", "qty", "unit_name", "price", "subtotal")
+    names = products.selectExpr("id AS product_id", "name AS product")
+    return lines.join(heads.withColumnRenamed("id", "doc_id"), "doc_id").join(names, "product_id")
+
+
+_LINE_COLUMNS = ["CAST(line_id AS bigint) AS line_id", f"CAST(qty AS {LINE}) AS qty", "unit_name AS unit",
+                 f"CAST(price AS {LINE}) AS price"]
+_NO_LINE = ["0L AS line_id", f"{nought(LINE)} AS qty", "'-' AS unit", f"{nought(LINE)} AS price"]
+
+
 def customer_line_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Customer ledger by line: advances, sale lines, down payments, purchase lines, instalments.
 
     Purchase lines credit what is left after profit share and costs.  Amounts
     are shown in cents; the balance adds unrounded credits and rounds once.
     """
-    def shape(df, branch, day, text, title, debt, cred, line=None, qty=None, unit=None, price=None):
-        return df.select(
-            "customer_id", "lunas_id", "doc_id", F.lit(branch).alias("branch"),
-            (line if line is not None else F.lit(0)).cast("bigint").alias("line_id"),
-            c(day).alias("trx_date"), text.alias("descriptions"), title.alias("title"),
-            (qty if qty is not None else F.lit(0)).cast(LINE).alias("qty"),
-            (unit if unit is not None else F.lit("-")).alias("unit"),
-            (price if price is not None else F.lit(0)).cast(LINE).alias("price"),
-            debt.cast(MONEY).alias("debt"), cred.alias("exact_cred"))
-
-    names = t.products.select(c("id").alias("product_id"), c("name").alias("product"))
-    nothing = _no_money()
-
-    advances = shape(t.kasbons.withColumnRenamed("id", "doc_id"), 1, "kasbon_date", c("descriptions"),
-                     joined("Kasbon #", c("doc_id")), c("total"), nothing)
-    sale_heads = t.orders.select(c("id").alias("order_id"), "customer_id", "lunas_id", "order_date")
-    sales = shape(
-        t.order_details.select("order_id", c("id").alias("line"), "product_id", "qty", "unit_name", "price", "subtotal")
-        .join(sale_heads, "order_id").join(names, "product_id").withColumnRenamed("order_id", "doc_id"),
-        2, "order_date", c("product"), joined("Piutang Barang #", c("doc_id")), c("subtotal"), nothing,
-        c("line"), c("qty"), c("unit_name"), c("price"))
-    down = shape(t.orders.where(c("payment") > 0).withColumnRenamed("id", "doc_id"), 3, "order_date",
-                 c("descriptions"), joined("DP Piutang Barang: #", c("doc_id")), nothing, c("payment"))
-    purchase_heads = t.grass.select(c("id").alias("grass_id"), "customer_id", "lunas_id", "order_date",
-                                    "total", "total_div", "cost")
-    bought = shape(
-        t.grass_details.select("grass_id", c("id").alias("line"), "product_id", "qty", "unit_name", "price", "subtotal")
-        .join(purchase_heads, "grass_id").join(names, "product_id").withColumnRenamed("grass_id", "doc_id"),
-        4, "order_date", joined(c("product"), F.when(c("total_div") > 0, " *").otherwise("")),
-        joined("Pembelian: #", c("doc_id")), nothing,
-        kept_share(c("subtotal"), c("total_div"), c("cost"), c("total")),
-        c("line"), c("qty"), c("unit_name"), c("price"))
-    instalments = shape(t.payments.withColumnRenamed("id", "doc_id"), 5, "payment_date", c("descriptions"),
-                        joined("Angsuran: #", c("doc_id")), nothing, c("total"))
-
+    def shape(df, branch, day, text, title, debt, cred, line=_NO_LINE, doc="id"):
+        return df.selectExpr(
+            "customer_id", "lunas_id", f"{doc} AS doc_id", f"{branch} AS branch", f"{day} AS trx_date",
+            f"{text} AS descriptions", f"concat_ws('', '{title}', {doc}) AS title", *line,
+            f"{rounded(debt)} AS debt", f"{cred} AS exact_cred")
+
+    sales = _lines_of(t.order_details, "order_id",
+                      t.orders.select("id", "customer_id", "lunas_id", "order_date"), t.products)
+    bought = _lines_of(t.grass_details, "grass_id",
+                       t.grass.select("id", "customer_id", "lunas_id", "order_date", "total", "total_div", "cost"),
+                       t.products)
+    rows = _union([
+        shape(t.kasbons, 1, "kasbon_date", "descriptions", "Kasbon #", "total", nought()),
+        shape(sales, 2, "order_date", "product", "Piutang Barang #", "subtotal", nought(), _LINE_COLUMNS, "doc_id"),
+        shape(t.orders.where("payment > 0"), 3, "order_date", "descriptions", "DP Piutang Barang: #", "0", "payment"),
+        shape(bought, 4, "order_date", "concat_ws('', product, IF(total_div > 0, ' *', ''))", "Pembelian: #", "0",
+              kept_share("subtotal", "total_div", "cost", "total"), _LINE_COLUMNS, "doc_id"),
+        shape(t.payments, 5, "payment_date", "descriptions", "Angsuran: #", "0", "total"),
+    ])
     chunks = _cut_by_document(
         "customer_id", "doc_id",
         [df.select("customer_id", "id") for df in (t.kasbons, t.orders, t.grass, t.payments)],
         [t.order_details.select("order_id", "id"), t.grass_details.select("grass_id", "id")],
         hot_rows, ("branch", "line_id"))
-    ledger = running(
-        _union([advances, sales, down, bought, instalments]),
-        ["customer_id", "lunas_id"], ["doc_id", "branch", "line_id"],
-        {"row_no": F.lit(1).cast("bigint"), "exact": c("debt") - c("exact_cred")}, chunks)
-    return ledger.select(
+    ledger = running(rows, ["customer_id", "lunas_id"], ["doc_id", "branch", "line_id"],
+                     {"row_no": F.lit(1).cast("bigint"), "exact": c("debt") - c("exact_cred")}, chunks)
+    return ledger.selectExpr(
         "customer_id", "lunas_id", "row_no", "doc_id", "branch", "line_id", "trx_date", "descriptions", "title",
-        "qty", "unit", "price", "debt", c("exact_cred").cast(MONEY).alias("cred"),
-        c("exact").cast(TOTAL).alias("balance"))
+        "qty", "unit", "price", "debt", f"{rounded('exact_cred')} AS cred", f"{rounded('exact', TOTAL)} AS balance")
 
 
 def customer_doc_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Customer ledger by document: sales, advances, purchases net of share, instalments."""
     def shape(df, day, debt, cred):
-        return df.select("customer_id", "lunas_id", "id", "descriptions", c(day).alias("trx_date"),
-                         debt.cast(MONEY).alias("debt"), cred.cast(MONEY).alias("cred"))
-    frames = [
-        shape(t.orders, "order_date", c("total"), c("payment")),
-        shape(t.kasbons, "kasbon_date", c("total"), F.lit(0)),
-        shape(t.grass, "order_date", F.lit(0), c("total") - c("total_div")),
-        shape(t.payments, "payment_date", F.lit(0), c("total")),
-    ]
+        return df.selectExpr("customer_id", "lunas_id", "id", "descriptions", f"{day} AS trx_date",
+                             f"{rounded(debt)} AS debt", f"{rounded(cred)} AS cred")
+    rows = _union([
+        shape(t.orders, "order_date", "total", "payment"),
+        shape(t.kasbons, "kasbon_date", "total", "0"),
+        shape(t.grass, "order_date", "0", "total - total_div"),
+        shape(t.payments, "payment_date", "0", "total"),
+    ])
     chunks = _cut_by_document("customer_id", "id", [
         df.select("customer_id", "id") for df in (t.orders, t.kasbons, t.grass, t.payments)], [], hot_rows)
-    return _with_balance(_union(frames), ["customer_id", "lunas_id"], ["id"], chunks)
+    return _with_balance(rows, ["customer_id", "lunas_id"], ["id"], chunks)
 
 
 def special_line_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Wholesale ledger by line: lines, down payments, instalments (under their order)."""
-    def shape(df, branch, day, text, debt, cred, line, qty=None, unit=None, price=None):
-        return df.select(
-            "customer_id", "lunas_id", "doc_id", F.lit(branch).alias("branch"), line.cast("bigint").alias("line_id"),
-            c(day).alias("trx_date"), text.alias("descriptions"),
-            (qty if qty is not None else F.lit(0)).cast(LINE).alias("qty"),
-            (unit if unit is not None else F.lit("-")).alias("unit"),
-            (price if price is not None else F.lit(0)).cast(LINE).alias("price"),
-            debt.cast(MONEY).alias("debt"), cred.cast(MONEY).alias("cred"))
-
-    names = t.products.select(c("id").alias("product_id"), c("name").alias("product"))
-    heads = t.special_orders.select(c("id").alias("order_id"), "customer_id", "lunas_id", "created_at")
-    lines = shape(
-        t.special_details.select("order_id", c("id").alias("line"), "product_id", "qty", "unit_name", "price", "subtotal")
-        .join(heads, "order_id").join(names, "product_id").withColumnRenamed("order_id", "doc_id"),
-        1, "created_at", joined("Order #", c("doc_id"), ", ", c("product")), c("subtotal"), F.lit(0),
-        c("line"), c("qty"), c("unit_name"), c("price"))
-    down = shape(t.special_orders.where(c("cash") > 0).withColumnRenamed("id", "doc_id"), 2, "created_at",
-                 F.coalesce(c("descriptions"), joined("DP ORDER ID: #", c("doc_id"))),
-                 F.lit(0), c("cash"), F.lit(0))
-    instalments = shape(t.special_payments.withColumnRenamed("order_id", "doc_id"), 3, "payment_at",
-                        joined("Angsuran #", c("doc_id"), ", ", c("pay_num")), F.lit(0), c("nominal"), c("id"))
+    def shape(df, branch, day, text, debt, cred, line, doc):
+        return df.selectExpr(
+            "customer_id", "lunas_id", f"{doc} AS doc_id", f"{branch} AS branch", f"{day} AS trx_date",
+            f"{text} AS descriptions", *line, f"{rounded(debt)} AS debt", f"{rounded(cred)} AS cred")
+
+    lines = _lines_of(t.special_details, "order_id",
+                      t.special_orders.select("id", "customer_id", "lunas_id", "created_at"), t.products)
+    rows = _union([
+        shape(lines, 1, "created_at", "concat_ws('', 'Order #', doc_id, ', ', product)", "subtotal", "0",
+              _LINE_COLUMNS, "doc_id"),
+        shape(t.special_orders.where("cash > 0"), 2, "created_at",
+              "coalesce(descriptions, concat_ws('', 'DP ORDER ID: #', id))", "0", "cash", _NO_LINE, "id"),
+        shape(t.special_payments, 3, "payment_at", "concat_ws('', 'Angsuran #', order_id, ', ', pay_num)", "0",
+              "nominal", ["id AS line_id", *_NO_LINE[1:]], "order_id"),
+    ])
     chunks = _cut_by_document(
         "customer_id", "doc_id",
         [t.special_orders.select("customer_id", "id"), t.special_payments.select("customer_id", "order_id")],
         [t.special_details.select("order_id", "id"), t.special_payments.select("order_id", "id")],
         hot_rows, ("branch", "line_id"))
-    return _with_balance(_union([lines, down, instalments]), ["customer_id", "lunas_id"],
-                         ["doc_id", "branch", "line_id"], chunks)
+    return _with_balance(rows, ["customer_id", "lunas_id"], ["doc_id", "branch", "line_id"], chunks)
 
 
 def special_doc_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Wholesale ledger by document: orders against cash, instalments."""
-    orders = t.special_orders.select(
-        "customer_id", "lunas_id", "id",
-        F.coalesce(c("descriptions"), joined("ORDER ID#: ", c("id"))).alias("descriptions"),
-        c("created_at").alias("trx_date"), c("total").cast(MONEY).alias("debt"), c("cash").cast(MONEY).alias("cred"))
-    instalments = t.special_payments.select(
-        "customer_id", "lunas_id", "id", c("pay_num").alias("descriptions"), c("payment_at").alias("trx_date"),
-        _no_money().alias("debt"), c("nominal").cast(MONEY).alias("cred"))
+    def shape(df, text, day, debt, cred):
+        return df.selectExpr("customer_id", "lunas_id", "id", f"{text} AS descriptions", f"{day} AS trx_date",
+                             f"{rounded(debt)} AS debt", f"{rounded(cred)} AS cred")
+    rows = _union([
+        shape(t.special_orders, "coalesce(descriptions, concat_ws('', 'ORDER ID#: ', id))", "created_at", "total", "cash"),
+        shape(t.special_payments, "pay_num", "payment_at", "0", "nominal"),
+    ])
     chunks = _cut_by_document("customer_id", "id", [
         df.select("customer_id", "id") for df in (t.special_orders, t.special_payments)], [], hot_rows)
-    return _with_balance(orders.unionByName(instalments), ["customer_id", "lunas_id"], ["id"], chunks)
+    return _with_balance(rows, ["customer_id", "lunas_id"], ["id"], chunks)
 
 
 # ---- suppliers and products -------------------------------------------
 
 def supplier_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Supplier ledger: receipts against cash, instalments of receipts."""
-    receipts = t.stocks.select(
-        "supplier_id", "id", c("stock_num").alias("trx_ref"), "descriptions", c("stock_date").alias("trx_date"),
-        c("total").cast(MONEY).alias("debt"), c("cash").cast(MONEY).alias("cred"))
-    owner = t.stocks.select(c("id").alias("stock_id"), "supplier_id")
-    instalments = t.stock_payments.join(owner, "stock_id").select(
-        "supplier_id", "id", c("pay_num").alias("trx_ref"), "descriptions", c("pay_date").alias("trx_date"),
-        _no_money().alias("debt"), c("nominal").cast(MONEY).alias("cred"))
+    def shape(df, reference, day, debt, cred):
+        return df.selectExpr("supplier_id", "id", f"{reference} AS trx_ref", "descriptions", f"{day} AS trx_date",
+                             f"{rounded(debt)} AS debt", f"{rounded(cred)} AS cred")
+    owner = t.stocks.selectExpr("id AS stock_id", "supplier_id")
+    rows = _union([
+        shape(t.stocks, "stock_num", "stock_date", "total", "cash"),
+        shape(t.stock_payments.join(owner, "stock_id"), "pay_num", "pay_date", "0", "nominal"),
+    ])
     chunks = _cut_by_document("supplier_id", "id", [t.stocks.select("supplier_id", "id")],
                               [t.stock_payments.select("stock_id", "id")], hot_rows)
-    return _with_balance(receipts.unionByName(instalments), ["supplier_id"], ["id"], chunks)
+    return _with_balance(rows, ["supplier_id"], ["id"], chunks)
 
 
 def product_stock_card(t, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every movement of a product in pack units, with the running stock in base units."""
-    opening = t.products.select(
-        c("id").alias("product_id"), F.lit(0).cast("bigint").alias("id"), F.lit("-").alias("trx_date"),
-        F.lit("Stock Awal").alias("faktur"), "name", c("first_stock").cast(MONEY).alias("real_qty"),
-        c("unit").alias("unit_name"), c("first_stock").cast(LINE).alias("debt"), F.lit(0).cast(LINE).alias("cred"))
-
-    def moves(lines, parent, heads, party, sign):
-        packs, none = c("qty").cast(LINE), F.lit(0).cast(LINE)
-        return lines.select(c(parent).alias("doc_id"), "product_id", "id", "real_qty", "unit_name", "qty").join(
-            heads, "doc_id").join(party, "party_id").select(
-            "product_id", "id", day_first("day").alias("trx_date"), "faktur", "name",
-            (c("real_qty") * F.lit(sign)).cast(MONEY).alias("real_qty"), "unit_name",
-            (packs if sign > 0 else none).alias("debt"), (none if sign > 0 else packs).alias("cred"))
-
-    def heads(df, party, day, reference):
-        return df.select(c("id").alias("doc_id"), c(party).alias("party_id"), c(day).alias("day"),
-                         reference.alias("faktur"))
-
-    customers = t.customers.select(c("id").alias("party_id"), "name")
-    suppliers = t.suppliers.select(c("id").alias("party_id"), "name")
-    frames = [
+    def shape(df, day, reference, name, real_qty, unit, debt, cred):
+        return df.selectExpr(
+            "product_id", "id", f"{day} AS trx_date", f"{reference} AS faktur", f"{name} AS name",
+            f"{rounded(real_qty)} AS real_qty", f"{unit} AS unit_name",
+            f"CAST({debt} AS {LINE}) AS debt", f"CAST({cred} AS {LINE}) AS cred")
+
+    def moves(details, parent, heads, party, day, reference, parties, incoming):
+        """Lines joined to their document and that to its party; the reference is built last."""
+        lines = details.selectExpr(f"{parent} AS doc_id", "product_id", "id", "real_qty", "unit_name", "qty")
+        held = heads.selectExpr("id AS doc_id", f"{party} AS party_id", f"{day} AS day", *reference[1:])
+        named = held.join(parties.selectExpr("id AS party_id", "name AS party"), "party_id")
+        return shape(lines.join(named, "doc_id"), day_first("day"), reference[0], "party",
+                     "real_qty" if incoming else "-real_qty", "unit_name",
+                     "qty" if incoming else "0", "0" if incoming else "qty")
+
+    opening = shape(t.products.selectExpr("id AS product_id", "0L AS id", "first_stock", "name", "unit"),
+                    "'-'", "'Stock Awal'", "name", "first_stock", "unit", "first_stock", "0")
+    rows = _union([
         opening,
-        moves(t.stock_details, "stock_id", heads(t.stocks, "supplier_id", "stock_date", c("stock_num")), suppliers, 1),
-        moves(t.grass_details, "grass_id",
-              heads(t.grass, "customer_id", "order_date", joined("PEMBELIAN #", c("id"))), customers, 1),
-        moves(t.order_details, "order_id",
-              heads(t.orders, "customer_id", "order_date", joined("ORDER #", c("id"))), customers, -1),
-        moves(t.special_details, "order_id",
-              heads(t.special_orders, "customer_id", "created_at", c("surat_jalan")), customers, -1),
-    ]
+        moves(t.stock_details, "stock_id", t.stocks, "supplier_id", "stock_date", ["stock_num", "stock_num"],
+              t.suppliers, True),
+        moves(t.grass_details, "grass_id", t.grass, "customer_id", "order_date",
+              ["concat_ws('', 'PEMBELIAN #', doc_id)"], t.customers, True),
+        moves(t.order_details, "order_id", t.orders, "customer_id", "order_date",
+              ["concat_ws('', 'ORDER #', doc_id)"], t.customers, False),
+        moves(t.special_details, "order_id", t.special_orders, "customer_id", "created_at",
+              ["surat_jalan", "surat_jalan"], t.customers, False),
+    ])
     lines = [df.select("product_id", "id") for df in
              (t.stock_details, t.grass_details, t.order_details, t.special_details)]
     large = find_hot([l.select("product_id") for l in lines], hot_rows)
     chunks = Chunks("product_id", tuple(large), (
         slice_of(c("product_id"), large, c("id"), chunk_width(lines, large, hot_rows)),)) if large else None
-    card = running(_union(frames), ["product_id"], ["id"], {"balance": c("real_qty")}, chunks)
+    card = running(rows, ["product_id"], ["id"], {"balance": c("real_qty")}, chunks)
     return card.withColumn("balance", c("balance").cast(TOTAL))
 
 

@@ -7,66 +7,57 @@ discount.  ``subtotal`` is the margin before the discount except in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
 
-from tradeledger.functions.dates import before_last_minute, day_text, in_period, within_days
-from tradeledger.functions.money import LINE, MONEY, TOTAL, cents
+from pyspark.sql import DataFrame, functions as F
 
-c = F.col
+from tradeledger.functions.dates import before_last_minute, day_text, in_period, within_days
+from tradeledger.functions.money import LINE, nought, rounded, summed
 
 # Sale types of ``profit_lines``; any other number means both.
 RETAIL, WHOLESALE, BOTH = 1, 2, 0
 
+_UNIT_PROFIT = "price - buy_price - discount"
+
+# The five amounts of a sale line.
+AMOUNTS = {
+    "buy_price": "buy_price * qty",
+    "sale_price": "price * qty",
+    "subtotal": "(price - buy_price) * qty",
+    "discount": "discount * qty",
+    "profit": f"({_UNIT_PROFIT}) * qty",
+}
+
+
+def _retail(t) -> tuple[int, DataFrame, DataFrame]:
+    """Order type, lines with a discount, headers with a date."""
+    return 0, t.order_details, t.orders.select("id", "customer_id", "order_date")
+
 
-def _sides(t) -> list[tuple[int, DataFrame, DataFrame]]:
-    """(order type, lines with a discount column, headers with a date column)."""
-    none = F.lit(0).cast(LINE).alias("discount")
-    fields = ["order_id", "id", "product_id", "qty", "unit_name", "price", "buy_price"]
-    return [
-        (0, t.order_details.select(*fields, "discount"), t.orders.select("id", "customer_id", "order_date")),
-        (1, t.special_details.select(*fields, none),
-         t.special_orders.select("id", "customer_id", c("created_at").alias("order_date"))),
-    ]
+def _wholesale(t) -> tuple[int, DataFrame, DataFrame]:
+    return (1, t.special_details.withColumn("discount", F.expr(nought(LINE))),
+            t.special_orders.selectExpr("id", "customer_id", "created_at AS order_date"))
 
 
-def _unit_profit() -> Column:
-    return c("price") - c("buy_price") - c("discount")
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
 
 
 def profit_lines(t, date_from: str | None = None, date_to: str | None = None, sale_type: int = BOTH) -> DataFrame:
     """Profit per line of the sales in a range of days; ``profit`` is per unit."""
-    names = t.products.select(c("id").alias("product_id"), "name", "spec")
-    wanted = {RETAIL: [0], WHOLESALE: [1]}.get(sale_type, [0, 1])
-    out = None
-    for kind, lines, heads in _sides(t):
-        if kind not in wanted:
-            continue
-        dated = heads.where(within_days("order_date", date_from, date_to)).select(
-            c("id").alias("order_id"), "order_date")
-        part = lines.join(dated, "order_id").join(names, "product_id").select(
-            c("order_id").alias("id"), c("id").alias("line_id"), "order_date", "name", "spec", "buy_price",
-            c("price").alias("sale_price"), "discount", _unit_profit().cast(MONEY).alias("profit"), "qty",
-            c("unit_name").alias("unit"), cents(_unit_profit() * c("qty")).alias("subtotal"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _amounts(each) -> list[Column]:
-    """The five amounts of a line, each wrapped by ``each``."""
-    margin = c("price") - c("buy_price")
-    return [
-        each(c("buy_price") * c("qty")).alias("buy_price"),
-        each(c("price") * c("qty")).alias("sale_price"),
-        each(margin * c("qty")).alias("subtotal"),
-        each(c("discount") * c("qty")).alias("discount"),
-        each((margin - c("discount")) * c("qty")).alias("profit"),
-    ]
-
-
-_NAMES = ["buy_price", "sale_price", "subtotal", "discount", "profit"]
-
-
-def _per_order(lines: DataFrame, heads: DataFrame, narrow: bool, each) -> DataFrame:
+    names = t.products.selectExpr("id AS product_id", "name", "spec")
+    parts = []
+    for side in {RETAIL: [_retail], WHOLESALE: [_wholesale]}.get(sale_type, [_retail, _wholesale]):
+        _, lines, heads = side(t)
+        dated = heads.where(within_days("order_date", date_from, date_to)).selectExpr("id AS order_id", "order_date")
+        parts.append(lines.join(dated, "order_id").join(names, "product_id").selectExpr(
+            "order_id AS id", "id AS line_id", "order_date", "name", "spec", "buy_price", "price AS sale_price",
+            "discount", f"{rounded(_UNIT_PROFIT)} AS profit", "qty", "unit_name AS unit",
+            f"{rounded(f'({_UNIT_PROFIT}) * qty')} AS subtotal"))
+    return _union(parts)
+
+
+def _per_order(lines: DataFrame, heads: DataFrame, narrow: bool, amount) -> DataFrame:
     """Amounts per order, joined to the order's header.
 
     Without a date bound the lines are summed first, so one row per order is
@@ -74,46 +65,45 @@ def _per_order(lines: DataFrame, heads: DataFrame, narrow: bool, each) -> DataFr
     matching headers pick their lines first.
     """
     if narrow:
-        lines = lines.join(heads.select(c("id").alias("order_id")), "order_id", "left_semi")
-    return lines.groupBy("order_id").agg(*_amounts(each)).join(
-        heads.withColumnRenamed("id", "order_id"), "order_id")
+        lines = lines.join(heads.selectExpr("id AS order_id"), "order_id", "left_semi")
+    sums = lines.groupBy("order_id").agg(
+        *[F.expr(f"{summed(amount(formula))} AS {name}") for name, formula in AMOUNTS.items()])
+    return sums.join(heads.withColumnRenamed("id", "order_id"), "order_id")
 
 
 def profit_by_order(t, day: str | None = None) -> DataFrame:
     """Profit per order of one day, or of every day; rounded after summing."""
-    names = t.customers.select(c("id").alias("customer_id"), c("name").alias("customer_name"))
-    out = None
-    for kind, lines, heads in _sides(t):
+    names = t.customers.selectExpr("id AS customer_id", "name AS customer_name")
+    parts = []
+    for kind, lines, heads in (_retail(t), _wholesale(t)):
         heads = heads.where(within_days("order_date", day, day) if day else before_last_minute("order_date"))
-        part = _per_order(lines, heads, day is not None, lambda x: F.sum(x).cast(TOTAL)).join(
-            names, "customer_id").select(
-            day_text("order_date").alias("order_day"), c("order_id").alias("id"),
-            F.lit(kind).cast("bigint").alias("order_type"), "customer_name", *_NAMES)
-        out = part if out is None else out.unionByName(part)
-    return out
+        parts.append(_per_order(lines, heads, day is not None, lambda formula: formula).join(
+            names, "customer_id").selectExpr(
+            f"{day_text('order_date')} AS order_day", "order_id AS id", f"{kind}L AS order_type", "customer_name",
+            *AMOUNTS))
+    return _union(parts)
 
 
-def _by_date(t, year: int | None, month: int, keys: dict[str, Column]) -> DataFrame:
+def _by_date(t, year: int | None, month: int, keys: dict[str, str]) -> DataFrame:
     """Sums of line amounts (each rounded) grouped by something of the order date."""
-    out = None
-    for _, lines, heads in _sides(t):
+    parts = []
+    for _, lines, heads in (_retail(t), _wholesale(t)):
         dated = heads.where(in_period("order_date", year, month)).select("id", "order_date")
-        part = _per_order(lines, dated, year is not None, lambda x: F.sum(cents(x)).cast(TOTAL)).select(
-            *[v.alias(k) for k, v in keys.items()], *_NAMES)
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy(*keys).agg(*[F.sum(n).cast(TOTAL).alias(n) for n in _NAMES])
+        parts.append(_per_order(lines, dated, year is not None, rounded).selectExpr(
+            *[f"{formula} AS {name}" for name, formula in keys.items()], *AMOUNTS))
+    return _union(parts).groupBy(*keys).agg(*[F.expr(f"{summed(name)} AS {name}") for name in AMOUNTS])
 
 
 def profit_by_day(t, year: int | None = None, month: int = 0) -> DataFrame:
     """Profit per calendar day of a month, a year (month 0) or all time (no year)."""
     return _by_date(t, year, month, {
-        "id": F.dayofmonth("order_date").cast("bigint"), "order_date": day_text("order_date")}).orderBy("id", "order_date")
+        "id": "CAST(day(order_date) AS bigint)", "order_date": day_text("order_date")}).orderBy("id", "order_date")
 
 
 def profit_by_month(t, year: int | None = None, month: int = 0) -> DataFrame:
     """Profit per month of a year, or of all years."""
     return _by_date(t, year, month, {
-        "year": F.year("order_date").cast("bigint"), "id": F.month("order_date").cast("bigint")}).orderBy("year", "id")
+        "year": "CAST(year(order_date) AS bigint)", "id": "CAST(month(order_date) AS bigint)"}).orderBy("year", "id")
 
 
 def profit_of_order(t, order_type: int = 0, orders: DataFrame | None = None) -> DataFrame:
@@ -122,10 +112,10 @@ def profit_of_order(t, order_type: int = 0, orders: DataFrame | None = None) ->
     Type 0 is retail, anything else wholesale.  References guarantee that every
     line has its header, so the header is not read.
     """
-    lines = _sides(t)[0 if order_type == 0 else 1][1]
+    _, lines, _ = _retail(t) if order_type == 0 else _wholesale(t)
     if orders is not None:
-        lines = lines.join(orders.select(c("id").alias("order_id")), "order_id", "left_semi")
-    names = t.products.select(c("id").alias("product_id"), c("name").alias("product_name"))
-    return lines.join(names, "product_id").select(
-        "order_id", "id", "product_name", "buy_price", c("price").alias("sale_price"), "discount", "qty",
-        c("unit_name").alias("unit"), cents(_unit_profit() * c("qty")).alias("profit"))
+        lines = lines.join(orders.selectExpr("id AS order_id"), "order_id", "left_semi")
+    names = t.products.selectExpr("id AS product_id", "name AS product_name")
+    return lines.join(names, "product_id").selectExpr(
+        "order_id", "id", "product_name", "buy_price", "price AS sale_price", "discount", "qty",
+        "unit_name AS unit", f"{rounded(f'({_UNIT_PROFIT}) * qty')} AS profit")

@@ -20,8 +20,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tradeledger.functions.money import LINE, MONEY, QTY, cents
-from tradeledger.functions.text import joined
+from tradeledger.functions.money import LINE, MONEY, QTY, nought, rounded
 from tradeledger.operators import derive
 from tradeledger.operators.running import HOT_ROWS, Chunks, chunk_width, find_hot, running, slice_of
 from tradeledger.sources.tables import Tables
@@ -33,38 +32,61 @@ ORDER, SPECIAL, PURCHASE, RECEIPT = 1, 2, 3, 4
 ADVANCE, INSTALMENT, SPECIAL_INSTALMENT, SUPPLIER_INSTALMENT = 5, 6, 7, 8
 CARRY_OVER, SHARE = 9, 10
 
+# Columns of the test tables.  Stating them saves a footer read per table.
+TEST_TABLES = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": """o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,
+        o_orderdate timestamp_ntz, o_orderpriority string""",
+    "lineitem": """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,
+        l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,
+        l_shipdate timestamp_ntz""",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
 _LINES_PER_DOCUMENT = 1_000_000
 _LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
                "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
+# Which lineitem rows are lines of which document.
+KINDS = {
+    ORDER: "l_returnflag = 'N'",
+    SPECIAL: "l_returnflag = 'A' AND l_linestatus = 'O'",
+    PURCHASE: "l_returnflag = 'R'",
+    RECEIPT: "l_returnflag = 'A' AND l_linestatus = 'F'",
+}
+
+_STEP = "CASE WHEN l_linenumber <= 3 THEN 0 WHEN l_linenumber <= 5 THEN 1 ELSE 2 END"
+_PRICE = rounded("l_extendedprice", LINE)
+_RATE = rounded("l_discount", "decimal(4,2)")
+_COST = rounded("price * tax", LINE)    # of a purchase line numbered 6 or 7
+_PAID = (f"CASE o_orderstatus WHEN 'F' THEN coalesce(total, {nought()}) "
+         f"WHEN 'P' THEN {rounded('coalesce(total, 0) * 0.30')} ELSE {nought()} END")
+_CLOSED = "CAST(IF(o_orderdate < timestamp_ntz '1998-01-01 00:00:00', 1, 0) AS bigint) AS lunas_id"
+_NO_TEXT = "CAST(NULL AS string)"
+
 
 def doc_id(key: Column, code: int) -> Column:
     return key * 16 + F.lit(code)
 
 
-def _is_kind(code: int) -> Column:
-    flag, status = c("l_returnflag"), c("l_linestatus")
-    return {
-        ORDER: flag == "N",
-        SPECIAL: (flag == "A") & (status == "O"),
-        PURCHASE: flag == "R",
-        RECEIPT: (flag == "A") & (status == "F"),
-    }[code]
+def _doc(key: str, code: int) -> str:
+    return f"{key} * 16 + {code}"
 
 
-def _open_or_closed(when: str, closed_before: str) -> Column:
-    """Settlement 1 closed everything before a date; 0 is open."""
-    return F.when(c(when) < F.lit(closed_before), 1).otherwise(0).cast("bigint")
+def _test_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(TEST_TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 @lru_cache(maxsize=64)
 def _hot_orders(spark: SparkSession, sf_dir: str, hot_rows: int) -> tuple:
     """Orders whose lines need cutting; asked once per session and folder."""
-    keys = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey")
-    hot = find_hot([keys], hot_rows)
+    lines = _test_table(spark, sf_dir, "lineitem")
+    hot = find_hot([lines.select("l_orderkey")], hot_rows)
     if not hot:
         return (), 1
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return tuple(hot), chunk_width([lines.select("l_orderkey", "l_partkey")], hot, hot_rows)
 
 
@@ -73,56 +95,60 @@ class Conformed(Tables):
 
     def __init__(self, spark: SparkSession, sf_dir: str, hot_rows: int = HOT_ROWS):
         self._spark, self._dir, self._hot_rows = spark, sf_dir, hot_rows
+        self._raw: dict[str, DataFrame] = {}
+        self._lines: dict[int, DataFrame] = {}
         made = ["categories", "products", "units", "customers", "suppliers", "orders", "order_details",
                 "special_orders", "special_details", "special_payments", "stocks", "stock_details",
                 "stock_payments", "grass", "grass_details", "grass_costs", "kasbons", "payments", "lunas"]
         super().__init__({name: getattr(self, f"_{name}") for name in made})
 
     def raw(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+        if name not in self._raw:
+            self._raw[name] = _test_table(self._spark, self._dir, name)
+        return self._raw[name]
 
     # ---- lines ---------------------------------------------------------
 
     def lines(self, code: int) -> DataFrame:
         """All lines of one kind with derived amounts, the tax rate and the supplier."""
+        if code not in self._lines:
+            self._lines[code] = self._numbered_lines(code)
+        return self._lines[code]
+
+    def _numbered_lines(self, code: int) -> DataFrame:
         hot, width = _hot_orders(self._spark, self._dir, self._hot_rows)
         cuts = None
         if hot:
-            order_key = c("l_orderkey")
+            order_key = F.col("l_orderkey")
             cuts = Chunks("l_orderkey", hot, (
-                F.when(order_key.isin(list(hot)), c("l_linenumber")).otherwise(0),
-                slice_of(order_key, list(hot), c("l_partkey"), width),
+                F.when(order_key.isin(list(hot)), F.col("l_linenumber")).otherwise(0),
+                slice_of(order_key, list(hot), F.col("l_partkey"), width),
             ))
-        numbered = running(self.raw("lineitem").where(_is_kind(code)), ["l_orderkey"], _LINE_ORDER,
+        numbered = running(self.raw("lineitem").where(KINDS[code]), ["l_orderkey"], _LINE_ORDER,
                            {"n": F.lit(1).cast("bigint")}, cuts)
-        number = F.when(c("n") < _LINES_PER_DOCUMENT, c("n")).otherwise(
-            F.raise_error(F.lit("a test document has too many lines for its id range")).cast("bigint"))
-        step = F.when(c("l_linenumber") <= 3, 0).when(c("l_linenumber") <= 5, 1).otherwise(2)
-        price = c("l_extendedprice").cast(LINE)
         discounted = code in (ORDER, RECEIPT)
-        lines = numbered.select(
-            doc_id(c("l_orderkey"), code).alias("doc_id"),
-            ((c("l_orderkey") * 4 + (code - 1)) * _LINES_PER_DOCUMENT + number).alias("id"),
-            c("l_partkey").alias("product_id"),
-            (c("l_partkey") * 3 + step).alias("unit_id"),
-            F.element_at(F.array(F.lit("pcs"), F.lit("pak"), F.lit("ls")), step + 1).alias("unit_name"),
-            c("l_quantity").cast(QTY).alias("qty"),
-            F.element_at(F.array(F.lit(1), F.lit(10), F.lit(12)), step + 1).cast("decimal(8,2)").alias("content"),
-            price.alias("price"),
-            cents(price * c("l_discount").cast("decimal(4,2)"), LINE).alias("discount") if discounted
-            else F.lit(0).cast(LINE).alias("discount"),
-            cents(price * F.lit("0.80").cast("decimal(3,2)"), LINE).alias("buy_price"),
-            c("l_tax").cast("decimal(4,2)").alias("tax"),
-            c("l_discount").cast("decimal(4,2)").alias("rate"),
-            c("l_suppkey").alias("supplier_id"),
-            c("l_linenumber").alias("line_number"),
-            c("l_shipdate").alias("shipped_at"),
+        number = (f"IF(n < {_LINES_PER_DOCUMENT}, n, "
+                  "CAST(raise_error('a test document has too many lines for its id range') AS bigint))")
+        lines = numbered.selectExpr(
+            f"{_doc('l_orderkey', code)} AS doc_id",
+            f"(l_orderkey * 4 + {code - 1}) * {_LINES_PER_DOCUMENT} + {number} AS id",
+            "l_partkey AS product_id",
+            f"l_partkey * 3 + {_STEP} AS unit_id",
+            f"elt({_STEP} + 1, 'pcs', 'pak', 'ls') AS unit_name",
+            f"{rounded('l_quantity', QTY)} AS qty",
+            f"CAST(CASE {_STEP} WHEN 0 THEN 1 WHEN 1 THEN 10 ELSE 12 END AS decimal(8,2)) AS content",
+            f"{_PRICE} AS price",
+            f"{rounded(f'{_PRICE} * {_RATE}', LINE) if discounted else nought(LINE)} AS discount",
+            f"{rounded(f'{_PRICE} * 0.80', LINE)} AS buy_price",
+            f"{rounded('l_tax', 'decimal(4,2)')} AS tax",
+            f"{_RATE} AS rate",
+            "l_suppkey AS supplier_id", "l_linenumber AS line_number", "l_shipdate AS shipped_at",
         )
         return (derive.order_lines if discounted else derive.special_lines)(lines)
 
     def _details(self, code: int, parent: str, *extra: str) -> DataFrame:
-        return self.lines(code).select(
-            c("doc_id").alias(parent), "id", "product_id", "unit_id", "qty", "content", "unit_name",
+        return self.lines(code).selectExpr(
+            f"doc_id AS {parent}", "id", "product_id", "unit_id", "qty", "content", "unit_name",
             "real_qty", "price", "subtotal", *extra)
 
     def _order_details(self) -> DataFrame:
@@ -139,12 +165,9 @@ class Conformed(Tables):
 
     def cost_lines(self) -> DataFrame:
         """One cost row per purchase line numbered 6 or 7."""
-        lines = self.lines(PURCHASE).where(c("line_number") >= 6)
-        return derive.purchase_costs(lines.select(
-            c("doc_id").alias("grass_id"), "id", F.lit("transport").alias("memo"),
-            F.lit(1).cast(LINE).alias("qty"), cents(c("price") * c("tax"), LINE).alias("price"),
-            F.lit("trip").alias("unit"), c("shipped_at").alias("created_at"), c("shipped_at").alias("updated_at"),
-            "tax", "rate", "product_id"))
+        return derive.purchase_costs(self.lines(PURCHASE).where("line_number >= 6").selectExpr(
+            "doc_id AS grass_id", "id", "'transport' AS memo", f"CAST(1 AS {LINE}) AS qty", f"{_COST} AS price",
+            "'trip' AS unit", "shipped_at AS created_at", "shipped_at AS updated_at", "tax", "rate", "product_id"))
 
     def _grass_costs(self) -> DataFrame:
         return self.cost_lines().drop("tax", "rate", "product_id")
@@ -152,188 +175,153 @@ class Conformed(Tables):
     # ---- headers -------------------------------------------------------
 
     def _sums(self, code: int) -> DataFrame:
-        return self.lines(code).groupBy(c("doc_id").alias("id")).agg(
-            F.sum("subtotal").cast(MONEY).alias("total"), F.sum("real_qty").cast(MONEY).alias("qty"),
-            F.min("supplier_id").alias("supplier_id"))
-
-    def _headers(self, code: int, *columns: Column) -> DataFrame:
-        return self.raw("orders").select(doc_id(c("o_orderkey"), code).alias("id"),
-                                         c("o_custkey").alias("customer_id"), *columns)
-
-    @staticmethod
-    def _paid() -> Column:
-        total = F.coalesce(c("total"), F.lit(0).cast(MONEY))
-        return (F.when(c("o_orderstatus") == "F", total)
-                .when(c("o_orderstatus") == "P", cents(total * F.lit("0.30").cast("decimal(3,2)")))
-                .otherwise(F.lit(0).cast(MONEY)))
+        """Per document of one kind: value, base quantity, costs, first supplier."""
+        return self.lines(code).groupBy("doc_id").agg(
+            F.expr(f"CAST(sum(subtotal) AS {MONEY}) AS total"), F.expr(f"CAST(sum(real_qty) AS {MONEY}) AS qty"),
+            F.expr(f"CAST(sum(CASE WHEN line_number >= 6 THEN {_COST} END) AS {MONEY}) AS cost"),
+            F.expr("min(supplier_id) AS supplier_id"))
 
     def _orders(self) -> DataFrame:
-        heads = self._headers(ORDER, c("o_orderdate").alias("order_date"), c("o_orderstatus"),
-                              joined("Sale ", c("o_orderpriority")).alias("descriptions"),
-                              _open_or_closed("o_orderdate", "1998-01-01").alias("lunas_id"))
-        sums = self._sums(ORDER).select("id", "total")
-        out = heads.join(sums, "id", "left").withColumns({
-            "payment": self._paid(), "total": F.coalesce(c("total"), F.lit(0).cast(MONEY))})
-        return derive.order_remainder(out).select(
-            "id", "customer_id", "order_date", "total", "payment", "remain_payment", "descriptions", "lunas_id")
+        heads = self.raw("orders").selectExpr(f"{_doc('o_orderkey', ORDER)} AS doc_id", "*")
+        out = heads.join(self._sums(ORDER), "doc_id", "left").selectExpr(
+            "doc_id AS id", "o_custkey AS customer_id", "o_orderdate AS order_date",
+            f"coalesce(total, {nought()}) AS total", f"{_PAID} AS payment",
+            "concat('Sale ', o_orderpriority) AS descriptions", _CLOSED)
+        return derive.order_remainder(out)
 
     def _special_orders(self) -> DataFrame:
-        stamp = c("o_orderdate")
-        heads = self._headers(
-            SPECIAL, stamp.alias("created_at"), stamp.alias("updated_at"), stamp.alias("packaged_at"),
-            stamp.alias("shipped_at"), c("o_orderstatus"), F.lit("driver").alias("driver_name"),
-            F.lit("plate").alias("police_number"), F.lit("street").alias("street"),
-            F.lit("city").alias("city"), F.lit("phone").alias("phone"),
-            F.when(c("o_orderstatus") != "O", joined("Wholesale ", c("o_orderpriority"))).alias("descriptions"),
-            _open_or_closed("o_orderdate", "1998-01-01").alias("lunas_id"),
-            joined("SJ-", c("o_orderkey")).alias("surat_jalan"))
-        sums = self._sums(SPECIAL).select("id", "total")
-        paid = self.special_payments.groupBy(c("order_id").alias("id")).agg(
-            F.sum("nominal").cast(MONEY).alias("payments"))
-        out = heads.join(sums, "id", "left").join(paid, "id", "left").withColumns({
-            "cash": self._paid(), "total": F.coalesce(c("total"), F.lit(0).cast(MONEY)),
-            "payments": F.coalesce(c("payments"), F.lit(0).cast(MONEY))})
-        return derive.special_remainder(out, stamp=False).drop("o_orderstatus")
+        heads = self.raw("orders").selectExpr(f"{_doc('o_orderkey', SPECIAL)} AS doc_id", "*")
+        paid = self.special_payments.groupBy(F.col("order_id").alias("doc_id")).agg(
+            F.expr(f"CAST(sum(nominal) AS {MONEY}) AS payments"))
+        out = heads.join(self._sums(SPECIAL), "doc_id", "left").join(paid, "doc_id", "left").selectExpr(
+            "doc_id AS id", "o_custkey AS customer_id",
+            *[f"o_orderdate AS {n}" for n in ("created_at", "updated_at", "packaged_at", "shipped_at")],
+            "'driver' AS driver_name", "'plate' AS police_number", "'street' AS street", "'city' AS city",
+            "'phone' AS phone", f"coalesce(total, {nought()}) AS total", f"{_PAID} AS cash",
+            f"coalesce(payments, {nought()}) AS payments",
+            "IF(o_orderstatus <> 'O', concat('Wholesale ', o_orderpriority), NULL) AS descriptions",
+            _CLOSED, "concat('SJ-', o_orderkey) AS surat_jalan")
+        return derive.special_remainder(out, stamp=False)
 
     def receipts(self) -> DataFrame:
         """Receipt headers without their instalments."""
-        dates = self.raw("orders").select(doc_id(c("o_orderkey"), RECEIPT).alias("id"),
-                                          c("o_orderdate").alias("stock_date"),
-                                          joined("ST-", c("o_orderkey")).alias("stock_num"))
-        return self._sums(RECEIPT).join(dates, "id").select(
-            "id", "supplier_id", "stock_num", "stock_date", "total",
-            cents(c("total") * F.lit("0.20").cast("decimal(3,2)")).alias("cash"),
-            F.lit(None).cast("string").alias("descriptions"))
+        dates = self.raw("orders").selectExpr(
+            f"{_doc('o_orderkey', RECEIPT)} AS doc_id", "o_orderdate AS stock_date",
+            "concat('ST-', o_orderkey) AS stock_num")
+        return self._sums(RECEIPT).join(dates, "doc_id").selectExpr(
+            "doc_id AS id", "supplier_id", "stock_num", "stock_date", "total",
+            f"{rounded('total * 0.20')} AS cash", f"{_NO_TEXT} AS descriptions")
 
     def _stocks(self) -> DataFrame:
-        paid = self.stock_payments.groupBy(c("stock_id").alias("id")).agg(
-            F.sum("nominal").cast(MONEY).alias("payments"))
-        out = self.receipts().join(paid, "id", "left").withColumn(
-            "payments", F.coalesce(c("payments"), F.lit(0).cast(MONEY)))
+        paid = self.stock_payments.groupBy(F.col("stock_id").alias("id")).agg(
+            F.expr(f"CAST(sum(nominal) AS {MONEY}) AS paid"))
+        out = self.receipts().join(paid, "id", "left").selectExpr(
+            "id", "supplier_id", "stock_num", "stock_date", "total", "cash",
+            f"coalesce(paid, {nought()}) AS payments", "descriptions")
         return derive.stock_remainder(out)
 
     def _grass(self) -> DataFrame:
-        lines = self.lines(PURCHASE)
-        cost = F.when(c("line_number") >= 6, cents(c("price") * c("tax"), LINE))
-        sums = lines.groupBy(c("doc_id").alias("id")).agg(
-            F.sum("subtotal").cast(MONEY).alias("gross"), F.sum("real_qty").cast(MONEY).alias("qty"),
-            F.sum(cost).cast(MONEY).alias("cost"))
-        heads = self._headers(PURCHASE, joined("Purchase ", c("o_orderpriority")).alias("descriptions"),
-                              c("o_orderdate").alias("order_date"),
-                              c("o_orderpriority").isin("1-URGENT", "2-HIGH").alias("shared"),
-                              _open_or_closed("o_orderdate", "1998-01-01").alias("lunas_id"),
-                              F.expr("o_custkey div 2").alias("partner_id"))
-        nought = F.lit(0).cast(MONEY)
-        out = heads.join(sums, "id", "left").withColumns({
-            "cost": F.coalesce(c("cost"), nought), "qty": F.coalesce(c("qty"), nought)})
-        out = out.withColumn("total", (F.coalesce(c("gross"), nought) - c("cost")).cast(MONEY))
-        share = F.when(c("shared") & (c("total") > 0), cents(c("total") * F.lit("0.10").cast("decimal(3,2)")))
-        return out.withColumn("total_div", F.coalesce(share, nought)).drop("gross", "shared")
+        heads = self.raw("orders").selectExpr(f"{_doc('o_orderkey', PURCHASE)} AS doc_id", "*")
+        net = rounded("coalesce(total, 0) - coalesce(cost, 0)")
+        share = f"o_orderpriority IN ('1-URGENT', '2-HIGH') AND {net} > 0"
+        return heads.join(self._sums(PURCHASE), "doc_id", "left").selectExpr(
+            "o_custkey AS customer_id", "doc_id AS id", "concat('Purchase ', o_orderpriority) AS descriptions",
+            "o_orderdate AS order_date", f"{net} AS total", f"coalesce(qty, {nought()}) AS qty",
+            f"IF({share}, {rounded(f'{net} * 0.10')}, {nought()}) AS total_div", _CLOSED,
+            "o_custkey div 2 AS partner_id", f"coalesce(cost, {nought()}) AS cost")
 
     # ---- events --------------------------------------------------------
 
     def events(self, kind: str) -> DataFrame:
-        return self.raw("events").where(c("event_type") == kind).select(
-            "event_id", "ts", "user_id", F.expr("event_id div 3").alias("order_key"),
-            c("value").cast(LINE).alias("amount"),
-            _open_or_closed("ts", "2024-01-16").alias("lunas_id"))
+        return self.raw("events").where(f"event_type = '{kind}'").selectExpr(
+            "event_id", "ts", "user_id", "event_id div 3 AS order_key", f"{rounded('value', LINE)} AS amount",
+            "CAST(IF(ts < timestamp_ntz '2024-01-16 00:00:00', 1, 0) AS bigint) AS lunas_id")
 
     def _kasbons(self) -> DataFrame:
-        return self.events("signup").select(
-            doc_id(c("event_id"), ADVANCE).alias("id"), c("user_id").alias("customer_id"),
-            F.lit("Advance").alias("descriptions"), c("ts").alias("kasbon_date"),
-            (c("ts") + F.expr("INTERVAL 7 DAYS")).alias("jatuh_tempo"), c("amount").alias("total"),
-            "lunas_id", F.lit(0).cast("bigint").alias("ref_lunas_id"))
+        return self.events("signup").selectExpr(
+            f"{_doc('event_id', ADVANCE)} AS id", "user_id AS customer_id", "'Advance' AS descriptions",
+            "ts AS kasbon_date", "ts + INTERVAL 7 DAYS AS jatuh_tempo", "amount AS total", "lunas_id",
+            "0L AS ref_lunas_id")
 
     def _payments(self) -> DataFrame:
-        return self.events("purchase").select(
-            doc_id(c("event_id"), INSTALMENT).alias("id"), c("user_id").alias("customer_id"),
-            F.lit("Instalment").alias("descriptions"), F.lit(0).cast("bigint").alias("ref_id"),
-            c("ts").alias("payment_date"), c("amount").alias("total"), "lunas_id")
+        return self.events("purchase").selectExpr(
+            f"{_doc('event_id', INSTALMENT)} AS id", "user_id AS customer_id", "'Instalment' AS descriptions",
+            "0L AS ref_id", "ts AS payment_date", "amount AS total", "lunas_id")
 
     def _special_payments(self) -> DataFrame:
-        owner = self.raw("orders").select(c("o_orderkey").alias("order_key"), c("o_custkey").alias("customer_id"))
-        return self.events("view").join(owner, "order_key").select(
-            "customer_id", doc_id(c("order_key"), SPECIAL).alias("order_id"),
-            doc_id(c("event_id"), SPECIAL_INSTALMENT).alias("id"), F.lit(None).cast("string").alias("descriptions"),
-            c("ts").alias("payment_at"), c("amount").alias("nominal"),
-            joined("W-", c("event_id")).alias("pay_num"), "lunas_id")
+        owner = self.raw("orders").selectExpr("o_orderkey AS order_key", "o_custkey AS customer_id")
+        return self.events("view").join(owner, "order_key").selectExpr(
+            "customer_id", f"{_doc('order_key', SPECIAL)} AS order_id",
+            f"{_doc('event_id', SPECIAL_INSTALMENT)} AS id", f"{_NO_TEXT} AS descriptions", "ts AS payment_at",
+            "amount AS nominal", "concat('W-', event_id) AS pay_num", "lunas_id")
 
     def supplier_instalments(self) -> DataFrame:
         """Instalments before the check that their receipt exists."""
-        return self.events("error").select(
-            doc_id(c("event_id"), SUPPLIER_INSTALMENT).alias("id"),
-            doc_id(c("order_key"), RECEIPT).alias("stock_id"), joined("S-", c("event_id")).alias("pay_num"),
-            c("ts").alias("pay_date"), c("amount").alias("nominal"),
-            F.lit(None).cast("string").alias("descriptions"))
+        return self.events("error").selectExpr(
+            f"{_doc('event_id', SUPPLIER_INSTALMENT)} AS id", f"{_doc('order_key', RECEIPT)} AS stock_id",
+            "concat('S-', event_id) AS pay_num", "ts AS pay_date", "amount AS nominal", f"{_NO_TEXT} AS descriptions")
 
     def _stock_payments(self) -> DataFrame:
-        known = self.raw("lineitem").where(_is_kind(RECEIPT)).select(
-            doc_id(c("l_orderkey"), RECEIPT).alias("stock_id")).distinct()
+        known = self.raw("lineitem").where(KINDS[RECEIPT]).selectExpr(
+            f"{_doc('l_orderkey', RECEIPT)} AS stock_id").distinct()
         return self.supplier_instalments().join(known, "stock_id", "left_semi")
 
     # ---- dimensions ----------------------------------------------------
 
     def _categories(self) -> DataFrame:
-        brand = self.raw("part").select(c("p_brand").alias("name")).distinct()
-        opened = F.lit("2021-12-01 00:00:00").cast("timestamp_ntz")
-        return brand.select(_brand_id(c("name")).alias("id"), "name",
-                            opened.alias("created_at"), opened.alias("updated_at"))
+        return self.raw("part").selectExpr("p_brand AS name").distinct().selectExpr(
+            f"{_brand_id('name')} AS id", "name", "timestamp_ntz '2021-12-01 00:00:00' AS created_at",
+            "timestamp_ntz '2021-12-01 00:00:00' AS updated_at")
 
     def _products(self) -> DataFrame:
-        return self.raw("part").select(
-            c("p_partkey").alias("id"), joined(c("p_name"), " #", c("p_partkey")).alias("name"),
-            c("p_type").alias("spec"), c("p_retailprice").cast(LINE).alias("price"),
-            c("p_size").cast(LINE).alias("stock"), c("p_size").cast(LINE).alias("first_stock"),
-            F.lit("pcs").alias("unit"), F.lit(False).alias("update_notif"),
-            _brand_id(c("p_brand")).alias("category_id"))
+        size = rounded("p_size", LINE)
+        return self.raw("part").selectExpr(
+            "p_partkey AS id", "concat(p_name, ' #', p_partkey) AS name", "p_type AS spec",
+            f"{rounded('p_retailprice', LINE)} AS price", f"{size} AS stock", f"{size} AS first_stock",
+            "'pcs' AS unit", "false AS update_notif", f"{_brand_id('p_brand')} AS category_id")
 
     def _units(self) -> DataFrame:
-        packs = F.expr("""inline(array(
-            named_struct('k', 0L, 'name', 'pcs', 'content', 1.00BD, 'margin', 0.3000BD),
-            named_struct('k', 1L, 'name', 'pak', 'content', 10.00BD, 'margin', 0.2000BD),
-            named_struct('k', 2L, 'name', 'ls', 'content', 12.00BD, 'margin', 0.2500BD)))""")
-        preferred = F.when(c("p_size") <= 16, 0).when(c("p_size") <= 33, 1).otherwise(2)
-        content, margin = c("content").cast("decimal(8,2)"), c("margin").cast("decimal(5,4)")
-        cost = c("p_retailprice").cast(LINE) * content
-        return self.raw("part").select("p_partkey", "p_retailprice", "p_size", packs).select(
-            c("p_partkey").alias("product_id"), (c("p_partkey") * 3 + c("k")).alias("id"), "name",
-            content.alias("content"), cents(cost + cost * margin).alias("price"),
-            cents(cost).alias("buy_price"), margin.alias("margin"), (c("k") == preferred).alias("is_default"))
+        """Three packs per product."""
+        packs = """inline(array(
+            named_struct('k', 0L, 'name', 'pcs', 'content', CAST(1 AS decimal(8,2)), 'margin', CAST(0.30 AS decimal(5,4))),
+            named_struct('k', 1L, 'name', 'pak', 'content', CAST(10 AS decimal(8,2)), 'margin', CAST(0.20 AS decimal(5,4))),
+            named_struct('k', 2L, 'name', 'ls', 'content', CAST(12 AS decimal(8,2)), 'margin', CAST(0.25 AS decimal(5,4)))))"""
+        base = self.raw("part").selectExpr("p_partkey", f"{rounded('p_retailprice', LINE)} AS base", "p_size", packs)
+        return base.selectExpr(
+            "p_partkey AS product_id", "p_partkey * 3 + k AS id", "name", "content",
+            f"{rounded('base * content + base * content * margin')} AS price",
+            f"{rounded('base * content')} AS buy_price", "margin",
+            "k = CASE WHEN p_size <= 16 THEN 0 WHEN p_size <= 33 THEN 1 ELSE 2 END AS is_default")
 
     def _customers(self) -> DataFrame:
-        nation = self.raw("nation").select(c("n_nationkey").alias("c_nationkey"), c("n_name").alias("city"))
-        kind = (F.when(c("c_mktsegment") == "MACHINERY", "Pabrik")
-                .when(c("c_mktsegment") == "FURNITURE", "Rumput Laut").otherwise("Bandeng"))
-        return self.raw("customer").join(nation, "c_nationkey", "left").select(
-            c("c_custkey").alias("id"), c("c_name").alias("name"), F.lit(None).cast("string").alias("street"),
-            "city", F.lit(None).cast("string").alias("phone"), kind.alias("customer_type"))
+        nation = self.raw("nation").selectExpr("n_nationkey AS c_nationkey", "n_name AS city")
+        return self.raw("customer").join(nation, "c_nationkey", "left").selectExpr(
+            "c_custkey AS id", "c_name AS name", f"{_NO_TEXT} AS street", "city", f"{_NO_TEXT} AS phone",
+            "CASE c_mktsegment WHEN 'MACHINERY' THEN 'Pabrik' WHEN 'FURNITURE' THEN 'Rumput Laut' "
+            "ELSE 'Bandeng' END AS customer_type")
 
     def _suppliers(self) -> DataFrame:
-        nation = self.raw("nation").select(c("n_nationkey").alias("s_nationkey"), c("n_name").alias("city"))
-        blank = F.lit(None).cast("string")
-        return self.raw("supplier").join(nation, "s_nationkey", "left").select(
-            c("s_suppkey").alias("id"), c("s_name").alias("name"), blank.alias("sales_name"),
-            blank.alias("street"), "city", blank.alias("phone"), blank.alias("cell"), blank.alias("email"))
+        nation = self.raw("nation").selectExpr("n_nationkey AS s_nationkey", "n_name AS city")
+        return self.raw("supplier").join(nation, "s_nationkey", "left").selectExpr(
+            "s_suppkey AS id", "s_name AS name", f"{_NO_TEXT} AS sales_name", f"{_NO_TEXT} AS street", "city",
+            *[f"{_NO_TEXT} AS {n}" for n in ("phone", "cell", "email")])
 
     def _lunas(self) -> DataFrame:
         """Settlements to apply: one per customer outside FURNITURE, a second for large balances."""
-        balance = c("c_acctbal").cast(LINE)
-        some = self.raw("customer").where(c("c_mktsegment") != "FURNITURE")
-        first = some.select((c("c_custkey") * 2 + 2).alias("id"), c("c_custkey").alias("customer_id"),
-                            F.greatest(balance, F.lit(0).cast(LINE)).alias("remain_payment"))
-        second = some.where(balance > 5000).select(
-            (c("c_custkey") * 2 + 3).alias("id"), c("c_custkey").alias("customer_id"),
-            (balance - 5000).cast(LINE).alias("remain_payment"))
-        day = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
-        return first.unionByName(second).select(
-            "id", "customer_id", "remain_payment", F.lit("settled").alias("descriptions"),
-            day.alias("created_at"), day.alias("updated_at"))
-
-
-def _brand_id(brand: Column) -> Column:
+        some = self.raw("customer").where("c_mktsegment <> 'FURNITURE'").selectExpr(
+            "c_custkey", f"{rounded('c_acctbal', LINE)} AS balance")
+        first = some.selectExpr("c_custkey * 2 + 2 AS id", "c_custkey AS customer_id",
+                                f"greatest(balance, {nought(LINE)}) AS remain_payment")
+        second = some.where("balance > 5000").selectExpr(
+            "c_custkey * 2 + 3 AS id", "c_custkey AS customer_id", f"{rounded('balance - 5000', LINE)} AS remain_payment")
+        return first.unionByName(second).selectExpr(
+            "id", "customer_id", "remain_payment", "'settled' AS descriptions",
+            "timestamp_ntz '2024-02-01 00:00:00' AS created_at", "timestamp_ntz '2024-02-01 00:00:00' AS updated_at")
+
+
+def _brand_id(brand: str) -> str:
     """``Brand#17`` is category 17."""
-    return F.substring_index(brand, "#", -1).cast("bigint")
+    return f"CAST(substring_index({brand}, '#', -1) AS bigint)"
 
 
 def load(spark: SparkSession, sf_dir: str, hot_rows: int = HOT_ROWS) -> Conformed:
