@@ -25,11 +25,13 @@ _LISTED = 200           # keys the sketch reports
 _TRACKED = 20_000       # keys the sketch follows; finds every key above ~1/20,000 of the rows
 
 
-def find_hot(frames: list[DataFrame], hot_rows: int = HOT_ROWS) -> list[int]:
-    """Keys with more than ``hot_rows`` rows in the one-column ``frames`` together."""
-    keys = reduce(DataFrame.union, [f.select(F.col(f.columns[0]).cast("bigint").alias("k")) for f in frames])
-    found = keys.agg(F.expr(f"approx_top_k(k, {_LISTED}, {_TRACKED})").alias("top")).first()
-    return sorted(r["item"] for r in (found["top"] or []) if r["item"] is not None and r["count"] > hot_rows)
+def find_hot(hot_rows: int, *groups: list[DataFrame]) -> list[list[int]]:
+    """For each group of one-column frames: its keys with more than ``hot_rows`` rows."""
+    frames = [df.select(F.lit(i).alias("g"), F.col(df.columns[0]).cast("bigint").alias("k"))
+              for i, group in enumerate(groups) for df in group]
+    sketches = reduce(DataFrame.union, frames).agg(*[
+        F.expr(f"approx_top_k(k, {_LISTED}, {_TRACKED}) FILTER (WHERE g = {i}) AS g{i}") for i in range(len(groups))]).first()
+    return [sorted(r["item"] for r in (top or []) if r["item"] is not None and r["count"] > hot_rows) for top in sketches]
 
 
 def chunk_width(frames: list[DataFrame], hot: list[int], hot_rows: int = HOT_ROWS) -> int:

@@ -33,7 +33,7 @@ def _carry_over(settlements: DataFrame, like: DataFrame, new_id: Column, closed_
 
 def _with_next(settlements: DataFrame, hot_rows: int) -> DataFrame:
     """Adds ``_next``: the customer's next settlement id, null for the last."""
-    hot = find_hot([settlements.select("customer_id")], hot_rows)
+    hot, = find_hot(hot_rows, [settlements.select("customer_id")])
     if not hot:
         return settlements.withColumn("_next", F.lead("id").over(Window.partitionBy("customer_id").orderBy("id")))
     width = chunk_width([settlements.select("customer_id", "id")], hot, hot_rows)

@@ -18,20 +18,23 @@ def _summary(keys: list[str], keep_zero: bool, *rows: tuple[str, DataFrame, str,
 
     Without ``keep_zero`` a row needs a positive side to show and to count.
     """
-    amounts = [f"{side}{i}" for i in range(len(rows)) for side in ("debt", "cred")]
-    frames = []
-    for i, (_, df, debt, cred) in enumerate(rows):
-        here = {f"debt{i}": rounded(debt), f"cred{i}": rounded(cred)}
-        frames.append(df.selectExpr(*keys, *[f"{here.get(a, nought())} AS {a}" for a in amounts]))
-    sums = reduce(DataFrame.unionByName, frames).groupBy(*keys).agg(
-        *[F.expr(f"{summed(a)} AS {a}") for a in amounts])
+    frames = [
+        df.selectExpr(*keys, f"{i} AS row", f"{rounded(debt)} AS debt", f"{rounded(cred)} AS cred")
+        for i, (_, df, debt, cred) in enumerate(rows)]
+    used = [(i, side) for i, (_, _, debt, cred) in enumerate(rows)
+            for side, formula in (("debt", debt), ("cred", cred)) if formula != "0"]
+    sums = reduce(DataFrame.unionByName, frames).groupBy(*keys).agg(*[
+        F.expr(f"CAST(coalesce(sum({side}) FILTER (WHERE row = {i}), 0) AS {TOTAL}) AS {side}{i}") for i, side in used])
 
-    shown = ["true" if keep_zero else f"(debt{i} > 0 OR cred{i} > 0)" for i in range(len(rows))]
-    steps = [f"IF({shown[i]}, debt{i} - cred{i}, 0)" for i in range(len(rows))]
-    structs = [
-        f"named_struct('id', {i + 1}L, 'descriptions', '{title}', 'debt', debt{i}, 'cred', cred{i}, "
-        f"'balance', {rounded(' + '.join(steps[:i + 1]), TOTAL)}, 'shown', {shown[i]})"
-        for i, (title, *_) in enumerate(rows)]
+    amount = lambda i, side: f"{side}{i}" if (i, side) in used else nought(TOTAL)
+    structs, steps = [], []
+    for i, (title, *_) in enumerate(rows):
+        debt, cred = amount(i, "debt"), amount(i, "cred")
+        shown = "true" if keep_zero else f"({debt} > 0 OR {cred} > 0)"
+        steps.append(f"IF({shown}, {debt} - {cred}, 0)")
+        structs.append(
+            f"named_struct('id', {i + 1}L, 'descriptions', '{title}', 'debt', {debt}, 'cred', {cred}, "
+            f"'balance', {rounded(' + '.join(steps), TOTAL)}, 'shown', {shown})")
     return sums.selectExpr(*keys, f"inline(array({', '.join(structs)}))").where("shown").drop("shown")
 
 

@@ -39,8 +39,8 @@ def _cut_by_document(
     ``heads`` are (party, document) frames, ``lines`` (document, line) frames.
     A party is large by its documents, or by owning a document with many lines.
     """
-    large_docs = find_hot([l.select(l.columns[0]) for l in lines], hot_rows) if lines else []
-    large = set(find_hot([h.select(h.columns[0]) for h in heads], hot_rows))
+    large, *rest = find_hot(hot_rows, heads, lines) if lines else find_hot(hot_rows, heads)
+    large, large_docs = set(large), rest[0] if rest else []
     if large_docs:
         owners = _union([h.toDF("p", "d") for h in heads]).where(c("d").isin(large_docs)).select("p").distinct()
         large |= {row["p"] for row in owners.collect()}
@@ -218,7 +218,7 @@ def product_stock_card(t, hot_rows: int = HOT_ROWS) -> DataFrame:
     ])
     lines = [df.select("product_id", "id") for df in
              (t.stock_details, t.grass_details, t.order_details, t.special_details)]
-    large = find_hot([l.select("product_id") for l in lines], hot_rows)
+    large, = find_hot(hot_rows, lines)
     chunks = Chunks("product_id", tuple(large), (
         slice_of(c("product_id"), large, c("id"), chunk_width(lines, large, hot_rows)),)) if large else None
     card = running(rows, ["product_id"], ["id"], {"balance": c("real_qty")}, chunks)

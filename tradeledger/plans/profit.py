@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from tradeledger.functions.dates import before_last_minute, day_text, in_period, within_days
-from tradeledger.functions.money import LINE, nought, rounded, summed
+from tradeledger.functions.money import LINE, TOTAL, nought, rounded, summed
 
 # Sale types of ``profit_lines``; any other number means both.
 RETAIL, WHOLESALE, BOTH = 1, 2, 0
@@ -57,8 +57,8 @@ def profit_lines(t, date_from: str | None = None, date_to: str | None = None, sa
     return _union(parts)
 
 
-def _per_order(lines: DataFrame, heads: DataFrame, narrow: bool, amount) -> DataFrame:
-    """Amounts per order, joined to the order's header.
+def _per_order(lines: DataFrame, heads: DataFrame, narrow: bool, sums: dict[str, str]) -> DataFrame:
+    """``sums`` per order, joined to the order's header.
 
     Without a date bound the lines are summed first, so one row per order is
     shuffled to the join and a huge order is no hot key.  With a bound the few
@@ -66,21 +66,25 @@ def _per_order(lines: DataFrame, heads: DataFrame, narrow: bool, amount) -> Data
     """
     if narrow:
         lines = lines.join(heads.selectExpr("id AS order_id"), "order_id", "left_semi")
-    sums = lines.groupBy("order_id").agg(
-        *[F.expr(f"{summed(amount(formula))} AS {name}") for name, formula in AMOUNTS.items()])
-    return sums.join(heads.withColumnRenamed("id", "order_id"), "order_id")
+    per_order = lines.groupBy("order_id").agg(*[F.expr(f"sum({f}) AS {n}") for n, f in sums.items()])
+    return per_order.join(heads.withColumnRenamed("id", "order_id"), "order_id")
 
 
 def profit_by_order(t, day: str | None = None) -> DataFrame:
-    """Profit per order of one day, or of every day; rounded after summing."""
+    """Profit per order of one day, or of every day; rounded after summing.
+
+    Nothing is rounded before, so margins are differences of exact sums.
+    """
     names = t.customers.selectExpr("id AS customer_id", "name AS customer_name")
+    exact = {"bought": AMOUNTS["buy_price"], "sold": AMOUNTS["sale_price"], "reduced": AMOUNTS["discount"]}
+    shown = {"buy_price": "bought", "sale_price": "sold", "subtotal": "sold - bought", "discount": "reduced",
+             "profit": "sold - bought - reduced"}
     parts = []
     for kind, lines, heads in (_retail(t), _wholesale(t)):
         heads = heads.where(within_days("order_date", day, day) if day else before_last_minute("order_date"))
-        parts.append(_per_order(lines, heads, day is not None, lambda formula: formula).join(
-            names, "customer_id").selectExpr(
+        parts.append(_per_order(lines, heads, day is not None, exact).join(names, "customer_id").selectExpr(
             f"{day_text('order_date')} AS order_day", "order_id AS id", f"{kind}L AS order_type", "customer_name",
-            *AMOUNTS))
+            *[f"{rounded(f, TOTAL)} AS {n}" for n, f in shown.items()]))
     return _union(parts)
 
 
@@ -89,7 +93,7 @@ def _by_date(t, year: int | None, month: int, keys: dict[str, str]) -> DataFrame
     parts = []
     for _, lines, heads in (_retail(t), _wholesale(t)):
         dated = heads.where(in_period("order_date", year, month)).select("id", "order_date")
-        parts.append(_per_order(lines, dated, year is not None, rounded).selectExpr(
+        parts.append(_per_order(lines, dated, year is not None, {n: rounded(f) for n, f in AMOUNTS.items()}).selectExpr(
             *[f"{formula} AS {name}" for name, formula in keys.items()], *AMOUNTS))
     return _union(parts).groupBy(*keys).agg(*[F.expr(f"{summed(name)} AS {name}") for name in AMOUNTS])
 

@@ -12,6 +12,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.ansi.enabled": "true",
+    # The JVM leaves methods above 8000 bytes of bytecode uncompiled.  Fused stages with many decimal
+    # columns exceed that and run interpreted, several times slower than the same stage unfused.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -84,7 +84,7 @@ def _test_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _hot_orders(spark: SparkSession, sf_dir: str, hot_rows: int) -> tuple:
     """Orders whose lines need cutting; asked once per session and folder."""
     lines = _test_table(spark, sf_dir, "lineitem")
-    hot = find_hot([lines.select("l_orderkey")], hot_rows)
+    hot, = find_hot(hot_rows, [lines.select("l_orderkey")])
     if not hot:
         return (), 1
     return tuple(hot), chunk_width([lines.select("l_orderkey", "l_partkey")], hot, hot_rows)
