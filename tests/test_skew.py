@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL, same
-from tradeledger.operators import settle
-from tradeledger.operators.running import Chunks, find_hot, running, slice_of
+from tradeledger.operators import settle, shares
+from tradeledger.operators.running import Chunks, chunk_width, find_hot, running, slice_of
 from tradeledger.plans import ledgers
 from tradeledger.sources import conform
 
@@ -77,6 +77,19 @@ def test_find_hot_reads_every_group(spark):
 
 def test_running_with_null_free_gaps(spark):
     rows = spark.range(1000).selectExpr("id % 2 AS party", "id * 37 AS pos", "CAST(id AS decimal(12,2)) AS v")
-    chunks = Chunks("party", (1,), (slice_of(F.col("party"), [1], F.col("pos"), 500),))
+    chunks = Chunks("party", (1,), (slice_of("party", [1], "pos", 500),))
     args = (["party"], ["pos"], {"total": F.col("v"), "n": F.lit(1)})
     assert same(running(rows, *args), running(rows, *args, chunks)) == 1000
+
+
+def test_chunk_width_survives_wide_ids(spark):
+    rows = spark.range(1000).selectExpr("1L AS k", "id * 2000000000000000L AS p")
+    assert chunk_width([rows], [1], 100) >= 10 ** 17
+
+
+def test_payments_without_purchase_stay_out_of_the_join(spark, seed):
+    """Their common reference 0 would be one hot join key."""
+    text = plan(shares.profit_share_payments(seed.payments, seed.grass, seed.customers, F.col("id")))
+    assert "NOT (ref_id" in text and "(ref_id" in text
+    text = plan(settle.amend_settlements(seed.kasbons, seed.lunas, F.col("id")))
+    assert "NOT (ref_lunas_id" in text

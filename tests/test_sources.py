@@ -47,7 +47,7 @@ def test_last_minute_of_a_day_is_outside(spark, seed):
                                    "id bigint, customer_id bigint, order_date timestamp")
     kept = orders.where(dates.within_days("order_date", "2021-12-06T11:00", "2021-12-06"))
     assert sorted(r["id"] for r in kept.collect()) == [0, 1]
-    lines = seed.order_details.limit(1).withColumn("order_id", F.explode(F.sequence(F.lit(0), F.lit(4))).cast("bigint"))
+    lines = seed.order_details.limit(1).withColumn("order_id", F.expr("explode(sequence(0L, 4L))"))
     t = seed.having(orders=orders, order_details=lines)
     retail = "order_type = 0"
     assert sorted(r["id"] for r in profit.profit_by_order(t, "2021-12-06").where(retail).collect()) == [0, 1]
@@ -118,3 +118,14 @@ def test_clustered_files_keep_all_rows_and_model_reads_back(spark, tmp_path, see
     tables.write_clustered(seed.order_details, str(tmp_path / "order_details"), ["product_id", "id"], 3)
     back = tables.read_tables(spark, str(tmp_path)).order_details
     assert same(back, seed.order_details) == 9
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path, seed):
+    for name, key in (("order_details", "order_id"), ("orders", "id")):
+        tables.save_bucketed(getattr(seed, name), f"bucketed_{name}", key, 4, str(tmp_path / name))
+    lines, heads = spark.table("bucketed_order_details"), spark.table("bucketed_orders").withColumnRenamed("id", "order_id")
+    joined = lines.hint("merge").join(heads, "order_id")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 9
+    for name in ("order_details", "orders"):
+        spark.sql(f"DROP TABLE bucketed_{name}")

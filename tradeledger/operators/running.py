@@ -40,15 +40,14 @@ def chunk_width(frames: list[DataFrame], hot: list[int], hot_rows: int = HOT_ROW
     ``frames`` have two columns, key and position.  Runs only for hot keys.
     """
     both = reduce(DataFrame.union, [f.toDF("k", "p").where(F.col("k").isin(hot)) for f in frames])
-    row = both.groupBy("k").agg(
-        ((F.max("p") - F.min("p") + 1) * hot_rows / F.count("*")).cast("bigint").alias("w")
-    ).agg(F.min("w")).first()
-    return max(1, row[0] or 1)
+    width = F.expr(f"(max(p) - min(p) + 1) * ({float(hot_rows)}D / count(*)) AS w")
+    row = both.groupBy("k").agg(width).agg(F.min("w")).first()
+    return max(1, int(row[0] or 1))
 
 
-def slice_of(key: Column, hot: list[int], position: Column, width: int) -> Column:
+def slice_of(key: str, hot: list[int], position: str, width: int) -> Column:
     """Chunk number of a row: its position range for hot keys, 0 for all others."""
-    return F.when(key.isin(hot), F.floor(position / F.lit(width)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    return F.expr(f"IF({key} IN ({', '.join(map(str, hot))}), {position} div {width}L, 0L)")
 
 
 @dataclass(frozen=True)

@@ -37,7 +37,7 @@ def _with_next(settlements: DataFrame, hot_rows: int) -> DataFrame:
     if not hot:
         return settlements.withColumn("_next", F.lead("id").over(Window.partitionBy("customer_id").orderBy("id")))
     width = chunk_width([settlements.select("customer_id", "id")], hot, hot_rows)
-    chunks = Chunks("customer_id", tuple(hot), (slice_of(c("customer_id"), hot, c("id"), width),))
+    chunks = Chunks("customer_id", tuple(hot), (slice_of("customer_id", hot, "id", width),))
     numbered = running(settlements, ["customer_id"], ["id"], {"_n": F.lit(1).cast("bigint")}, chunks)
     following = numbered.select("customer_id", (c("_n") - 1).alias("_n"), c("id").alias("_next"))
     return numbered.join(following, ["customer_id", "_n"], "left").drop("_n")
@@ -68,13 +68,16 @@ def amend_settlements(kasbons: DataFrame, settlements: DataFrame, new_id: Column
         c("created_at").alias("_day"))
     types = dict(kasbons.dtypes)
     remains = c("_remain") > 0
+    # most advances carry nothing over; they stay out of the join, where they would be one hot key
+    plain = kasbons.where("ref_lunas_id = 0")
     fresh = {"total": c("_remain"), "kasbon_date": c("_day"), "jatuh_tempo": c("_day") + F.expr(TERM)}
-    kept = kasbons.join(new, "ref_lunas_id", "left").where(
+    kept = kasbons.where("ref_lunas_id <> 0").join(new, "ref_lunas_id", "left").where(
         c("_remain").isNull() | remains | (c("customer_id") != c("_customer"))
     ).select(*[F.when(remains, fresh[n]).otherwise(c(n)).cast(types[n]).alias(n) if n in fresh else c(n)
                for n in kasbons.columns])
-    missing = settlements.join(kasbons.select(c("ref_lunas_id").alias("id")), "id", "left_anti")
-    return kept.unionByName(_carry_over(missing, kasbons, new_id, F.lit(0)))
+    carried = kasbons.where("ref_lunas_id <> 0").select(c("ref_lunas_id").alias("id"))
+    missing = settlements.join(carried, "id", "left_anti")
+    return plain.unionByName(kept).unionByName(_carry_over(missing, kasbons, new_id, F.lit(0)))
 
 
 def revoke_settlements(t: Tables, settlements: DataFrame) -> Tables:
@@ -86,7 +89,8 @@ def revoke_settlements(t: Tables, settlements: DataFrame) -> Tables:
         table = getattr(t, name)
         columns = table.columns
         if name == "kasbons":
-            table = table.join(carried, ["customer_id", "ref_lunas_id"], "left_anti")
+            kept = table.where("ref_lunas_id <> 0").join(carried, ["customer_id", "ref_lunas_id"], "left_anti")
+            table = table.where("ref_lunas_id = 0").unionByName(kept.select(*columns))
         number = F.when(c("_gone"), F.lit(0)).otherwise(c("lunas_id"))
         reopened[name] = table.join(gone, ["customer_id", "lunas_id"], "left").select(
             *[number.cast("bigint").alias(n) if n == "lunas_id" else c(n) for n in columns])

@@ -23,6 +23,8 @@ def profit_share_payments(
     it is changed if there, else added.  Without a share it is removed.
     ``new_id`` gives the id of an added row from the purchase's ``id``.
     """
+    # most payments belong to no purchase; they stay out of the joins, where they would be one hot key
+    plain, payments = payments.where("ref_id = 0"), payments.where("ref_id <> 0")
     if deleted is not None:
         gone = deleted.select(c("id").alias("ref_id"))
         payments = payments.join(gone, "ref_id", "left_anti").select(*payments.columns)
@@ -41,4 +43,4 @@ def profit_share_payments(
         for n in payments.columns])
     added = shares.where(c("_total") > 0).join(payments.select("ref_id"), "ref_id", "left_anti").select(
         "ref_id", F.lit(0).alias("lunas_id"), c("_id").alias("id"), *[c(f"_{n}").alias(n) for n in changed])
-    return kept.unionByName(added.select(*[c(n).cast(types[n]).alias(n) for n in payments.columns]))
+    return plain.unionByName(kept).unionByName(added.select(*[c(n).cast(types[n]).alias(n) for n in payments.columns]))

@@ -48,7 +48,7 @@ def _cut_by_document(
         return None
     large = sorted(large)
     width = chunk_width(heads, large, hot_rows)
-    columns = [slice_of(c(party), large, c(document), width)]
+    columns = [slice_of(party, large, document, width)]
     if large_docs and inside:
         branch, line = inside
         line_width = chunk_width(lines, large_docs, hot_rows)
@@ -58,7 +58,7 @@ def _cut_by_document(
         columns += [
             F.when(in_large, slot).otherwise(0),
             F.when(in_large & c(document).isin(large_docs), c(branch)).otherwise(0),
-            slice_of(c(document), large_docs, c(line), line_width),
+            slice_of(document, large_docs, line, line_width),
         ]
     return Chunks(party, tuple(large), tuple(columns))
 
@@ -220,7 +220,7 @@ def product_stock_card(t, hot_rows: int = HOT_ROWS) -> DataFrame:
              (t.stock_details, t.grass_details, t.order_details, t.special_details)]
     large, = find_hot(hot_rows, lines)
     chunks = Chunks("product_id", tuple(large), (
-        slice_of(c("product_id"), large, c("id"), chunk_width(lines, large, hot_rows)),)) if large else None
+        slice_of("product_id", large, "id", chunk_width(lines, large, hot_rows)),)) if large else None
     card = running(rows, ["product_id"], ["id"], {"balance": c("real_qty")}, chunks)
     return card.withColumn("balance", c("balance").cast(TOTAL))
 

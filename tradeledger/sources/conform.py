@@ -119,10 +119,9 @@ class Conformed(Tables):
         hot, width = _hot_orders(self._spark, self._dir, self._hot_rows)
         cuts = None
         if hot:
-            order_key = F.col("l_orderkey")
             cuts = Chunks("l_orderkey", hot, (
-                F.when(order_key.isin(list(hot)), F.col("l_linenumber")).otherwise(0),
-                slice_of(order_key, list(hot), F.col("l_partkey"), width),
+                F.when(F.col("l_orderkey").isin(list(hot)), F.col("l_linenumber")).otherwise(0),
+                slice_of("l_orderkey", list(hot), "l_partkey", width),
             ))
         numbered = running(self.raw("lineitem").where(KINDS[code]), ["l_orderkey"], _LINE_ORDER,
                            {"n": F.lit(1).cast("bigint")}, cuts)

@@ -54,3 +54,14 @@ def write_clustered(df: DataFrame, path: str, by: list[str], files: int) -> None
     sampled, so add an id to ``by`` when one party is large.
     """
     df.repartitionByRange(files, *by).sortWithinPartitions(*by).write.mode("overwrite").parquet(path)
+
+
+def save_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str | None = None) -> None:
+    """Save as a catalog table hashed into ``buckets`` by ``key``.
+
+    Lines and headers bucketed alike by the document id join without a shuffle.
+    """
+    writer = df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)
