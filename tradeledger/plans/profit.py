@@ -76,12 +76,15 @@ def profit_by_order(t, day: str | None = None) -> DataFrame:
     Nothing is rounded before, so margins are differences of exact sums.
     """
     names = t.customers.selectExpr("id AS customer_id", "name AS customer_name")
-    exact = {"bought": AMOUNTS["buy_price"], "sold": AMOUNTS["sale_price"], "reduced": AMOUNTS["discount"]}
-    shown = {"buy_price": "bought", "sale_price": "sold", "subtotal": "sold - bought", "discount": "reduced",
-             "profit": "sold - bought - reduced"}
     parts = []
     for kind, lines, heads in (_retail(t), _wholesale(t)):
         heads = heads.where(within_days("order_date", day, day) if day else before_last_minute("order_date"))
+        exact = {"bought": AMOUNTS["buy_price"], "sold": AMOUNTS["sale_price"]}
+        if kind == 0:
+            exact["reduced"] = AMOUNTS["discount"]
+        reduced = "reduced" if kind == 0 else nought()
+        shown = {"buy_price": "bought", "sale_price": "sold", "subtotal": "sold - bought", "discount": reduced,
+                 "profit": f"sold - bought - {reduced}"}
         parts.append(_per_order(lines, heads, day is not None, exact).join(names, "customer_id").selectExpr(
             f"{day_text('order_date')} AS order_day", "order_id AS id", f"{kind}L AS order_type", "customer_name",
             *[f"{rounded(f, TOTAL)} AS {n}" for n, f in shown.items()]))
@@ -91,10 +94,15 @@ def profit_by_order(t, day: str | None = None) -> DataFrame:
 def _by_date(t, year: int | None, month: int, keys: dict[str, str]) -> DataFrame:
     """Sums of line amounts (each rounded) grouped by something of the order date."""
     parts = []
-    for _, lines, heads in (_retail(t), _wholesale(t)):
+    for kind, lines, heads in (_retail(t), _wholesale(t)):
         dated = heads.where(in_period("order_date", year, month)).select("id", "order_date")
-        parts.append(_per_order(lines, dated, year is not None, {n: rounded(f) for n, f in AMOUNTS.items()}).selectExpr(
-            *[f"{formula} AS {name}" for name, formula in keys.items()], *AMOUNTS))
+        sums = {n: rounded(f) for n, f in AMOUNTS.items()}
+        shown = {n: n for n in AMOUNTS}
+        if kind == 1:   # no discount, so the profit is the margin
+            del sums["discount"], sums["profit"]
+            shown.update(discount=nought(TOTAL), profit="subtotal")
+        parts.append(_per_order(lines, dated, year is not None, sums).selectExpr(
+            *[f"{formula} AS {name}" for name, formula in [*keys.items(), *shown.items()]]))
     return _union(parts).groupBy(*keys).agg(*[F.expr(f"{summed(name)} AS {name}") for name in AMOUNTS])
 
 
