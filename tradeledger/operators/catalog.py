@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 PAGE = 20           # rows of a page unless asked otherwise
-LIST_SPAN = 1_000   # ids one nested list covers
+LIST_SPAN = 1_000   # children one nested list holds at most
 
 
 def page(table: DataFrame, by: str, skip: int = 0, take: int = PAGE, unique: str = "id") -> DataFrame:
@@ -23,16 +23,17 @@ def by_keys(table: DataFrame, keys: DataFrame, column: str = "id") -> DataFrame:
 
 def with_children(parents: DataFrame, children: DataFrame, parent: str, name: str,
                   span: int = LIST_SPAN) -> DataFrame:
-    """Parents with their children as nested lists, parents without children included.
+    """Parents with their children as one nested list, parents without children included.
 
-    A list covers the children of one id range ``part`` (``id div span``), sorted
-    by id, so it never grows beyond ``span`` entries: a parent with more children
-    has several rows, and no task gathers a whole large parent.
+    A parent with more than ``span`` children has several rows instead, one per
+    id range ``part`` of ``span`` ids, so no row and no task gathers a whole
+    large parent.  Lists are sorted by id.
     """
     fields = ["id", *[n for n in children.columns if n not in ("id", parent)]]
-    lists = children.groupBy(
-        F.col(parent).alias("id"), F.floor(F.col("id") / span).cast("bigint").alias("part")
-    ).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+    large = children.groupBy(parent).agg(F.count("*").alias("_n")).where(F.col("_n") > span)
+    part = F.expr(f"IF(_n IS NULL, 0L, id div {span}L)").alias("part")
+    lists = children.join(large, parent, "left").groupBy(F.col(parent).alias("_parent"), part).agg(
+        F.array_sort(F.collect_list(F.struct(*fields))).alias(name)).withColumnRenamed("_parent", "id")
     return parents.join(lists, "id", "left")
 
 

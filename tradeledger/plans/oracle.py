@@ -415,12 +415,18 @@ QUERIES = {
     "suppliers_page": "SELECT id, name, city FROM m_suppliers ORDER BY name, id LIMIT 20",
     "stocks_page": f"""SELECT id, stock_num, supplier_id, {_m('total', 'total')}, {_m('remain_payment', 'remain_payment')}
         FROM m_stocks ORDER BY stock_num, id LIMIT 20""",
-    "category_products": """SELECT c.id, c.name, CAST(p.id // 1000 AS BIGINT) AS part,
+    "category_products": """SELECT c.id, c.name, part,
         coalesce(string_agg(p.id || ':' || p.name || ':' || p.price, ';' ORDER BY p.id), '') AS products
-        FROM m_categories c LEFT JOIN m_products p ON p.category_id = c.id GROUP BY 1, 2, 3""",
-    "product_units": """SELECT p.id, p.name, CAST(u.id // 1000 AS BIGINT) AS part,
+        FROM m_categories c LEFT JOIN (
+            SELECT *, CASE WHEN count(*) OVER (PARTITION BY category_id) > 1000 THEN CAST(id // 1000 AS BIGINT)
+                      ELSE 0 END AS part FROM m_products) p
+        ON p.category_id = c.id GROUP BY 1, 2, 3""",
+    "product_units": """SELECT p.id, p.name, part,
         coalesce(string_agg(u.id || ':' || u.name || ':' || u.price, ';' ORDER BY u.id), '') AS units
-        FROM m_products p LEFT JOIN m_units u ON u.product_id = p.id GROUP BY 1, 2, 3""",
+        FROM m_products p LEFT JOIN (
+            SELECT *, CASE WHEN count(*) OVER (PARTITION BY product_id) > 1000 THEN CAST(id // 1000 AS BIGINT)
+                      ELSE 0 END AS part FROM m_units) u
+        ON u.product_id = p.id GROUP BY 1, 2, 3""",
     "supplier_by_id": "SELECT id, name, city FROM m_suppliers WHERE id IN (SELECT supplier_id FROM m_stocks)",
     "stock_by_id": f"""SELECT id, supplier_id, stock_num, stock_date, {_m('total', 'total')}, {_m('cash', 'cash')},
         {_m('payments', 'payments')}, {_m('remain_payment', 'remain_payment')}

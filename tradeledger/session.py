@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a skewed join also where a grouping by the same key follows, at the price of a shuffle.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.ansi.enabled": "true",
     # The JVM leaves methods above 8000 bytes of bytecode uncompiled.  Fused stages with many decimal
     # columns exceed that and run interpreted, several times slower than the same stage unfused.

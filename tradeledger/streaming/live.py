@@ -44,13 +44,17 @@ def balance(feed: DataFrame, seen_for: str | None = None) -> DataFrame:
         F.sum(c("debt") - c("cred")).cast(TOTAL).alias("balance"))
 
 
-def keep(totals: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Run the feed until it is drained, writing changed keys batch by batch."""
+def keep(totals: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Write the changed keys of every batch.
+
+    Drains the feed and stops, or runs on with a batch ``every`` so often.
+    """
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return (totals.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).foreachBatch(write).start())
+    writer = totals.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    return writer.foreachBatch(write).start()
 
 
 def latest(spark: SparkSession, out: str, key: str, value: str) -> DataFrame:
