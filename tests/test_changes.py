@@ -128,3 +128,11 @@ def test_opening_stock_and_prices(spark, seed):
            rollups.unit_price_refresh(seed.units, price).where("product_id = 7").collect()}
     assert got[25] == (Decimal("120.12"), Decimal("150.15"))
     assert got[1] == (Decimal("10.01"), Decimal("15.02"))      # 15.015 rounds away from zero
+
+
+def test_defaults_name_real_columns_and_now(spark, seed):
+    for table, defaults in schema.DEFAULTS.items():
+        assert set(defaults) <= {f.name for f in schema.declared(table)}
+    new = spark.createDataFrame([(9, "later")], "id bigint, name string")
+    row = changes.apply_inserts(seed.categories, new, "id", schema.DEFAULTS["categories"]).where("id = 9").first()
+    assert row["name"] == "later" and row["created_at"] is not None and row["created_at"] == row["updated_at"]

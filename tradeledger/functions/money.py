@@ -5,7 +5,7 @@ Formulas are SQL text: one call into the engine per column, however long it is.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column
 
 LINE = "decimal(12,2)"     # one stored amount
 QTY = "decimal(10,2)"      # one stored quantity

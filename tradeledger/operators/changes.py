@@ -29,7 +29,9 @@ def _shaped(rows: DataFrame, table: DataFrame, defaults: dict) -> DataFrame:
     for f in table.schema:
         value = F.col(f.name) if f.name in rows.columns else F.lit(None)
         if f.name in defaults:
-            value = F.coalesce(value, F.lit(defaults[f.name]))
+            default = defaults[f.name]
+            value = F.coalesce(value.cast(f.dataType),
+                               (F.current_timestamp() if default == schema.NOW else F.lit(default)).cast(f.dataType))
         columns.append(value.cast(f.dataType).alias(f.name))
     return rows.select(*columns)
 

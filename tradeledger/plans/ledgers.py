@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tradeledger.functions.dates import day_first
-from tradeledger.functions.money import LINE, MONEY, TOTAL, kept_share, nought, rounded
+from tradeledger.functions.money import LINE, TOTAL, kept_share, nought, rounded
 from tradeledger.operators.running import HOT_ROWS, Chunks, chunk_width, find_hot, running, slice_of
 
 c = F.col

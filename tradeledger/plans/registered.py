@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tradeledger import schema
 from tradeledger.functions.dates import from_epoch
-from tradeledger.functions.money import LINE, MONEY, TOTAL, cents
-from tradeledger.functions.text import camel_fields, joined
+from tradeledger.functions.money import LINE, MONEY, cents
+from tradeledger.functions.text import camel_fields
 from tradeledger.operators import catalog, changes, derive, quality, rollups, settle, shares
 from tradeledger.plans import balances, ledgers, profit
 from tradeledger.session import tune

@@ -157,19 +157,30 @@ FOREIGN_KEYS = (
 # The one reference whose children go with their parent instead of blocking it.
 CASCADING = ("grass_costs", "grass_id", "grass")
 
+NOW = "now"    # stands for the time of the insert
+
 # What an omitted column gets on insert.
 DEFAULTS = {
+    "categories": {"created_at": NOW, "updated_at": NOW},
     "products": {"price": 0, "stock": 0, "first_stock": 0, "update_notif": False, "category_id": 0},
-    "units": {"content": 0, "price": 0, "buy_price": 0, "margin": 0, "is_default": False},
-    "stocks": {"total": 0, "cash": 0, "payments": 0, "remain_payment": 0},
+    "units": {"product_id": 0, "content": 0, "price": 0, "buy_price": 0, "margin": 0, "is_default": False},
+    "customers": {"customer_type": "Bandeng"},
+    "suppliers": {},
     "orders": {"total": 0, "payment": 0, "remain_payment": 0, "lunas_id": 0},
-    "order_details": {"qty": 0, "content": 0, "real_qty": 0, "price": 0, "subtotal": 0,
-                      "buy_price": 0, "discount": 0},
-    "stock_details": {"qty": 0, "content": 0, "real_qty": 0, "price": 0, "subtotal": 0,
-                      "discount": 0},
+    "order_details": {"qty": 0, "content": 0, "real_qty": 0, "price": 0, "subtotal": 0, "buy_price": 0, "discount": 0},
+    "special_orders": {"created_at": NOW, "updated_at": NOW, "packaged_at": NOW, "shipped_at": NOW, "total": 0,
+                       "cash": 0, "payments": 0, "remain_payment": 0, "lunas_id": 0, "surat_jalan": "-"},
+    "special_details": {"price": 0, "subtotal": 0, "content": 0, "real_qty": 0, "buy_price": 0},
+    "special_payments": {"order_id": 0, "nominal": 0, "lunas_id": 0},
+    "stocks": {"total": 0, "cash": 0, "payments": 0, "remain_payment": 0},
+    "stock_details": {"qty": 0, "content": 0, "real_qty": 0, "price": 0, "subtotal": 0, "discount": 0},
+    "stock_payments": {"nominal": 0},
     "grass": {"total": 0, "qty": 0, "total_div": 0, "lunas_id": 0, "partner_id": 0, "cost": 0},
+    "grass_details": {"qty": 0, "content": 0, "real_qty": 0, "price": 0, "subtotal": 0, "buy_price": 0},
+    "grass_costs": {"qty": 0, "price": 0, "subtotal": 0, "created_at": NOW, "updated_at": NOW},
     "kasbons": {"total": 0, "lunas_id": 0, "ref_lunas_id": 0},
     "payments": {"ref_id": 0, "total": 0, "lunas_id": 0},
+    "lunas": {"remain_payment": 0, "created_at": NOW, "updated_at": NOW},
 }
 
 
