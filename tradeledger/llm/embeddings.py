@@ -72,7 +72,7 @@ def _links(threshold: float, square: int):
         node, copies = rows.column("node").to_numpy(), rows.column("copies").to_numpy()
         block, lo, hi = rows.column("block").to_numpy(), rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
         vectors = _matrix(rows.column("v").combine_chunks())
-        keys = np.array(rows.column("keys").combine_chunks().flatten()).reshape(rows.num_rows, -1)[:, :table]
+        keys = np.array(rows.column("keys").combine_chunks().flatten(), np.int64).reshape(rows.num_rows, table)
         length = np.sqrt((vectors * vectors).sum(axis=1))
         left = np.flatnonzero(block == lo)
         right = np.flatnonzero(block == hi)
@@ -125,7 +125,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     never link.  Repeated rows are copies of each other.  A null id counts as a
     link of others; such a row names no class and is not kept.
     """
-    rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).alias("v"))
     sound = F.expr("coalesce(size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0), false)")
     rows = rows.withColumn("v", F.when(sound, F.col("v"))).withColumn("node", F.xxhash64("v", F.size("v")))
     classes = checkpointed(
@@ -133,14 +133,20 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     )
     n = classes.count()
     bits, tables = plan(n, threshold, recall)
-    schema = classes.select("node", "copies", "v", F.size("v").alias("dim")).schema.add("keys", ArrayType(LongType()))
-    signed = checkpointed(classes.select("node", "copies", "v", F.size("v").alias("dim")).mapInArrow(_signed(bits, tables), schema))
+    plain = classes.select("node", "copies", "v", F.size("v").alias("dim"))
+    signed = checkpointed(plain.mapInArrow(_signed(bits, tables), plain.select("*").schema.add("keys", ArrayType(LongType()))))
 
+    # Bucket sizes are found without the vectors: a vector's tables with large buckets, if any, come back as one short list.
     entry = signed.select("node", F.posexplode("keys").alias("t", "key"), "dim")
     large = entry.groupBy("t", "key", "dim").agg(F.count("*").alias("n")).where(f"n > {block}")
+    cut = (
+        entry.join(large, ["t", "key", "dim"]).groupBy("node")
+        .agg(F.map_from_entries(F.collect_list(F.struct("t", F.expr(f"ceil(n / {block})")))).alias("cut"))
+    )
     spread = (
-        signed.select("*", F.posexplode("keys").alias("t", "key")).join(large, ["t", "key", "dim"], "left")
-        .withColumn("blocks", F.expr(f"coalesce(ceil(n / {block}), 1)"))
+        signed.join(cut, "node", "left").select("*", F.posexplode("keys").alias("t", "key"))
+        .withColumn("keys", F.expr("slice(keys, 1, t)"))                # the tables before this one
+        .withColumn("blocks", F.expr("coalesce(cut[t], 1L)"))
         .withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
         .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
         .withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
