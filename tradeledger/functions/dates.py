@@ -33,7 +33,7 @@ def _day(text: str) -> str:
 
 def before_last_minute(column: str) -> str:
     """The same upper end, for every day at once."""
-    return f"date_format({column}, 'HH:mm:ss') <= '23:59:00'"
+    return f"date_format({column}, 'HH:mm:ss.SSSSSS') <= '23:59:00.000000'"
 
 
 def in_period(column: str, year: int | None, month: int = 0) -> str:

@@ -36,9 +36,10 @@ def kept_share(subtotal: str, share: str, cost: str, net: str) -> str:
 
     ``subtotal * (1 - (share + cost) / (net + cost))``.  The ratio keeps 19
     decimals and every later step is exact, so sums can be rounded at the end.
+    Where the ratio is too large for that (share and costs of 100,000 times the
+    net), the line is multiplied before it is divided and keeps 7 decimals.
     A document worth nothing keeps the whole line.
     """
-    taken = (f"try_divide(CAST({share} AS {MONEY}) + CAST({cost} AS {MONEY}), "
-             f"CAST({net} AS {MONEY}) + CAST({cost} AS {MONEY}))")
-    ratio = f"CAST(coalesce({taken}, 0) AS decimal(24,19))"
-    return f"CAST({subtotal} AS {LINE}) - CAST({subtotal} AS {LINE}) * {ratio}"
+    line, taken, worth = f"CAST({subtotal} AS {LINE})", f"(CAST({share} AS {MONEY}) + CAST({cost} AS {MONEY}))", f"(CAST({net} AS {MONEY}) + CAST({cost} AS {MONEY}))"
+    ratio = f"TRY_CAST(coalesce(try_divide({taken}, {worth}), 0) AS decimal(24,19))"
+    return f"coalesce({line} - {line} * {ratio}, CAST({line} - try_divide({line} * {taken}, {worth}) AS decimal(38,21)))"

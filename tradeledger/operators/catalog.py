@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 PAGE = 20           # rows of a page unless asked otherwise
-LIST_SPAN = 1_000   # children one nested list holds at most
+LIST_SPAN = 1_000   # child ids that one nested list covers
 
 
 def page(table: DataFrame, by: str, skip: int = 0, take: int = PAGE, unique: str = "id") -> DataFrame:
@@ -18,23 +18,21 @@ def page(table: DataFrame, by: str, skip: int = 0, take: int = PAGE, unique: str
 
 def by_keys(table: DataFrame, keys: DataFrame, column: str = "id") -> DataFrame:
     """Rows whose ``column`` is in the one-column ``keys``."""
-    return table.join(keys.toDF(column), column, "left_semi").select(*table.columns)
+    return table.join(keys.toDF(column).distinct(), column, "left_semi").select(*table.columns)
 
 
 def with_children(parents: DataFrame, children: DataFrame, parent: str, name: str,
                   span: int = LIST_SPAN) -> DataFrame:
-    """Parents with their children as one nested list, parents without children included.
+    """Parents with their children as nested lists, parents without children included.
 
-    A parent with more than ``span`` children has several rows instead, one per
-    id range ``part`` of ``span`` ids, so no row and no task gathers a whole
-    large parent.  Lists are sorted by id.
+    A parent has one row per ``part``, a range of ``span`` child ids that has
+    children (``part`` 0 without any), whatever its size; so no row and no task
+    gathers a whole large parent.  Lists are sorted by id.
     """
     fields = ["id", *[n for n in children.columns if n not in ("id", parent)]]
-    large = children.groupBy(parent).agg(F.count("*").alias("_n")).where(F.col("_n") > span)
-    part = F.expr(f"IF(_n IS NULL, 0L, id div {span}L)").alias("part")
-    lists = children.join(large, parent, "left").groupBy(F.col(parent).alias("_parent"), part).agg(
+    lists = children.groupBy(F.col(parent).alias("_parent"), F.expr(f"id div {span}L").alias("part")).agg(
         F.array_sort(F.collect_list(F.struct(*fields))).alias(name)).withColumnRenamed("_parent", "id")
-    return parents.join(lists, "id", "left")
+    return parents.join(lists, "id", "left").withColumn("part", F.coalesce("part", F.lit(0).cast("bigint")))
 
 
 def category_products(categories: DataFrame, products: DataFrame) -> DataFrame:
