@@ -5,27 +5,40 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL, same
 from tradeledger.operators import settle, shares
-from tradeledger.operators.running import Chunks, chunk_width, find_hot, running, slice_of
+from tradeledger.operators.cuts import with_chunk
+from tradeledger.operators.running import running, with_chunks
 from tradeledger.plans import ledgers
 from tradeledger.sources import conform
 
+LEDGERS = [ledgers.customer_line_ledger, ledgers.special_line_ledger, ledgers.customer_doc_ledger,
+           ledgers.special_doc_ledger, ledgers.supplier_ledger, ledgers.product_stock_card]
+PARTY = {ledgers.supplier_ledger: "supplier_id", ledgers.product_stock_card: "product_id"}
+
 
-def plan(df):
+def text(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-LEDGERS = [ledgers.customer_line_ledger, ledgers.special_line_ledger, ledgers.customer_doc_ledger,
-           ledgers.special_doc_ledger, ledgers.supplier_ledger, ledgers.product_stock_card]
+def jobs(spark):
+    return max(spark.sparkContext.statusTracker().getJobIdsForGroup(None), default=-1)
 
 
 @pytest.mark.parametrize("ledger", LEDGERS, ids=lambda f: f.__name__)
 def test_cut_ledger_equals_plain(spark, ledger):
     t = conform.load(spark, SMALL)
-    cut = ledger(t, hot_rows=5)
-    assert "_cut0" in plan(cut)
-    plain = ledger(t)
-    assert "_cut0" not in plan(plain)
-    assert same(plain, cut) > 0
+    assert same(ledger(t), ledger(t, hot_rows=5)) > 0
+
+
+@pytest.mark.parametrize("ledger", LEDGERS, ids=lambda f: f.__name__)
+def test_building_a_ledger_runs_nothing_and_filters_reach_every_scan(spark, ledger):
+    before = jobs(spark)
+    t = conform.load(spark, SMALL)
+    party = PARTY.get(ledger, "customer_id")
+    plan = text(ledger(t).where(f"{party} = 2"))
+    assert jobs(spark) == before
+    # Every window and every count of rows per party sees one party only.
+    counted = [line for line in plan.splitlines() if "Window [sum" in line or "collect_list" in line]
+    assert len(counted) >= 3 and plan.count(" = 2)") >= len(counted)
 
 
 @pytest.mark.parametrize("hot_rows", [2, 40])
@@ -41,56 +54,75 @@ def test_one_party_holds_everything(spark, hot_rows):
         assert same(ledger(heavy), ledger(heavy, hot_rows=hot_rows)) > 0
 
 
-def test_chunks_split_a_heavy_document(spark):
-    """No chunk of the line ledger holds more than a few times ``hot_rows`` rows."""
+def test_a_supplier_large_by_instalments(spark):
     t = conform.load(spark, SMALL)
-    one_doc = t.orders.agg(F.max("id")).first()[0]
-    lines = t.order_details.withColumn("order_id", F.lit(one_doc))
-    chunks = ledgers._cut_by_document(
-        "customer_id", "doc_id", [t.orders.select("customer_id", "id")], [lines.select("order_id", "id")],
-        100, ("branch", "line_id"))
-    rows = lines.join(t.orders.selectExpr("id AS order_id", "customer_id"), "order_id").selectExpr(
-        "customer_id", "order_id AS doc_id", "2 AS branch", "id AS line_id")
-    sizes = rows.groupBy(*[col.alias(f"c{i}") for i, col in enumerate(chunks.columns)]).count()
-    biggest, total = sizes.agg(F.max("count"), F.sum("count")).first()
-    assert total > 1000 and biggest < 400
-
-
-def test_line_ids_do_not_depend_on_cutting(spark):
-    plain = conform.load(spark, SMALL).order_details
-    cut = conform.load(spark, SMALL, hot_rows=4).order_details
-    assert same(plain, cut) > 0
+    heavy = t.having(stocks=t.stocks.withColumn("supplier_id", F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.lit(2)).cast("bigint")))
+    assert same(ledgers.supplier_ledger(heavy), ledgers.supplier_ledger(heavy, hot_rows=20)) > 0
+
+
+SHAPES = {
+    "many small documents": "SELECT 7L AS party, id div 10 AS doc, id % 10 AS line FROM range(9000)",
+    "one large document": "SELECT 7L AS party, 3L AS doc, id AS line FROM range(9000)",
+    "bunched ids": "SELECT 7L AS party, IF(id < 8990, id, id * 1000000000000) AS doc, 0L AS line FROM range(9000)",
+    "dense beside sparse": "SELECT id % 2 AS party, IF(id % 2 = 0, id, id * 100000000000) AS doc, 0L AS line FROM range(9000)",
+    "300 large parties": "SELECT id % 300 AS party, id AS doc, 0L AS line FROM range(60000)",
+    "small parties": "SELECT id div 10 AS party, id AS doc, 0L AS line FROM range(3000)",
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES, ids=str)
+def test_chunks_are_even(spark, shape):
+    """No chunk has more than three times ``hot_rows`` rows, and a party has few chunks more than it needs."""
+    rows = spark.sql(SHAPES[shape])
+    cut, _ = with_chunks(rows, ["party"], ["doc", "line"], hot_rows=100)
+    sizes = cut.groupBy("party", "_chunk").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 300
+    need = rows.groupBy("party").agg(F.ceil(F.count("*") / 100).alias("need"))
+    assert sizes.groupBy("party").agg(F.count("*").alias("n")).join(need, "party").where("n > 3 * need").count() == 0
+    asof = with_chunk(rows, ["party"], "doc", 100).groupBy("party", "doc").agg(F.count_distinct("_chunk").alias("n"))
+    assert asof.where("n > 1").count() == 0
+    args = (["party"], ["doc", "line"], {"total": F.col("doc").cast("decimal(28,2)"), "n": F.lit(1)})
+    assert same(running(rows, *args), running(rows, *args, hot_rows=100)) == rows.count()
+
+
+def test_chunks_grow_beyond_what_may_be_broadcast(spark, monkeypatch):
+    monkeypatch.setattr("tradeledger.operators.cuts.MOST_CHUNKS", 10)
+    rows = spark.sql(SHAPES["many small documents"])
+    cut, cuts = with_chunks(rows, ["party"], ["doc", "line"], hot_rows=100)
+    assert 5 <= cut.select("_chunk").distinct().count() <= 12
 
 
 def test_next_settlement_of_a_large_customer(spark):
     rows = spark.range(300).selectExpr("id", "id % 3 AS customer_id").where("id <> 7")
     plain = settle._with_next(rows, 1000)
     assert same(plain, settle._with_next(rows, 5)) == 299
+    following = {r["id"]: r["_next"] for r in plain.collect()}
+    assert following[4] == 10 and following[299] is None
 
 
-def test_find_hot_reads_every_group(spark):
-    a = spark.range(100).selectExpr("IF(id < 60, 1, id) AS k")
-    b = spark.range(100).selectExpr("IF(id < 30, 2, id) AS k")
-    assert find_hot(25, [a], [b]) == [[1], [2]]
-    assert find_hot(45, [a], [b]) == [[1], []]
-
-
-def test_running_with_null_free_gaps(spark):
-    rows = spark.range(1000).selectExpr("id % 2 AS party", "id * 37 AS pos", "CAST(id AS decimal(12,2)) AS v")
-    chunks = Chunks("party", (1,), (slice_of("party", [1], "pos", 500),))
-    args = (["party"], ["pos"], {"total": F.col("v"), "n": F.lit(1)})
-    assert same(running(rows, *args), running(rows, *args, chunks)) == 1000
+def test_payments_without_purchase_stay_out_of_the_join(spark, seed):
+    """Their common reference 0, or null, would be one hot join key; they are all kept."""
+    analyzed = lambda df: df._jdf.queryExecution().analyzed().toString()
+    shared = shares.profit_share_payments(seed.payments, seed.grass, seed.customers, F.col("id"))
+    assert "Filter NOT (ref_id#" in analyzed(shared) and "Filter (coalesce(ref_id#" in analyzed(shared)
+    amended = settle.amend_settlements(seed.kasbons, seed.lunas, F.col("id"))
+    assert "Filter NOT (ref_lunas_id#" in analyzed(amended) and "Filter (coalesce(ref_lunas_id#" in analyzed(amended)
 
 
-def test_chunk_width_survives_wide_ids(spark):
-    rows = spark.range(1000).selectExpr("1L AS k", "id * 2000000000000000L AS p")
-    assert chunk_width([rows], [1], 100) >= 10 ** 17
+def test_null_references_are_kept(spark, seed):
+    nulls = seed.payments.withColumn("ref_id", F.lit(None).cast("bigint"))
+    kept = shares.profit_share_payments(nulls, seed.grass.limit(0), seed.customers, F.col("id"))
+    assert kept.count() == nulls.count() > 0
+    loose = seed.kasbons.withColumn("ref_lunas_id", F.lit(None).cast("bigint"))
+    assert settle.amend_settlements(loose, seed.lunas.limit(0), F.col("id")).count() == loose.count() > 0
+    revoked = settle.revoke_settlements(seed.having(kasbons=loose), seed.lunas)
+    assert revoked.kasbons.count() == loose.count()
 
 
-def test_payments_without_purchase_stay_out_of_the_join(spark, seed):
-    """Their common reference 0 would be one hot join key."""
-    analyzed = lambda df: df._jdf.queryExecution().analyzed().toString()
-    text = analyzed(shares.profit_share_payments(seed.payments, seed.grass, seed.customers, F.col("id")))
-    assert "Filter NOT (ref_id#" in text and "Filter (ref_id#" in text
-    text = analyzed(settle.amend_settlements(seed.kasbons, seed.lunas, F.col("id")))
-    assert "Filter NOT (ref_lunas_id#" in text and "Filter (ref_lunas_id#" in text
+def test_lines_and_events_of_the_mapping_are_whole(spark):
+    t = conform.load(spark, SMALL)
+    lines = sum(getattr(t, n).count() for n in ("order_details", "special_details", "grass_details", "stock_details"))
+    assert lines == t.raw("lineitem").count()
+    paid = sum(getattr(t, n).count() for n in ("kasbons", "payments", "special_payments", "stock_payments"))
+    assert paid == t.raw("events").count()
+    assert t.grass_costs.count() == t.grass_details.count()

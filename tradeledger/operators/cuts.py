@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HOT_ROWS = 2_000_000    # rows of one key that a single task sorts comfortably
+MOST_CHUNKS = 50_000    # chunks that ``bounded_cut_points`` makes of a whole table, about
 _FINE = 32              # sampled positions per chunk
 
 
@@ -33,6 +34,21 @@ def cut_points(positions: DataFrame, keys: list[str], position: str, hot_rows: i
     return numbered.where(f"_n % {_FINE} = 0").groupBy(*keys).agg(F.array_sort(F.collect_set(position)).alias("cuts"))
 
 
+def bounded_cut_points(positions: DataFrame, keys: list[str], position: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The same in one pass, and few enough to broadcast: above ``MOST_CHUNKS * hot_rows`` rows chunks grow with the table.
+
+    A key's sampled positions, one in ``hot_rows / _FINE``, meet in one row.
+    """
+    rate = max(1, hot_rows // _FINE)
+    fine = max(1, min(_FINE, hot_rows))
+    sampled = F.when(F.pmod(F.xxhash64(*keys, position, F.lit(17)), F.lit(rate)) == 0, F.col(position))
+    sizes = positions.groupBy(*keys).agg(F.count("*").alias("_rows"), F.collect_list(sampled).alias("_sample"))
+    total = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("n")).scalar()
+    wide = sizes.withColumn("_wide", F.ceil(F.greatest(F.lit(1.0), total / F.lit(float(MOST_CHUNKS * hot_rows)))).cast("int"))
+    large = wide.where(F.col("_rows") > F.col("_wide") * F.lit(hot_rows))
+    return large.select(*keys, F.expr(f"filter(array_sort(_sample), (x, i) -> (i + 1) % ({fine} * _wide) = 0)").alias("cuts"))
+
+
 def chunk(position: str, cuts: str = "cuts") -> Column:
     """Number of a row's chunk: the cut points below its position, found by halving; 0 for keys without cuts."""
     return F.expr(

@@ -1,94 +1,56 @@
-"""Running sums over parties of any size.
-
-A plain window puts all rows of one party into one task.  That is the right
-plan while every party is small next to a task, and a dead one when a single
-party holds a third of all rows.  So:
-
-1. ``find_hot`` asks a constant-size frequent-items sketch for the parties
-   above ``hot_rows`` (one job that reads the key column only).  Its answer
-   decides the plan, never the result.
-2. Without hot parties the window stays plain: one exchange, one sort.
-3. With hot parties their rows are cut into chunks that follow the sort order.
-   Windows run inside the chunks; chunk totals (one small row each) are summed
-   per party and added back as an offset.  The result is the same, exactly.
+"""Running sums over parties of any size, as one lazy plan.
+
+A window puts all rows of one party into one task.  So parties above
+``hot_rows`` rows, counted over the very rows that are summed, are cut into
+chunks that follow the sort order (``operators.cuts``).  Windows run inside the
+chunks; chunk totals, one small row each, are summed per party and added back
+as an offset.  The result is the same, exactly.
+
+Nothing runs while the plan is built, and a filter on the party reaches every
+scan.  Cut points and offsets are broadcast: there are at most about
+``MOST_CHUNKS`` of them, because chunks grow with the table beyond that.  Where
+no party is large both are empty, and adaptive execution drops their branches.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-HOT_ROWS = 2_000_000    # rows of one key that a single task sorts comfortably
-_LISTED = 200           # keys the sketch reports
-_TRACKED = 20_000       # keys the sketch follows; finds every key above ~1/20,000 of the rows
+from tradeledger.operators.cuts import HOT_ROWS, bounded_cut_points, chunk
 
+_AT, _CHUNK = "_at", "_chunk"
 
-def find_hot(hot_rows: int, *groups: list[DataFrame]) -> list[list[int]]:
-    """For each group of one-column frames: its keys with more than ``hot_rows`` rows."""
-    frames = [df.select(F.lit(i).alias("g"), F.col(df.columns[0]).cast("bigint").alias("k"))
-              for i, group in enumerate(groups) for df in group]
-    sketches = reduce(DataFrame.union, frames).agg(*[
-        F.expr(f"approx_top_k(k, {_LISTED}, {_TRACKED}) FILTER (WHERE g = {i}) AS g{i}") for i in range(len(groups))]).first()
-    return [sorted(r["item"] for r in (top or []) if r["item"] is not None and r["count"] > hot_rows) for top in sketches]
 
+def with_chunks(df: DataFrame, parts: list[str], order: list[str], hot_rows: int = HOT_ROWS,
+                keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``_chunk`` (0 for all rows of parties that are not large), and the cut points of the large ones.
 
-def chunk_width(frames: list[DataFrame], hot: list[int], hot_rows: int = HOT_ROWS) -> int:
-    """Width of a position range that holds about ``hot_rows`` rows of a hot key.
-
-    ``frames`` have two columns, key and position.  Runs only for hot keys.
+    ``keys`` are the rows' ``parts`` and ``order`` where they can be had without the joins behind ``df``.
+    They only decide where the cuts are, never the result.
     """
-    both = reduce(DataFrame.union, [f.toDF("k", "p").where(F.col("k").isin(hot)) for f in frames])
-    width = F.expr(f"(max(p) - min(p) + 1) * ({float(hot_rows)}D / count(*)) AS w")
-    row = both.groupBy("k").agg(width).agg(F.min("w")).first()
-    return max(1, int(row[0] or 1))
-
-
-def slice_of(key: str, hot: list[int], position: str, width: int) -> Column:
-    """Chunk number of a row: its position range for hot keys, 0 for all others."""
-    return F.expr(f"IF({key} IN ({', '.join(map(str, hot))}), {position} div {width}L, 0L)")
-
-
-@dataclass(frozen=True)
-class Chunks:
-    """Chunk columns of hot keys.  Sorting by them first must not change the sort order."""
-
-    key: str
-    hot: tuple
-    columns: tuple
-
+    keyed = (df if keys is None else keys).select(*parts, F.struct(*order).alias(_AT))
+    cuts = bounded_cut_points(keyed, parts, _AT, hot_rows)
+    cut = df.withColumn(_AT, F.struct(*order)).join(F.broadcast(cuts), parts, "left").withColumn(_CHUNK, chunk(_AT)).drop(_AT, "cuts")
+    return cut, cuts
 
-def running(
-    df: DataFrame,
-    parts: list[str],
-    order: list[str],
-    sums: dict[str, Column],
-    chunks: Chunks | None = None,
-) -> DataFrame:
-    """Add ``sums`` as running sums within ``parts`` along ``order``."""
-    if chunks is None or not chunks.hot:
-        window = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({name: F.sum(value).over(window) for name, value in sums.items()})
 
-    cuts = [f"_cut{i}" for i in range(len(chunks.columns))]
-    cut = df.withColumns(dict(zip(cuts, chunks.columns)))
-    inside = Window.partitionBy(*parts, *cuts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+def running(df: DataFrame, parts: list[str], order: list[str], sums: dict[str, Column], hot_rows: int = HOT_ROWS,
+            keys: DataFrame | None = None) -> DataFrame:
+    """Add ``sums`` as running sums within ``parts`` along ``order``, which tells the rows of a party apart."""
+    cut, cuts = with_chunks(df, parts, order, hot_rows, keys)
+    inside = Window.partitionBy(*parts, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.withColumns({name: F.sum(value).over(inside) for name, value in sums.items()})
 
-    earlier = Window.partitionBy(*parts).orderBy(*cuts).rowsBetween(Window.unboundedPreceding, -1)
+    types = {name: kind for name, kind in local.select(*sums).dtypes}
+    earlier = Window.partitionBy(*parts).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        cut.where(F.col(chunks.key).isin(list(chunks.hot)))
-        .groupBy(*parts, *cuts)
-        .agg(*[F.sum(value).alias(f"_t_{name}") for name, value in sums.items()])
-        .select(*parts, *cuts, *[F.sum(f"_t_{name}").over(earlier).alias(f"_before_{name}") for name in sums])
+        df.select(*parts, F.struct(*order).alias(_AT), *[value.alias(f"_v_{name}") for name, value in sums.items()])
+        .join(F.broadcast(cuts), parts).withColumn(_CHUNK, chunk(_AT))
+        .groupBy(*parts, _CHUNK).agg(*[F.sum(f"_v_{name}").alias(f"_t_{name}") for name in sums])
+        .select(*parts, _CHUNK, *[F.sum(f"_t_{name}").over(earlier).alias(f"_before_{name}") for name in sums])
     )
-    types = dict(local.select(*sums).dtypes)
     return (
-        local.join(offsets, [*parts, *cuts], "left")
-        .withColumns({
-            name: (F.col(name) + F.coalesce(F.col(f"_before_{name}"), F.lit(0))).cast(types[name])
-            for name in sums
-        })
-        .drop(*cuts, *[f"_before_{name}" for name in sums])
+        local.join(F.broadcast(offsets), [*parts, _CHUNK], "left")
+        .withColumns({name: (F.col(name) + F.coalesce(F.col(f"_before_{name}"), F.lit(0))).cast(types[name]) for name in sums})
+        .drop(_CHUNK, *[f"_before_{name}" for name in sums])
     )

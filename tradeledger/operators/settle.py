@@ -6,10 +6,10 @@ over as an advance due seven days later, found by ``ref_lunas_id``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tradeledger.functions.text import joined
-from tradeledger.operators.running import HOT_ROWS, Chunks, chunk_width, find_hot, running, slice_of
+from tradeledger.operators.running import HOT_ROWS, running
 from tradeledger.sources.tables import Tables
 
 c = F.col
@@ -33,12 +33,7 @@ def _carry_over(settlements: DataFrame, like: DataFrame, new_id: Column, closed_
 
 def _with_next(settlements: DataFrame, hot_rows: int) -> DataFrame:
     """Adds ``_next``: the customer's next settlement id, null for the last."""
-    hot, = find_hot(hot_rows, [settlements.select("customer_id")])
-    if not hot:
-        return settlements.withColumn("_next", F.lead("id").over(Window.partitionBy("customer_id").orderBy("id")))
-    width = chunk_width([settlements.select("customer_id", "id")], hot, hot_rows)
-    chunks = Chunks("customer_id", tuple(hot), (slice_of("customer_id", hot, "id", width),))
-    numbered = running(settlements, ["customer_id"], ["id"], {"_n": F.lit(1).cast("bigint")}, chunks)
+    numbered = running(settlements, ["customer_id"], ["id"], {"_n": F.lit(1).cast("bigint")}, hot_rows)
     following = numbered.select("customer_id", (c("_n") - 1).alias("_n"), c("id").alias("_next"))
     return numbered.join(following, ["customer_id", "_n"], "left").drop("_n")
 
@@ -69,7 +64,7 @@ def amend_settlements(kasbons: DataFrame, settlements: DataFrame, new_id: Column
     types = dict(kasbons.dtypes)
     remains = c("_remain") > 0
     # most advances carry nothing over; they stay out of the join, where they would be one hot key
-    plain = kasbons.where("ref_lunas_id = 0")
+    plain = kasbons.where("coalesce(ref_lunas_id, 0) = 0")
     fresh = {"total": c("_remain"), "kasbon_date": c("_day"), "jatuh_tempo": c("_day") + F.expr(TERM)}
     kept = kasbons.where("ref_lunas_id <> 0").join(new, "ref_lunas_id", "left").where(
         c("_remain").isNull() | remains | (c("customer_id") != c("_customer"))
@@ -90,7 +85,7 @@ def revoke_settlements(t: Tables, settlements: DataFrame) -> Tables:
         columns = table.columns
         if name == "kasbons":
             kept = table.where("ref_lunas_id <> 0").join(carried, ["customer_id", "ref_lunas_id"], "left_anti")
-            table = table.where("ref_lunas_id = 0").unionByName(kept.select(*columns))
+            table = table.where("coalesce(ref_lunas_id, 0) = 0").unionByName(kept.select(*columns))
         number = F.when(c("_gone"), F.lit(0)).otherwise(c("lunas_id"))
         reopened[name] = table.join(gone, ["customer_id", "lunas_id"], "left").select(
             *[number.cast("bigint").alias(n) if n == "lunas_id" else c(n) for n in columns])

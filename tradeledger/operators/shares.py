@@ -23,8 +23,8 @@ def profit_share_payments(
     it is changed if there, else added.  Without a share it is removed.
     ``new_id`` gives the id of an added row from the purchase's ``id``.
     """
-    # most payments belong to no purchase; they stay out of the joins, where they would be one hot key
-    plain, payments = payments.where("ref_id = 0"), payments.where("ref_id <> 0")
+    # most payments belong to no purchase (reference 0 or null); they stay out of the joins, where they would be one hot key
+    plain, payments = payments.where("coalesce(ref_id, 0) = 0"), payments.where("ref_id <> 0")
     if deleted is not None:
         gone = deleted.select(c("id").alias("ref_id"))
         payments = payments.join(gone, "ref_id", "left_anti").select(*payments.columns)

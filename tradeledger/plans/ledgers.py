@@ -5,17 +5,19 @@ sum per party.  Filter the result by party (and settlement): the filter is on
 the window's partition columns, so it reaches the file scans.
 
 Rows are ordered inside a party by document id, because ids follow entry order.
+
+Fixed values here are the titles and texts that a ledger shows.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tradeledger.functions.dates import day_first
 from tradeledger.functions.money import LINE, TOTAL, kept_share, nought, rounded
-from tradeledger.operators.running import HOT_ROWS, Chunks, chunk_width, find_hot, running, slice_of
+from tradeledger.operators.running import HOT_ROWS, running
 
 c = F.col
 
@@ -24,45 +26,6 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-# ---- cutting large parties --------------------------------------------
-
-def _cut_by_document(
-    party: str,
-    document: str,
-    heads: list[DataFrame],
-    lines: list[DataFrame],
-    hot_rows: int,
-    inside: tuple[str, str] | None = None,
-) -> Chunks | None:
-    """Chunks for a ledger ordered by document id (then ``inside`` = branch, line id).
-
-    ``heads`` are (party, document) frames, ``lines`` (document, line) frames.
-    A party is large by its documents, or by owning a document with many lines.
-    """
-    large, *rest = find_hot(hot_rows, heads, lines) if lines else find_hot(hot_rows, heads)
-    large, large_docs = set(large), rest[0] if rest else []
-    if large_docs:
-        owners = _union([h.toDF("p", "d") for h in heads]).where(c("d").isin(large_docs)).select("p").distinct()
-        large |= {row["p"] for row in owners.collect()}
-    if not large:
-        return None
-    large = sorted(large)
-    width = chunk_width(heads, large, hot_rows)
-    columns = [slice_of(party, large, document, width)]
-    if large_docs and inside:
-        branch, line = inside
-        line_width = chunk_width(lines, large_docs, hot_rows)
-        in_large = c(party).isin(large)
-        slot = reduce(Column.__add__, [
-            (c(document) > d).cast("int") * 2 + (c(document) == d).cast("int") for d in large_docs])
-        columns += [
-            F.when(in_large, slot).otherwise(0),
-            F.when(in_large & c(document).isin(large_docs), c(branch)).otherwise(0),
-            slice_of(document, large_docs, line, line_width),
-        ]
-    return Chunks(party, tuple(large), tuple(columns))
-
-
 # ---- customers ---------------------------------------------------------
 
 def _lines_of(details: DataFrame, parent: str, heads: DataFrame, products: DataFrame) -> DataFrame:
@@ -72,6 +35,13 @@ def _lines_of(details: DataFrame, parent: str, heads: DataFrame, products: DataF
     return lines.join(heads.withColumnRenamed("id", "doc_id"), "doc_id").join(names, "product_id")
 
 
+def _line_keys(details: DataFrame, parent: str, heads: DataFrame, branch: int) -> DataFrame:
+    """Where lines stand in a ledger: their document's party and their own id, without names and amounts."""
+    held = heads.select(c("id").alias("doc_id"), "customer_id", "lunas_id")
+    return details.select(c(parent).alias("doc_id"), c("id").alias("line_id")).join(held, "doc_id").selectExpr(
+        "customer_id", "lunas_id", "doc_id", f"{branch} AS branch", "line_id")
+
+
 _LINE_COLUMNS = ["CAST(line_id AS bigint) AS line_id", f"CAST(qty AS {LINE}) AS qty", "unit_name AS unit",
                  f"CAST(price AS {LINE}) AS price"]
 _NO_LINE = ["0L AS line_id", f"{nought(LINE)} AS qty", "'-' AS unit", f"{nought(LINE)} AS price"]
@@ -102,13 +72,11 @@ def customer_line_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
               kept_share("subtotal", "total_div", "cost", "total"), _LINE_COLUMNS, "doc_id"),
         shape(t.payments, 5, "payment_date", "descriptions", "Angsuran: #", "0", "total"),
     ])
-    chunks = _cut_by_document(
-        "customer_id", "doc_id",
-        [df.select("customer_id", "id") for df in (t.kasbons, t.orders, t.grass, t.payments)],
-        [t.order_details.select("order_id", "id"), t.grass_details.select("grass_id", "id")],
-        hot_rows, ("branch", "line_id"))
+    keys = _union([_line_keys(t.order_details, "order_id", t.orders, 2), _line_keys(t.grass_details, "grass_id", t.grass, 4)] + [
+        df.selectExpr("customer_id", "lunas_id", "id AS doc_id", f"{branch} AS branch", "0L AS line_id")
+        for df, branch in ((t.kasbons, 1), (t.orders, 3), (t.payments, 5))])
     ledger = running(rows, ["customer_id", "lunas_id"], ["doc_id", "branch", "line_id"],
-                     {"row_no": F.lit(1).cast("bigint"), "exact": c("debt") - c("exact_cred")}, chunks)
+                     {"row_no": F.lit(1).cast("bigint"), "exact": c("debt") - c("exact_cred")}, hot_rows, keys)
     return ledger.selectExpr(
         "customer_id", "lunas_id", "row_no", "doc_id", "branch", "line_id", "trx_date", "descriptions", "title",
         "qty", "unit", "price", "debt", f"{rounded('exact_cred')} AS cred", f"{rounded('exact', TOTAL)} AS balance")
@@ -125,9 +93,7 @@ def customer_doc_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
         shape(t.grass, "order_date", "0", "total - total_div"),
         shape(t.payments, "payment_date", "0", "total"),
     ])
-    chunks = _cut_by_document("customer_id", "id", [
-        df.select("customer_id", "id") for df in (t.orders, t.kasbons, t.grass, t.payments)], [], hot_rows)
-    return _with_balance(rows, ["customer_id", "lunas_id"], ["id"], chunks)
+    return _with_balance(rows, ["customer_id", "lunas_id"], ["id"], hot_rows)
 
 
 def special_line_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -147,12 +113,7 @@ def special_line_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
         shape(t.special_payments, 3, "payment_at", "concat_ws('', 'Angsuran #', order_id, ', ', pay_num)", "0",
               "nominal", ["id AS line_id", *_NO_LINE[1:]], "order_id"),
     ])
-    chunks = _cut_by_document(
-        "customer_id", "doc_id",
-        [t.special_orders.select("customer_id", "id"), t.special_payments.select("customer_id", "order_id")],
-        [t.special_details.select("order_id", "id"), t.special_payments.select("order_id", "id")],
-        hot_rows, ("branch", "line_id"))
-    return _with_balance(rows, ["customer_id", "lunas_id"], ["doc_id", "branch", "line_id"], chunks)
+    return _with_balance(rows, ["customer_id", "lunas_id"], ["doc_id", "branch", "line_id"], hot_rows)
 
 
 def special_doc_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -164,9 +125,7 @@ def special_doc_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
         shape(t.special_orders, "coalesce(descriptions, concat_ws('', 'ORDER ID#: ', id))", "created_at", "total", "cash"),
         shape(t.special_payments, "pay_num", "payment_at", "0", "nominal"),
     ])
-    chunks = _cut_by_document("customer_id", "id", [
-        df.select("customer_id", "id") for df in (t.special_orders, t.special_payments)], [], hot_rows)
-    return _with_balance(rows, ["customer_id", "lunas_id"], ["id"], chunks)
+    return _with_balance(rows, ["customer_id", "lunas_id"], ["id"], hot_rows)
 
 
 # ---- suppliers and products -------------------------------------------
@@ -181,9 +140,7 @@ def supplier_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
         shape(t.stocks, "stock_num", "stock_date", "total", "cash"),
         shape(t.stock_payments.join(owner, "stock_id"), "pay_num", "pay_date", "0", "nominal"),
     ])
-    chunks = _cut_by_document("supplier_id", "id", [t.stocks.select("supplier_id", "id")],
-                              [t.stock_payments.select("stock_id", "id")], hot_rows)
-    return _with_balance(rows, ["supplier_id"], ["id"], chunks)
+    return _with_balance(rows, ["supplier_id"], ["id"], hot_rows)
 
 
 def product_stock_card(t, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -216,15 +173,12 @@ def product_stock_card(t, hot_rows: int = HOT_ROWS) -> DataFrame:
         moves(t.special_details, "order_id", t.special_orders, "customer_id", "created_at",
               ["surat_jalan", "surat_jalan"], t.customers, False),
     ])
-    lines = [df.select("product_id", "id") for df in
-             (t.stock_details, t.grass_details, t.order_details, t.special_details)]
-    large, = find_hot(hot_rows, lines)
-    chunks = Chunks("product_id", tuple(large), (
-        slice_of("product_id", large, "id", chunk_width(lines, large, hot_rows)),)) if large else None
-    card = running(rows, ["product_id"], ["id"], {"balance": c("real_qty")}, chunks)
+    keys = _union([df.select("product_id", "id") for df in
+                   (t.stock_details, t.grass_details, t.order_details, t.special_details)])
+    card = running(rows, ["product_id"], ["id"], {"balance": c("real_qty")}, hot_rows, keys)
     return card.withColumn("balance", c("balance").cast(TOTAL))
 
 
-def _with_balance(rows: DataFrame, parts: list[str], order: list[str], chunks: Chunks | None) -> DataFrame:
-    out = running(rows, parts, order, {"balance": c("debt") - c("cred")}, chunks)
+def _with_balance(rows: DataFrame, parts: list[str], order: list[str], hot_rows: int) -> DataFrame:
+    out = running(rows, parts, order, {"balance": c("debt") - c("cred")}, hot_rows)
     return out.withColumn("balance", c("balance").cast(TOTAL))

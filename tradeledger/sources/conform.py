@@ -5,24 +5,23 @@ mapping lets every report run over whole ``lineitem``, ``orders``, ``events``,
 ``part``, ``customer`` and ``supplier`` tables.
 
 * Every lineitem row becomes one document line.  Its flags say which kind:
-  ``N`` retail sale, ``A``/``O`` wholesale sale, ``A``/``F`` receipt from a
-  supplier, ``R`` purchase from a customer.
-* Every order becomes one document header of each kind (receipts only where
-  lines exist, because the lines name the supplier).
-* Events become advances, instalments and wholesale or supplier instalments.
+  ``N`` retail sale, ``R`` purchase from a customer, of the others status ``O``
+  wholesale sale and the rest receipts from a supplier.  A purchase line also
+  has a cost.
+* Every order becomes one document header of each kind.  A receipt has the
+  first supplier of its lines, or without lines one chosen by the order.
+* Events become advances (sign-ups and clicks), instalments and wholesale or
+  supplier instalments.
 * Ids never meet: ``key * 16 + code`` for documents and
-  ``(key * 4 + kind) * 1,000,000 + n`` for lines, so entry order is kept.
+  ``(key * 4 + kind) * 1,000,000,000 + n`` for lines, so entry order is kept.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tradeledger.functions.money import LINE, MONEY, QTY, nought, rounded
 from tradeledger.operators import derive
-from tradeledger.operators.running import HOT_ROWS, Chunks, chunk_width, find_hot, running, slice_of
 from tradeledger.sources.tables import Tables
 
 c = F.col
@@ -46,22 +45,22 @@ TEST_TABLES = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
 }
 
-_LINES_PER_DOCUMENT = 1_000_000
+_LINES_PER_DOCUMENT = 1_000_000_000
 _LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
                "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
 # Which lineitem rows are lines of which document.
 KINDS = {
     ORDER: "l_returnflag = 'N'",
-    SPECIAL: "l_returnflag = 'A' AND l_linestatus = 'O'",
+    SPECIAL: "NOT l_returnflag <=> 'N' AND NOT l_returnflag <=> 'R' AND l_linestatus = 'O'",
     PURCHASE: "l_returnflag = 'R'",
-    RECEIPT: "l_returnflag = 'A' AND l_linestatus = 'F'",
+    RECEIPT: "NOT l_returnflag <=> 'N' AND NOT l_returnflag <=> 'R' AND NOT l_linestatus <=> 'O'",
 }
 
 _STEP = "CASE WHEN l_linenumber <= 3 THEN 0 WHEN l_linenumber <= 5 THEN 1 ELSE 2 END"
 _PRICE = rounded("l_extendedprice", LINE)
 _RATE = rounded("l_discount", "decimal(4,2)")
-_COST = rounded("price * tax", LINE)    # of a purchase line numbered 6 or 7
+_COST = rounded("price * tax", LINE)    # of a purchase line
 _PAID = (f"CASE o_orderstatus WHEN 'F' THEN coalesce(total, {nought()}) "
          f"WHEN 'P' THEN {rounded('coalesce(total, 0) * 0.30')} ELSE {nought()} END")
 _CLOSED = "CAST(IF(o_orderdate < timestamp_ntz '1998-01-01 00:00:00', 1, 0) AS bigint) AS lunas_id"
@@ -80,21 +79,11 @@ def _test_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TEST_TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-@lru_cache(maxsize=64)
-def _hot_orders(spark: SparkSession, sf_dir: str, hot_rows: int) -> tuple:
-    """Orders whose lines need cutting; asked once per session and folder."""
-    lines = _test_table(spark, sf_dir, "lineitem")
-    hot, = find_hot(hot_rows, [lines.select("l_orderkey")])
-    if not hot:
-        return (), 1
-    return tuple(hot), chunk_width([lines.select("l_orderkey", "l_partkey")], hot, hot_rows)
-
-
 class Conformed(Tables):
     """Model tables over one folder of test tables, plus the raw line frames."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, hot_rows: int = HOT_ROWS):
-        self._spark, self._dir, self._hot_rows = spark, sf_dir, hot_rows
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._dir = spark, sf_dir
         self._raw: dict[str, DataFrame] = {}
         self._lines: dict[int, DataFrame] = {}
         made = ["categories", "products", "units", "customers", "suppliers", "orders", "order_details",
@@ -116,21 +105,12 @@ class Conformed(Tables):
         return self._lines[code]
 
     def _numbered_lines(self, code: int) -> DataFrame:
-        hot, width = _hot_orders(self._spark, self._dir, self._hot_rows)
-        cuts = None
-        if hot:
-            cuts = Chunks("l_orderkey", hot, (
-                F.when(F.col("l_orderkey").isin(list(hot)), F.col("l_linenumber")).otherwise(0),
-                slice_of("l_orderkey", list(hot), "l_partkey", width),
-            ))
-        numbered = running(self.raw("lineitem").where(KINDS[code]), ["l_orderkey"], _LINE_ORDER,
-                           {"n": F.lit(1).cast("bigint")}, cuts)
+        line = Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER)
+        numbered = self.raw("lineitem").where(KINDS[code]).withColumn("n", F.row_number().over(line).cast("bigint"))
         discounted = code in (ORDER, RECEIPT)
-        number = (f"IF(n < {_LINES_PER_DOCUMENT}, n, "
-                  "CAST(raise_error('a test document has too many lines for its id range') AS bigint))")
         lines = numbered.selectExpr(
             f"{_doc('l_orderkey', code)} AS doc_id",
-            f"(l_orderkey * 4 + {code - 1}) * {_LINES_PER_DOCUMENT} + {number} AS id",
+            f"(l_orderkey * 4 + {code - 1}) * {_LINES_PER_DOCUMENT}L + n AS id",
             "l_partkey AS product_id",
             f"l_partkey * 3 + {_STEP} AS unit_id",
             f"elt({_STEP} + 1, 'pcs', 'pak', 'ls') AS unit_name",
@@ -163,8 +143,8 @@ class Conformed(Tables):
         return self._details(PURCHASE, "grass_id", "buy_price")
 
     def cost_lines(self) -> DataFrame:
-        """One cost row per purchase line numbered 6 or 7."""
-        return derive.purchase_costs(self.lines(PURCHASE).where("line_number >= 6").selectExpr(
+        """One cost row per purchase line."""
+        return derive.purchase_costs(self.lines(PURCHASE).selectExpr(
             "doc_id AS grass_id", "id", "'transport' AS memo", f"CAST(1 AS {LINE}) AS qty", f"{_COST} AS price",
             "'trip' AS unit", "shipped_at AS created_at", "shipped_at AS updated_at", "tax", "rate", "product_id"))
 
@@ -177,7 +157,7 @@ class Conformed(Tables):
         """Per document of one kind: value, base quantity, costs, first supplier."""
         return self.lines(code).groupBy("doc_id").agg(
             F.expr(f"CAST(sum(subtotal) AS {MONEY}) AS total"), F.expr(f"CAST(sum(real_qty) AS {MONEY}) AS qty"),
-            F.expr(f"CAST(sum(CASE WHEN line_number >= 6 THEN {_COST} END) AS {MONEY}) AS cost"),
+            F.expr(f"CAST(sum({_COST}) AS {MONEY}) AS cost"),
             F.expr("min(supplier_id) AS supplier_id"))
 
     def _orders(self) -> DataFrame:
@@ -206,10 +186,10 @@ class Conformed(Tables):
         """Receipt headers without their instalments."""
         dates = self.raw("orders").selectExpr(
             f"{_doc('o_orderkey', RECEIPT)} AS doc_id", "o_orderdate AS stock_date",
-            "concat('ST-', o_orderkey) AS stock_num")
-        return self._sums(RECEIPT).join(dates, "doc_id").selectExpr(
-            "doc_id AS id", "supplier_id", "stock_num", "stock_date", "total",
-            f"{rounded('total * 0.20')} AS cash", f"{_NO_TEXT} AS descriptions")
+            "concat('ST-', o_orderkey) AS stock_num", "o_orderkey % 10 AS other_supplier")
+        return dates.join(self._sums(RECEIPT), "doc_id", "left").selectExpr(
+            "doc_id AS id", "coalesce(supplier_id, other_supplier) AS supplier_id", "stock_num", "stock_date",
+            f"coalesce(total, {nought()}) AS total", f"{rounded('coalesce(total, 0) * 0.20')} AS cash", f"{_NO_TEXT} AS descriptions")
 
     def _stocks(self) -> DataFrame:
         paid = self.stock_payments.groupBy(F.col("stock_id").alias("id")).agg(
@@ -231,13 +211,13 @@ class Conformed(Tables):
 
     # ---- events --------------------------------------------------------
 
-    def events(self, kind: str) -> DataFrame:
-        return self.raw("events").where(f"event_type = '{kind}'").selectExpr(
+    def events(self, *kinds: str) -> DataFrame:
+        return self.raw("events").where(c("event_type").isin(*kinds)).selectExpr(
             "event_id", "ts", "user_id", "event_id div 3 AS order_key", f"{rounded('value', LINE)} AS amount",
             "CAST(IF(ts < timestamp_ntz '2024-01-16 00:00:00', 1, 0) AS bigint) AS lunas_id")
 
     def _kasbons(self) -> DataFrame:
-        return self.events("signup").selectExpr(
+        return self.events("signup", "click").selectExpr(
             f"{_doc('event_id', ADVANCE)} AS id", "user_id AS customer_id", "'Advance' AS descriptions",
             "ts AS kasbon_date", "ts + INTERVAL 7 DAYS AS jatuh_tempo", "amount AS total", "lunas_id",
             "0L AS ref_lunas_id")
@@ -261,8 +241,7 @@ class Conformed(Tables):
             "concat('S-', event_id) AS pay_num", "ts AS pay_date", "amount AS nominal", f"{_NO_TEXT} AS descriptions")
 
     def _stock_payments(self) -> DataFrame:
-        known = self.raw("lineitem").where(KINDS[RECEIPT]).selectExpr(
-            f"{_doc('l_orderkey', RECEIPT)} AS stock_id").distinct()
+        known = self.raw("orders").selectExpr(f"{_doc('o_orderkey', RECEIPT)} AS stock_id")
         return self.supplier_instalments().join(known, "stock_id", "left_semi")
 
     # ---- dimensions ----------------------------------------------------
@@ -323,5 +302,5 @@ def _brand_id(brand: str) -> str:
     return f"CAST(substring_index({brand}, '#', -1) AS bigint)"
 
 
-def load(spark: SparkSession, sf_dir: str, hot_rows: int = HOT_ROWS) -> Conformed:
-    return Conformed(spark, sf_dir, hot_rows)
+def load(spark: SparkSession, sf_dir: str) -> Conformed:
+    return Conformed(spark, sf_dir)
