@@ -129,3 +129,30 @@ def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path, seed):
     assert joined.count() == 9
     for name in ("order_details", "orders"):
         spark.sql(f"DROP TABLE bucketed_{name}")
+
+
+def test_readers_see_the_published_version(spark, seed, tmp_path):
+    from tradeledger.sources.tables import read_published
+    base = str(tmp_path / "customers")
+    with pytest.raises(ValueError):
+        sinks.current_path(spark, base)
+    sinks.write_snapshot(seed.customers, base, 1)
+    seed.customers.limit(1).write.parquet(f"{base}/version=2")          # a write that never came to its end
+    assert read_published(spark, str(tmp_path)).customers.count() == seed.customers.count()
+    sinks.write_snapshot(seed.customers.limit(1), base, 2)
+    assert read_published(spark, str(tmp_path)).customers.count() == 1
+    assert spark.read.parquet(f"{base}/version=1").count() == seed.customers.count()
+
+
+@pytest.mark.parametrize("moment,inside", [("23:59:00", True), ("23:59:00.000001", False), ("23:59:00.5", False), ("00:00:00", True)])
+def test_the_last_minute_ends_sharply(spark, moment, inside):
+    row = spark.sql(f"SELECT timestamp_ntz '2024-01-02 {moment}' AS at")
+    assert row.where(dates.before_last_minute("at")).count() == inside
+    assert row.where(dates.within_days("at", "2024-01-02", "2024-01-02")).count() == inside
+
+
+def test_no_share_is_too_large(spark):
+    from tradeledger.functions.money import kept_share
+    row = spark.sql("SELECT 100.00 AS s, 9999999999.99 AS d, 0.00 AS x, 0.01 AS n, 60.00 AS t")
+    got = row.selectExpr(f"{kept_share('s', 'd', 'x', 'n')} AS a", f"{kept_share('s', 't', 'x', 's')} AS b", f"{kept_share('s', 'd', 'x', 'x')} AS c").first()
+    assert (float(got.a), float(got.b), float(got.c)) == (100 - 100 * 999999999999.0, 40.0, 100.0)

@@ -1,5 +1,6 @@
 """Streams end where the batch reports end, also after restarts and repeats."""
 
+import shutil
 from datetime import datetime
 from decimal import Decimal
 
@@ -43,3 +44,23 @@ def test_repeated_changes_count_once(spark, tmp_path):
     live.keep(totals, out, mark).awaitTermination()
     got = {r["party_id"]: r["balance"] for r in live.latest(spark, out, "party_id", "balance").collect()}
     assert got == {7: Decimal(6), 8: Decimal(1)}
+
+
+def test_snapshots_bound_what_is_read(spark, tmp_path):
+    """Fifty batches in groups of eight; one snapshot was lost before it was marked."""
+    out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+    feed = str(tmp_path / "feed")
+    spark.range(0).selectExpr("id AS change_id", "current_timestamp() AS changed_at", "id AS product_id", "CAST(1 AS decimal(18,2)) AS moved").write.parquet(feed)
+    assert live.latest(spark, out, "product_id", "moved").count() == 0
+    for part in range(2):
+        rows = spark.range(25 * 40).selectExpr("id AS change_id", "timestamp '2024-02-01' AS changed_at", "id % 90 AS product_id", "CAST(1 AS decimal(18,2)) AS moved")
+        rows.repartition(25).write.mode("append").parquet(feed)
+        totals = live.stock(live.read_feed(spark, feed, live.MOVES, files_per_batch=1))
+        live.keep(totals, out, mark, group=8).awaitTermination()
+    assert live.sinks.marked(spark, f"{out}/done", "group") == list(range(6))
+    now = live.latest(spark, out, "product_id", "moved")
+    assert len({f.rpartition("/")[0] for f in now.inputFiles()}) <= 1 + 8
+    want = spark.read.schema(live.MOVES).parquet(feed).groupBy("product_id").agg(F.sum("moved").cast("decimal(28,2)").alias("moved"))
+    assert same(now, want) == 90
+    shutil.rmtree(tmp_path / "out/done/group=5")        # stopped between snapshot and mark
+    assert same(live.latest(spark, out, "product_id", "moved"), spark.read.schema("product_id bigint, moved decimal(28,2)").parquet(f"{out}/snapshots/group=5")) == 90

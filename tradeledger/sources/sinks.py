@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,17 +26,42 @@ def append_rows(df: DataFrame, path: str, partition_by: list[str] | None = None)
     writer.parquet(path)
 
 
+def mark(spark: SparkSession, folder: str, name: str, number: int) -> None:
+    """Note that number ``number`` is complete; call it last.  Marking twice is marking once."""
+    spark.range(1).selectExpr("id AS row").coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}={number}")
+
+
+def marked(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """The numbers marked so far, ascending."""
+    try:
+        return sorted(r[name] for r in spark.read.schema(f"row bigint, {name} bigint").parquet(folder).select(name).distinct().collect())
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
 def write_snapshot(df: DataFrame, base: str, version: int) -> str:
-    """Write a whole new version of a table beside the old one and return its path.
+    """Write a whole new version of a table beside the old ones, publish it, and return its path.
 
-    Parquet rows cannot be changed in place.  Readers move to the new path once
-    the write has succeeded; a failed or repeated write leaves the old one whole.
+    Parquet rows cannot be changed in place.  A version counts once it is marked
+    as published, so a failed or repeated write leaves readers on the one before,
+    and readers of an old version keep it.
     """
     path = f"{base}/version={version}"
     df.write.mode("overwrite").parquet(path)
+    mark(df.sparkSession, f"{base}/published", "version", version)
     return path
 
 
+def current_path(spark: SparkSession, base: str) -> str:
+    """Folder of the newest published version of a table."""
+    versions = marked(spark, f"{base}/published", "version")
+    if not versions:
+        raise ValueError(f"nothing has been published below {base}")
+    return f"{base}/version={versions[-1]}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Materialise ``df`` in the shared folder and read it back.
 

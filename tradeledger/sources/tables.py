@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from tradeledger import schema
+from tradeledger.sources.sinks import current_path
 
 
 class Tables:
@@ -46,6 +47,12 @@ def read_tables(spark: SparkSession, source: str, fmt: str = "parquet", **option
     return Tables({n: (lambda n=n: read_table(spark, n, source, fmt, **options)) for n in schema.DDL})
 
 
+def read_published(spark: SparkSession, source: str) -> Tables:
+    """The newest published version of every table below ``source`` (see ``sinks.write_snapshot``)."""
+    read = lambda n: spark.read.schema(schema.read_schema(n)).parquet(current_path(spark, f"{source}/{n}"))
+    return Tables({n: (lambda n=n: read(n)) for n in schema.DDL})
+
+
 def write_clustered(df: DataFrame, path: str, by: list[str], files: int) -> None:
     """Write sorted by ``by`` across ``files`` range partitions.
 

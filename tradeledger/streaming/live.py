@@ -5,18 +5,24 @@ Only a feed that repeats rows needs one: give ``change_id`` and ``seen_for``.
 
 The sink writes each micro-batch's changed keys to its own folder and replaces
 that folder when a batch is repeated, so a lost executor or a restart changes
-nothing.  ``latest`` reads the current value of every key.
+nothing.  After every group of batches it writes a snapshot of all keys.
+``latest`` reads the last snapshot and the few batches after it; folders of
+earlier groups are history.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tradeledger.functions.money import TOTAL
+from tradeledger.sources import sinks
 
 c = F.col
 
+GROUP = 50      # batches between snapshots
+
 # The feeds' columns.
 MOVES = "change_id bigint, changed_at timestamp, product_id bigint, moved decimal(18,2)"
 DOCUMENTS = "change_id bigint, changed_at timestamp, party_id bigint, debt decimal(18,2), cred decimal(18,2)"
@@ -44,13 +50,20 @@ def balance(feed: DataFrame, seen_for: str | None = None) -> DataFrame:
         F.sum(c("debt") - c("cred")).cast(TOTAL).alias("balance"))
 
 
-def keep(totals: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Write the changed keys of every batch.
+def keep(totals: DataFrame, out: str, checkpoint: str, every: str | None = None, group: int = GROUP) -> StreamingQuery:
+    """Write the changed keys of every batch, and after each ``group`` of batches the value of every key.
 
-    Drains the feed and stops, or runs on with a batch ``every`` so often.
+    Drains the feed and stops, or runs on with a batch ``every`` so often.  A
+    snapshot counts once it is marked, so a restart in the middle repeats it.
     """
+    key, value = totals.columns
+
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        spark, n = batch.sparkSession, number // group
+        batch.write.mode("overwrite").parquet(f"{out}/batches/group={n}/batch={number}")
+        if number % group == group - 1:
+            latest(spark, out, key, value).write.mode("overwrite").parquet(f"{out}/snapshots/group={n}")
+            sinks.mark(spark, f"{out}/done", "group", n)
 
     writer = totals.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
@@ -58,5 +71,19 @@ def keep(totals: DataFrame, out: str, checkpoint: str, every: str | None = None)
 
 
 def latest(spark: SparkSession, out: str, key: str, value: str) -> DataFrame:
-    """The newest value per key over all batches written so far."""
-    return spark.read.parquet(out).groupBy(key).agg(F.max_by(value, "batch").alias(value))
+    """The newest value per key over all batches written so far; no rows before the first.
+
+    Reads the last snapshot and the batches after it, of one group.
+    """
+    shape = f"{key} bigint, {value} {TOTAL}"
+    done = sinks.marked(spark, f"{out}/done", "group")
+    after = done[-1] + 1 if done else 0
+    try:
+        newer = spark.read.schema(f"{shape}, batch bigint").parquet(f"{out}/batches/group={after}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        newer = spark.createDataFrame([], f"{shape}, batch bigint")
+    if done:
+        newer = newer.unionByName(spark.read.schema(shape).parquet(f"{out}/snapshots/group={done[-1]}").withColumn("batch", F.lit(-1).cast("bigint")))
+    return newer.groupBy(key).agg(F.max_by(value, "batch").alias(value))
