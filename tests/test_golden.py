@@ -187,4 +187,4 @@ def test_nested_lists(seed):
     assert listed == {1: [1, 7, 15], 2: [16, 23]}
     cut = catalog.with_children(seed.categories, seed.products, "category_id", "products", span=2).collect()
     assert sorted((r["id"], r["part"], [p["id"] for p in r["products"]]) for r in cut) == [
-        (1, 0, [1]), (1, 3, [7]), (1, 7, [15]), (2, 0, [16, 23])]
+        (1, 0, [1]), (1, 3, [7]), (1, 7, [15]), (2, 8, [16]), (2, 11, [23])]

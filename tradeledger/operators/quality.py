@@ -56,18 +56,26 @@ def orphan_keys(child: DataFrame, column: str, parent: DataFrame) -> DataFrame:
 
 
 def orphans(t) -> DataFrame:
-    """Per reference: child rows, missing parent keys, child rows that have them."""
-    frames = []
-    for child, column, parent in schema.FOREIGN_KEYS:
-        used = getattr(t, child).groupBy(c(column).alias("id")).agg(F.count("*").alias("n"))
-        known = getattr(t, parent).select("id", F.lit(True).alias("known"))
-        missing = c("known").isNull() & c("id").isNotNull()
-        frames.append(used.join(known, "id", "left").agg(
-            F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_rows"),
-            F.count_if(missing).alias("n_missing_keys"),
-            F.coalesce(F.sum(F.when(missing, c("n"))), F.lit(0)).cast("bigint").alias("n_orphan_rows"),
-        ).select(F.lit(f"{child}.{column}").alias("reference"), "n_rows", "n_missing_keys", "n_orphan_rows"))
-    return _union(frames)
+    """Per reference: child rows, missing parent keys, child rows that have them.
+
+    Each child table is read once for all its references, each parent once for
+    all that refer to it; keys are counted before they move.
+    """
+    names = [(f"{child}.{column}", child, column, parent) for child, column, parent in schema.FOREIGN_KEYS]
+    used = _union([
+        getattr(t, child).select(F.inline(F.array(*[
+            F.struct(F.lit(name).alias("reference"), F.lit(parent).alias("parent"), c(column).cast("bigint").alias("id"))
+            for name, table, column, parent in names if table == child])))
+        for child in dict.fromkeys(n[1] for n in names)
+    ]).groupBy("reference", "parent", "id").agg(F.count("*").alias("n"))
+    known = _union([
+        getattr(t, parent).select(F.lit(parent).alias("parent"), c("id").cast("bigint").alias("id"), F.lit(True).alias("known"))
+        for parent in dict.fromkeys(n[3] for n in names)])
+    missing = c("known").isNull() & c("id").isNotNull()
+    found = used.join(known, ["parent", "id"], "left").groupBy("reference").agg(
+        F.sum("n").alias("n_rows"), F.count_if(missing).alias("n_missing_keys"), F.sum(F.when(missing, c("n"))).alias("n_orphan_rows"))
+    every = known.sparkSession.createDataFrame([(n[0],) for n in names], "reference string")
+    return every.join(found, "reference", "left").na.fill(0)
 
 
 def blocked_deletes(t, parent: str, keys: DataFrame) -> DataFrame:
@@ -124,7 +132,7 @@ def bad_customer_type(customers: DataFrame) -> DataFrame:
 # ---- stored totals -----------------------------------------------------
 
 def drift(stored: DataFrame, column: str, recomputed: DataFrame) -> DataFrame:
-    """Stored against recomputed values of ``column`` by ``id``."""
+    """Stored against recomputed values of ``column`` by ``id``; one that is missing on either side is null, and so is the difference."""
     fresh = recomputed.select("id", c(column).cast(TOTAL).alias("recomputed"))
-    return stored.select("id", c(column).cast(TOTAL).alias("stored")).join(fresh, "id").withColumn(
+    return stored.select("id", c(column).cast(TOTAL).alias("stored")).join(fresh, "id", "full").withColumn(
         "difference", (c("stored") - c("recomputed")).cast(TOTAL))

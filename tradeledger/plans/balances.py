@@ -2,6 +2,8 @@
 
 Each source is summed per party map-side; one shuffle brings a party's sums
 together; the summary rows and their running total are then plain arithmetic.
+
+Fixed values here are the titles of a balance's rows.
 """
 
 from __future__ import annotations

@@ -8,11 +8,10 @@ from __future__ import annotations
 
 import re
 
-from tradeledger import schema
 
 MODEL = {
     "m_lines": """
-        SELECT doc_id, kind, (l_orderkey * 4 + kind - 1) * 1000000 + n AS id, product_id, step,
+        SELECT doc_id, kind, (l_orderkey * 4 + kind - 1) * 1000000000 + n AS id, product_id, step,
                product_id * 3 + step AS unit_id,
                CASE step WHEN 0 THEN 'pcs' WHEN 1 THEN 'pak' ELSE 'ls' END AS unit_name,
                qty, content, price, discount, CAST(price * CAST(0.80 AS DECIMAL(3,2)) AS DECIMAL(12,2)) AS buy_price,
@@ -41,7 +40,7 @@ MODEL = {
         FROM (SELECT doc_id AS grass_id, id, product_id, tax, rate, CAST(1 AS DECIMAL(12,2)) AS qty,
                      'transport' AS memo, 'trip' AS unit, shipped_at AS created_at, shipped_at AS updated_at,
                      CAST(price * tax AS DECIMAL(12,2)) AS price
-              FROM m_lines WHERE kind = 3 AND line_number >= 6)""",
+              FROM m_lines WHERE kind = 3)""",
     "m_sums": """
         SELECT doc_id, sum(subtotal) AS total, sum(real_qty) AS qty, min(supplier_id) AS supplier_id
         FROM m_lines GROUP BY doc_id""",
@@ -82,9 +81,9 @@ MODEL = {
              ON p.order_id = h.id
         WHERE kind = 2""",
     "m_receipts": """
-        SELECT id, supplier_id, 'ST-' || k AS stock_num, day AS stock_date, total,
+        SELECT id, coalesce(supplier_id, k % 10) AS supplier_id, 'ST-' || k AS stock_num, day AS stock_date, total,
                CAST(NULL AS VARCHAR) AS descriptions, CAST(CAST(total AS DECIMAL(18,2)) * CAST(0.20 AS DECIMAL(3,2)) AS DECIMAL(18,2)) AS cash
-        FROM m_heads WHERE kind = 4 AND supplier_id IS NOT NULL""",
+        FROM m_heads WHERE kind = 4""",
     "m_instalments": """
         SELECT event_id, event_id * 16 + 8 AS id, order_key * 16 + 4 AS stock_id, 'S-' || event_id AS pay_num,
                ts AS pay_date, amount AS nominal, lunas_id, CAST(NULL AS VARCHAR) AS descriptions
@@ -107,7 +106,7 @@ MODEL = {
     "m_kasbons": """
         SELECT event_id * 16 + 5 AS id, user_id AS customer_id, 'Advance' AS descriptions, ts AS kasbon_date,
                ts + INTERVAL 7 DAY AS jatuh_tempo, amount AS total, lunas_id, 0 AS ref_lunas_id
-        FROM m_events WHERE event_type = 'signup'""",
+        FROM m_events WHERE event_type IN ('signup', 'click')""",
     "m_payments": """
         SELECT event_id * 16 + 6 AS id, user_id AS customer_id, 'Instalment' AS descriptions, 0 AS ref_id,
                ts AS payment_date, amount AS total, lunas_id
@@ -378,19 +377,43 @@ def _blocked() -> str:
         for a, b, c in rows if c == "customers")
 
 
+# Columns that must not be null (!) and the greatest length of texts (:n), by table.
+_DECLARED = """
+    categories id! name!:50,
+    products id! name!:50 spec:50 price! stock! first_stock! unit!:6 update_notif! category_id!,
+    units product_id! id! name!:50 content! price! buy_price! margin!,
+    customers id! name!:50 street:128 city:50 phone:25 customer_type!,
+    suppliers id! name!:50 sales_name:50 street:128 city:50 phone:25 cell:25 email:50,
+    orders id! customer_id! order_date! total! payment! remain_payment! descriptions!:128 lunas_id!,
+    order_details order_id! id! unit_id! qty! content! unit_name!:6 real_qty! price! subtotal! buy_price! product_id!
+        discount!,
+    special_orders id! customer_id! created_at! updated_at! packaged_at! shipped_at! driver_name!:50 police_number!:15
+        street!:128 city!:50 phone!:25 total! cash! payments! remain_payment! descriptions:128 lunas_id!
+        surat_jalan!:50,
+    special_details order_id! id! product_id! unit_id! qty! unit_name!:6 price! subtotal! content! real_qty!
+        buy_price!,
+    special_payments customer_id! order_id! id! descriptions:128 payment_at! nominal! pay_num!:50 lunas_id!,
+    stocks id! supplier_id! stock_num!:50 stock_date! total! cash! payments! remain_payment! descriptions:128,
+    stock_details stock_id! id! product_id! unit_id! qty! content! unit_name!:6 real_qty! price! subtotal! discount!,
+    stock_payments id! stock_id! pay_num!:50 pay_date! nominal! descriptions:128,
+    grass customer_id! id! descriptions!:128 order_date! total! qty! total_div! lunas_id! partner_id! cost!,
+    grass_details grass_id! id! unit_id! qty! content! unit_name!:6 real_qty! price! subtotal! buy_price! product_id!,
+    costs grass_id! id! memo!:128 qty! price! subtotal! created_at! updated_at! unit!:6,
+    kasbons id! customer_id! descriptions!:128 kasbon_date! jatuh_tempo! total! lunas_id! ref_lunas_id!,
+    payments id! customer_id! descriptions!:50 ref_id! payment_date! total! lunas_id!,
+    lunas id! customer_id! remain_payment! descriptions:128 created_at! updated_at!"""
+
+
 def _bad_values() -> str:
     """Forbidden nulls and overlong texts of every declared column."""
     parts = []
-    for name in _TABLES:
-        table = _table_name(name)
-        for text in re.split(r",\s+", schema.DDL[table].strip()):
-            column, kind = text.split(" ", 1)
-            length = re.search(r"varchar\((\d+)\)", kind)
-            if "not null" in kind or length:
-                nulls = f"count(*) FILTER ({column} IS NULL)" if "not null" in kind else "0"
-                long = f"count(*) FILTER (length({column}) > {length.group(1)})" if length else "0"
-                parts.append(f"SELECT '{table}' AS table_name, count(*) AS n_rows, '{column}' AS column_name, "
-                             f"{_i(nulls, 'n_null')}, {_i(long, 'n_too_long')} FROM m_{name}")
+    for row in _DECLARED.split(","):
+        name, *columns = row.split()
+        for column, needed, length in (re.fullmatch(r"(\w+)(!?):?(\d*)", c).groups() for c in columns):
+            nulls = f"count(*) FILTER ({column} IS NULL)" if needed else "0"
+            long = f"count(*) FILTER (length({column}) > {length})" if length else "0"
+            parts.append(f"SELECT '{_table_name(name)}' AS table_name, count(*) AS n_rows, '{column}' AS column_name, "
+                         f"{_i(nulls, 'n_null')}, {_i(long, 'n_too_long')} FROM m_{name}")
     return " UNION ALL ".join(parts)
 
 
@@ -415,17 +438,15 @@ QUERIES = {
     "suppliers_page": "SELECT id, name, city FROM m_suppliers ORDER BY name, id LIMIT 20",
     "stocks_page": f"""SELECT id, stock_num, supplier_id, {_m('total', 'total')}, {_m('remain_payment', 'remain_payment')}
         FROM m_stocks ORDER BY stock_num, id LIMIT 20""",
-    "category_products": """SELECT c.id, c.name, part,
+    "category_products": """SELECT c.id, c.name, coalesce(part, 0) AS part,
         coalesce(string_agg(p.id || ':' || p.name || ':' || p.price, ';' ORDER BY p.id), '') AS products
         FROM m_categories c LEFT JOIN (
-            SELECT *, CASE WHEN count(*) OVER (PARTITION BY category_id) > 1000 THEN CAST(id // 1000 AS BIGINT)
-                      ELSE 0 END AS part FROM m_products) p
+            SELECT *, CAST(id // 1000 AS BIGINT) AS part FROM m_products) p
         ON p.category_id = c.id GROUP BY 1, 2, 3""",
-    "product_units": """SELECT p.id, p.name, part,
+    "product_units": """SELECT p.id, p.name, coalesce(part, 0) AS part,
         coalesce(string_agg(u.id || ':' || u.name || ':' || u.price, ';' ORDER BY u.id), '') AS units
         FROM m_products p LEFT JOIN (
-            SELECT *, CASE WHEN count(*) OVER (PARTITION BY product_id) > 1000 THEN CAST(id // 1000 AS BIGINT)
-                      ELSE 0 END AS part FROM m_units) u
+            SELECT *, CAST(id // 1000 AS BIGINT) AS part FROM m_units) u
         ON u.product_id = p.id GROUP BY 1, 2, 3""",
     "supplier_by_id": "SELECT id, name, city FROM m_suppliers WHERE id IN (SELECT supplier_id FROM m_stocks)",
     "stock_by_id": f"""SELECT id, supplier_id, stock_num, stock_date, {_m('total', 'total')}, {_m('cash', 'cash')},
@@ -515,7 +536,16 @@ QUERIES = {
         SELECT strftime(order_date, '%Y-%m-%d') AS order_day, {_i('order_id', 'id')}, {_i('order_type', 'order_type')},
                c.name AS customer_name, {_SUMMED}
         FROM ({_SALES}) s JOIN m_customers c ON c.id = s.customer_id
-        WHERE strftime(order_date, '%H:%M:%S') <= '23:59:00' GROUP BY 1, 2, 3, 4""",
+        WHERE order_date <= date_trunc('day', order_date) + INTERVAL 1439 MINUTE GROUP BY 1, 2, 3, 4""",
+    "profit_by_order_of_day": f"""
+        SELECT strftime(order_date, '%Y-%m-%d') AS order_day, {_i('order_id', 'id')}, {_i('order_type', 'order_type')},
+               c.name AS customer_name, {_SUMMED}
+        FROM ({_SALES}) s JOIN m_customers c ON c.id = s.customer_id
+        WHERE order_date BETWEEN TIMESTAMP '1996-03-05 00:00:00' AND TIMESTAMP '1996-03-05 23:59:00' GROUP BY 1, 2, 3, 4""",
+    "profit_lines_both": _profit_lines("order_date BETWEEN TIMESTAMP '1996-03-01 00:00:00' AND TIMESTAMP '1996-03-31 23:59:00'"),
+    "profit_by_day_of_month": _by_day("year(order_date) = 1996 AND month(order_date) = 3"),
+    "profit_by_month_of_month": _by_month("year(order_date) = 1996 AND month(order_date) = 3"),
+    "profit_of_urgent_orders": _of_order(0) + " AND order_id IN (SELECT o_orderkey * 16 + 1 FROM orders WHERE o_orderpriority = '1-URGENT')",
     "profit_by_day": _by_day("true"),
     "profit_by_day_of_year": _by_day("year(order_date) = 1996"),
     "profit_by_month": _by_month("true"),
@@ -564,19 +594,25 @@ QUERIES = {
         FROM m_products p JOIN m_on_hand h ON h.id = p.id""",
     "unit_price_refresh": f"""
         SELECT u.id, product_id,
-               {_m('CASE WHEN p.price < 1000 THEN base * content ELSE buy_price END', 'buy_price')},
-               {_m('CASE WHEN p.price < 1000 THEN base * content + base * content * margin ELSE u.price END', 'price')}
+               {_m('CASE WHEN p.price < 950 THEN base * content ELSE buy_price END', 'buy_price')},
+               {_m('CASE WHEN p.price < 950 THEN base * content + base * content * margin ELSE u.price END', 'price')}
         FROM m_units u JOIN (SELECT id, price, CAST(price * CAST(1.07 AS DECIMAL(3,2)) AS DECIMAL(12,2)) AS base
                              FROM m_products) p ON p.id = u.product_id""",
     # profit share, settlements
     "profit_share_payments": f"""
         SELECT {_i('id', 'id')}, {_i('customer_id', 'customer_id')}, {_i('ref_id', 'ref_id')}, payment_date,
-               {_m('total', 'total')}, {_i('lunas_id', 'lunas_id')}
-        FROM (SELECT id, customer_id, ref_id, payment_date, total, lunas_id FROM m_payments
+               {_m('total', 'total')}, {_i('lunas_id', 'lunas_id')}, descriptions
+        FROM (SELECT id, customer_id, ref_id, payment_date, total, lunas_id, descriptions FROM m_payments
               UNION ALL
-              SELECT (id // 16) * 16 + 10, partner_id, id, order_date,
-                     CASE WHEN total_div = 0 THEN 5 ELSE total_div + 1 END, 0
-              FROM m_grass WHERE lunas_id = 0)""",
+              SELECT (g.id // 16) * 16 + 10, partner_id, g.id, order_date,
+                     CASE WHEN total_div = 0 THEN 5 ELSE total_div + 1 END, 0,
+                     'Bagi hasil dengan ' || c.name || ' (' || format('{{:,}}', CAST(qty AS BIGINT)) || ' kg )'
+              FROM m_grass g JOIN m_customers c ON c.id = g.customer_id WHERE lunas_id = 0 AND priority <> '5-LOW')""",
+    "settlement_carried": f"""
+        SELECT {_i('id * 16 + 9', 'id')}, {_i('customer_id', 'customer_id')}, 'Saldo piutang pelunasan ID #' || id AS descriptions,
+               TIMESTAMP '2024-02-01' AS kasbon_date, TIMESTAMP '2024-02-08' AS jatuh_tempo, {_l('remain_payment', 'total')},
+               {_i('coalesce(next_id, 0)', 'lunas_id')}, {_i('id', 'ref_lunas_id')}
+        FROM m_next WHERE remain_payment > 0""",
     "settlement_apply": _STAMPS + "m_stamped",
     "settlement_amend": f"""
         SELECT {_i('k.id', 'id')}, {_i('k.customer_id', 'customer_id')}, kasbon_date, jatuh_tempo,
@@ -603,7 +639,8 @@ QUERIES = {
     "apply_deletes": f"SELECT id, customer_id, {_m('total', 'total')} FROM m_orders WHERE total <> 0",
     "deleted_ids": "SELECT id FROM m_orders WHERE total = 0",
     "insert_products": f"""SELECT id, category_id, name, spec, price, {_l('0', 'stock')}, first_stock, unit
-        FROM m_products WHERE price > 1000""",
+        FROM m_products WHERE price > 950""",
+    "insert_units": "SELECT id, product_id, name, price, is_default AND name <> 'ls' AS is_default FROM m_units",
     "set_default_units": """
         SELECT u.id, u.product_id, CASE WHEN x.unit_id IS NULL THEN is_default ELSE u.id = x.unit_id END AS is_default
         FROM m_units u LEFT JOIN (SELECT product_id, arg_max(unit_id, id) AS unit_id FROM m_special_details GROUP BY 1) x
@@ -613,8 +650,14 @@ QUERIES = {
     "dup_natural_keys": _dup_natural(),
     "orphans": _orphans(),
     "bad_values": _bad_values(),
-    "bad_customer_type": """SELECT customer_type, count(*) AS n_rows,
+    "customer_types": """SELECT customer_type, count(*) AS n_rows,
         customer_type IN ('Bandeng', 'Rumput Laut', 'Pabrik') AS valid FROM m_customers GROUP BY 1""",
+    "bad_customer_type": """SELECT c_custkey AS id, c_mktsegment AS customer_type FROM customer WHERE c_acctbal < 0""",
+    "repeated_line_numbers": """SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""",
+    "orders_nobody_placed": """SELECT event_id * 3 AS id, count(*) AS n FROM events WHERE event_id * 3 NOT IN (SELECT o_orderkey FROM orders) GROUP BY 1""",
+    "bad_customer_values": """
+        SELECT 'customers' AS table_name, count(*) AS n_rows, 'name' AS column_name,
+               count(*) FILTER (c_acctbal < 0) AS n_null, count(*) FILTER (c_acctbal > 9000) AS n_too_long FROM customer""",
     "cascade_costs": """SELECT id, grass_id, subtotal FROM m_costs
         WHERE grass_id IN (SELECT id FROM m_grass WHERE lunas_id = 0)""",
     "blocked_deletes": _blocked(),

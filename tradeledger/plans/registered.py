@@ -167,6 +167,31 @@ def profit_lines_wholesale(t):
     return profit.profit_lines(t, "1996-03-01", "1997-02-28", profit.WHOLESALE)
 
 
+@query
+def profit_by_order_of_day(t):
+    return profit.profit_by_order(t, "1996-03-05")
+
+
+@query
+def profit_lines_both(t):
+    return profit.profit_lines(t, "1996-03-01", "1996-03-31")
+
+
+@query
+def profit_by_day_of_month(t):
+    return profit.profit_by_day(t, 1996, 3)
+
+
+@query
+def profit_by_month_of_month(t):
+    return profit.profit_by_month(t, 1996, 3)
+
+
+@query
+def profit_of_urgent_orders(t):
+    return profit.profit_of_order(t, 0, t.orders.where("descriptions = 'Sale 1-URGENT'").select("id"))
+
+
 @query
 def profit_by_day_of_year(t):
     return profit.profit_by_day(t, 1996)
@@ -368,8 +393,8 @@ def opening_stock_shift(t):
 
 @query
 def unit_price_refresh(t):
-    """Products below 1000.00 get 7% dearer; their units follow."""
-    prices = t.products.where(c("price") < 1000).select("id", cents(c("price") * F.lit("1.07").cast("decimal(3,2)")).alias("price"))
+    """Products below 950.00 get 7% dearer; their units follow, all others stay."""
+    prices = t.products.where(c("price") < 950).select("id", cents(c("price") * F.lit("1.07").cast("decimal(3,2)")).alias("price"))
     return rollups.unit_price_refresh(t.units, prices).select("id", "product_id", "buy_price", "price")
 
 
@@ -377,14 +402,16 @@ def unit_price_refresh(t):
 
 @query
 def profit_share_payments(t):
-    """Shares are paid out, then changed, added and withdrawn."""
+    """Shares are paid out, then changed, added and withdrawn; at last the purchases of low priority are deleted."""
     new_id = conform.doc_id(F.expr("id div 16"), conform.SHARE)
     paid = shares.profit_share_payments(t.payments, t.grass, t.customers, new_id)
     share = c("total_div")
     later = t.grass.withColumn("total_div", F.when(c("lunas_id") == 1, F.lit(0)).when(share == 0, F.lit(5))
                                .otherwise(share + 1).cast(MONEY))
-    return shares.profit_share_payments(paid, later, t.customers, new_id).select(
-        "id", "customer_id", "ref_id", "payment_date", "total", "lunas_id")
+    changed = shares.profit_share_payments(paid, later, t.customers, new_id)
+    gone = t.grass.where("descriptions = 'Purchase 5-LOW'").select("id")
+    return shares.profit_share_payments(changed, t.grass.limit(0), t.customers, new_id, gone).select(
+        "id", "customer_id", "ref_id", "payment_date", "total", "lunas_id", "descriptions")
 
 
 def _carry_id():
@@ -400,6 +427,13 @@ def _stamps(t):
                    for n in settle.STAMPED])
 
 
+@query
+def settlement_carried(t):
+    """What the settlements leave unpaid, as advances."""
+    return _settled(t).kasbons.where("ref_lunas_id <> 0").select(
+        "id", "customer_id", "descriptions", "kasbon_date", "jatuh_tempo", c("total").cast(LINE).alias("total"), "lunas_id", "ref_lunas_id")
+
+
 @query
 def settlement_apply(t):
     return _stamps(_settled(t))
@@ -463,12 +497,19 @@ def deleted_ids(t):
 
 @query
 def insert_products(t):
-    """Products above 1000.00 arrive as new rows without stock or notification flag."""
-    old = t.products.where(c("price") <= 1000)
-    new = t.products.where(c("price") > 1000).drop("stock", "update_notif")
+    """Products above 950.00 arrive as new rows without stock or notification flag."""
+    old = t.products.where(c("price") <= 950)
+    new = t.products.where(c("price") > 950).drop("stock", "update_notif")
     return changes.insert_products(old, new)[1]
 
 
+@query
+def insert_units(t):
+    """Packs of 12 arrive as new units; none starts as the default one."""
+    units = t.units.select("id", "product_id", "name", "content", "price", "buy_price", "margin", "is_default")
+    return changes.insert_units(units.where("name <> 'ls'"), units.where("name = 'ls'")).select("id", "product_id", "name", "price", "is_default")
+
+
 @query
 def set_default_units(t):
     """The unit of a product's highest wholesale line id becomes its default."""
@@ -485,10 +526,38 @@ query(quality.bad_values)
 
 
 @query
-def bad_customer_type(t):
+def customer_types(t):
     return quality.customer_types(t.customers)
 
 
+@query
+def bad_customer_type(t):
+    """Customers in debt carry a market segment for a type."""
+    kinds = t.raw("customer").selectExpr("c_custkey AS id", "IF(c_acctbal < 0, c_mktsegment, 'Pabrik') AS customer_type")
+    return quality.bad_customer_type(kinds)
+
+
+@query
+def repeated_line_numbers(t):
+    """Line numbers are no key of an order's lines."""
+    return quality.duplicates(t.raw("lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query
+def orders_nobody_placed(t):
+    """Events read as orders, three ids apart; many have none."""
+    return quality.orphan_keys(t.raw("events").selectExpr("event_id * 3 AS order_key"), "order_key", t.raw("orders").selectExpr("o_orderkey AS id"))
+
+
+@query
+def bad_customer_values(t):
+    """Names of customers in debt are lost, those of the richest far too long."""
+    name = F.when(c("c_acctbal") < 0, F.lit(None)).when(c("c_acctbal") > 9000, F.repeat("name", 40)).otherwise(c("name"))
+    odd = t.customers.join(t.raw("customer").select(c("c_custkey").alias("id"), "c_acctbal"), "id")
+    odd = odd.withColumn("name", name).drop("c_acctbal")
+    return quality.bad_values(t.having(customers=odd)).where("table_name = 'customers' AND column_name = 'name'")
+
+
 @query
 def cascade_costs(t):
     """Closed purchases are deleted; costs of open ones stay."""
