@@ -43,9 +43,10 @@ def bounded_cut_points(positions: DataFrame, keys: list[str], position: str, hot
     fine = max(1, min(_FINE, hot_rows))
     sampled = F.when(F.pmod(F.xxhash64(*keys, position, F.lit(17)), F.lit(rate)) == 0, F.col(position))
     sizes = positions.groupBy(*keys).agg(F.count("*").alias("_rows"), F.collect_list(sampled).alias("_sample"))
-    total = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("n")).scalar()
-    wide = sizes.withColumn("_wide", F.ceil(F.greatest(F.lit(1.0), total / F.lit(float(MOST_CHUNKS * hot_rows)))).cast("int"))
-    large = wide.where(F.col("_rows") > F.col("_wide") * F.lit(hot_rows))
+    large = sizes.where(f"_rows > {hot_rows}")
+    # The sum looks at both columns, so that it shares the one pass over the positions.
+    total = large.agg(F.coalesce(F.sum(F.when(F.size("_sample") >= 0, F.col("_rows"))), F.lit(0)).alias("n")).scalar()
+    large = large.withColumn("_wide", F.ceil(F.greatest(F.lit(1.0), total / F.lit(float(MOST_CHUNKS * hot_rows)))).cast("int"))
     return large.select(*keys, F.expr(f"filter(array_sort(_sample), (x, i) -> (i + 1) % ({fine} * _wide) = 0)").alias("cuts"))
 
 

@@ -44,7 +44,8 @@ def running(df: DataFrame, parts: list[str], order: list[str], sums: dict[str, C
     types = {name: kind for name, kind in local.select(*sums).dtypes}
     earlier = Window.partitionBy(*parts).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        df.select(*parts, F.struct(*order).alias(_AT), *[value.alias(f"_v_{name}") for name, value in sums.items()])
+        df.where(cuts.agg(F.count("*")).scalar() > 0)       # without large parties the scans pass nothing on
+        .select(*parts, F.struct(*order).alias(_AT), *[value.alias(f"_v_{name}") for name, value in sums.items()])
         .join(F.broadcast(cuts), parts).withColumn(_CHUNK, chunk(_AT))
         .groupBy(*parts, _CHUNK).agg(*[F.sum(f"_v_{name}").alias(f"_t_{name}") for name in sums])
         .select(*parts, _CHUNK, *[F.sum(f"_t_{name}").over(earlier).alias(f"_before_{name}") for name in sums])
