@@ -156,3 +156,14 @@ def test_no_share_is_too_large(spark):
     row = spark.sql("SELECT 100.00 AS s, 9999999999.99 AS d, 0.00 AS x, 0.01 AS n, 60.00 AS t")
     got = row.selectExpr(f"{kept_share('s', 'd', 'x', 'n')} AS a", f"{kept_share('s', 't', 'x', 's')} AS b", f"{kept_share('s', 'd', 'x', 'x')} AS c").first()
     assert (float(got.a), float(got.b), float(got.c)) == (100 - 100 * 999999999999.0, 40.0, 100.0)
+
+
+def test_every_escape_of_the_text_format(spark, tmp_path):
+    marks = [r"a\bb\fc\vd", r"\101\x42\60", r"\303\251t\303\251", r"\\t \\\t", "\\q\\"] + ["\u0001 held"]
+    path = str(tmp_path / "escapes")
+    spark.createDataFrame([(f"{i}\t{m}",) for i, m in enumerate(marks)], "value string").write.text(path)
+    got = text.load_tsv(spark, path, T.StructType.fromDDL("id int, note string")).orderBy("id").collect()
+    assert [r["note"] for r in got] == ["a\bb\fc\vd", "AB0", "\u00e9t\u00e9", "\\t \\\t", "q\\", "\u0001 held"]
+    df = spark.createDataFrame([(1, "\b\f\v\t\\101")], "id int, note string")
+    text.save_tsv(df, path + "2")
+    assert same(text.load_tsv(spark, path + "2", df.schema), df) == 1

@@ -9,15 +9,28 @@ from tradeledger import schema
 # Fixed values of the text format.
 NULL_MARK = "\\N"
 END_MARK = "\\."
-ESCAPES = (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"))
-_HELD = "\u0001"    # stands for an escaped backslash while the others are replaced
+ESCAPES = (("\\b", "\b"), ("\\t", "\t"), ("\\n", "\n"), ("\\v", "\v"), ("\\f", "\f"), ("\\r", "\r"))
+
+# A run of escaped bytes (octal or hexadecimal), an escaped character, plain text, a backslash at the end.
+_BYTES = r"\\([0-7]{1,3}|x[0-9A-Fa-f]{1,2})"
+_PIECE = r"(?s)(?:\\(?:[0-7]{1,3}|x[0-9A-Fa-f]{1,2}))+|\\.|[^\\]+|\\"
 
 
 def _unescape(field: Column) -> Column:
-    field = F.replace(field, F.lit("\\\\"), F.lit(_HELD))
-    for mark, char in ESCAPES:
-        field = F.replace(field, F.lit(mark), F.lit(char))
-    return F.replace(field, F.lit(_HELD), F.lit("\\"))
+    """Escapes are read from left to right; an escaped character without a meaning stands for itself."""
+    def byte(code: Column) -> Column:
+        number = F.when(code.startswith("x"), F.conv(F.substring(code, 2, 2), 16, 16)).otherwise(F.conv(code, 8, 16))
+        return F.right(F.lpad(number, 2, "0"), F.lit(2))
+
+    def plain(piece: Column) -> Column:
+        found = F.when(piece.rlike("^" + _BYTES), F.decode(
+            F.unhex(F.array_join(F.transform(F.regexp_extract_all(piece, F.lit(_BYTES), 1), byte), "")), "UTF-8"))
+        for mark, char in ESCAPES:
+            found = found.when(piece == mark, F.lit(char))
+        return found.when((F.length(piece) > 1) & piece.startswith("\\"), F.substring(piece, 2, 2)).otherwise(piece)
+
+    pieces = F.transform(F.regexp_extract_all(field, F.lit(_PIECE), 0), plain)
+    return F.when(F.contains(field, F.lit("\\")), F.array_join(pieces, "")).otherwise(field)
 
 
 def _escape(field: Column) -> Column:
