@@ -11,7 +11,7 @@ import re
 
 MODEL = {
     "m_lines": """
-        SELECT doc_id, kind, (l_orderkey * 4 + kind - 1) * 1000000000 + n AS id, product_id, step,
+        SELECT doc_id, kind, (l_orderkey * 4 + kind - 1) * 3000000 + n AS id, product_id, step,
                product_id * 3 + step AS unit_id,
                CASE step WHEN 0 THEN 'pcs' WHEN 1 THEN 'pak' ELSE 'ls' END AS unit_name,
                qty, content, price, discount, CAST(price * CAST(0.80 AS DECIMAL(3,2)) AS DECIMAL(12,2)) AS buy_price,

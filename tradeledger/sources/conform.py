@@ -13,7 +13,7 @@ mapping lets every report run over whole ``lineitem``, ``orders``, ``events``,
 * Events become advances (sign-ups and clicks), instalments and wholesale or
   supplier instalments.
 * Ids never meet: ``key * 16 + code`` for documents and
-  ``(key * 4 + kind) * 1,000,000,000 + n`` for lines, so entry order is kept.
+  ``(key * 4 + kind) * 3,000,000 + n`` for lines, so entry order is kept.
 """
 
 from __future__ import annotations
@@ -45,7 +45,8 @@ TEST_TABLES = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
 }
 
-_LINES_PER_DOCUMENT = 1_000_000_000
+# Order keys of 100 TB (6e11) times four kinds leave room for so many lines of a document.
+_LINES_PER_DOCUMENT = 3_000_000
 _LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
                "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
