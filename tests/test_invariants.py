@@ -55,3 +55,22 @@ def test_ids_never_meet(spark):
         for df in group[1:]:
             ids = ids.union(df.select("id"))
         assert ids.groupBy("id").count().where("count > 1").count() == 0
+
+
+def test_a_receipt_has_the_lines_of_one_supplier(spark):
+    t = conform.load(spark, SMALL)
+    bought = "NOT l_returnflag <=> 'N' AND NOT l_returnflag <=> 'R' AND NOT l_linestatus <=> 'O'"
+    lines = t.raw("lineitem").where(bought).groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n"))
+    received = t.stock_details.join(t.stocks.selectExpr("id AS stock_id", "supplier_id", "stock_num"), "stock_id")
+    here = received.selectExpr("CAST(split_part(stock_num, '-', 2) AS bigint) AS l_orderkey", "supplier_id AS l_suppkey").groupBy(
+        "l_orderkey", "l_suppkey").agg(F.count("*").alias("n"))
+    assert here.exceptAll(lines).union(lines.exceptAll(here)).count() == 0
+    orders, suppliers = t.raw("orders").count(), lines.groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    assert t.stocks.count() == orders + suppliers.agg(F.sum(F.col("n") - 1)).first()[0]
+    assert t.stock_payments.count() == t.supplier_instalments().count()
+
+
+def test_receipts_move_their_lines_once(spark):
+    t = conform.load(spark, SMALL)
+    plan = t.receipts()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(l_orderkey") == 1 and "hashpartitioning(doc_id" not in plan

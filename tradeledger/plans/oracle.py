@@ -11,7 +11,7 @@ import re
 
 MODEL = {
     "m_lines": """
-        SELECT doc_id, kind, (l_orderkey * 4 + kind - 1) * 3000000 + n AS id, product_id, step,
+        SELECT doc_id, l_orderkey, receipt, kind, (l_orderkey * 4 + kind - 1) * 3000000 + n AS id, product_id, step,
                product_id * 3 + step AS unit_id,
                CASE step WHEN 0 THEN 'pcs' WHEN 1 THEN 'pak' ELSE 'ls' END AS unit_name,
                qty, content, price, discount, CAST(price * CAST(0.80 AS DECIMAL(3,2)) AS DECIMAL(12,2)) AS buy_price,
@@ -19,14 +19,16 @@ MODEL = {
                CAST(qty * content AS DECIMAL(18,2)) AS real_qty,
                CAST(qty * (price - discount) AS DECIMAL(18,2)) AS subtotal
         FROM (
-            SELECT *, l_orderkey * 16 + kind AS doc_id,
+            SELECT *, CASE WHEN kind = 4 THEN (l_orderkey * 500000 + receipt - 1) * 16 + 4 ELSE l_orderkey * 16 + kind END AS doc_id,
                    CASE step WHEN 0 THEN CAST(1 AS DECIMAL(8,2)) WHEN 1 THEN CAST(10 AS DECIMAL(8,2))
                         ELSE CAST(12 AS DECIMAL(8,2)) END AS content,
                    CASE WHEN kind IN (1, 4) THEN CAST(price * rate AS DECIMAL(12,2))
                         ELSE CAST(0 AS DECIMAL(12,2)) END AS discount,
-                   row_number() OVER (PARTITION BY l_orderkey, kind ORDER BY l_linenumber, l_partkey, l_suppkey,
+                   row_number() OVER (PARTITION BY l_orderkey, kind ORDER BY
+                       CASE WHEN kind = 4 THEN l_suppkey END NULLS FIRST, l_linenumber, l_partkey, l_suppkey,
                        l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax, l_returnflag, l_linestatus) AS n
             FROM (
+                SELECT *, dense_rank() OVER (PARTITION BY l_orderkey, kind ORDER BY l_suppkey NULLS FIRST) AS receipt FROM (
                 SELECT *, l_partkey AS product_id, l_suppkey AS supplier_id,
                        CASE WHEN l_returnflag = 'N' THEN 1 WHEN l_returnflag = 'R' THEN 3
                             WHEN l_linestatus = 'O' THEN 2 ELSE 4 END AS kind,
@@ -34,7 +36,7 @@ MODEL = {
                        CAST(l_quantity AS DECIMAL(10,2)) AS qty,
                        CAST(l_extendedprice AS DECIMAL(12,2)) AS price,
                        CAST(l_discount AS DECIMAL(4,2)) AS rate, CAST(l_tax AS DECIMAL(4,2)) AS tax
-                FROM lineitem))""",
+                FROM lineitem)))""",
     "m_costs": """
         SELECT *, CAST(qty * price AS DECIMAL(18,2)) AS subtotal
         FROM (SELECT doc_id AS grass_id, id, product_id, tax, rate, CAST(1 AS DECIMAL(12,2)) AS qty,
@@ -42,17 +44,17 @@ MODEL = {
                      CAST(price * tax AS DECIMAL(12,2)) AS price
               FROM m_lines WHERE kind = 3)""",
     "m_sums": """
-        SELECT doc_id, sum(subtotal) AS total, sum(real_qty) AS qty, min(supplier_id) AS supplier_id
+        SELECT doc_id, sum(subtotal) AS total, sum(real_qty) AS qty
         FROM m_lines GROUP BY doc_id""",
     "m_heads": """
         SELECT o_orderkey AS k, o_custkey AS customer_id, o_orderdate AS day, o_orderstatus AS status,
                o_orderpriority AS priority, kind, o_orderkey * 16 + kind AS id,
                CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 1 ELSE 0 END AS lunas_id,
-               coalesce(total, 0) AS total, coalesce(qty, 0) AS qty, supplier_id,
+               coalesce(total, 0) AS total, coalesce(qty, 0) AS qty,
                CASE o_orderstatus WHEN 'F' THEN CAST(coalesce(total, 0) AS DECIMAL(18,2))
                     WHEN 'P' THEN CAST(CAST(coalesce(total, 0) AS DECIMAL(18,2)) * CAST(0.30 AS DECIMAL(3,2)) AS DECIMAL(18,2))
                     ELSE 0 END AS paid
-        FROM orders CROSS JOIN (VALUES (1), (2), (3), (4)) AS kinds(kind)
+        FROM orders CROSS JOIN (VALUES (1), (2), (3)) AS kinds(kind)
         LEFT JOIN m_sums ON m_sums.doc_id = o_orderkey * 16 + kind""",
     "m_events": """
         SELECT event_id, ts, user_id, event_type, event_id // 3 AS order_key, CAST(value AS DECIMAL(12,2)) AS amount,
@@ -81,11 +83,15 @@ MODEL = {
              ON p.order_id = h.id
         WHERE kind = 2""",
     "m_receipts": """
-        SELECT id, coalesce(supplier_id, k % 10) AS supplier_id, 'ST-' || k AS stock_num, day AS stock_date, total,
-               CAST(NULL AS VARCHAR) AS descriptions, CAST(CAST(total AS DECIMAL(18,2)) * CAST(0.20 AS DECIMAL(3,2)) AS DECIMAL(18,2)) AS cash
-        FROM m_heads WHERE kind = 4""",
+        SELECT *, CAST(CAST(total AS DECIMAL(18,2)) * CAST(0.20 AS DECIMAL(3,2)) AS DECIMAL(18,2)) AS cash
+        FROM (SELECT coalesce(doc_id, o_orderkey * 500000 * 16 + 4) AS id, coalesce(supplier_id, o_orderkey % 10) AS supplier_id,
+                     'ST-' || o_orderkey || '-' || coalesce(receipt, 1) AS stock_num, o_orderdate AS stock_date,
+                     coalesce(total, 0) AS total, CAST(NULL AS VARCHAR) AS descriptions
+              FROM orders LEFT JOIN (
+                  SELECT l_orderkey, receipt, doc_id, supplier_id, sum(subtotal) AS total
+                  FROM m_lines WHERE kind = 4 GROUP BY ALL) s ON s.l_orderkey = o_orderkey)""",
     "m_instalments": """
-        SELECT event_id, event_id * 16 + 8 AS id, order_key * 16 + 4 AS stock_id, 'S-' || event_id AS pay_num,
+        SELECT event_id, event_id * 500000 * 16 + 8 AS id, order_key * 500000 * 16 + 4 AS stock_id, 'S-' || event_id AS pay_num,
                ts AS pay_date, amount AS nominal, lunas_id, CAST(NULL AS VARCHAR) AS descriptions
         FROM m_events WHERE event_type = 'error'""",
     "m_stock_payments": "SELECT * FROM m_instalments WHERE stock_id IN (SELECT id FROM m_receipts)",
@@ -156,7 +162,8 @@ MODEL = {
     "m_after": """
         SELECT *, CAST(qty * content AS DECIMAL(18,2)) AS real_qty,
                CAST(qty * (price - discount) AS DECIMAL(18,2)) AS subtotal
-        FROM (SELECT kind, CASE WHEN tax <= 0.05 AND rate >= 0.05 THEN product_id * 16 + kind ELSE doc_id END AS doc_id,
+        FROM (SELECT kind, CASE WHEN tax <= 0.05 AND rate >= 0.05
+                               THEN product_id * CASE WHEN kind = 4 THEN 500000 ELSE 1 END * 16 + kind ELSE doc_id END AS doc_id,
                      CASE WHEN tax <= 0.05 AND rate <= 0.02 THEN supplier_id ELSE product_id END AS product_id,
                      CASE WHEN tax <= 0.05 THEN qty + 1 ELSE qty END AS qty, content, price, discount
               FROM m_lines WHERE tax > 0.02)""",
@@ -316,9 +323,9 @@ _GROSS_NET = """SELECT doc_id AS id, real_qty AS qty, subtotal AS total FROM {li
                 UNION ALL SELECT grass_id, 0, -subtotal FROM {costs}"""
 
 
-def _paid_after(source: str, parent: str, code: int) -> str:
+def _paid_after(source: str, parent: str, code: str) -> str:
     return f"""
-    SELECT CASE WHEN nominal <= 70 AND lunas_id = 0 THEN (event_id // 4) * 16 + {code} ELSE {parent} END AS id,
+    SELECT CASE WHEN nominal <= 70 AND lunas_id = 0 THEN (event_id // 4) * {code} ELSE {parent} END AS id,
            CASE WHEN nominal <= 70 THEN nominal * 2 ELSE nominal END AS nominal
     FROM ({source}) WHERE nominal > 15"""
 
@@ -581,10 +588,10 @@ QUERIES = {
     "purchase_costs_delta": _totals("m_grass", """
         SELECT doc_id AS id, subtotal AS total, 0 AS cost FROM m_lines WHERE kind = 3
         UNION ALL SELECT grass_id, -subtotal, subtotal FROM m_costs_after""", total="r.total", cost="r.cost"),
-    "stock_payments_delta": _totals("m_stocks", _paid_after("SELECT * FROM m_instalments", "stock_id", 4), payments="nominal"),
+    "stock_payments_delta": _totals("m_stocks", _paid_after("SELECT * FROM m_instalments", "stock_id", "500000 * 16 + 4"), payments="nominal"),
     "special_payments_delta": _totals("m_special_orders", _paid_after(
         "SELECT event_id, lunas_id, order_key * 16 + 2 AS order_id, amount AS nominal FROM m_events WHERE event_type = 'view'",
-        "order_id", 2), payments="nominal"),
+        "order_id", "16 + 2"), payments="nominal"),
     "stock_on_hand_delta": f"""
         SELECT p.id, {_t('first_stock + coalesce(sum(CASE WHEN kind IN (3, 4) THEN real_qty ELSE -real_qty END), 0)', 'stock')}
         FROM m_products p LEFT JOIN m_after a ON a.product_id = p.id GROUP BY p.id, first_stock""",

@@ -8,11 +8,13 @@ mapping lets every report run over whole ``lineitem``, ``orders``, ``events``,
   ``N`` retail sale, ``R`` purchase from a customer, of the others status ``O``
   wholesale sale and the rest receipts from a supplier.  A purchase line also
   has a cost.
-* Every order becomes one document header of each kind.  A receipt has the
-  first supplier of its lines, or without lines one chosen by the order.
+* Every order becomes one document header of each kind, but one receipt per
+  supplier of its receipt lines, or without such lines one of a supplier chosen
+  by the order.
 * Events become advances (sign-ups and clicks), instalments and wholesale or
   supplier instalments.
-* Ids never meet: ``key * 16 + code`` for documents and
+* Ids never meet: ``key * 16 + code`` for documents, with
+  ``key * 500,000 + n`` as the key of an order's n-th receipt, and
   ``(key * 4 + kind) * 3,000,000 + n`` for lines, so entry order is kept.
 """
 
@@ -47,6 +49,8 @@ TEST_TABLES = {
 
 # Order keys of 100 TB (6e11) times four kinds leave room for so many lines of a document.
 _LINES_PER_DOCUMENT = 3_000_000
+# The same for the receipts of an order, one per supplier.
+_RECEIPTS_PER_ORDER = 500_000
 _LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
                "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
@@ -69,10 +73,12 @@ _NO_TEXT = "CAST(NULL AS string)"
 
 
 def doc_id(key: Column, code: int) -> Column:
-    return key * 16 + F.lit(code)
+    """Id of a document; of receipts the order's first."""
+    return (key * _RECEIPTS_PER_ORDER if code in (RECEIPT, SUPPLIER_INSTALMENT) else key) * 16 + F.lit(code)
 
 
-def _doc(key: str, code: int) -> str:
+def _doc(key: str, code: int, n: str = "0") -> str:
+    key = f"({key} * {_RECEIPTS_PER_ORDER}L + {n})" if code in (RECEIPT, SUPPLIER_INSTALMENT) else key
     return f"{key} * 16 + {code}"
 
 
@@ -106,11 +112,15 @@ class Conformed(Tables):
         return self._lines[code]
 
     def _numbered_lines(self, code: int) -> DataFrame:
-        line = Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER)
-        numbered = self.raw("lineitem").where(KINDS[code]).withColumn("n", F.row_number().over(line).cast("bigint"))
+        order = Window.partitionBy("l_orderkey")
+        first = ["l_suppkey"] if code == RECEIPT else []
+        numbered = self.raw("lineitem").where(KINDS[code]).withColumn(
+            "n", F.row_number().over(order.orderBy(*first, *_LINE_ORDER)).cast("bigint"))
+        if code == RECEIPT:     # sorted already
+            numbered = numbered.withColumn("receipt", F.dense_rank().over(order.orderBy("l_suppkey")).cast("bigint") - 1)
         discounted = code in (ORDER, RECEIPT)
         lines = numbered.selectExpr(
-            f"{_doc('l_orderkey', code)} AS doc_id",
+            "l_orderkey AS order_key", f"{_doc('l_orderkey', code, 'receipt')} AS doc_id",
             f"(l_orderkey * 4 + {code - 1}) * {_LINES_PER_DOCUMENT}L + n AS id",
             "l_partkey AS product_id",
             f"l_partkey * 3 + {_STEP} AS unit_id",
@@ -155,11 +165,10 @@ class Conformed(Tables):
     # ---- headers -------------------------------------------------------
 
     def _sums(self, code: int) -> DataFrame:
-        """Per document of one kind: value, base quantity, costs, first supplier."""
+        """Per document of one kind: value, base quantity, costs."""
         return self.lines(code).groupBy("doc_id").agg(
             F.expr(f"CAST(sum(subtotal) AS {MONEY}) AS total"), F.expr(f"CAST(sum(real_qty) AS {MONEY}) AS qty"),
-            F.expr(f"CAST(sum({_COST}) AS {MONEY}) AS cost"),
-            F.expr("min(supplier_id) AS supplier_id"))
+            F.expr(f"CAST(sum({_COST}) AS {MONEY}) AS cost"))
 
     def _orders(self) -> DataFrame:
         heads = self.raw("orders").selectExpr(f"{_doc('o_orderkey', ORDER)} AS doc_id", "*")
@@ -185,11 +194,13 @@ class Conformed(Tables):
 
     def receipts(self) -> DataFrame:
         """Receipt headers without their instalments."""
-        dates = self.raw("orders").selectExpr(
-            f"{_doc('o_orderkey', RECEIPT)} AS doc_id", "o_orderdate AS stock_date",
-            "concat('ST-', o_orderkey) AS stock_num", "o_orderkey % 10 AS other_supplier")
-        return dates.join(self._sums(RECEIPT), "doc_id", "left").selectExpr(
-            "doc_id AS id", "coalesce(supplier_id, other_supplier) AS supplier_id", "stock_num", "stock_date",
+        heads = self.raw("orders").selectExpr("o_orderkey AS order_key", "o_orderdate AS stock_date", "o_orderkey % 10 AS other_supplier")
+        # The lines lie by order already, so neither the sums nor the join move them again.
+        sums = self.lines(RECEIPT).groupBy("order_key", "doc_id", "supplier_id").agg(F.expr(f"CAST(sum(subtotal) AS {MONEY}) AS total"))
+        made = heads.join(sums, "order_key", "left").withColumn("id", F.coalesce("doc_id", F.expr(_doc("order_key", RECEIPT))))
+        return made.selectExpr(
+            "id", "coalesce(supplier_id, other_supplier) AS supplier_id",
+            f"concat_ws('-', 'ST', order_key, id div 16 % {_RECEIPTS_PER_ORDER} + 1) AS stock_num", "stock_date",
             f"coalesce(total, {nought()}) AS total", f"{rounded('coalesce(total, 0) * 0.20')} AS cash", f"{_NO_TEXT} AS descriptions")
 
     def _stocks(self) -> DataFrame:
@@ -236,7 +247,7 @@ class Conformed(Tables):
             "amount AS nominal", "concat('W-', event_id) AS pay_num", "lunas_id")
 
     def supplier_instalments(self) -> DataFrame:
-        """Instalments before the check that their receipt exists."""
+        """Instalments of an order's first receipt, before the check that it exists."""
         return self.events("error").selectExpr(
             f"{_doc('event_id', SUPPLIER_INSTALMENT)} AS id", f"{_doc('order_key', RECEIPT)} AS stock_id",
             "concat('S-', event_id) AS pay_num", "ts AS pay_date", "amount AS nominal", f"{_NO_TEXT} AS descriptions")
