@@ -64,7 +64,7 @@ def special_balance(t) -> DataFrame:
 def supplier_balance(t) -> DataFrame:
     """Receipts and their instalments; empty rows are left out."""
     paid = t.stock_payments.groupBy("stock_id").agg(F.expr(f"{summed('nominal')} AS nominal"))
-    owner = t.stocks.selectExpr("id AS stock_id", "supplier_id")
+    owner = t.columns("stocks", "id", "supplier_id").withColumnRenamed("id", "stock_id")
     return _summary(
         ["supplier_id"], False,
         ("Piutang Barang", t.stocks, "total", "cash"),

@@ -35,11 +35,14 @@ def _lines_of(details: DataFrame, parent: str, heads: DataFrame, products: DataF
     return lines.join(heads.withColumnRenamed("id", "doc_id"), "doc_id").join(names, "product_id")
 
 
-def _line_keys(details: DataFrame, parent: str, heads: DataFrame, branch: int) -> DataFrame:
+_PARTY = ["customer_id", "lunas_id"]
+
+
+def _line_keys(t, details: str, parent: str, heads: str, branch: int) -> DataFrame:
     """Where lines stand in a ledger: their document's party and their own id, without names and amounts."""
-    held = heads.select(c("id").alias("doc_id"), "customer_id", "lunas_id")
-    return details.select(c(parent).alias("doc_id"), c("id").alias("line_id")).join(held, "doc_id").selectExpr(
-        "customer_id", "lunas_id", "doc_id", f"{branch} AS branch", "line_id")
+    held = t.columns(heads, "id", *_PARTY).withColumnRenamed("id", "doc_id")
+    lines = t.columns(details, parent, "id").select(c(parent).alias("doc_id"), c("id").alias("line_id"))
+    return lines.join(held, "doc_id").selectExpr(*_PARTY, "doc_id", f"{branch} AS branch", "line_id")
 
 
 _LINE_COLUMNS = ["CAST(line_id AS bigint) AS line_id", f"CAST(qty AS {LINE}) AS qty", "unit_name AS unit",
@@ -60,7 +63,7 @@ def customer_line_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
             f"{rounded(debt)} AS debt", f"{cred} AS exact_cred")
 
     sales = _lines_of(t.order_details, "order_id",
-                      t.orders.select("id", "customer_id", "lunas_id", "order_date"), t.products)
+                      t.columns("orders", "id", "customer_id", "lunas_id", "order_date"), t.products)
     bought = _lines_of(t.grass_details, "grass_id",
                        t.grass.select("id", "customer_id", "lunas_id", "order_date", "total", "total_div", "cost"),
                        t.products)
@@ -72,9 +75,9 @@ def customer_line_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
               kept_share("subtotal", "total_div", "cost", "total"), _LINE_COLUMNS, "doc_id"),
         shape(t.payments, 5, "payment_date", "descriptions", "Angsuran: #", "0", "total"),
     ])
-    keys = _union([_line_keys(t.order_details, "order_id", t.orders, 2), _line_keys(t.grass_details, "grass_id", t.grass, 4)] + [
-        df.selectExpr("customer_id", "lunas_id", "id AS doc_id", f"{branch} AS branch", "0L AS line_id")
-        for df, branch in ((t.kasbons, 1), (t.orders, 3), (t.payments, 5))])
+    keys = _union([_line_keys(t, "order_details", "order_id", "orders", 2), _line_keys(t, "grass_details", "grass_id", "grass", 4)] + [
+        t.columns(name, "id", *_PARTY).selectExpr(*_PARTY, "id AS doc_id", f"{branch} AS branch", "0L AS line_id")
+        for name, branch in (("kasbons", 1), ("orders", 3), ("payments", 5))])
     ledger = running(rows, ["customer_id", "lunas_id"], ["doc_id", "branch", "line_id"],
                      {"row_no": F.lit(1).cast("bigint"), "exact": c("debt") - c("exact_cred")}, hot_rows, keys)
     return ledger.selectExpr(
@@ -93,7 +96,8 @@ def customer_doc_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
         shape(t.grass, "order_date", "0", "total - total_div"),
         shape(t.payments, "payment_date", "0", "total"),
     ])
-    return _with_balance(rows, ["customer_id", "lunas_id"], ["id"], hot_rows)
+    keys = _union([t.columns(name, *_PARTY, "id") for name in ("orders", "kasbons", "grass", "payments")])
+    return _with_balance(rows, _PARTY, ["id"], hot_rows, keys)
 
 
 def special_line_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -104,7 +108,7 @@ def special_line_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
             f"{text} AS descriptions", *line, f"{rounded(debt)} AS debt", f"{rounded(cred)} AS cred")
 
     lines = _lines_of(t.special_details, "order_id",
-                      t.special_orders.select("id", "customer_id", "lunas_id", "created_at"), t.products)
+                      t.columns("special_orders", "id", "customer_id", "lunas_id", "created_at"), t.products)
     rows = _union([
         shape(lines, 1, "created_at", "concat_ws('', 'Order #', doc_id, ', ', product)", "subtotal", "0",
               _LINE_COLUMNS, "doc_id"),
@@ -113,7 +117,12 @@ def special_line_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
         shape(t.special_payments, 3, "payment_at", "concat_ws('', 'Angsuran #', order_id, ', ', pay_num)", "0",
               "nominal", ["id AS line_id", *_NO_LINE[1:]], "order_id"),
     ])
-    return _with_balance(rows, ["customer_id", "lunas_id"], ["doc_id", "branch", "line_id"], hot_rows)
+    keys = _union([
+        _line_keys(t, "special_details", "order_id", "special_orders", 1),
+        t.columns("special_orders", *_PARTY, "id").selectExpr(*_PARTY, "id AS doc_id", "2 AS branch", "0L AS line_id"),
+        t.special_payments.selectExpr(*_PARTY, "order_id AS doc_id", "3 AS branch", "id AS line_id"),
+    ])
+    return _with_balance(rows, _PARTY, ["doc_id", "branch", "line_id"], hot_rows, keys)
 
 
 def special_doc_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -125,7 +134,8 @@ def special_doc_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
         shape(t.special_orders, "coalesce(descriptions, concat_ws('', 'ORDER ID#: ', id))", "created_at", "total", "cash"),
         shape(t.special_payments, "pay_num", "payment_at", "0", "nominal"),
     ])
-    return _with_balance(rows, ["customer_id", "lunas_id"], ["id"], hot_rows)
+    keys = _union([t.columns(name, *_PARTY, "id") for name in ("special_orders", "special_payments")])
+    return _with_balance(rows, _PARTY, ["id"], hot_rows, keys)
 
 
 # ---- suppliers and products -------------------------------------------
@@ -135,12 +145,13 @@ def supplier_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
     def shape(df, reference, day, debt, cred):
         return df.selectExpr("supplier_id", "id", f"{reference} AS trx_ref", "descriptions", f"{day} AS trx_date",
                              f"{rounded(debt)} AS debt", f"{rounded(cred)} AS cred")
-    owner = t.stocks.selectExpr("id AS stock_id", "supplier_id")
+    owner = t.columns("stocks", "id", "supplier_id").withColumnRenamed("id", "stock_id")
     rows = _union([
         shape(t.stocks, "stock_num", "stock_date", "total", "cash"),
         shape(t.stock_payments.join(owner, "stock_id"), "pay_num", "pay_date", "0", "nominal"),
     ])
-    return _with_balance(rows, ["supplier_id"], ["id"], hot_rows)
+    keys = _union([t.columns("stocks", "supplier_id", "id"), t.columns("stock_payments", "stock_id", "id").join(owner, "stock_id").select("supplier_id", "id")])
+    return _with_balance(rows, ["supplier_id"], ["id"], hot_rows, keys)
 
 
 def product_stock_card(t, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -154,7 +165,7 @@ def product_stock_card(t, hot_rows: int = HOT_ROWS) -> DataFrame:
     def moves(details, parent, heads, party, day, reference, parties, incoming):
         """Lines joined to their document and that to its party; the reference is built last."""
         lines = details.selectExpr(f"{parent} AS doc_id", "product_id", "id", "real_qty", "unit_name", "qty")
-        held = heads.selectExpr("id AS doc_id", f"{party} AS party_id", f"{day} AS day", *reference[1:])
+        held = t.columns(heads, "id", party, day, *reference[1:]).selectExpr("id AS doc_id", f"{party} AS party_id", f"{day} AS day", *reference[1:])
         named = held.join(parties.selectExpr("id AS party_id", "name AS party"), "party_id")
         return shape(lines.join(named, "doc_id"), day_first("day"), reference[0], "party",
                      "real_qty" if incoming else "-real_qty", "unit_name",
@@ -164,13 +175,13 @@ def product_stock_card(t, hot_rows: int = HOT_ROWS) -> DataFrame:
                     "'-'", "'Stock Awal'", "name", "first_stock", "unit", "first_stock", "0")
     rows = _union([
         opening,
-        moves(t.stock_details, "stock_id", t.stocks, "supplier_id", "stock_date", ["stock_num", "stock_num"],
+        moves(t.stock_details, "stock_id", "stocks", "supplier_id", "stock_date", ["stock_num", "stock_num"],
               t.suppliers, True),
-        moves(t.grass_details, "grass_id", t.grass, "customer_id", "order_date",
+        moves(t.grass_details, "grass_id", "grass", "customer_id", "order_date",
               ["concat_ws('', 'PEMBELIAN #', doc_id)"], t.customers, True),
-        moves(t.order_details, "order_id", t.orders, "customer_id", "order_date",
+        moves(t.order_details, "order_id", "orders", "customer_id", "order_date",
               ["concat_ws('', 'ORDER #', doc_id)"], t.customers, False),
-        moves(t.special_details, "order_id", t.special_orders, "customer_id", "created_at",
+        moves(t.special_details, "order_id", "special_orders", "customer_id", "created_at",
               ["surat_jalan", "surat_jalan"], t.customers, False),
     ])
     keys = _union([df.select("product_id", "id") for df in
@@ -179,6 +190,6 @@ def product_stock_card(t, hot_rows: int = HOT_ROWS) -> DataFrame:
     return card.withColumn("balance", c("balance").cast(TOTAL))
 
 
-def _with_balance(rows: DataFrame, parts: list[str], order: list[str], hot_rows: int) -> DataFrame:
-    out = running(rows, parts, order, {"balance": c("debt") - c("cred")}, hot_rows)
+def _with_balance(rows: DataFrame, parts: list[str], order: list[str], hot_rows: int, keys: DataFrame) -> DataFrame:
+    out = running(rows, parts, order, {"balance": c("debt") - c("cred")}, hot_rows, keys)
     return out.withColumn("balance", c("balance").cast(TOTAL))

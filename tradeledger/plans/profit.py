@@ -31,12 +31,12 @@ AMOUNTS = {
 
 def _retail(t) -> tuple[int, DataFrame, DataFrame]:
     """Order type, lines with a discount, headers with a date."""
-    return 0, t.order_details, t.orders.select("id", "customer_id", "order_date")
+    return 0, t.order_details, t.columns("orders", "id", "customer_id", "order_date")
 
 
 def _wholesale(t) -> tuple[int, DataFrame, DataFrame]:
     return (1, t.special_details.withColumn("discount", F.expr(nought(LINE))),
-            t.special_orders.selectExpr("id", "customer_id", "created_at AS order_date"))
+            t.columns("special_orders", "id", "customer_id", "created_at").withColumnRenamed("created_at", "order_date"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

@@ -65,7 +65,7 @@ def camel_products(t):
 
 @query
 def stock_date_from_epoch(t):
-    stocks = t.stocks.select("id", F.unix_timestamp(c("stock_date").cast("timestamp")).alias("seconds"))
+    stocks = t.columns("stocks", "id", "stock_date").select("id", F.unix_timestamp(c("stock_date").cast("timestamp")).alias("seconds"))
     return stocks.select("id", "seconds", from_epoch("seconds").cast("timestamp_ntz").alias("stock_date"))
 
 
@@ -112,7 +112,7 @@ def product_units(t):
 @query
 def supplier_by_id(t):
     """Suppliers that delivered something."""
-    return catalog.by_keys(t.suppliers, t.stocks.select("supplier_id").distinct()).select("id", "name", "city")
+    return catalog.by_keys(t.suppliers, t.columns("stocks", "supplier_id").distinct()).select("id", "name", "city")
 
 
 @query

@@ -71,6 +71,18 @@ _PAID = (f"CASE o_orderstatus WHEN 'F' THEN coalesce(total, {nought()}) "
 _CLOSED = "CAST(IF(o_orderdate < timestamp_ntz '1998-01-01 00:00:00', 1, 0) AS bigint) AS lunas_id"
 _NO_TEXT = "CAST(NULL AS string)"
 
+# What headers have without their lines and payments.
+_HEADS = {
+    "orders": (ORDER, ["o_custkey AS customer_id", "o_orderdate AS order_date",
+                       "concat('Sale ', o_orderpriority) AS descriptions", _CLOSED]),
+    "special_orders": (SPECIAL, [
+        "o_custkey AS customer_id", *[f"o_orderdate AS {n}" for n in ("created_at", "updated_at", "packaged_at", "shipped_at")],
+        "IF(o_orderstatus <> 'O', concat('Wholesale ', o_orderpriority), NULL) AS descriptions", _CLOSED,
+        "concat('SJ-', o_orderkey) AS surat_jalan"]),
+    "grass": (PURCHASE, ["o_custkey AS customer_id", "o_orderdate AS order_date",
+                         "concat('Purchase ', o_orderpriority) AS descriptions", _CLOSED, "o_custkey div 2 AS partner_id"]),
+}
+
 
 def doc_id(key: Column, code: int) -> Column:
     """Id of a document; of receipts the order's first."""
@@ -166,30 +178,33 @@ class Conformed(Tables):
 
     def _sums(self, code: int) -> DataFrame:
         """Per document of one kind: value, base quantity, costs."""
-        return self.lines(code).groupBy("doc_id").agg(
+        return self.lines(code).groupBy(c("doc_id").alias("id")).agg(
             F.expr(f"CAST(sum(subtotal) AS {MONEY}) AS total"), F.expr(f"CAST(sum(real_qty) AS {MONEY}) AS qty"),
             F.expr(f"CAST(sum({_COST}) AS {MONEY}) AS cost"))
 
+    def _head(self, name: str) -> DataFrame:
+        code, columns = _HEADS[name]
+        return self.raw("orders").selectExpr(f"{_doc('o_orderkey', code)} AS id", *columns, "o_orderstatus", "o_orderpriority")
+
+    def columns(self, name: str, *columns: str) -> DataFrame:
+        """Lines and payments are read only where the columns need them."""
+        bare = self._head(name) if name in _HEADS else self.receipts() if name == "stocks" else None
+        return bare.select(*columns) if bare is not None and {*columns} <= {*bare.columns} else super().columns(name, *columns)
+
     def _orders(self) -> DataFrame:
-        heads = self.raw("orders").selectExpr(f"{_doc('o_orderkey', ORDER)} AS doc_id", "*")
-        out = heads.join(self._sums(ORDER), "doc_id", "left").selectExpr(
-            "doc_id AS id", "o_custkey AS customer_id", "o_orderdate AS order_date",
-            f"coalesce(total, {nought()}) AS total", f"{_PAID} AS payment",
-            "concat('Sale ', o_orderpriority) AS descriptions", _CLOSED)
+        out = self._head("orders").join(self._sums(ORDER), "id", "left").selectExpr(
+            "id", "customer_id", "order_date", f"coalesce(total, {nought()}) AS total", f"{_PAID} AS payment",
+            "descriptions", "lunas_id")
         return derive.order_remainder(out)
 
     def _special_orders(self) -> DataFrame:
-        heads = self.raw("orders").selectExpr(f"{_doc('o_orderkey', SPECIAL)} AS doc_id", "*")
-        paid = self.special_payments.groupBy(F.col("order_id").alias("doc_id")).agg(
+        paid = self.special_payments.groupBy(F.col("order_id").alias("id")).agg(
             F.expr(f"CAST(sum(nominal) AS {MONEY}) AS payments"))
-        out = heads.join(self._sums(SPECIAL), "doc_id", "left").join(paid, "doc_id", "left").selectExpr(
-            "doc_id AS id", "o_custkey AS customer_id",
-            *[f"o_orderdate AS {n}" for n in ("created_at", "updated_at", "packaged_at", "shipped_at")],
+        out = self._head("special_orders").join(self._sums(SPECIAL), "id", "left").join(paid, "id", "left").selectExpr(
+            "id", "customer_id", "created_at", "updated_at", "packaged_at", "shipped_at",
             "'driver' AS driver_name", "'plate' AS police_number", "'street' AS street", "'city' AS city",
             "'phone' AS phone", f"coalesce(total, {nought()}) AS total", f"{_PAID} AS cash",
-            f"coalesce(payments, {nought()}) AS payments",
-            "IF(o_orderstatus <> 'O', concat('Wholesale ', o_orderpriority), NULL) AS descriptions",
-            _CLOSED, "concat('SJ-', o_orderkey) AS surat_jalan")
+            f"coalesce(payments, {nought()}) AS payments", "descriptions", "lunas_id", "surat_jalan")
         return derive.special_remainder(out, stamp=False)
 
     def receipts(self) -> DataFrame:
@@ -212,14 +227,12 @@ class Conformed(Tables):
         return derive.stock_remainder(out)
 
     def _grass(self) -> DataFrame:
-        heads = self.raw("orders").selectExpr(f"{_doc('o_orderkey', PURCHASE)} AS doc_id", "*")
         net = rounded("coalesce(total, 0) - coalesce(cost, 0)")
         share = f"o_orderpriority IN ('1-URGENT', '2-HIGH') AND {net} > 0"
-        return heads.join(self._sums(PURCHASE), "doc_id", "left").selectExpr(
-            "o_custkey AS customer_id", "doc_id AS id", "concat('Purchase ', o_orderpriority) AS descriptions",
-            "o_orderdate AS order_date", f"{net} AS total", f"coalesce(qty, {nought()}) AS qty",
-            f"IF({share}, {rounded(f'{net} * 0.10')}, {nought()}) AS total_div", _CLOSED,
-            "o_custkey div 2 AS partner_id", f"coalesce(cost, {nought()}) AS cost")
+        return self._head("grass").join(self._sums(PURCHASE), "id", "left").selectExpr(
+            "customer_id", "id", "descriptions", "order_date", f"{net} AS total", f"coalesce(qty, {nought()}) AS qty",
+            f"IF({share}, {rounded(f'{net} * 0.10')}, {nought()}) AS total_div", "lunas_id", "partner_id",
+            f"coalesce(cost, {nought()}) AS cost")
 
     # ---- events --------------------------------------------------------
 

@@ -24,6 +24,10 @@ class Tables:
             self._made[name] = self._makers[name]()
         return self._made[name]
 
+    def columns(self, name: str, *columns: str) -> DataFrame:
+        """Some columns of a table.  Sources that compute their tables can leave out what other columns need."""
+        return getattr(self, name).select(*columns)
+
     def names(self) -> list[str]:
         return list(self._makers)
 
