@@ -98,6 +98,27 @@ def test_neighbours_by_bm25():
     assert first[0] == 0 and set(first) == {0, 2, 5}
 
 
+def test_neighbours_far_apart_in_the_table(spark, documents):
+    """Forty topics in turn, shards of 48 documents: file order would leave about one document of a topic in a shard."""
+    rng = random.Random(12)
+    docs = documents([(i, " ".join(f"{chr(97 + i % 40 % 26)}{'qxz'[i % 40 // 26]}{rng.randrange(40)}" for _ in range(100))) for i in range(2000)])
+    windows = {}
+    for r in packing.packed(docs.repartitionByRange(4, "doc_id"), shard=48).collect():
+        windows.setdefault(r.sequence_id, []).append((r.offset, r.doc_id % 40))
+    pairs = [a[1] == b[1] for w in windows.values() for a, b in zip(sorted(w), sorted(w)[1:])]
+    assert len(pairs) > 1000 and sum(pairs) > 0.7 * len(pairs)
+
+
+def test_counts_are_of_the_whole_table(spark):
+    rows = [[1, 2, 2, 0], [2, 0], [70_000, 2, 0], [0], [5, 0]] * 3
+    staged = spark.createDataFrame([(i, np.array(x, "<u4").tobytes()) for i, x in enumerate(rows)], "n long, ids binary").repartition(4)
+    corpus = packing._corpus(staged)
+    df = np.bincount([t for x in rows for t in set(x)])
+    assert corpus.n == 15 and corpus.mean == sum(map(len, rows)) / 15
+    assert np.allclose(corpus.idf, np.log(np.maximum((15 - df + 0.5) / (df + 0.5), 1)))
+    assert packing.Index([np.array(x, "<u4") for x in rows[:2]], corpus).scores(0)[0] > 0 == packing.Index([np.array([2, 0], "<u4")] * 2).scores(0)[0]
+
+
 def captures():
     rng, rows, start = random.Random(3), [], dt.datetime(2024, 1, 1)
     for i in range(1500):

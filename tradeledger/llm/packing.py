@@ -1,9 +1,13 @@
 """Lexical retrieval packing: windows filled with a document's nearest unused neighbours.
 
-Documents are packed in shards of up to ``SHARD`` documents, which are runs of
-rows of one task: nothing is shuffled, and a lost task is packed again alike.
-A shard has an inverted index of its documents with BM25 weights; terms are the
-token ids.
+BM25 counts documents and their mean length over the whole table; terms are the
+token ids.  Documents are given to shards by content: a tree of hyperplanes
+through projected BM25 weights, learned from a sample of up to ``SAMPLE``
+documents, puts those that share heavy terms next to each other, and shards are
+runs of up to ``SHARD`` documents in that order, which also cuts leaves that are
+too large.  The token ids are staged once; one shuffle brings a shard together.
+A seed is ranked against its own shard: how many of the nearest documents of the
+whole table that reaches is measured in ``README.md``.
 
 A document fills as many whole windows as it can alone.  What is left over
 seeds a window: the index ranks the shard's unused documents for it, and their
@@ -22,13 +26,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tradeledger.llm.byte_bpe import read_ranks
+from tradeledger.llm.common import importable
+from tradeledger.sources.sinks import staging_path
 
 WINDOW = 1024
-SHARD = 512
-SHARD_TOKENS = 4_000_000    # a shard closes here too
+SHARD = 4096
+SHARD_TOKENS = 8_000_000    # a shard closes here too
+SAMPLE = 65_536             # documents that the tree is learned from
+_LEAF, _DIMENSIONS = 32, 64
 END = 0                     # id after each document
 _K1, _B = 1.2, 0.75
 
@@ -41,27 +49,44 @@ def _encoding(name: str):
     return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(public_tokenizers.path(name)), special_tokens={})
 
 
+class Corpus:
+    """What BM25 needs to know of all documents: their number, mean length, and for each term the number that hold it."""
+
+    def __init__(self, n: int, mean: float, df: np.ndarray):
+        self.n, self.mean = n, max(mean, 1)
+        # Terms in half of the documents or more weigh nothing.
+        self.idf = np.log(np.maximum((n - df + 0.5) / (df + 0.5), 1))
+
+    def weights(self, terms: np.ndarray, counts: np.ndarray, lengths) -> np.ndarray:
+        tf = counts.astype(float)
+        return self.idf[terms] * tf * (_K1 + 1) / (tf + _K1 * (1 - _B + _B * lengths / self.mean))
+
+
+def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids in order, and how often each occurs."""
+    if not len(ids):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ordered = np.sort(ids.astype(np.uint16)) if ids.max() < 1 << 16 else np.sort(ids)   # radix sort
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    return ordered[first].astype(np.int64), np.diff(np.r_[first, len(ids)])
+
+
 class Index:
-    """BM25 over documents given as id arrays.  Terms in half of the documents or more weigh nothing (their idf is floored at 0)."""
+    """BM25 over documents given as id arrays, with the counts of ``corpus``, or of these documents alone."""
 
-    def __init__(self, documents: list[np.ndarray]):
+    def __init__(self, documents: list[np.ndarray], corpus: Corpus | None = None):
         n = len(documents)
         lengths = np.array([len(d) for d in documents], float)
-        terms, counts = [], []
-        for d in documents:
-            ordered = np.sort(d.astype(np.uint16)) if len(d) and d.max() < 1 << 16 else np.sort(d)   # radix sort
-            first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(d) else np.zeros(0, np.int64)
-            terms.append(ordered[first].astype(np.int64))
-            counts.append(np.diff(np.r_[first, len(d)]))
+        terms, counts = map(list, zip(*map(terms_of, documents)))
         owner = np.repeat(np.arange(n), [len(t) for t in terms])
-        flat, tf = np.concatenate(terms), np.concatenate(counts).astype(float)
-        df = np.bincount(flat) if len(flat) else np.zeros(1, int)
-        idf = np.log(np.maximum((n - df + 0.5) / (df + 0.5), 1))
-        weight = idf[flat] * tf * (_K1 + 1) / (tf + _K1 * (1 - _B + _B * lengths[owner] / max(lengths.mean(), 1)))
+        flat = np.concatenate(terms)
+        corpus = corpus or Corpus(n, lengths.mean(), np.bincount(flat, minlength=1))
+        idf = corpus.idf
+        weight = corpus.weights(flat, np.concatenate(counts), lengths[owner])
         kept = idf[flat] > 0
         order = np.argsort(flat[kept], kind="stable")
         self.owner, self.weight = owner[kept][order], weight[kept][order]
-        self.starts = np.searchsorted(flat[kept][order], np.arange(len(df) + 1))
+        self.starts = np.searchsorted(flat[kept][order], np.arange(len(idf) + 1))
         self.terms = [t[idf[t] > 0] for t in terms]
         self.size = n
 
@@ -75,7 +100,7 @@ class Index:
         return np.bincount(owner, np.concatenate([self.weight[a:b] for a, b in spans]), self.size)
 
 
-def pack(documents: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+def pack(documents: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces ``(document, start, length, sequence, offset)`` of one shard; sequences count from 0."""
     pieces, sequence = [], 0
     rest = np.zeros(len(documents), np.int64)
@@ -89,7 +114,7 @@ def pack(documents: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, i
     left = np.flatnonzero(unused)
     if not len(left):
         return pieces
-    index = Index(documents)
+    index = Index(documents, corpus)
     seed, seed_at, next_seed = -1, 0, 0
     while True:
         if seed < 0:                                            # the first document not used yet
@@ -120,6 +145,98 @@ def pack(documents: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, i
         sequence += 1
 
 
+def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("ids")]
+
+
+def _corpus(staged: DataFrame) -> Corpus:
+    """Counts over all documents; a task sends one row per term, and one (term -1) with its documents and ids."""
+    def apply(batches):
+        df, n, length = np.zeros(1, np.int64), 0, 0
+        for batch in batches:
+            for ids in _arrays(batch):
+                terms, _ = terms_of(ids)
+                if terms[-1] >= len(df):
+                    df = np.r_[df, np.zeros(terms[-1] + 1 - len(df), np.int64)]
+                df[terms] += 1
+                n, length = n + 1, length + len(ids)
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, held]), pa.array(np.r_[n, df[held]]), pa.array(np.r_[length, 0 * held])], names=["term", "df", "length"])
+
+    rows = staged.select("ids").mapInArrow(apply, "term bigint, df bigint, length bigint").groupBy("term").agg(F.sum("df"), F.sum("length")).collect()
+    found = {r[0]: (r[1], r[2]) for r in rows}
+    n, length = found.pop(-1, (0, 0))
+    df = np.zeros(max(found, default=0) + 1, np.int64)
+    df[list(found)] = [x for x, _ in found.values()]
+    return Corpus(n, length / max(n, 1), df)
+
+
+@lru_cache(maxsize=1)
+def _directions(terms: int) -> np.ndarray:
+    return np.random.default_rng(7).standard_normal((terms, _DIMENSIONS), np.float32)
+
+
+def vectors(documents: list[np.ndarray], corpus: Corpus) -> np.ndarray:
+    """BM25 weights of each document in ``_DIMENSIONS`` random directions, of length one."""
+    directions = _directions(len(corpus.idf))
+    out = np.zeros((len(documents), _DIMENSIONS), np.float32)
+    for i, ids in enumerate(documents):
+        terms, counts = terms_of(ids)
+        out[i] = corpus.weights(terms, counts, len(ids)).astype(np.float32) @ directions[terms]
+    return out / np.maximum(np.linalg.norm(out, axis=1), 1e-9)[:, None]
+
+
+class Tree:
+    """Hyperplanes that halve a sample again and again along its widest direction; node ``k`` has the children ``2k + 1`` and ``2k + 2``."""
+
+    def __init__(self, sample: np.ndarray):
+        self.depth = max(0, int(np.log2(max(len(sample), 1) / _LEAF)))
+        self.normals = np.zeros(((2 << self.depth) - 1, _DIMENSIONS), np.float32)    # the last level orders a leaf
+        self.cuts = np.zeros(len(self.normals), np.float32)
+        parts = [sample]
+        for k in range(len(self.normals)):
+            part, parts[k] = parts[k], None
+            if len(part):
+                centred = part - part.mean(axis=0)
+                _, axes = np.linalg.eigh(centred.T @ centred)
+                self.normals[k] = axes[:, -1]
+            at = part @ self.normals[k]
+            order = np.argsort(at, kind="stable")
+            half = len(part) // 2
+            self.cuts[k] = at[order[half]] if len(part) else 0
+            parts += [part[order[:half]], part[order[half:]]]
+
+    def place(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The leaf of each point, and its place in the leaf."""
+        node = np.zeros(len(points), np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (np.einsum("ij,ij->i", points, self.normals[node]) >= self.cuts[node])
+        return node, np.einsum("ij,ij->i", points, self.normals[node])
+
+
+def learned(staged: DataFrame, corpus: Corpus, sample: int = SAMPLE) -> Tree:
+    """The tree of up to about ``sample`` documents, chosen by a hash of their number."""
+    def apply(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in vectors(_arrays(batch), corpus)], pa.binary())], names=["v"])
+
+    chosen = staged.where(F.pmod(F.xxhash64("n"), F.lit(corpus.n)) < sample).select("ids")
+    found = sorted(bytes(r["v"]) for r in chosen.mapInArrow(apply, "v binary").collect())
+    return Tree(np.frombuffer(b"".join(found), np.float32).reshape(-1, _DIMENSIONS))
+
+
+def placed(staged: DataFrame, corpus: Corpus, tree: Tree, shard: int) -> DataFrame:
+    """``staged`` in tasks of about a shard, ordered by content."""
+    def apply(batches):
+        for batch in batches:
+            leaf, at = tree.place(vectors(_arrays(batch), corpus))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(at.astype(float))], names=[*batch.schema.names, "leaf", "at"])
+
+    rows = staged.mapInArrow(apply, staged.select("*").schema.add("leaf", "long").add("at", "double"))
+    tasks = 1 if corpus.n <= shard else -(-5 * corpus.n // (4 * shard))      # ranges are even but by a sample
+    return rows.repartitionByRange(tasks, "leaf", "at", "n").sortWithinPartitions("leaf", "at", "n")
+
+
 def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, shard: int = SHARD,
            name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids`` (unsigned 32-bit, little-endian), ``doc_tokens, sequence_id, offset``.
@@ -127,16 +244,25 @@ def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     Every document ends with id ``END``.  A null text counts as empty.  Rows that
     repeat an id are packed one by one.  ``docs`` may have other columns.
     """
+    spark = importable(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
+    schema = f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
-    def apply(batches):
+    def encode(batches):
         encoding = _encoding(name)
+        n = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
+        for batch in batches:
+            ids = [np.array([*encoding.encode_ordinary(words.as_py() or ""), END], "<u4").tobytes() for words in batch.column(text)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, n + len(ids))), batch.column(doc_id), pa.array(ids, pa.binary())], names=["n", "doc_id", "ids"])
+            n += len(ids)
+
+    def apply(batches):
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         held_ids, held, size, sequence = [], [], 0, 0
 
         def emit():
             nonlocal sequence
-            pieces = pack(held, window)
+            pieces = pack(held, window, corpus)
             ids = [held[d][start:start + length].tobytes() for d, start, length, _, _ in pieces]
             columns = list(zip(*pieces))
             out = pa.RecordBatch.from_arrays([
@@ -150,16 +276,22 @@ def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
             return out
 
         for batch in batches:
-            id_type = batch.schema.field(doc_id).type
-            for key, words in zip(batch.column(doc_id).to_pylist(), batch.column(text)):
+            id_type = batch.schema.field("doc_id").type
+            for key, ids in zip(batch.column("doc_id").to_pylist(), _arrays(batch)):
                 held_ids.append(key)
-                held.append(np.array([*encoding.encode_ordinary(words.as_py() or ""), END], "<u4"))
-                size += len(held[-1])
+                held.append(ids)
+                size += len(ids)
                 if len(held) >= shard or size >= SHARD_TOKENS:
                     yield emit()
                     size = 0
         if held:
             yield emit()
 
-    schema = f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return docs.select(doc_id, text).mapInArrow(apply, schema)
+    path = staging_path(spark, "packing")
+    docs.select(doc_id, text).mapInArrow(encode, f"n bigint, doc_id {kind}, ids binary").write.parquet(path)
+    staged = spark.read.parquet(path)
+    corpus = _corpus(staged)
+    if not corpus.n:
+        return spark.createDataFrame([], schema)
+    rows = placed(staged, corpus, learned(staged, corpus), shard)
+    return rows.select("doc_id", "ids").mapInArrow(apply, schema)
