@@ -119,6 +119,17 @@ def test_counts_are_of_the_whole_table(spark):
     assert packing.Index([np.array(x, "<u4") for x in rows[:2]], corpus).scores(0)[0] > 0 == packing.Index([np.array([2, 0], "<u4")] * 2).scores(0)[0]
 
 
+def test_added_tokens_are_one_id(spark, documents, tmp_path):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {1: "a<|endoftext|>b", 2: "<|endoftext|>", 3: "x <|endoftext|><|endoftext|> y\n", 4: "no <|endoftext| >", 5: "é <|endoftext|>", 6: None}
+    docs = documents(texts.items())
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: (len(ids := [*tokenizer.encode(t or "").ids, 0]), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, t in texts.items()}
+    assert want[1][0] == 4
+    for rows in (registered.op7_packing(spark, str(tmp_path)), corpus_pipeline.packing(spark, docs, str(tmp_path))):
+        assert {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in rows.collect()} == want
+
+
 def captures():
     rng, rows, start = random.Random(3), [], dt.datetime(2024, 1, 1)
     for i in range(1500):

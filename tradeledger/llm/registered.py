@@ -64,7 +64,7 @@ def with_crc(pieces: DataFrame) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_crc(packing.packed(table(spark, sf_dir, "documents")))
+    return with_crc(packing.packed(table(spark, sf_dir, "documents"), added=True))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
