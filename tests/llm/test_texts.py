@@ -76,6 +76,29 @@ def test_boilerplate_without_marks(spark):
     assert html_text.main_text(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<p>one <svg-icon name=x></svg-icon> two</p><p>three</p>", "one two three"),
+    ("<p>one</p><svg class=i/><p>two</p>", "one two"),
+    ("<p>one</p><svg class='i' /><p>two</p><svg><text>no</text></svg><p>three</p>", "one two three"),
+    ("<p>one</p><svg><path d='x'><p>two</p><svg><svg>no</svg>no</svg> three", "one two three"),
+    ("<p>one <svg><title>no</title><foreignObject><p>no</p></foreignObject></svg> two</p>", "one two"),
+    ("<p>one</p><svg><path/> two", "one two"),
+    ("<p>one <title-bar>two </title-bar><object-view>three </object-view><style-x>four</style-x></p>", "one two three four"),
+    ("<p>one <math><mi>x</mi><mo>=</mo></math> two <object data=a>three </object><math/>four <object/>five</p>", "one x= two three four five"),
+    ("<p>one</p><template><p>no</p></template><p>two</p><template><p>three</p>", "one two three"),
+    ("<p>one</p><script>no</script><style>no</style ><p>two</p><script>no <p>no</p>", "one two"),
+])
+def test_text_after_raw_elements_stays(page, want):
+    weights = html_text.Weights({})
+    long = " ".join(f"word{i}" for i in range(60))
+    assert html_text.extract(f"<p>{long}</p>{page}", weights).split()[60:] == want.split()
+
+
+def test_unclosed_drawings_take_linear_time():
+    page = "word " * 60 + "<svg>" * 20_000 + "end"
+    assert sum(len(t.split()) for t, *_ in html_text.tokens(page)) == 61
+
+
 def plain_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]

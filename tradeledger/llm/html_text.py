@@ -45,21 +45,55 @@ _BOILER_WORDS = frozenset(
     "reply replies share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
 _MARKS = frozenset(("article", "main"))
 
+# Elements whose '/>' closes them, and HTML inside of ``svg``.
+_CLOSABLE = frozenset(("math", "object"))
+_FOREIGN = frozenset(("foreignobject", "desc", "title"))
+
+_REST = r"(?:[^>\"']++|\"[^\"]{0,4000}\"|'[^']{0,4000}'|[\"'])*+"
+# Only what browsers take as raw text runs to the end of a page that lacks its end tag.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title|object|math)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]{0,4000}\"|'[^']{0,4000}'|[\"'])*+)>"
+    rf"|<(?P<raw>script|style|noscript|textarea|iframe|title)(?=[\s/>]){_REST}>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
+    rf"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>{_REST})>"
     r"|<[!?][^>]*>",
     re.S | re.I)
+_TAG = re.compile(rf"<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>{_REST})>", re.I)
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+def _after(page: str, name: str, at: int) -> int | None:
+    """Where a ``template`` or ``svg`` whose start tag ends at ``at`` is over, None if it is not.
+
+    A block that does not belong to the drawing ends ``svg``, as in browsers.
+    """
+    depth, inner = 1, 0
+    for m in _TAG.finditer(page, at):
+        found, end = m["name"].lower(), bool(m["end"])
+        if found == name:
+            depth += -1 if end else not (name == "svg" and m["rest"].endswith("/"))
+            if not depth:
+                return m.end()
+        elif name == "svg" and found in _FOREIGN:
+            inner = max(0, inner - 1) if end else inner + (not m["rest"].endswith("/"))
+        elif name == "svg" and found in _BLOCKS and not end and not inner:
+            return m.start()
+    return None
+
+
 def tokens(page: str):
     """``(text before, name, key, is end)`` for each tag in page order; name None for what is no tag, and at the end."""
-    at = 0
-    for m in _TOKEN.finditer(page):
+    at, endless = 0, set()
+    while m := _TOKEN.search(page, at):
         text, at = page[at:m.start()], m.end()
         name = m["name"]
+        if name and name.lower() in ("svg", "template"):         # left out; without an end only the tag is
+            if not m["end"] and name.lower() not in endless and not (name.lower() == "svg" and m["rest"].endswith("/")):
+                after = _after(page, name.lower(), at)
+                if after is None:
+                    endless.add(name.lower())
+                else:
+                    at = after
+            name = None
         if not name:
             yield text, None, None, False
             continue
@@ -70,6 +104,8 @@ def tokens(page: str):
         else:
             key = name
         yield text, name, key, bool(m["end"])
+        if name in _CLOSABLE and not m["end"] and rest.endswith("/"):
+            yield "", name, key, True
     yield page[at:], None, None, False
 
 
