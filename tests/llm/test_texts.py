@@ -99,6 +99,18 @@ def test_unclosed_drawings_take_linear_time():
     assert sum(len(t.split()) for t, *_ in html_text.tokens(page)) == 61
 
 
+def test_boilerplate_is_told_from_all_words():
+    weights = html_text.Weights({})
+    long = " ".join(f"word{i}" for i in range(60))
+    utility = "bg-white border border-gray-200 flex flex-col gap-4 items-center justify-between"
+    for last in ("newsletter", "sidebar", "subscribe", "x-widget"):
+        page = f"<p>{long}</p><div class='{utility} space-y-2 {last}'><p>Sign up now</p></div><p>{long}</p>"
+        assert html_text.extract(page, weights) == f"{long}\n\n{long}"
+    assert html_text.extract(f"<div class='{utility} space-y-2 text-adjust{'x' * 80}'><p>{long}</p></div>", weights) == long
+    keys = {key for n in range(50) for _, _, key, _ in html_text.tokens(f"<div class='{'w' * 5000} {utility} c{n}'>") if key}
+    assert len(keys) == 50 and max(map(len, keys)) < 100
+
+
 def plain_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]

@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+import zlib
 from collections import Counter
 
 import pyarrow as pa
@@ -61,6 +62,14 @@ _TAG = re.compile(rf"<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>{_REST})>", re.
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+def _bounded(words: list[str]) -> str:
+    """The words joined; of a long list those that mean boilerplate and a number that tells it from others."""
+    joined = ".".join(words)
+    if len(joined) <= 80:
+        return joined
+    return ".".join([*sorted(_BOILER_WORDS.intersection(re.split(r"[^a-z]+", joined))), str(zlib.crc32(joined.encode("utf-8", "surrogatepass")))])
+
+
 def _after(page: str, name: str, at: int) -> int | None:
     """Where a ``template`` or ``svg`` whose start tag ends at ``at`` is over, None if it is not.
 
@@ -100,7 +109,7 @@ def tokens(page: str):
         name, rest = name.lower(), m["rest"]
         if rest and not m["end"] and "=" in rest:
             words = sorted({w for found in _NAMED.findall(rest) for w in "".join(found).lower().split()})
-            key = f"{name}.{'.'.join(words)[:80]}" if words else name
+            key = f"{name}.{_bounded(words)}" if words else name
         else:
             key = name
         yield text, name, key, bool(m["end"])
