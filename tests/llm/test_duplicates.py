@@ -161,3 +161,9 @@ def test_near_copies_are_brute_force(spark, documents, crowd):
     assert got.columns == docs.columns
     assert sorted(9e9 if r.doc_id is None else r.doc_id for r in got.collect()) == sorted(want.values())
     assert len([x for x in near if sets[x[0]] != sets[x[1]]]) > 20
+
+
+def test_classes_that_share_an_id_all_stay(spark, documents):
+    rows = [(7, "one text of this id " * 6), (7, "quite another one with the same " * 6), (7, "one text of this id " * 6), (9, "Quite another one with the same " * 6)]
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, documents(rows), SMALL).collect()
+    assert sorted((r.doc_id, r.text.lower()) for r in got) == sorted({r for r in rows[:3]})
