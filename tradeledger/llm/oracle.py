@@ -63,5 +63,38 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = compone
 FROM v JOIN least ON least.x = vec_id LEFT JOIN counted ON counted.x = vec_id"""
 
 
+def _divergence() -> str:
+    """Every group's share of every kept term, term by term."""
+    return r"""
+WITH docs AS (SELECT row_number() OVER () AS n, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+words AS (
+  SELECT n, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM docs),
+kept AS (SELECT lang, term, count(*) AS c FROM words GROUP BY lang, term HAVING count(DISTINCT n) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(c) AS total FROM kept GROUP BY lang),
+uses AS (SELECT lang, source, term, count(*) AS c FROM words GROUP BY lang, source, term),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+grid AS (
+  SELECT g.lang, g.source, k.term, k.c AS lang_c, coalesce(u.c, 0) AS c
+  FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN uses u ON u.lang = g.lang AND u.source = g.source AND u.term = k.term),
+totals AS (SELECT lang, source, sum(c) AS total FROM grid GROUP BY lang, source),
+shares AS (
+  SELECT d.lang, d.source, d.term, d.c, CAST(1 + (1000000000 * (d.c + 2)) // (t.total + 2 * v.v) AS HUGEINT) AS p,
+         CAST(1 + (1000000000 * (d.lang_c + 2)) // (v.total + 2 * v.v) AS HUGEINT) AS q
+  FROM grid d JOIN totals t ON t.lang = d.lang AND t.source = d.source JOIN v ON v.lang = d.lang),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY a.lang, a.source, b.source),
+every_pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(p.value, 0) AS value
+  FROM groups a JOIN groups b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+ahead AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM shares WHERE c > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM every_pair
+  UNION ALL
+  SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM ahead)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
+
 def sql() -> dict[str, str]:
-    return {"op3_embeddings": _embeddings(), "op5_revisits": _revisits()}
+    return {"op3_embeddings": _embeddings(), "op5_revisits": _revisits(), "op13_divergence": _divergence()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tradeledger.llm import byte_bpe, embeddings, html_text, language, packing, quality, revisits, rollups, simhash, toxicity
+from tradeledger.llm import byte_bpe, divergence, embeddings, html_text, language, packing, quality, revisits, rollups, simhash, toxicity
 from tradeledger.llm.common import checkpointed, in_slices, table
 from tradeledger.sources.sinks import staging_path
 
@@ -109,5 +109,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.totals(spark, base)
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_language, op2_simhash, op3_embeddings, op4_toxicity, op5_revisits, op6_html, op7_packing, op8_quality, op9_byte_bpe, op10_token_counts)}
+    op1_language, op2_simhash, op3_embeddings, op4_toxicity, op5_revisits, op6_html, op7_packing, op8_quality, op9_byte_bpe, op10_token_counts,
+    op13_divergence)}
