@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tradeledger.llm import secret_scan
+
 
 def _revisits() -> str:
     """Brute force: every revisit looks at all responses of its URL."""
@@ -96,5 +98,31 @@ ranked AS (
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10"""
 
 
+def _secrets() -> str:
+    """Every rule over every text; what lies between the matches tells where they are."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    each = "\n  UNION ALL ".join(
+        f"SELECT n, {k} AS k, {quoted(r.kind)} AS kind, {r.least} AS least, text, regexp_extract_all(text, {quoted(r.pattern)}, 0) AS hits, "
+        f"regexp_extract_all(text, {quoted(r.pattern)}, {r.part}) AS parts, string_split_regex(text, {quoted(r.pattern)}) AS gaps FROM docs"
+        for k, r in enumerate(secret_scan.RULES))
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
+matched AS (
+  {each}),
+one AS (SELECT n, k, kind, least, hits, parts, gaps, unnest(range(1, len(hits) + 1)) AS i FROM matched WHERE len(hits) > 0),
+placed AS (
+  SELECT n, k, kind, least, length(parts[i]) AS long, length(hits[i]) AS size,
+         sum(length(gaps[i]) + length(hits[i])) OVER (PARTITION BY n, k ORDER BY i) AS stop
+  FROM one),
+spans AS (SELECT n, k, kind, stop - size AS start, stop, kind || ':' || CAST(stop - size AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span FROM placed WHERE long >= least),
+found AS (
+  SELECT n, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(span, ',' ORDER BY start, k) FILTER (k < {len(secret_scan.BASE)}) AS base, string_agg(span, ',' ORDER BY start, k) AS spans
+  FROM spans GROUP BY n)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN found ON found.n = docs.n"""
+
+
 def sql() -> dict[str, str]:
-    return {"op3_embeddings": _embeddings(), "op5_revisits": _revisits(), "op13_divergence": _divergence()}
+    return {"op3_embeddings": _embeddings(), "op5_revisits": _revisits(), "op11_secrets": _secrets(), "op13_divergence": _divergence()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tradeledger.llm import byte_bpe, divergence, embeddings, html_text, language, packing, quality, revisits, rollups, simhash, toxicity
+from tradeledger.llm import byte_bpe, divergence, embeddings, html_text, language, packing, quality, revisits, rollups, secret_scan, simhash, toxicity
 from tradeledger.llm.common import checkpointed, in_slices, table
 from tradeledger.sources.sinks import staging_path
 
@@ -109,10 +109,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.totals(spark, base)
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = [r.kind for r in secret_scan.BASE]
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return found.select(
+        "doc_id", *(F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in base),
+        F.sha2(secret_scan.joined(of(*base)), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_language, op2_simhash, op3_embeddings, op4_toxicity, op5_revisits, op6_html, op7_packing, op8_quality, op9_byte_bpe, op10_token_counts,
-    op13_divergence)}
+    op11_secrets, op13_divergence)}
