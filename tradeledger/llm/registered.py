@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tradeledger.llm import byte_bpe, divergence, embeddings, html_text, language, packing, quality, revisits, rollups, secret_scan, simhash, toxicity
+from tradeledger.llm import byte_bpe, divergence, embeddings, html_text, language, packing, quality, revisits, rollups, runs, secret_scan, simhash, toxicity
 from tradeledger.llm.common import checkpointed, in_slices, table
 from tradeledger.sources.sinks import staging_path
 
@@ -118,10 +118,31 @@ def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secret_scan.joined(of(*base)), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: every tenth text, by its id's CRC-32, repeats a part of itself to its end.  A null id changes nothing."""
+    return (
+        docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+        .withColumn("w", F.expr(r"CASE WHEN h % 10 = 0 THEN filter(split(text, '[\\x20\\x09-\\x0D]+'), x -> x <> '') END"))
+        .withColumn("n", F.expr("nullif(size(w), 0)")).withColumn("g", F.expr("h div 10"))
+        .withColumn("a", F.expr("CAST(g % n AS INT)")).withColumn("p", F.expr("CAST(1 + (n - a) div (3 + g % 8) AS INT)"))
+        .select("doc_id", F.expr("CASE WHEN h % 10 = 0 AND n > 0 THEN array_join(transform(w, (x, i) -> IF(i < a, x, w[a + (i - a) % p])), ' ') ELSE text END").alias("text"))
+    )
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_repeats(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", longest).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("best.start")).alias("start"), "best.length", (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_language, op2_simhash, op3_embeddings, op4_toxicity, op5_revisits, op6_html, op7_packing, op8_quality, op9_byte_bpe, op10_token_counts,
-    op11_secrets, op13_divergence)}
+    op11_secrets, op12_runs, op13_divergence)}
