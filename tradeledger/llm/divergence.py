@@ -13,33 +13,65 @@ Neither report evaluates ``f`` per term:
   a merged value's rank follows from how many terms lie above it.  Only values
   that start within the ranks asked for are expanded into their terms, in UTF-8
   order.
-* **Pairs of sources.**  Terms with the same counts in all sources are one
-  profile with a multiplicity.  Profiles give the cells (count here, count there)
-  in which both sources have the term; cells with a zero on one side follow from
-  the sources' own histograms, and the cell of two zeros is what is left of V.
-
-A term's profile has as many entries as its language has sources, which is also
-how long a row of the pair report is; nothing grows with documents in one task.
-All arithmetic is in whole numbers.
+* **Pairs of sources.**  Only pairs of sources that both have a term are formed,
+  from its profile of (source, count).  Each adds what ``f`` of the two counts has
+  over ``f`` with a zero on one side; these come from the sources' own histograms,
+  and terms that neither has from V.
+
+Tasks count their own rows before anything is shuffled, in tables of bounded
+size.  A term's profile has as many entries as its language has sources, which is
+also how long a row of the pair report is; nothing grows with documents in one
+task.  All arithmetic is in whole numbers.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tradeledger.llm.common import checkpointed
+from tradeledger.llm.common import checkpointed, in_slices
 
 LEAST = 10          # documents of its language that a kept term is in
 TOP = 10            # ranks of the term report
 SCALE = 1_000_000_000
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_NO_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_HELD = 300_000     # counts that a task holds before it sends them on
+
+#: Bytes of text to bytes of terms: A-Z folded, other ASCII characters to blanks.
+_FOLDED = bytes(c | 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
+
+
+def terms(text: bytes) -> list[bytes]:
+    """All terms of a text (UTF-8) in order, repeats included."""
+    return text.translate(_FOLDED).split()
 
 
-def terms(text: Column) -> Column:
-    """All terms of a text in order, repeats included."""
-    return F.filter(F.split(F.translate(text, _UPPER, _LOWER), _NO_TERM), lambda t: t != "")
+def _partial(batches):
+    """``lang, source, term, n, df`` of the rows ``lang, source, text`` of a task, as often as its tables fill up."""
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+
+    def emit():
+        for (lang, source), (uses, docs) in held.items():
+            found = list(uses)
+            for start in range(0, len(found), 100_000):
+                part = found[start:start + 100_000]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([lang] * len(part), pa.string()), pa.array([source] * len(part), pa.string()), pa.array(part, pa.binary()).cast(pa.string()),
+                    pa.array([uses[t] for t in part], pa.int64()), pa.array([docs[t] for t in part], pa.int64())], names=["lang", "source", "term", "n", "df"])
+        held.clear()
+
+    for batch in batches:
+        for part in in_slices([batch], "text", 4_000_000):
+            for lang, source, text in zip(*(part.column(c).to_pylist() for c in ("lang", "source", "text"))):
+                found = terms(text.encode())
+                uses, docs = held[lang, source]
+                uses.update(found)
+                docs.update(set(found))
+            if sum(len(uses) for uses, _ in held.values()) > _HELD:
+                yield from emit()
+    yield from emit()
 
 
 def _share(count: str, total: str, v: str) -> Column:
@@ -53,58 +85,53 @@ def _f(p: str, q: str) -> Column:
 
 def counted(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = LEAST) -> DataFrame:
     """``lang, term, total, profile``: kept terms with their count in the language and ``profile`` = [(source, n)] of its sources, in order."""
-    words = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"))),
-                        terms(F.coalesce(F.col(text), F.lit(""))).alias("words"))
-    # Each occurrence is a row; each different term of a document adds one more that counts the document.
-    rows = words.select("lang", "source", F.explode(F.expr(
-        "concat(transform(words, t -> struct(t AS term, 0L AS doc)), transform(array_distinct(words), t -> struct(t AS term, 1L AS doc)))")).alias("w"))
-    uses = rows.groupBy("lang", "w.term", "source").agg(F.sum(F.expr("1L - w.doc")).alias("n"), F.sum("w.doc").alias("df"))
+    rows = docs.select(*(F.make_valid_utf8(F.coalesce(F.col(c), F.lit(""))).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))))
+    # One shuffle serves both groupings.
+    uses = rows.mapInArrow(_partial, "lang string, source string, term string, n bigint, df bigint").repartition("lang", "term")
     return (
-        uses.groupBy("lang", "term")
+        uses.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+        .groupBy("lang", "term")
         .agg(F.sum("n").alias("total"), F.sum("df").alias("df"), F.array_sort(F.collect_list(F.struct("source", "n"))).alias("profile"))
         .where(F.col("df") >= least).drop("df")
     )
 
 
 def _evaluated(cells: DataFrame) -> DataFrame:
-    """Rows ``a, n_a, b, n_b`` of a language with ``f`` of the two shares."""
+    """Cells with ``f`` of the group's share and the language's."""
     return cells.withColumn("p", _share("n_a", "total_a", "v")).withColumn("q", _share("n_b", "total_b", "v")).withColumn("f", _f("p", "q"))
 
 
 def _pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
-    """``lang, source, item, value`` for every ordered pair of sources of a language."""
-    other = groups.select("lang", F.col("source").alias("item"), F.col("total").alias("total_b"))
-    pairs = groups.withColumnRenamed("total", "total_a").join(other, "lang").where("source <> item")
-    profiles = kept.groupBy("lang", "profile").agg(F.count("*").alias("m"))
-    one = profiles.select("lang", "m", "profile", F.explode("profile").alias("a"))
-    both = (
-        one.select("lang", "m", "a", F.explode("profile").alias("b")).where("a.source <> b.source")
-        .groupBy("lang", F.col("a.source").alias("source"), F.col("b.source").alias("item"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"))
-        .agg(F.sum("m").alias("m"))
-    )
-    own = one.groupBy("lang", F.col("a.source").alias("source"), F.col("a.n").alias("n")).agg(F.sum("m").alias("m"))
-    # Cells with a zero on one side: a source's own histogram less what the other source shares of it.
-    here = pairs.select("lang", "source", "item").join(own.withColumnRenamed("n", "n_a"), ["lang", "source"]).withColumn("n_b", F.lit(0).cast("bigint"))
-    there = (
-        pairs.select("lang", "source", "item").join(own.select("lang", F.col("source").alias("item"), F.col("n").alias("n_b"), "m"), ["lang", "item"])
-        .withColumn("n_a", F.lit(0).cast("bigint"))
-    )
-    columns = ["lang", "source", "item", "n_a", "n_b", "m"]
-    cells = (
-        both.select("lang", "source", "item", F.inline(F.expr(
-            "array(struct(n_a, n_b, m), struct(n_a, 0L AS n_b, -m AS m), struct(0L AS n_a, n_b, -m AS m))")))
-        .unionByName(here.select(columns)).unionByName(there.select(columns))
-        .groupBy("lang", "source", "item", "n_a", "n_b").agg(F.sum("m").alias("m"))
+    """``lang, source, item, value`` for every ordered pair of sources of a language.
+
+    With ``p0`` for the share of a term that a source lacks, a term of counts above
+    zero on both sides adds ``f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0)`` to what the
+    histograms of the two sources give.
+    """
+    shares = groups.where("v > 0").withColumn("none", F.lit(0)).withColumn("p0", _share("none", "total", "v")).select("lang", "source", "total", "v", "p0")
+    uses = kept.select("lang", "term", F.explode("profile").alias("g")).select("lang", "term", "g.source", "g.n")
+    profiles = (
+        uses.join(shares, ["lang", "source"]).withColumn("p", _share("n", "total", "v"))
+        .groupBy("lang", "term").agg(F.collect_list(F.struct("source", "p", "p0")).alias("profile"))
     )
-    valued = _evaluated(cells.join(pairs, ["lang", "source", "item"]))
-    summed = valued.groupBy("lang", "source", "item").agg(F.sum(F.expr("f * m")).alias("value"), F.sum("m").alias("met"))
-    # What is left of V has no occurrence on either side; a pair of sources without kept terms has only that.
-    left = pairs.withColumn("n_a", F.lit(0).cast("bigint")).withColumn("n_b", F.lit(0).cast("bigint")).where("v > 0")
-    left = _evaluated(left).select("lang", "source", "item", "f", "v")
-    return (
-        pairs.select("lang", "source", "item").join(left, ["lang", "source", "item"], "left").join(summed, ["lang", "source", "item"], "left")
-        .select("lang", "source", "item", F.expr("coalesce(value, 0L) + coalesce(f * (v - coalesce(met, 0L)), 0L)").alias("value"))
+    gain = " ".join(f"{sign} (({a} - {b}) * ({a} - {b})) div ({a} + {b})" for sign, a, b in
+                    (("", "a.p", "b.p"), ("-", "a.p", "b.p0"), ("-", "a.p0", "b.p"), ("+", "a.p0", "b.p0")))
+    both = (
+        profiles.select("lang", "profile", F.explode("profile").alias("a")).select("lang", "a", F.explode("profile").alias("b")).where("a.source <> b.source")
+        .groupBy("lang", F.col("a.source").alias("source"), F.col("b.source").alias("item")).agg(F.sum(F.expr(gain)).alias("value"))
     )
+    pairs = groups.select("lang", "source").join(groups.select("lang", F.col("source").alias("item")), "lang").where("source <> item")
+    mine = shares.select("lang", "source", "v", "p0")
+    yours = shares.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0"))
+    known = pairs.join(mine, ["lang", "source"], "left").join(yours, ["lang", "item"], "left")
+    bare = "((p0 - q0) * (p0 - q0)) div (p0 + q0)"
+    own = uses.groupBy("lang", "source", "n").agg(F.count("*").alias("m")).join(shares, ["lang", "source"]).select(
+        "lang", "source", _share("n", "total", "v").alias("p"), "m")
+    here = known.join(own, ["lang", "source"]).select("lang", "source", "item", F.expr(f"m * (((p - q0) * (p - q0)) div (p + q0) - {bare})").alias("value"))
+    there = known.join(own.withColumnRenamed("source", "item"), ["lang", "item"]).select(
+        "lang", "source", "item", F.expr(f"m * (((p - p0) * (p - p0)) div (p + p0) - {bare})").alias("value"))
+    base = known.select("lang", "source", "item", F.expr(f"coalesce(v * ({bare}), 0L)").alias("value"))
+    return base.union(here).union(there).unionByName(both).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
 
 def _leading(kept: DataFrame, groups: DataFrame, langs: DataFrame, top: int) -> DataFrame:
@@ -133,7 +160,7 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     terms has pairs of value 0; one with a single source has none; an empty table
     gives no rows.  Other columns of ``docs`` play no part, whatever their names.
     """
-    seen = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source")))).distinct()
+    seen = docs.select(*(F.make_valid_utf8(F.coalesce(F.col(c), F.lit(""))).alias(n) for c, n in ((lang, "lang"), (source, "source")))).distinct()
     kept = checkpointed(counted(docs, text, lang, source, least))
     langs = kept.groupBy("lang").agg(F.sum("total").alias("total"), F.count("*").alias("v"))
     totals = kept.select("lang", F.explode("profile").alias("g")).groupBy("lang", F.col("g.source").alias("source")).agg(F.sum("g.n").alias("total"))

@@ -26,6 +26,8 @@ a word for each level, and there are levels only as far as some stretch repeats.
 
 from __future__ import annotations
 
+from itertools import chain, count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -238,9 +240,9 @@ def _searched(texts: list[bytes], least: int):
     words = [t.split() for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
     first = np.cumsum(sizes) - sizes
-    numbers: dict[bytes, int] = {}
-    number = numbers.setdefault
-    flat = np.fromiter((number(w, len(numbers)) for part in words for w in part), np.int64, int(sizes.sum()))
+    every = list(chain.from_iterable(words))
+    numbers = dict(zip(dict.fromkeys(every), count()))
+    flat = np.fromiter(map(numbers.__getitem__, every), np.int64, len(every))
     owner = np.repeat(np.arange(len(texts)), sizes)
     start, length, period = runs_of(owner, flat, least)
     whose = owner[start] if len(start) else start
