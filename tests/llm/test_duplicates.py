@@ -9,7 +9,7 @@ import xxhash
 import corpus_pipeline
 from conftest import SMALL
 from text_helpers import documents, package  # noqa: F401
-from tradeledger.llm import embeddings, near_copies, simhash
+from tradeledger.llm import embeddings, simhash
 from tradeledger.llm.components import components
 
 
@@ -91,6 +91,23 @@ def test_simhash_is_brute_force(spark, crowd):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_one_row_of_each_class_stays(spark):
+    rows = some_texts() + [(None, None), (None, "an own class " * 5), (None, "an own class " * 5)]
+    frame = spark.createDataFrame([(*r, 1, "x", 2.0) for r in rows], "doc_id long, text string, fp int, component_id string, `class` double").repartition(3)
+    got = simhash.representatives(frame)
+    assert got.columns == frame.columns
+    prints = {t: plain_fingerprint(t) for _, t in rows}
+    nodes = sorted(set(prints.values()))
+    found = classes(nodes, [(a, b) for a in nodes for b in nodes if a < b and (a ^ b).bit_count() <= 2])
+    least = {}
+    for i, t in rows:
+        least[found[prints[t]]] = min(9e9 if i is None else i, least.get(found[prints[t]], 9e9))
+    kept = got.collect()
+    assert sorted((found[prints[r.text]], 9e9 if r.doc_id is None else r.doc_id) for r in kept) == sorted(least.items())
+    assert {(r.fp, r.component_id, r["class"]) for r in kept} == {(1, "x", 2.0)}
+    assert simhash.representatives(frame.limit(0)).count() == 0
+
+
 def test_close_fingerprints_survive_refining(spark):
     """Thousands of values that share 32 bits, far more than a crowd."""
     rng = np.random.default_rng(1)
@@ -133,36 +150,6 @@ def test_recall_on_the_test_table(spark):
     assert sum(r.n_links for r in embeddings.near_duplicates(table).collect()) >= 0.9 * links
 
 
-def plain_shingles(text):
-    words = (text or "").encode().lower().split()
-    return frozenset(b" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
-
-
-@pytest.mark.parametrize("crowd", [512, 3])
-def test_near_copies_are_brute_force(spark, documents, crowd):
-    rng = random.Random(4)
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
-    base, line = [f"w{i}" for i in range(120)], [f"license{i}" for i in range(25)]
-    for i in range(40):             # a few words of each copy are edited, some share a long line only
-        text = list(base)
-        for k in rng.sample(range(120), rng.choice([1, 2, 3, 5, 9])):
-            text[k] = f"x{i}"
-        rows += [(1000 + i, " ".join(text)), (2000 + i, " ".join([f"y{i}.{k}" for k in range(rng.randint(3, 60))] + line))]
-    rows += [(3000, None), (3001, " "), (3002, "one two"), (3003, "One  two"), (None, "one two three"), (None, "ONE two three"), (1000, "another text of the same id here")]
-    sets = [plain_shingles(t) for _, t in rows]
-    near = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] == sets[j] or sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
-    found = classes(range(len(rows)), near)
-    want = {}
-    for k, (i, _) in enumerate(rows):
-        want[found[k]] = min(want.get(found[k], 9e9), 9e9 if i is None else i)
-    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
-    docs = documents(rows).repartition(5)
-    got = (stage(spark, docs, SMALL) if crowd == 512 else near_copies.representatives(docs, crowd=crowd))
-    assert got.columns == docs.columns
-    assert sorted(9e9 if r.doc_id is None else r.doc_id for r in got.collect()) == sorted(want.values())
-    assert len([x for x in near if sets[x[0]] != sets[x[1]]]) > 20
-
-
 def test_classes_that_share_an_id_all_stay(spark, documents):
     rows = [(7, "one text of this id " * 6), (7, "quite another one with the same " * 6), (7, "one text of this id " * 6), (9, "Quite another one with the same " * 6)]
     got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, documents(rows), SMALL).collect()

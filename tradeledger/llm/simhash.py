@@ -67,6 +67,10 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp") -> D
     return docs.select(*kept, text).mapInArrow(apply, schema)
 
 
+def _sound(text: F.Column) -> F.Column:
+    return F.make_valid_utf8(text).alias("text")
+
+
 def _keys(bits: int, value: str, salt: str) -> F.Column:
     """For each two of four fields of ``bits`` bits of ``value``: a key of their place and content."""
     mask = (1 << bits) - 1
@@ -204,20 +208,40 @@ def link_prints(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     return grouped.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_compare, "a bigint, b bigint")
 
 
+def _classes(docs: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """The documents ``doc_id, fp``, and for each fingerprint ``fp, class, component_id``."""
+    prints = checkpointed(with_fingerprint(docs))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    found = components(link_prints(nodes.select("fp"), crowd))
+    classes = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("class"))
+    named = classes.groupBy("class").agg(F.min("first").alias("component_id"))
+    return prints, classes.select("fp", "class").join(named, "class")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
     """One row per document: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id
     reachable), ``class`` (the smallest fingerprint reachable, as a long).
 
     A null text counts as empty; texts without words have fingerprint zero and
-    link like any other.  Repeated rows come back repeated.  Null ids are never
-    the smallest of a class that has another.  ``docs`` may have other columns.
+    link like any other.  Bytes that are no UTF-8 count as U+FFFD.  Repeated rows
+    come back repeated.  Null ids are never the smallest of a class that has
+    another.  ``docs`` may have other columns.
     """
-    prints = checkpointed(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = components(link_prints(nodes.select("fp"), crowd))
-    classes = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("class"))
-    named = classes.groupBy("class").agg(F.min("first").alias("component_id"))
-    return (
-        prints.join(classes.select("fp", "class").join(named, "class"), "fp")
-        .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "class")
-    )
+    prints, classes = _classes(docs.select(docs[doc_id].alias("doc_id"), _sound(docs[text])), crowd)
+    return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "class")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
+    """One row of ``docs`` for each class of ``near_duplicates``: a row with the class's smallest id, or any row of a class without ids.
+
+    Rows of different classes that share an id all stay; repeated rows are one
+    class.  The columns are those of ``docs``, whatever their names.
+    """
+    rows = docs.select(docs[doc_id].alias("doc_id"), _sound(docs[text]), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+    _, classes = _classes(rows.select("doc_id", "text"), crowd)
+    classes = checkpointed(classes)
+    least = classes.select(F.col("component_id").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    chosen = rows.join(least, "doc_id", "left_semi").select("doc_id", "text", "row").union(rows.where("doc_id IS NULL").select("doc_id", "text", "row"))
+    printed = with_fingerprint(chosen).dropDuplicates(["doc_id", "fp"])         # copies of a row go before any join
+    kept = printed.join(classes, "fp").where("doc_id <=> component_id").dropDuplicates(["class"])
+    return kept.select(*(F.col(f"row.`{c}`") for c in docs.columns))
