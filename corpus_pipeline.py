@@ -8,10 +8,10 @@ Nulls, empty texts, repeated rows and empty tables have defined results:
   better than the next, go.  Without labelled rows nothing can be told apart,
   and everything goes.
 * ``quality``: texts that fail the rules or the likelihood threshold go.
-* ``near_duplicates`` (``near_copies``): texts whose five-word shingles have a
-  similarity of 0.8 or more are linked; of each class one document stays, that
-  with the smallest id; of a class without ids one of its rows.  Repeated rows
-  are one class; different texts with one id are not.
+* ``near_duplicates``: texts whose fingerprints (three-word shingles) differ in two
+  bits at most are linked; of each class one document stays, that with the
+  smallest id; of a class without ids one of its rows.  Repeated rows are one
+  class; rows of different classes with one id all stay.
 * ``packing``: one row per piece of a document in a window, with its ids.
 """
 
@@ -20,7 +20,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tradeledger.llm import language as lang
-from tradeledger.llm import near_copies as near
 from tradeledger.llm import packing as pack
 from tradeledger.llm import quality as qual
 from tradeledger.llm import simhash
@@ -45,24 +44,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return qual.judged(docs, model).where("kept").select(*docs.columns)
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    importable(spark)
-    return near.representatives(docs)
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document per class of op2's fingerprints, which only links texts that are all but equal.  Not a stage."""
     importable(spark)
-    found = simhash.near_duplicates(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = (
-        simhash.with_fingerprint(docs.where("doc_id IS NULL").withColumn("_text", F.col("text")), "_text", "_fp")
-        .withColumn("_fingerprint", F.lpad(F.lower(F.hex("_fp")), 16, "0"))
-        .join(found.where("component_id IS NULL").select(F.col("fingerprint").alias("_fingerprint"), F.col("class").alias("_class")).distinct(), "_fingerprint")
-        .dropDuplicates(["_class"])
-    )
-    return named.select(*docs.columns).union(nameless.select(*docs.columns))
+    return simhash.representatives(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +54,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack.packed(docs, added=True).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
 
 
-STAGES = [("language", language), ("quality", quality), ("near_duplicates", near_copies), ("packing", packing)]
+STAGES = [("language", language), ("quality", quality), ("near_duplicates", near_duplicates), ("packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
