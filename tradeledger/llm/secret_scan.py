@@ -213,7 +213,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -
     kinds = F.array(*(F.lit(r.kind) for r in rules))
     spans = F.transform(F.array_sort(F.concat(*each)), lambda s: F.struct(kinds[s["place"]].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     # Unpacked from a list of one, so that filters on the spans stay above the search.
-    return rows.select(*(F.col(f"row.`{c}`") for c in kept), F.inline(F.array(F.struct(spans.alias("spans")))))
+    found = rows.select("row", F.inline(F.array(F.struct(spans.alias("spans")))))
+    return found.select(*(F.col(f"row.`{c}`") for c in kept), "spans")
 
 
 def joined(spans: Column) -> Column:
