@@ -127,12 +127,13 @@ def _number(text: Column, blocks: int) -> Column:
 
 def index(docs: DataFrame, grams: Iterable[str], blocks: int, text: str = "text") -> DataFrame:
     """``gram, block, members``: for each of the ``grams`` (folded) the numbers of the block's texts that hold it, in order."""
-    folded = F.lower("t")
-    held = F.filter(F.array(*(F.when(F.contains(folded, F.lit(g)), F.lit(g)) for g in sorted(grams))), lambda g: g.isNotNull())
-    rows = docs.select(_text(text).alias("t")).select(_number(F.col("t"), blocks).alias("number"), held.alias("grams"))
+    held = F.filter(F.array(*(F.when(F.contains("folded", F.lit(g)), F.lit(g)) for g in sorted(grams))), lambda g: g.isNotNull())
+    # Folded once, in a step of its own.
+    rows = docs.select(_text(text).alias("t")).select(_number(F.col("t"), blocks).alias("number"), F.lower("t").alias("folded")).select("number", held.alias("grams"))
+    # An outer unpacking, as the plain one adds a filter on the list, which is pushed down to fold the text for every trigram.
     return (
-        rows.select(F.explode("grams").alias("gram"), F.expr(f"number div {BLOCK}").alias("block"), F.expr(f"CAST(number % {BLOCK} AS INT)").alias("member"))
-        .groupBy("gram", "block").agg(F.array_sort(F.collect_set("member")).alias("members"))
+        rows.select(F.explode_outer("grams").alias("gram"), F.expr(f"number div {BLOCK}").alias("block"), F.expr(f"CAST(number % {BLOCK} AS INT)").alias("member"))
+        .where("gram IS NOT NULL").groupBy("gram", "block").agg(F.array_sort(F.collect_set("member")).alias("members"))
     )
 
 
