@@ -330,6 +330,32 @@ def _paid_after(source: str, parent: str, code: str) -> str:
     FROM ({source}) WHERE nominal > 15"""
 
 
+def _cascade() -> str:
+    """Everything summed anew after the batch."""
+    four = lambda *values: ", ".join(f"CAST({v} AS DECIMAL(28,4)) AS value_{k}" for k, v in enumerate(values, 1))
+    sums = lambda rows, **named: f"(SELECT id, {', '.join(f'sum({e}) AS {n}' for n, e in named.items())} FROM ({rows}) GROUP BY id)"
+    lines = lambda kind: sums(f"SELECT doc_id AS id, subtotal, real_qty FROM m_after WHERE kind = {kind}", total="subtotal", qty="real_qty")
+    dear = "CASE WHEN price < 950 THEN CAST(price * 1.07 AS DECIMAL(12,2)) ELSE price END"
+    return f"""
+    SELECT 'orders' AS table_name, {_i('o.id', 'id')}, {four('coalesce(s.total, 0)', 'payment + 5 * lunas_id', 'coalesce(s.total, 0) - payment - 5 * lunas_id')}
+    FROM m_orders o LEFT JOIN {lines(1)} s ON s.id = o.id
+    UNION ALL SELECT 'special_orders', o.id, {four('coalesce(s.total, 0)', 'payments', 'coalesce(s.total, 0) - cash - payments')}
+    FROM m_special_orders o LEFT JOIN {lines(2)} s ON s.id = o.id
+    UNION ALL SELECT 'stocks', o.id, {four('coalesce(s.total, 0)', 'coalesce(p.paid, 0)', 'coalesce(s.total, 0) - cash - coalesce(p.paid, 0)')}
+    FROM m_stocks o LEFT JOIN {lines(4)} s ON s.id = o.id
+    LEFT JOIN {sums(_paid_after("SELECT * FROM m_instalments", "stock_id", "500000 * 16 + 4"), paid="nominal")} p ON p.id = o.id
+    UNION ALL SELECT 'grass', o.id, {four('coalesce(s.total, 0) - coalesce(x.cost, 0)', 'coalesce(s.qty, 0)', 'coalesce(x.cost, 0)')}
+    FROM m_grass o LEFT JOIN {lines(3)} s ON s.id = o.id
+    LEFT JOIN {sums("SELECT grass_id AS id, subtotal FROM m_costs_after", cost="subtotal")} x ON x.id = o.id
+    UNION ALL SELECT 'products', p.id, {four('p.opening', 'p.dear', 'p.opening + coalesce(s.moved, 0)')}
+    FROM (SELECT id, {dear} AS dear, CASE WHEN first_stock <= 25 THEN first_stock * 2 ELSE first_stock END AS opening FROM m_products) p
+    LEFT JOIN {sums("SELECT product_id AS id, CASE WHEN kind IN (3, 4) THEN real_qty ELSE -real_qty END AS moved FROM m_after", moved="moved")} s ON s.id = p.id
+    UNION ALL SELECT 'units', u.id, {four(
+        'CASE WHEN p.price < 950 THEN CAST(p.dear * content AS DECIMAL(18,2)) ELSE u.buy_price END',
+        'CASE WHEN p.price < 950 THEN CAST(p.dear * content + p.dear * content * margin AS DECIMAL(18,2)) ELSE u.price END', 'margin')}
+    FROM m_units u JOIN (SELECT id, price, {dear} AS dear FROM m_products) p ON p.id = u.product_id"""
+
+
 _STAMPS = f"SELECT table_name, {_i('id', 'id')}, {_PARTY} FROM "
 
 # every table's ids, and the declared references, for the constraint jobs
@@ -592,6 +618,7 @@ QUERIES = {
     "special_payments_delta": _totals("m_special_orders", _paid_after(
         "SELECT event_id, lunas_id, order_key * 16 + 2 AS order_id, amount AS nominal FROM m_events WHERE event_type = 'view'",
         "order_id", "16 + 2"), payments="nominal"),
+    "cascade_batch": _cascade(),
     "stock_on_hand_delta": f"""
         SELECT p.id, {_t('first_stock + coalesce(sum(CASE WHEN kind IN (3, 4) THEN real_qty ELSE -real_qty END), 0)', 'stock')}
         FROM m_products p LEFT JOIN m_after a ON a.product_id = p.id GROUP BY p.id, first_stock""",
