@@ -34,20 +34,25 @@ def cut_points(positions: DataFrame, keys: list[str], position: str, hot_rows: i
     return numbered.where(f"_n % {_FINE} = 0").groupBy(*keys).agg(F.array_sort(F.collect_set(position)).alias("cuts"))
 
 
-def bounded_cut_points(positions: DataFrame, keys: list[str], position: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The same in one pass, and few enough to broadcast: above ``MOST_CHUNKS * hot_rows`` rows chunks grow with the table.
+def bounded_cut_points(positions: DataFrame, keys: list[str], position: str, hot_rows: int = HOT_ROWS, size: DataFrame | None = None) -> DataFrame:
+    """The same from the sample alone, and few enough to broadcast: above ``MOST_CHUNKS * hot_rows`` rows chunks grow with the table.
 
-    A key's sampled positions, one in ``hot_rows / _FINE``, meet in one row.
+    Positions are sampled before anything moves, by a hash that needs no key, so
+    that the sample is taken at the scan, below any join that finds the key.  A key
+    is large if its sampled positions, ``_FINE`` per ``hot_rows`` rows, say so; they
+    meet in one row.  A key with fewer than a chunk's samples is not listed.
+    ``size`` has as many rows as ``positions`` or more, and is only counted.
     """
     rate = max(1, hot_rows // _FINE)
     fine = max(1, min(_FINE, hot_rows))
-    sampled = F.when(F.pmod(F.xxhash64(*keys, position, F.lit(17)), F.lit(rate)) == 0, F.col(position))
-    sizes = positions.groupBy(*keys).agg(F.count("*").alias("_rows"), F.collect_list(sampled).alias("_sample"))
-    large = sizes.where(f"_rows > {hot_rows}")
-    # The sum looks at both columns, so that it shares the one pass over the positions.
-    total = large.agg(F.coalesce(F.sum(F.when(F.size("_sample") >= 0, F.col("_rows"))), F.lit(0)).alias("n")).scalar()
-    large = large.withColumn("_wide", F.ceil(F.greatest(F.lit(1.0), total / F.lit(float(MOST_CHUNKS * hot_rows)))).cast("int"))
-    return large.select(*keys, F.expr(f"filter(array_sort(_sample), (x, i) -> (i + 1) % ({fine} * _wide) = 0)").alias("cuts"))
+    sampled = positions.where(F.pmod(F.xxhash64(position, F.lit(17)), F.lit(rate)) == 0) if rate > 1 else positions
+    total = (positions if size is None else size).agg(F.count(F.lit(1))).scalar()
+    wide = F.ceil(F.greatest(F.lit(1.0), total / F.lit(float(MOST_CHUNKS * hot_rows)))).cast("int")
+    return (
+        sampled.groupBy(*keys).agg(F.collect_list(position).alias("_sample")).withColumn("_wide", wide)
+        .where(f"size(_sample) * {rate}L > {hot_rows} AND size(_sample) >= {fine} * _wide")
+        .select(*keys, F.expr(f"filter(array_sort(_sample), (x, i) -> (i + 1) % ({fine} * _wide) = 0)").alias("cuts"))
+    )
 
 
 def chunk(position: str, cuts: str = "cuts") -> Column:

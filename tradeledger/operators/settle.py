@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tradeledger.functions.text import joined
-from tradeledger.operators.running import HOT_ROWS, running
+from tradeledger.operators.running import HOT_ROWS, following
 from tradeledger.sources.tables import Tables
 
 c = F.col
@@ -33,9 +33,7 @@ def _carry_over(settlements: DataFrame, like: DataFrame, new_id: Column, closed_
 
 def _with_next(settlements: DataFrame, hot_rows: int) -> DataFrame:
     """Adds ``_next``: the customer's next settlement id, null for the last."""
-    numbered = running(settlements, ["customer_id"], ["id"], {"_n": F.lit(1).cast("bigint")}, hot_rows)
-    following = numbered.select("customer_id", (c("_n") - 1).alias("_n"), c("id").alias("_next"))
-    return numbered.join(following, ["customer_id", "_n"], "left").drop("_n")
+    return following(settlements, ["customer_id"], "id", "_next", hot_rows)
 
 
 def apply_settlements(t: Tables, settlements: DataFrame, new_id: Column, hot_rows: int = HOT_ROWS) -> Tables:

@@ -41,10 +41,15 @@ _PARTY = ["customer_id", "lunas_id"]
 def _line_keys(t, details: str, parent: str, heads: str, branch: int) -> DataFrame:
     """Where lines stand in a ledger: their document's party and their own id, without names and amounts."""
     held = t.columns(heads, "id", *_PARTY).withColumnRenamed("id", "doc_id")
-    lines = t.columns(details, parent, "id").select(c(parent).alias("doc_id"), c("id").alias("line_id"))
+    lines = t.positions(details, parent, "id").select(c(parent).alias("doc_id"), c("id").alias("line_id"))
     return lines.join(held, "doc_id").selectExpr(*_PARTY, "doc_id", f"{branch} AS branch", "line_id")
 
 
+def _size(t, *names: str) -> DataFrame:
+    """A row per row of the tables."""
+    return _union([t.positions(n, "id") for n in names])
+
+
 _LINE_COLUMNS = ["CAST(line_id AS bigint) AS line_id", f"CAST(qty AS {LINE}) AS qty", "unit_name AS unit",
                  f"CAST(price AS {LINE}) AS price"]
 _NO_LINE = ["0L AS line_id", f"{nought(LINE)} AS qty", "'-' AS unit", f"{nought(LINE)} AS price"]
@@ -79,7 +84,8 @@ def customer_line_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
         t.columns(name, "id", *_PARTY).selectExpr(*_PARTY, "id AS doc_id", f"{branch} AS branch", "0L AS line_id")
         for name, branch in (("kasbons", 1), ("orders", 3), ("payments", 5))])
     ledger = running(rows, ["customer_id", "lunas_id"], ["doc_id", "branch", "line_id"],
-                     {"row_no": F.lit(1).cast("bigint"), "exact": c("debt") - c("exact_cred")}, hot_rows, keys)
+                     {"row_no": F.lit(1).cast("bigint"), "exact": c("debt") - c("exact_cred")}, hot_rows, keys,
+                     _size(t, "order_details", "grass_details", "kasbons", "orders", "payments"))
     return ledger.selectExpr(
         "customer_id", "lunas_id", "row_no", "doc_id", "branch", "line_id", "trx_date", "descriptions", "title",
         "qty", "unit", "price", "debt", f"{rounded('exact_cred')} AS cred", f"{rounded('exact', TOTAL)} AS balance")
@@ -97,7 +103,7 @@ def customer_doc_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
         shape(t.payments, "payment_date", "0", "total"),
     ])
     keys = _union([t.columns(name, *_PARTY, "id") for name in ("orders", "kasbons", "grass", "payments")])
-    return _with_balance(rows, _PARTY, ["id"], hot_rows, keys)
+    return _with_balance(rows, _PARTY, ["id"], hot_rows, keys, _size(t, "orders", "kasbons", "grass", "payments"))
 
 
 def special_line_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -122,7 +128,7 @@ def special_line_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
         t.columns("special_orders", *_PARTY, "id").selectExpr(*_PARTY, "id AS doc_id", "2 AS branch", "0L AS line_id"),
         t.special_payments.selectExpr(*_PARTY, "order_id AS doc_id", "3 AS branch", "id AS line_id"),
     ])
-    return _with_balance(rows, _PARTY, ["doc_id", "branch", "line_id"], hot_rows, keys)
+    return _with_balance(rows, _PARTY, ["doc_id", "branch", "line_id"], hot_rows, keys, _size(t, "special_details", "special_orders", "special_payments"))
 
 
 def special_doc_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -135,7 +141,7 @@ def special_doc_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
         shape(t.special_payments, "pay_num", "payment_at", "0", "nominal"),
     ])
     keys = _union([t.columns(name, *_PARTY, "id") for name in ("special_orders", "special_payments")])
-    return _with_balance(rows, _PARTY, ["id"], hot_rows, keys)
+    return _with_balance(rows, _PARTY, ["id"], hot_rows, keys, _size(t, "special_orders", "special_payments"))
 
 
 # ---- suppliers and products -------------------------------------------
@@ -151,7 +157,7 @@ def supplier_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
         shape(t.stock_payments.join(owner, "stock_id"), "pay_num", "pay_date", "0", "nominal"),
     ])
     keys = _union([t.columns("stocks", "supplier_id", "id"), t.columns("stock_payments", "stock_id", "id").join(owner, "stock_id").select("supplier_id", "id")])
-    return _with_balance(rows, ["supplier_id"], ["id"], hot_rows, keys)
+    return _with_balance(rows, ["supplier_id"], ["id"], hot_rows, keys, _size(t, "stocks", "stock_payments"))
 
 
 def product_stock_card(t, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -184,12 +190,12 @@ def product_stock_card(t, hot_rows: int = HOT_ROWS) -> DataFrame:
         moves(t.special_details, "order_id", "special_orders", "customer_id", "created_at",
               ["surat_jalan", "surat_jalan"], t.customers, False),
     ])
-    keys = _union([df.select("product_id", "id") for df in
-                   (t.stock_details, t.grass_details, t.order_details, t.special_details)])
-    card = running(rows, ["product_id"], ["id"], {"balance": c("real_qty")}, hot_rows, keys)
+    lines = ("stock_details", "grass_details", "order_details", "special_details")
+    keys = _union([t.positions(name, "product_id", "id") for name in lines])
+    card = running(rows, ["product_id"], ["id"], {"balance": c("real_qty")}, hot_rows, keys, _size(t, *lines))
     return card.withColumn("balance", c("balance").cast(TOTAL))
 
 
-def _with_balance(rows: DataFrame, parts: list[str], order: list[str], hot_rows: int, keys: DataFrame) -> DataFrame:
-    out = running(rows, parts, order, {"balance": c("debt") - c("cred")}, hot_rows, keys)
+def _with_balance(rows: DataFrame, parts: list[str], order: list[str], hot_rows: int, keys: DataFrame, size: DataFrame) -> DataFrame:
+    out = running(rows, parts, order, {"balance": c("debt") - c("cred")}, hot_rows, keys, size)
     return out.withColumn("balance", c("balance").cast(TOTAL))

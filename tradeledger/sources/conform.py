@@ -71,6 +71,10 @@ _PAID = (f"CASE o_orderstatus WHEN 'F' THEN coalesce(total, {nought()}) "
 _CLOSED = "CAST(IF(o_orderdate < timestamp_ntz '1998-01-01 00:00:00', 1, 0) AS bigint) AS lunas_id"
 _NO_TEXT = "CAST(NULL AS string)"
 
+# Line tables: their kind, and the column of their document.
+_LINES = {"order_details": (ORDER, "order_id"), "special_details": (SPECIAL, "order_id"),
+          "grass_details": (PURCHASE, "grass_id"), "stock_details": (RECEIPT, "stock_id")}
+
 # What headers have without their lines and payments.
 _HEADS = {
     "orders": (ORDER, ["o_custkey AS customer_id", "o_orderdate AS order_date",
@@ -94,6 +98,11 @@ def _doc(key: str, code: int, n: str = "0") -> str:
     return f"{key} * 16 + {code}"
 
 
+def _line(key: str, code: int) -> str:
+    """Below the ids of a document's lines, above those of earlier ones."""
+    return f"({key} * 4 + {code - 1}) * {_LINES_PER_DOCUMENT}L"
+
+
 def _test_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TEST_TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
@@ -133,7 +142,7 @@ class Conformed(Tables):
         discounted = code in (ORDER, RECEIPT)
         lines = numbered.selectExpr(
             "l_orderkey AS order_key", f"{_doc('l_orderkey', code, 'receipt')} AS doc_id",
-            f"(l_orderkey * 4 + {code - 1}) * {_LINES_PER_DOCUMENT}L + n AS id",
+            f"{_line('l_orderkey', code)} + n AS id",
             "l_partkey AS product_id",
             f"l_partkey * 3 + {_STEP} AS unit_id",
             f"elt({_STEP} + 1, 'pcs', 'pak', 'ls') AS unit_name",
@@ -174,6 +183,14 @@ class Conformed(Tables):
     def _grass_costs(self) -> DataFrame:
         return self.cost_lines().drop("tax", "rate", "product_id")
 
+    def positions(self, name: str, *columns: str) -> DataFrame:
+        """Lines stand where their order's lines begin; numbering them would take a shuffle."""
+        if name not in _LINES:
+            return self.columns(name, *columns)
+        code, parent = _LINES[name]
+        return self.raw("lineitem").where(KINDS[code]).selectExpr(
+            f"{_doc('l_orderkey', code)} AS {parent}", f"{_line('l_orderkey', code)} AS id", "l_partkey AS product_id").select(*columns)
+
     # ---- headers -------------------------------------------------------
 
     def _sums(self, code: int) -> DataFrame:

@@ -28,6 +28,10 @@ class Tables:
         """Some columns of a table.  Sources that compute their tables can leave out what other columns need."""
         return getattr(self, name).select(*columns)
 
+    def positions(self, name: str, *columns: str) -> DataFrame:
+        """Columns that place rows, for cut points: exact, or near where a source would have to compute them."""
+        return self.columns(name, *columns)
+
     def names(self) -> list[str]:
         return list(self._makers)
 
