@@ -3,11 +3,12 @@
 BM25 counts documents and their mean length over the whole table; terms are the
 token ids.  Documents are given to shards by content: a tree of hyperplanes
 through projected BM25 weights, learned from a sample of up to ``SAMPLE``
-documents, puts those that share heavy terms next to each other, and shards are
-runs of up to ``SHARD`` documents in that order, which also cuts leaves that are
-too large.  The token ids are staged once; one shuffle brings a shard together.
-A seed is ranked against its own shard: how many of the nearest documents of the
-whole table that reaches is measured in ``README.md``.
+documents, puts those that share heavy terms next to each other.  The sample also
+tells how much of the table each leaf holds, so a document's place in the leaf
+(copies: a hash of its number) tells its place in the table and its shard, in one
+pass and without a look at the others.  The token ids are staged once; one shuffle
+brings a shard together.  A seed is ranked against its own shard: how many of the
+nearest documents of the whole table that reaches is measured in ``README.md``.
 
 A document fills as many whole windows as it can alone.  What is left over
 seeds a window: the index ranks the shard's unused documents for it, and their
@@ -15,16 +16,17 @@ leftovers fill the window in that order.  The one that no longer fits is cut;
 its rest seeds the next window.  So only the last window of a shard is padded.
 Ties go to the document that comes first.
 
-Ids are those of the ``tokenizers`` library for the same vocabulary; they are
-computed with ``tiktoken``, which gives the same ids in a quarter of the time.
-With ``added``, tokens that the vocabulary's JSON file adds (``<|endoftext|>``)
-are one id where a text spells them, as that library has it by default; without,
-they are text like any other.
+Ids are those of the ``tokenizers`` library for the same vocabulary, computed with
+``tiktoken``, which gives the same ids in a quarter of the time; long runs, of blanks
+or of anything else, are encoded by ``byte_bpe``, whose work is linear.  With ``added``, tokens that the vocabulary's
+JSON file adds (``<|endoftext|>``) are one id where a text spells them, as that
+library has it by default; without, they are text like any other.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 from pathlib import Path
 
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tradeledger.llm.byte_bpe import read_ranks
+from tradeledger.llm.byte_bpe import coder, read_ranks
 from tradeledger.llm.common import importable
 from tradeledger.sources.sinks import staging_path
 
@@ -43,6 +45,10 @@ SHARD_TOKENS = 8_000_000    # a shard closes here too
 SAMPLE = 65_536             # documents that the tree is learned from
 _LEAF, _DIMENSIONS = 32, 64
 END = 0                     # id after each document
+PIECE = 500                 # pieces from so many characters on are encoded by ``byte_bpe``
+LONG = 50_000               # texts from so many characters on are looked at for runs of ``_RUN``
+_RUN = r"\s{20000}|\w{20000}|[^\s\w]{20000}"
+_COMMON = 8                 # terms that one in so many documents of a shard holds are scored for all pairs at once
 _K1, _B = 1.2, 0.75
 
 
@@ -56,10 +62,41 @@ def _encoding(name: str):
     return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(public_tokenizers.path(name)), special_tokens=added)
 
 
-def token_ids(encoding, text: str, added: bool) -> list[int]:
-    if added and any(x in text for x in encoding.special_tokens_set):
-        return encoding.encode(text, allowed_special="all")
-    return encoding.encode_ordinary(text)
+class Encoder:
+    """Texts to ids as little-endian unsigned 32-bit bytes."""
+
+    def __init__(self, name: str):
+        import public_tokenizers
+        import regex
+
+        self.name, self.encoding = name, _encoding(name)
+        self.added = sorted(self.encoding.special_tokens_set)
+        self.pieces = regex.compile(public_tokenizers.PATTERN).findall
+
+    def _long(self, text: str) -> bytes:
+        """Piece by piece: the library's own patterns overflow on a run of a million blanks."""
+        small = self.encoding.encode_ordinary
+        ids: list[int] = []
+        for piece in self.pieces(text):
+            ids += small(piece) if len(piece) < PIECE else coder(self.name)[0].encode_piece(piece.encode())
+        return np.array(ids, "<u4").tobytes()
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a text; tokens that the JSON file adds are text like any other."""
+        if len(text) >= LONG and re.search(_RUN, text):
+            return self._long(text)
+        return self.encoding.encode_to_numpy(text, disallowed_special=()).tobytes()
+
+    def __call__(self, text: str, added: bool) -> bytes:
+        if not added or not any(x in text for x in self.added):
+            return self.plain(text)
+        parts = re.split(f"({'|'.join(map(re.escape, self.added))})", text)
+        return b"".join(np.array([self.encoding.encode_single_token(p)], "<u4").tobytes() if p in self.added else self.plain(p) for p in parts)
+
+
+@lru_cache(maxsize=2)
+def encoder(name: str) -> Encoder:
+    return Encoder(name)
 
 
 class Corpus:
@@ -75,13 +112,19 @@ class Corpus:
         return self.idf[terms] * tf * (_K1 + 1) / (tf + _K1 * (1 - _B + _B * lengths / self.mean))
 
 
-def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different ids in order, and how often each occurs."""
-    if not len(ids):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ordered = np.sort(ids.astype(np.uint16)) if ids.max() < 1 << 16 else np.sort(ids)   # radix sort
-    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    return ordered[first].astype(np.int64), np.diff(np.r_[first, len(ids)])
+def terms_of(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(document, term, count)`` of the different ids of each document, in order."""
+    sizes = np.array([len(d) for d in documents], np.int64)
+    flat = np.concatenate(documents) if len(documents) else np.zeros(0, "<u4")
+    narrow = len(documents) < 1 << 16 and (not len(flat) or flat.max() < 1 << 16)
+    kind, shift = (np.uint32, 16) if narrow else (np.uint64, 32)
+    key = np.repeat(np.arange(len(documents), dtype=kind) << kind(shift), sizes)
+    key |= flat.astype(kind)
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(key)))
+    key = key[first]
+    return (key >> kind(shift)).astype(np.int64), (key & kind((1 << shift) - 1)).astype(np.int64), counts
 
 
 class Index:
@@ -90,27 +133,36 @@ class Index:
     def __init__(self, documents: list[np.ndarray], corpus: Corpus | None = None):
         n = len(documents)
         lengths = np.array([len(d) for d in documents], float)
-        terms, counts = map(list, zip(*map(terms_of, documents)))
-        owner = np.repeat(np.arange(n), [len(t) for t in terms])
-        flat = np.concatenate(terms)
+        owner, flat, counts = terms_of(documents)
         corpus = corpus or Corpus(n, lengths.mean(), np.bincount(flat, minlength=1))
         idf = corpus.idf
-        weight = corpus.weights(flat, np.concatenate(counts), lengths[owner])
+        weight = corpus.weights(flat, counts, lengths[owner])
         kept = idf[flat] > 0
-        order = np.argsort(flat[kept], kind="stable")
-        self.owner, self.weight = owner[kept][order], weight[kept][order]
-        self.starts = np.searchsorted(flat[kept][order], np.arange(len(idf) + 1))
-        self.terms = [t[idf[t] > 0] for t in terms]
+        owner, flat, weight = owner[kept], flat[kept], weight[kept]
+        held = np.bincount(flat, minlength=len(idf))
+        common = held * _COMMON >= n
+        # Common terms, whose lists are long, as one product of "holds it" by weight, rounded so that no order of summing shows.
+        place = np.cumsum(common) - 1
+        here = common[flat]
+        weights = np.zeros((n, int(common.sum())), np.float32)
+        weights[owner[here], place[flat[here]]] = weight[here]
+        self.shared = (weights > 0).astype(np.float32) @ weights.T
+        owner, flat, weight = owner[~here], flat[~here], weight[~here]
+        self.terms = np.split(flat, np.searchsorted(owner, np.arange(1, n)))
+        order = np.argsort(flat, kind="stable")
+        self.owner, self.weight = owner[order], weight[order]
+        self.starts = np.searchsorted(flat[order], np.arange(len(idf) + 1))
         self.size = n
 
     def scores(self, document: int) -> np.ndarray:
-        """Of every document for one as the query."""
+        """Of every document for one as the query, to three decimals."""
         terms = self.terms[document]
-        if not len(terms):
-            return np.zeros(self.size)
-        spans = list(zip(self.starts[terms].tolist(), self.starts[terms + 1].tolist()))
-        owner = np.concatenate([self.owner[a:b] for a, b in spans])
-        return np.bincount(owner, np.concatenate([self.weight[a:b] for a, b in spans]), self.size)
+        total = self.shared[document].astype(float)
+        if len(terms):
+            spans = list(zip(self.starts[terms].tolist(), self.starts[terms + 1].tolist()))
+            owner = np.concatenate([self.owner[a:b] for a, b in spans])
+            total += np.bincount(owner, np.concatenate([self.weight[a:b] for a, b in spans]), self.size)
+        return np.round(total, 3)
 
 
 def pack(documents: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
@@ -167,12 +219,10 @@ def _corpus(staged: DataFrame) -> Corpus:
     def apply(batches):
         df, n, length = np.zeros(1, np.int64), 0, 0
         for batch in batches:
-            for ids in _arrays(batch):
-                terms, _ = terms_of(ids)
-                if terms[-1] >= len(df):
-                    df = np.r_[df, np.zeros(terms[-1] + 1 - len(df), np.int64)]
-                df[terms] += 1
-                n, length = n + 1, length + len(ids)
+            documents = _arrays(batch)
+            here = np.bincount(terms_of(documents)[1], minlength=len(df))
+            here[:len(df)] += df
+            df, n, length = here, n + len(documents), length + sum(map(len, documents))
         held = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, held]), pa.array(np.r_[n, df[held]]), pa.array(np.r_[length, 0 * held])], names=["term", "df", "length"])
 
@@ -193,9 +243,11 @@ def vectors(documents: list[np.ndarray], corpus: Corpus) -> np.ndarray:
     """BM25 weights of each document in ``_DIMENSIONS`` random directions, of length one."""
     directions = _directions(len(corpus.idf))
     out = np.zeros((len(documents), _DIMENSIONS), np.float32)
-    for i, ids in enumerate(documents):
-        terms, counts = terms_of(ids)
-        out[i] = corpus.weights(terms, counts, len(ids)).astype(np.float32) @ directions[terms]
+    owner, terms, counts = terms_of(documents)
+    weights = corpus.weights(terms, counts, np.array([len(d) for d in documents], float)[owner]).astype(np.float32)
+    cuts = np.searchsorted(owner, np.arange(len(documents) + 1)).tolist()
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        out[i] = weights[a:b] @ directions[terms[a:b]]
     return out / np.maximum(np.linalg.norm(out, axis=1), 1e-9)[:, None]
 
 
@@ -218,6 +270,10 @@ class Tree:
             half = len(part) // 2
             self.cuts[k] = at[order[half]] if len(part) else 0
             parts += [part[order[:half]], part[order[half:]]]
+        leaf, at = self.place(sample)
+        by = np.lexsort((at, leaf))
+        #: Places of the sample in each leaf, ascending, told as those of any document.
+        self.ordered = [x for x in np.split(at[by], np.searchsorted(leaf[by], np.arange((1 << self.depth), (2 << self.depth) - 1)))]
 
     def place(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The leaf of each point, and its place in the leaf."""
@@ -238,16 +294,49 @@ def learned(staged: DataFrame, corpus: Corpus, sample: int = SAMPLE) -> Tree:
     return Tree(np.frombuffer(b"".join(found), np.float32).reshape(-1, _DIMENSIONS))
 
 
+class Map:
+    """Where a document stands in the table, from 0 to 1: the share of the sample before it.
+
+    Documents that equal a sampled one stand anywhere in that one's share, by a hash
+    of their number, so that a group of copies of any size is spread over as many
+    shards as it fills.
+    """
+
+    def __init__(self, tree: Tree):
+        self.tree, self.first = tree, (1 << tree.depth) - 1
+        self.before = np.r_[0, np.cumsum([len(x) for x in tree.ordered])]
+
+    def position(self, points: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Position, leaf and place in the leaf; ``spread`` is a number from 0 to 1 of each document."""
+        leaf, at = self.tree.place(points)
+        slot = leaf - self.first
+        low, high = np.zeros(len(points)), np.zeros(len(points))
+        for k in np.unique(slot):
+            mine = slot == k
+            row = self.tree.ordered[k]
+            low[mine], high[mine] = np.searchsorted(row, at[mine], "left"), np.searchsorted(row, at[mine], "right")
+        # Between two sampled places, or before and behind all: half a place of room on either side.
+        low, high = np.where(low == high, low - 0.5, low), np.where(low == high, high + 0.5, high)
+        size = np.diff(self.before)[slot]
+        inside = np.clip(low + (high - low) * spread, 0, size)
+        return (self.before[slot] + inside) / max(1, self.before[-1]), leaf, at.astype(float)
+
+
 def placed(staged: DataFrame, corpus: Corpus, tree: Tree, shard: int) -> DataFrame:
-    """``staged`` in tasks of about a shard, ordered by content."""
+    """``staged`` with ``shard`` in the order of content, shards of four fifths of ``shard`` on average, brought together."""
+    shards = 1 if corpus.n <= shard else -(-5 * corpus.n // (4 * shard))
+    where = Map(tree)
+
     def apply(batches):
         for batch in batches:
-            leaf, at = tree.place(vectors(_arrays(batch), corpus))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(at.astype(float))], names=[*batch.schema.names, "leaf", "at"])
+            n = batch.column("n").to_numpy().astype(np.uint64)
+            spread = ((n * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(float) / (1 << 53)
+            position, leaf, at = where.position(vectors(_arrays(batch), corpus), spread)
+            number = np.minimum((position * shards).astype(np.int64), shards - 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number), pa.array(leaf), pa.array(at)], names=[*batch.schema.names, "shard", "leaf", "at"])
 
-    rows = staged.mapInArrow(apply, staged.select("*").schema.add("leaf", "long").add("at", "double"))
-    tasks = 1 if corpus.n <= shard else -(-5 * corpus.n // (4 * shard))      # ranges are even but by a sample
-    return rows.repartitionByRange(tasks, "leaf", "at", "n").sortWithinPartitions("leaf", "at", "n")
+    rows = staged.mapInArrow(apply, staged.select("*").schema.add("shard", "long").add("leaf", "long").add("at", "double"))
+    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "leaf", "at", "n")
 
 
 def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, shard: int = SHARD,
@@ -262,10 +351,10 @@ def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     schema = f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
     def encode(batches):
-        encoding = _encoding(name)
+        encode_text, end = encoder(name), np.array([END], "<u4").tobytes()
         n = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         for batch in batches:
-            ids = [np.array([*token_ids(encoding, words.as_py() or "", added), END], "<u4").tobytes() for words in batch.column(text)]
+            ids = [encode_text(words.as_py() or "", added) + end for words in batch.column(text)]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, n + len(ids))), batch.column(doc_id), pa.array(ids, pa.binary())], names=["n", "doc_id", "ids"])
             n += len(ids)
 
@@ -288,9 +377,14 @@ def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
             held.clear()
             return out
 
+        now = None
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
-            for key, ids in zip(batch.column("doc_id").to_pylist(), _arrays(batch)):
+            for key, number, ids in zip(batch.column("doc_id").to_pylist(), batch.column("shard").to_pylist(), _arrays(batch)):
+                if held and number != now:
+                    yield emit()
+                    size = 0
+                now = number
                 held_ids.append(key)
                 held.append(ids)
                 size += len(ids)
@@ -301,10 +395,10 @@ def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
             yield emit()
 
     path = staging_path(spark, "packing")
-    docs.select(doc_id, text).mapInArrow(encode, f"n bigint, doc_id {kind}, ids binary").write.parquet(path)
+    docs.select(docs[doc_id], F.make_valid_utf8(docs[text]).alias(text)).mapInArrow(encode, f"n bigint, doc_id {kind}, ids binary").write.parquet(path)
     staged = spark.read.parquet(path)
     corpus = _corpus(staged)
     if not corpus.n:
         return spark.createDataFrame([], schema)
     rows = placed(staged, corpus, learned(staged, corpus), shard)
-    return rows.select("doc_id", "ids").mapInArrow(apply, schema)
+    return rows.select("doc_id", "ids", "shard").mapInArrow(apply, schema)

@@ -79,14 +79,14 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_counts(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """``doc_id, source, lang, n_words, n_tokens, n_once``: tokens of each text, and of the text without its repeated lines."""
     def apply(batches):
-        encode = packing._encoding(name).encode_ordinary
+        encode = lambda text: len(packing.encoder(name).plain(text)) // 4
         for part in in_slices(batches, "text", 4_000_000):
             rows = []
             for text in part.column("text").to_pylist():
                 lines = (text or "").split("\n")
                 once = list(dict.fromkeys(lines))
-                n = len(encode(text or ""))
-                rows.append((len((text or "").split()), n, n if len(once) == len(lines) else len(encode("\n".join(once)))))
+                n = encode(text or "")
+                rows.append((len((text or "").split()), n, n if len(once) == len(lines) else encode("\n".join(once))))
             columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "source", "lang")), *columns],
                                              names=["doc_id", "source", "lang", "n_words", "n_tokens", "n_once"])
