@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tradeledger.llm.byte_bpe import coder, read_ranks
-from tradeledger.llm.common import importable
+from tradeledger.llm.common import importable, in_slices
 from tradeledger.sources.sinks import staging_path
 
 WINDOW = 1024
@@ -147,6 +147,7 @@ class Index:
         weights = np.zeros((n, int(common.sum())), np.float32)
         weights[owner[here], place[flat[here]]] = weight[here]
         self.shared = (weights > 0).astype(np.float32) @ weights.T
+        del weights
         owner, flat, weight = owner[~here], flat[~here], weight[~here]
         self.terms = np.split(flat, np.searchsorted(owner, np.arange(1, n)))
         order = np.argsort(flat, kind="stable")
@@ -214,15 +215,27 @@ def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("ids")]
 
 
+def _runs(documents: list[np.ndarray], limit: int = 1_000_000):
+    """Consecutive documents of about ``limit`` ids (a longer one alone)."""
+    start = total = 0
+    for i, ids in enumerate(documents):
+        if i > start and total + len(ids) > limit:
+            yield documents[start:i]
+            start, total = i, 0
+        total += len(ids)
+    if start < len(documents):
+        yield documents[start:]
+
+
 def _corpus(staged: DataFrame) -> Corpus:
     """Counts over all documents; a task sends one row per term, and one (term -1) with its documents and ids."""
     def apply(batches):
         df, n, length = np.zeros(1, np.int64), 0, 0
         for batch in batches:
-            documents = _arrays(batch)
-            here = np.bincount(terms_of(documents)[1], minlength=len(df))
-            here[:len(df)] += df
-            df, n, length = here, n + len(documents), length + sum(map(len, documents))
+            for documents in _runs(_arrays(batch)):
+                here = np.bincount(terms_of(documents)[1], minlength=len(df))
+                here[:len(df)] += df
+                df, n, length = here, n + len(documents), length + sum(map(len, documents))
         held = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, held]), pa.array(np.r_[n, df[held]]), pa.array(np.r_[length, 0 * held])], names=["term", "df", "length"])
 
@@ -242,12 +255,14 @@ def _directions(terms: int) -> np.ndarray:
 def vectors(documents: list[np.ndarray], corpus: Corpus) -> np.ndarray:
     """BM25 weights of each document in ``_DIMENSIONS`` random directions, of length one."""
     directions = _directions(len(corpus.idf))
-    out = np.zeros((len(documents), _DIMENSIONS), np.float32)
-    owner, terms, counts = terms_of(documents)
-    weights = corpus.weights(terms, counts, np.array([len(d) for d in documents], float)[owner]).astype(np.float32)
-    cuts = np.searchsorted(owner, np.arange(len(documents) + 1)).tolist()
-    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-        out[i] = weights[a:b] @ directions[terms[a:b]]
+    out, i = np.zeros((len(documents), _DIMENSIONS), np.float32), 0
+    for part in _runs(documents):
+        owner, terms, counts = terms_of(part)
+        weights = corpus.weights(terms, counts, np.array([len(d) for d in part], float)[owner]).astype(np.float32)
+        cuts = np.searchsorted(owner, np.arange(len(part) + 1)).tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            out[i] = weights[a:b] @ directions[terms[a:b]]
+            i += 1
     return out / np.maximum(np.linalg.norm(out, axis=1), 1e-9)[:, None]
 
 
@@ -353,7 +368,7 @@ def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     def encode(batches):
         encode_text, end = encoder(name), np.array([END], "<u4").tobytes()
         n = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
-        for batch in batches:
+        for batch in in_slices(batches, text, 4_000_000):
             ids = [encode_text(words.as_py() or "", added) + end for words in batch.column(text)]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, n + len(ids))), batch.column(doc_id), pa.array(ids, pa.binary())], names=["n", "doc_id", "ids"])
             n += len(ids)
