@@ -91,19 +91,23 @@ def customer_line_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
         "qty", "unit", "price", "debt", f"{rounded('exact_cred')} AS cred", f"{rounded('exact', TOTAL)} AS balance")
 
 
-def customer_doc_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Customer ledger by document: sales, advances, purchases net of share, instalments."""
+def customer_doc_rows(t) -> DataFrame:
+    """What a customer's documents add and take: sales, advances, purchases net of share, instalments."""
     def shape(df, day, debt, cred):
         return df.selectExpr("customer_id", "lunas_id", "id", "descriptions", f"{day} AS trx_date",
                              f"{rounded(debt)} AS debt", f"{rounded(cred)} AS cred")
-    rows = _union([
+    return _union([
         shape(t.orders, "order_date", "total", "payment"),
         shape(t.kasbons, "kasbon_date", "total", "0"),
         shape(t.grass, "order_date", "0", "total - total_div"),
         shape(t.payments, "payment_date", "0", "total"),
     ])
+
+
+def customer_doc_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Customer ledger by document."""
     keys = _union([t.columns(name, *_PARTY, "id") for name in ("orders", "kasbons", "grass", "payments")])
-    return _with_balance(rows, _PARTY, ["id"], hot_rows, keys, _size(t, "orders", "kasbons", "grass", "payments"))
+    return _with_balance(customer_doc_rows(t), _PARTY, ["id"], hot_rows, keys, _size(t, "orders", "kasbons", "grass", "payments"))
 
 
 def special_line_ledger(t, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -258,6 +258,11 @@ _LINE_LEDGER = f"""
     WINDOW w AS (PARTITION BY customer_id, lunas_id ORDER BY doc_id, branch, line_id)"""
 
 _PARTY = f"{_i('customer_id', 'customer_id')}, {_i('lunas_id', 'lunas_id')}"
+_DOC_ROWS = """
+    SELECT customer_id, lunas_id, id, descriptions, order_date AS trx_date, total AS debt, payment AS cred FROM m_orders
+    UNION ALL SELECT customer_id, lunas_id, id, descriptions, kasbon_date, total, 0 FROM m_kasbons
+    UNION ALL SELECT customer_id, lunas_id, id, descriptions, order_date, 0, total - total_div FROM m_grass
+    UNION ALL SELECT customer_id, lunas_id, id, descriptions, payment_date, 0, total FROM m_payments"""
 
 
 def _summary(keys: str, rows: str, shown: str) -> str:
@@ -494,12 +499,8 @@ QUERIES = {
         WHERE id IN (SELECT unit_id FROM m_special_details)""",
     # ledgers
     "customer_line_ledger": _LINE_LEDGER,
-    "customer_doc_ledger": _ledger("""
-        SELECT customer_id, lunas_id, id, descriptions, order_date AS trx_date, total AS debt, payment AS cred FROM m_orders
-        UNION ALL SELECT customer_id, lunas_id, id, descriptions, kasbon_date, total, 0 FROM m_kasbons
-        UNION ALL SELECT customer_id, lunas_id, id, descriptions, order_date, 0, total - total_div FROM m_grass
-        UNION ALL SELECT customer_id, lunas_id, id, descriptions, payment_date, 0, total FROM m_payments""",
-        "customer_id, lunas_id", "id", f"{_PARTY}, {_i('id', 'id')}, descriptions, trx_date"),
+    "customer_doc_ledger": _ledger(
+        _DOC_ROWS, "customer_id, lunas_id", "id", f"{_PARTY}, {_i('id', 'id')}, descriptions, trx_date"),
     "special_line_ledger": _ledger("""
         SELECT o.customer_id, o.lunas_id, o.id AS doc_id, 1 AS branch, l.id AS line_id, o.created_at AS trx_date,
                'Order #' || o.id || ', ' || p.name AS descriptions, l.qty, l.unit_name AS unit, l.price,
@@ -619,6 +620,11 @@ QUERIES = {
         "SELECT event_id, lunas_id, order_key * 16 + 2 AS order_id, amount AS nominal FROM m_events WHERE event_type = 'view'",
         "order_id", "16 + 2"), payments="nominal"),
     "cascade_batch": _cascade(),
+    "keyed_merge": f"""SELECT {_i('id + CASE n WHEN 2 THEN 1000000000 ELSE 0 END', 'id')}, name,
+        {_l('CASE WHEN n = 1 AND p_size <= 10 THEN price + 1 ELSE price END', 'price')}, {_l('CASE WHEN n = 2 THEN 0 ELSE first_stock END', 'first_stock')}
+        FROM m_products CROSS JOIN (VALUES (1), (2)) AS v(n) WHERE n = 1 AND p_size < 45 OR n = 2 AND p_size = 20""",
+    "ledger_delta": _ledger(f"SELECT * FROM ({_DOC_ROWS}) WHERE descriptions <> 'Purchase 5-LOW'",
+                            "customer_id, lunas_id", "id", f"{_PARTY}, {_i('id', 'id')}, descriptions, trx_date"),
     "stock_on_hand_delta": f"""
         SELECT p.id, {_t('first_stock + coalesce(sum(CASE WHEN kind IN (3, 4) THEN real_qty ELSE -real_qty END), 0)', 'stock')}
         FROM m_products p LEFT JOIN m_after a ON a.product_id = p.id GROUP BY p.id, first_stock""",

@@ -17,9 +17,9 @@ from tradeledger.functions.dates import from_epoch
 from tradeledger.functions.money import LINE, MONEY, cents
 from tradeledger.functions.text import camel_fields
 from tradeledger.operators import cascade, catalog, changes, derive, quality, rollups, settle, shares
-from tradeledger.plans import balances, ledgers, profit
+from tradeledger.plans import balances, kept, ledgers, profit
 from tradeledger.session import tune
-from tradeledger.sources import conform, sinks, text
+from tradeledger.sources import buckets, conform, sinks, text
 from tradeledger.streaming import live
 
 c = F.col
@@ -581,6 +581,36 @@ def cascade_batch(t):
         for name, columns in shown.items()])
 
 
+# ---- tables and ledgers that change in place -----------------------------
+
+@query
+def keyed_merge(t):
+    """Stored products: large ones go, small ones get dearer, some come again under new ids, in one published change."""
+    store = buckets.Store(t.products.sparkSession, sinks.staging_path(t.products.sparkSession, "products"))
+    buckets.create(store, {"products": (t.products, ["id"], 16)})
+    size, price = c("first_stock"), c("price").cast(LINE).alias("price")
+    edits = _union([
+        t.products.where(size <= 10).select(F.lit("U").alias("op"), "id", "name", (c("price") + 1).cast(LINE).alias("price")),
+        t.products.where(size >= 45).select(F.lit("D").alias("op"), "id", "name", price),
+        t.products.where(size == 20).select(F.lit("I").alias("op"), (c("id") + 1_000_000_000).alias("id"), "name", price),
+    ])
+    buckets.merge(store, {"products": cascade.changes_of("products", store.read("products"), edits)})
+    return store.read("products").select("id", "name", "price", "first_stock")
+
+
+@query
+def ledger_delta(t):
+    """The customer ledger by document, stored before small advances arrive late, small instalments are put right
+    and purchases of low priority are taken back; each change re-sums the chunks it falls in."""
+    rows, name = ledgers.customer_doc_rows(t), c("descriptions")
+    late, wrong, gone = (name == "Advance") & (c("debt") < 30), (name == "Instalment") & (c("cred") < 50), name == "Purchase 5-LOW"
+    store = buckets.Store(t.products.sparkSession, sinks.staging_path(t.products.sparkSession, "customer-ledger"))
+    shape = kept.Shape(("customer_id", "lunas_id"), ("id",), (("balance", "debt - cred"),))
+    kept.build(store, rows.where(~F.coalesce(late, F.lit(False))).withColumn("cred", F.when(wrong, c("cred") + 1).otherwise(c("cred")).cast(MONEY)), shape, 16)
+    kept.change(store, shape, rows.where(wrong | gone).select("customer_id", "lunas_id", "id"), rows.where(late | wrong))
+    return kept.read(store, shape)
+
+
 # ---- data quality ------------------------------------------------------
 
 query(quality.dup_keys)
