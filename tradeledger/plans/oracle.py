@@ -473,6 +473,8 @@ QUERIES = {
     "categories_page": "SELECT id, name FROM m_categories ORDER BY name, id LIMIT 20",
     "products_page": """SELECT id, name, spec, price, stock, first_stock, unit, update_notif, category_id
         FROM m_products ORDER BY name, id LIMIT 20 OFFSET 40""",
+    "deep_page": f"""SELECT {_i('id', 'id')}, {_i('customer_id', 'customer_id')}, order_date, {_i('lunas_id', 'lunas_id')}
+        FROM m_orders ORDER BY customer_id, id LIMIT 50 OFFSET 10000""",
     "suppliers_page": "SELECT id, name, city FROM m_suppliers ORDER BY name, id LIMIT 20",
     "stocks_page": f"""SELECT id, stock_num, supplier_id, {_m('total', 'total')}, {_m('remain_payment', 'remain_payment')}
         FROM m_stocks ORDER BY stock_num, id LIMIT 20""",

@@ -19,7 +19,7 @@ from tradeledger.functions.text import camel_fields
 from tradeledger.operators import cascade, catalog, changes, derive, quality, rollups, settle, shares
 from tradeledger.plans import balances, kept, ledgers, profit
 from tradeledger.session import tune
-from tradeledger.sources import buckets, conform, sinks, text
+from tradeledger.sources import buckets, conform, ranked, sinks, text
 from tradeledger.streaming import live
 
 c = F.col
@@ -81,6 +81,15 @@ def products_page(t):
     return catalog.page(t.products, "name", skip=40)
 
 
+@query
+def deep_page(t):
+    """A page of sales by customer behind 10,000 others, read from the ranges that hold it."""
+    spark = t.products.sparkSession
+    path = sinks.staging_path(spark, "ranked-orders")
+    ranked.store(t.columns("orders", "id", "customer_id", "order_date", "lunas_id"), path, ["customer_id"], "id", 32)
+    return ranked.page(spark, path, ["customer_id"], "id", 10_000, 50)
+
+
 @query
 def suppliers_page(t):
     return catalog.page(t.suppliers, "name").select("id", "name", "city")
