@@ -201,3 +201,64 @@ def test_token_count_query(spark):
             a, b = want.get((r.source, r.lang), (0, 0))
             want[r.source, r.lang] = (a + 1, b + len(encode("\n".join(dict.fromkeys(r.text.split("\n"))))))
     assert got == want
+
+
+ARTICLE = "<p>" + "One two three four five six seven eight nine ten. " * 6 + "</p><p>" + "Alpha beta gamma delta epsilon zeta eta theta. " * 5 + "</p>"
+ARTICLE_TEXT = "\n\n".join(" ".join(part.split()) for part in ("One two three four five six seven eight nine ten. " * 6, "Alpha beta gamma delta epsilon zeta eta theta. " * 5))
+
+
+@pytest.fixture(scope="module")
+def page_weights(spark):
+    return html_text.fit(spark.read.parquet(f"{SMALL}/pages.parquet"))
+
+
+@pytest.mark.parametrize("names", ["class='content no-sidebar'", "id=page class='has-cookie-banner'", "class=with-footer", "class='comments-enabled'", "class=share-buttons-on",
+                                   "class=sidebar-layout", "id=widget-page"])
+def test_wrappers_named_after_boilerplate_keep_their_article(page_weights, names):
+    page = f"<body><nav><a href=/>Home</a> <a>News</a></nav><div {names}>{ARTICLE}</div><div class=comments><p>I like it very much</p></div></body>"
+    assert html_text.extract(page, page_weights) == ARTICLE_TEXT
+
+
+def test_headlines_in_the_articles_own_head(page_weights):
+    menu = "<header><a>Site</a></header><nav><a>Home</a></nav>"
+    for head in ("<header><h1>The headline here</h1></header>", "<div class=entry-header><h1>The headline here</h1></div>"):
+        assert html_text.extract(f"{menu}<article>{head}{ARTICLE}</article>", page_weights) == f"The headline here\n\n{ARTICLE_TEXT}"
+
+
+def test_quoted_values_of_any_length(page_weights):
+    assert html_text.extract(f"<body><div data-x=\"{'a>b ' * 5000}\" title='{'c>' * 9000}'>{ARTICLE}</div></body>", page_weights) == ARTICLE_TEXT
+
+
+@pytest.mark.parametrize("unit", ["<b>x ", "<a ", "<b>x</i> ", '<a "x ', "<p>x<div>", "<svg>", "<!-- ", "<title>", "</b"])
+def test_broken_markup_takes_linear_time(page_weights, unit):
+    import time
+
+    took = []
+    for n in (4_000, 32_000):
+        started = time.process_time()
+        html_text.extract(unit * n, page_weights)
+        took.append(time.process_time() - started)
+    assert took[1] < 30 * took[0] + 0.5
+
+
+def test_the_scan_finds_the_best_of_all_stretches(page_weights):
+    rng = random.Random(8)
+    for _ in range(60):
+        parts = [rng.choice(["<p>", "</p>", "<div class=menu>", "</div>", "<li>", "a few words here ", "x ", "<b>", "</b>", "<footer>", "</footer>", "long text of many words in a row "]) for _ in range(40)]
+        page, made = "".join(parts), []
+        events = list(html_text._walk(page, made))
+        html_text._rated(made, sum(e[1] for e in events), page_weights)
+        scores = []
+        for _, words, element, key, _ in events:
+            if words:
+                scores.append(words * (1.0 if element is None else element.head if element.heading else element.score))
+            if key:
+                scores.append(page_weights.tag(key))
+        best = max([0.0, *(sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1))])
+        assert abs(html_text.best_stretch(scores)[2] - best) < 1e-9
+
+
+def test_marks_taken_out_change_no_text(spark, page_weights):
+
+    for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect():
+        assert html_text.extract(r.html, page_weights) == html_text.extract(re.sub(r"(?i)</?(article|main)\b[^>]*>", "", r.html or ""), page_weights)

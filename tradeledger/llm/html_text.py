@@ -45,29 +45,51 @@ _BOILER_WORDS = frozenset(
     "disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related "
     "reply replies share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
 _MARKS = frozenset(("article", "main"))
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Elements that are boilerplate however much of a page they hold.
+_NEVER_ALL = frozenset("nav menu select button footer".split())
 
 # Elements whose '/>' closes them, and HTML inside of ``svg``.
 _CLOSABLE = frozenset(("math", "object"))
 _FOREIGN = frozenset(("foreignobject", "desc", "title"))
 
-_REST = r"(?:[^>\"']++|\"[^\"]{0,4000}\"|'[^']{0,4000}'|[\"'])*+"
+# What a tag may hold: quoted values of any length, in which '>' does not end it.
+_REST = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+_TAG = re.compile(rf"<(?P<end>/?)(?P<name>[a-z][^\s/>]*+)(?P<rest>{_REST})>", re.I)
+# The same where quotes do not pair up.
+_PLAIN_TAG = re.compile(r"<(?P<end>/?)(?P<name>[a-z][^\s/>]*+)(?P<rest>[^>]*+)>", re.I)
+_START = re.compile(r"<(?:!--|[!?]|/?[a-z])", re.I)
 # Only what browsers take as raw text runs to the end of a page that lacks its end tag.
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>script|style|noscript|textarea|iframe|title)(?=[\s/>]){_REST}>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
-    rf"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>{_REST})>"
-    r"|<[!?][^>]*>",
-    re.S | re.I)
-_TAG = re.compile(rf"<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>{_REST})>", re.I)
+_RAW = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in ("script", "style", "noscript", "textarea", "iframe", "title")}
+_BROKEN = 16            # tags of a page whose quotes never end, after which quotes are not looked at
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
+# Words that turn a name of boilerplate into a setting of the page, and what an article's own head is called.
+_SETTING = frozenset("no not without with has have is hide hidden show enabled disabled on off open closed".split())
+_OWN_HEAD = frozenset("entry post article story page".split())
+# Boilerplate that may hold most words of a page; other names that do are those of a wrapper.
+_MANY_WORDS = frozenset("comment comments commentlist disqus reply replies related".split())
+_MOST = 0.8             # share of a page's words that makes an element a wrapper
+_HEADLINE = 8           # what a heading in a marked article scores besides its words
+
+
+def _boiler_words(names: str) -> set[str]:
+    """Words of class, id and role names that mean boilerplate."""
+    found: set[str] = set()
+    for name in names.split("."):
+        words = set(re.split(r"[^a-z]+", name))
+        meant = words & _BOILER_WORDS
+        if not (words & _SETTING or meant == {"header"} and words & _OWN_HEAD):
+            found |= meant
+    return found
+
 
 def _bounded(words: list[str]) -> str:
     """The words joined; of a long list those that mean boilerplate and a number that tells it from others."""
     joined = ".".join(words)
     if len(joined) <= 80:
         return joined
-    return ".".join([*sorted(_BOILER_WORDS.intersection(re.split(r"[^a-z]+", joined))), str(zlib.crc32(joined.encode("utf-8", "surrogatepass")))])
+    return ".".join([*sorted(_boiler_words(joined)), str(zlib.crc32(joined.encode("utf-8", "surrogatepass")))])
 
 
 def _after(page: str, name: str, at: int) -> int | None:
@@ -91,22 +113,41 @@ def _after(page: str, name: str, at: int) -> int | None:
 
 def tokens(page: str):
     """``(text before, name, key, is end)`` for each tag in page order; name None for what is no tag, and at the end."""
-    at, endless = 0, set()
-    while m := _TOKEN.search(page, at):
-        text, at = page[at:m.start()], m.end()
-        name = m["name"]
-        if name and name.lower() in ("svg", "template"):         # left out; without an end only the tag is
-            if not m["end"] and name.lower() not in endless and not (name.lower() == "svg" and m["rest"].endswith("/")):
-                after = _after(page, name.lower(), at)
+    text_at = at = broken = 0
+    endless = set()
+    while m := _START.search(page, at):
+        start, lead = m.start(), m.group()
+        if lead == "<!--":
+            end = page.find("-->", m.end())
+            end, m = (end + 3 if end >= 0 else len(page)), None
+        elif lead in ("<!", "<?"):
+            end = page.find(">", m.end()) + 1
+            m = None
+        else:
+            m = (_TAG.match(page, start) if broken < _BROKEN else None) or _PLAIN_TAG.match(page, start)
+            if m and m.re is _PLAIN_TAG:
+                broken += 1
+            end = m.end() if m else 0
+        if not end:                                 # no '>' any more: no tag either
+            break
+        text, at = page[text_at:start], end
+        name = m["name"].lower() if m else None
+        if name in _RAW and not m["end"]:           # left out with all it holds
+            over = _RAW[name].search(page, at)
+            at, name = (over.end() if over else len(page)), None
+        elif name in ("svg", "template"):           # left out; without an end only the tag is
+            if not m["end"] and name not in endless and not (name == "svg" and m["rest"].endswith("/")):
+                after = _after(page, name, at)
                 if after is None:
-                    endless.add(name.lower())
+                    endless.add(name)
                 else:
                     at = after
             name = None
+        text_at = at
         if not name:
             yield text, None, None, False
             continue
-        name, rest = name.lower(), m["rest"]
+        rest = m["rest"]
         if rest and not m["end"] and "=" in rest:
             words = sorted({w for found in _NAMED.findall(rest) for w in "".join(found).lower().split()})
             key = f"{name}.{_bounded(words)}" if words else name
@@ -115,54 +156,94 @@ def tokens(page: str):
         yield text, name, key, bool(m["end"])
         if name in _CLOSABLE and not m["end"] and rest.endswith("/"):
             yield "", name, key, True
-    yield page[at:], None, None, False
+    yield page[text_at:], None, None, False
 
 
 def _boiler(key: str) -> bool:
     name, _, words = key.partition(".")
-    return name in _BOILER or bool(_BOILER_WORDS.intersection(re.split(r"[^a-z]+", words)))
+    return name in _BOILER or bool(_boiler_words(words))
+
+
+class Element:
+    """An element of a page: what it is, the one around it, and the words that it holds inside and outside of a marked article."""
 
+    __slots__ = ("name", "key", "around", "inside", "outside", "marked", "heading", "covered", "score", "head")
 
-def _walk(page: str):
-    """``(text, path, tag key, is end)``: each stretch of text with the open elements around it, then the tag that follows.
+    def __init__(self, name: str, key: str, around: "Element | None", covered: bool):
+        self.name, self.key, self.around, self.covered = name, key, around, covered
+        self.inside = self.outside = 0
+        self.marked = name in _MARKS or around is not None and around.marked
+        self.heading = name in _HEADINGS or around is not None and around.heading
+        self.score = self.head = 1.0
+
+
+def _walk(page: str, made: list[Element]):
+    """``(text, words, element, tag key, tag name)``: each stretch of text with the innermost element around it, then the tag that follows.
 
     An end tag closes the nearest element of its name and all inside it; one without such an element closes nothing.
+    ``made`` gets all elements, outer ones first; their words are known once the walk is over.
     """
-    path: list[tuple[str, str]] = []
+    path: list[Element] = []
+    places: dict[str, list[int]] = {}       # where in the path the elements of a name are
+    keys: Counter = Counter()               # keys in the path
+    blocks: list[int] = []                  # where the blocks are
+
+    def close(at: int) -> None:
+        while len(path) > at:
+            element = path.pop()
+            places[element.name].pop()
+            keys[element.key] -= 1
+            if path:
+                path[-1].inside += element.inside
+                path[-1].outside += element.outside
+        while blocks and blocks[-1] >= at:
+            blocks.pop()
+
     for text, name, key, end in tokens(page):
+        inner, words = path[-1] if path else None, len(text.split())
+        if inner is not None and words:
+            if inner.marked:
+                inner.inside += words
+            else:
+                inner.outside += words
         if name and end:
-            at = next((i for i in range(len(path) - 1, -1, -1) if path[i][0] == name), None)
-            key = path[at][1] if at is not None else key
-            yield text, path, f"/{key}", name
+            at = places[name][-1] if places.get(name) else None
+            key = path[at].key if at is not None else key
+            yield text, words, inner, f"/{key}", name
             if at is not None:
-                del path[at:]
+                close(at)
             continue
-        yield text, path, key, name
+        yield text, words, inner, key, name
         if name and name not in _VOID:
             if name in _BLOCKS:          # a new block ends an open paragraph and what is open inside it
-                at = next((i for i in range(len(path) - 1, -1, -1) if path[i][0] == "p"), None)
-                if at is not None and not any(n in _BLOCKS for n, _ in path[at + 1:]):
-                    del path[at:]
-            path.append((name, key))
+                at = places["p"][-1] if places.get("p") else None
+                if at is not None and blocks[-1] == at:
+                    close(at)
+                blocks.append(len(path))
+            places.setdefault(name, []).append(len(path))
+            path.append(Element(name, key, path[-1] if path else None, keys[key] > 0))
+            keys[key] += 1
+            made.append(path[-1])
+    close(0)
 
 
-def _around(path: list[tuple[str, str]]) -> list[str]:
-    """Keys of the elements around a text that say what it is, boilerplate first."""
-    return [key for name, key in path if name not in _MARKS and name not in ("html", "body")]
+def _says(element: Element) -> bool:
+    """Does the element say what its words are?"""
+    return element.name not in _MARKS and element.name not in ("html", "body")
 
 
 def count(page: str) -> tuple[Counter, Counter]:
     """Tags, and words by element around them (``w:`` keys), inside and outside of a page's marked article."""
-    inside, outside = Counter(), Counter()
-    for text, path, key, name in _walk(page):
-        own = inside if any(n in _MARKS for n, _ in path) and not (name in _MARKS and key.startswith("/")) else outside
-        words = len(text.split())
-        if words:
-            by = inside if any(n in _MARKS for n, _ in path) else outside
-            for k in {*_around(path)}:
-                by[f"w:{k}"] += words
+    inside, outside, made = Counter(), Counter(), []
+    for _, _, element, key, name in _walk(page, made):
         if key:
+            own = inside if element is not None and element.marked and not (name in _MARKS and key.startswith("/")) else outside
             own[key] += 1
+    for element in made:
+        if _says(element) and not element.covered:          # words count once for each key around them
+            for by, words in ((inside, element.inside), (outside, element.outside)):
+                if words:
+                    by[f"w:{element.key}"] += words
     return inside, outside
 
 
@@ -185,35 +266,61 @@ class Weights:
             self._tag[key] = -min(12.0, max(0.3, cost))
         return self._tag[key]
 
-    def word(self, path: list[tuple[str, str]]) -> float:
-        """The lowest score that an element around the word gives it, 1 in none."""
-        return min((self._of(k) for k in _around(path)), default=1.0)
+    def word(self, key: str, wrapper: bool = False) -> float:
+        """What an element says of its words; ``wrapper``: it holds most of the page, so its name does not mean boilerplate."""
+        named = f"{key} " if wrapper else key
+        if named not in self._word:
+            self._word[named] = max(-1.0, min(1.0, self._odds(f"w:{key}", _boiler(key) and not wrapper)))
+        return self._word[named]
 
-    def _of(self, key: str) -> float:
-        if key not in self._word:
-            self._word[key] = max(-1.0, min(1.0, self._odds(f"w:{key}", _boiler(key))))
-        return self._word[key]
+
+def _rated(made: list[Element], total: int, weights: Weights) -> None:
+    """Each element's score, the lowest of its own and those around it.
+
+    ``head`` is that of headings: a header inside the article does not count against them.
+    """
+    for element in made:
+        around = element.around
+        score, head = (around.score, around.head) if around is not None else (1.0, 1.0)
+        if _says(element):
+            names = _boiler_words(element.key.partition(".")[2])
+            wrapper = element.inside + element.outside > _MOST * total and element.name not in _NEVER_ALL and not names & _MANY_WORDS
+            own = weights.word(element.key, wrapper)
+            of_article = element.marked and (element.name == "header" or names == {"header"}) and not names - {"header"}
+            score, head = min(score, own), head if of_article else min(head, own)
+        element.score, element.head = score, head
+
+
+def best_stretch(scores: list[float]) -> tuple[int, int, float]:
+    """``(first, end, sum)`` of the contiguous stretch with the greatest sum, in one pass; the earliest of equals, none below zero."""
+    best, total, start, first, last = 0.0, 0.0, 0, 0, 0
+    for i, score in enumerate(scores):
+        if total <= 0:
+            total, start = 0.0, i
+        total += score
+        if total > best:
+            best, first, last = total, start, i + 1
+    return first, last, best
 
 
 def extract(page: str | None, weights: Weights) -> str:
     """The blocks of the best stretch, two line ends between them."""
+    made: list[Element] = []
+    events = list(_walk(page or "", made))
+    _rated(made, sum(words for _, words, *_ in events), weights)
     steps = []                                  # (score, text, word score, begins a block; None: a line break)
-    for text, path, key, name in _walk(page or ""):
-        words = len(text.split())
+    for text, words, element, key, name in events:
         if words:
-            each = weights.word(path)
-            steps.append((words * each, text, each, False))
+            each = 1.0 if element is None else element.head if element.heading else element.score
+            headline = element is not None and element.marked and element.heading and each > 0
+            steps.append((words * each + _HEADLINE * headline, text, each, False))
         if key:
-            steps.append((weights.tag(key), None, 0.0, None if name == "br" else name in _BLOCKS))
-    best, total, start, span = 0.0, 0.0, 0, (0, 0)
-    for i, (score, *_) in enumerate(steps):
-        if total <= 0:
-            total, start = 0.0, i
-        total += score
-        if total > best:
-            best, span = total, (start, i + 1)
+            own_head = name == "header" and element is not None and element.marked
+            cost = weights.tag("/div" if key[0] == "/" else "div") if own_head else weights.tag(key)
+            steps.append((cost, None, 0.0, None if name == "br" else name in _BLOCKS))
+    first, last, _ = best_stretch([score for score, *_ in steps])
     blocks, current = [], []
-    for _, text, each, begins in steps[span[0]:span[1]]:
+    for _, text, each, begins in steps[first:last]:
         if text is not None:
             if each > 0:
                 current.append(entities.unescape(text))
@@ -247,7 +354,11 @@ def fit(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> Weights:
 
 
 def main_text(pages: DataFrame, html: str = "html", weights: Weights | None = None) -> DataFrame:
-    """``pages`` with ``text`` and ``n_chars`` (code points) in place of the html."""
+    """``pages`` with ``text`` and ``n_chars`` (code points) in place of the html.
+
+    Null html counts as empty.  Bytes that are no UTF-8 count as U+FFFD.  Repeated
+    rows come back repeated; columns named ``text`` or ``n_chars`` are replaced.
+    """
     counts = (weights or fit(pages, html)).counts
     kept = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     schema = pages.select(*kept).schema.add("text", "string").add("n_chars", "long")
@@ -259,4 +370,4 @@ def main_text(pages: DataFrame, html: str = "html", weights: Weights | None = No
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                              names=[*kept, "text", "n_chars"])
 
-    return pages.select(*kept, html).mapInArrow(apply, schema)
+    return pages.select(*(pages[f"`{c}`"] for c in kept), F.make_valid_utf8(pages[f"`{html}`"]).alias(html)).mapInArrow(apply, schema)
