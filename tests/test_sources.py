@@ -167,3 +167,19 @@ def test_every_escape_of_the_text_format(spark, tmp_path):
     df = spark.createDataFrame([(1, "\b\f\v\t\\101")], "id int, note string")
     text.save_tsv(df, path + "2")
     assert same(text.load_tsv(spark, path + "2", df.schema), df) == 1
+
+
+@pytest.mark.parametrize("master, warehouse, default, named, ok", [
+    ("local[4]", "file:/tmp/w", "file:///", None, True), ("yarn", "file:/tmp/w", "hdfs://a", None, False), ("yarn", "/w", "file:///", None, False),
+    ("yarn", "/w", "hdfs://a", None, True), ("yarn", "hdfs://a/w", "file:///", None, True), ("yarn", "file:/tmp/w", "file:///", "hdfs://a/c", True)])
+def test_staging_on_the_drivers_disk_is_refused_on_a_cluster(master, warehouse, default, named, ok):
+    from types import SimpleNamespace as Named
+
+    conf = {"spark.sql.warehouse.dir": warehouse, "spark.checkpoint.dir": named}
+    session = Named(conf=Named(get=lambda k, *d: conf[k]), sparkContext=Named(master=master),
+                    _jsc=Named(hadoopConfiguration=lambda: Named(get=lambda k: default)))
+    if ok:
+        assert sinks.shared_folder(session) == (named or f"{warehouse}/_staging")
+    else:
+        with pytest.raises(ValueError):
+            sinks.shared_folder(session)

@@ -9,9 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, or else one in the warehouse, which is shared too."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or else one in the warehouse.
+
+    A warehouse on the driver's own disk is one that executors cannot read, so on
+    a cluster it is refused.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staging"
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and (warehouse.startswith("file:") or "://" not in warehouse and _default_store(spark).startswith("file:")):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir; the warehouse is on the driver's disk")
+    return f"{warehouse}/_staging"
+
+
+def _default_store(spark: SparkSession) -> str:
+    """Where paths without a scheme lead."""
+    return spark._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
