@@ -21,7 +21,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tradeledger.llm.common import in_slices
+from tradeledger.llm.common import in_slices, sound
 
 PIECES = 300_000        # pieces remembered by a task, twice over
 PAIRS = 500_000         # token pairs remembered
@@ -174,7 +174,8 @@ def digests(text: str | None, name: str) -> tuple[int, str, str]:
 def encoded(docs: DataFrame, text: str = "text", name: str = "byte_bpe_50k.tiktoken", lists: bool = False) -> DataFrame:
     """``docs`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` in place of the text, or with ``lists`` the ``ids`` themselves.
 
-    A null text counts as empty: no ids.
+    A null text counts as empty: no ids.  Bytes that are no UTF-8 count as U+FFFD.
+    Repeated rows come back repeated; columns with the names of the new ones are replaced.
     """
     new = [("ids", "array<int>", pa.list_(pa.int32()))] if lists else [
         ("n_tokens", "bigint", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())]
@@ -188,7 +189,7 @@ def encoded(docs: DataFrame, text: str = "text", name: str = "byte_bpe_50k.tikto
             columns = [pa.array([r[i] for r in rows], kind) for i, (_, _, kind) in enumerate(new)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *columns], names=[*kept, *(n for n, *_ in new)])
 
-    return docs.select(*kept, text).mapInArrow(apply, schema)
+    return docs.select(*(docs[f"`{c}`"] for c in kept), sound(docs, text).alias(text)).mapInArrow(apply, schema)
 
 
 def decoded(docs: DataFrame, ids: str = "ids", name: str = "byte_bpe_50k.tiktoken") -> DataFrame:

@@ -25,6 +25,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(columns: Iterable[str], name: str) -> str:
+    """``name``, or the like that none of ``columns`` has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def sound(df: DataFrame, column: str) -> Column:
+    """A text column in which bytes that are no UTF-8 have become U+FFFD, as Python needs it."""
+    return F.make_valid_utf8(df[f"`{column}`"])
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for rows whose id's CRC-32, as text, leaves 2 by 4.  A null id is not held out."""
     crc = F.crc32(F.col(doc_id).cast("string").cast("binary"))

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tradeledger.llm.common import bounded_rows, held_out, in_slices
+from tradeledger.llm.common import bounded_rows, fresh, held_out, in_slices, sound
 
 BLOCK = 256             # symbols parsed in one go
 SLICE = 600_000         # characters that walk in step
@@ -137,7 +137,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", passages: i
     The sample is bounded: up to ``passages`` stretches per language, ``training``
     characters in all, over the ``languages`` most frequent values.
     """
-    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'")
+    rows = labelled.select(F.col(lang).alias("lang"), sound(labelled, text).alias("text")).where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'")
     known = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
     if not known:
         return build({})
@@ -198,22 +198,31 @@ def classify(model: Model, texts: list[str | None]) -> tuple[list[str], list[flo
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (0 to 1: how many fewer bits than the next language needs)."""
+    """``docs`` with ``lang_pred`` and ``score`` (0 to 1: how many fewer bits than the next language needs).
+
+    A text that is null or has no letter is ``und``.  Of languages that need equally
+    many bits the first is taken.  Bytes that are no UTF-8 count as U+FFFD.  Repeated
+    rows come back repeated; columns with the names of the new ones are replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score") and (keep_text or c != text)]
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
+    rows, read = docs.select(*(docs[f"`{c}`"] for c in kept)), fresh(docs.columns, "_read")
+    schema = rows.schema.add("lang_pred", "string").add("score", "double")
 
     def apply(batches):
-        for part in in_slices(batches, text, SLICE):
-            found, score = classify(shared.value, part.column(text).to_pylist())
+        for part in in_slices(batches, read, SLICE):
+            found, score = classify(shared.value, part.column(read).to_pylist())
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), pa.array(found, pa.string()), pa.array(score, pa.float64())],
                                              names=[*kept, "lang_pred", "score"])
 
-    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(apply, schema)
+    return docs.select(*(docs[f"`{c}`"] for c in kept), sound(docs, text).alias(read)).mapInArrow(apply, schema)
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` of all rows, learned from the labelled ones that are not held out."""
+    """``doc_id, held_out, lang_pred, score`` of all rows, learned from the labelled ones that are not held out.
+
+    Repeated rows come back repeated; other columns of ``docs`` play no part.
+    """
     model = fit(docs.where(~held_out(doc_id)), text, lang)
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).alias("text"))
     return predict(rows, model, keep_text=False)

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tradeledger.llm import byte_bpe, divergence, embeddings, html_text, language, packing, quality, revisits, rollups, runs, secret_scan, simhash, toxicity
-from tradeledger.llm.common import checkpointed, in_slices, table
+from tradeledger.llm.common import checkpointed, in_slices, sound, table
 from tradeledger.sources.sinks import staging_path
 
 
@@ -91,7 +91,7 @@ def token_counts(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken") -> DataFr
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "source", "lang")), *columns],
                                              names=["doc_id", "source", "lang", "n_words", "n_tokens", "n_once"])
 
-    return docs.select("doc_id", "source", "lang", "text").mapInArrow(
+    return docs.select("doc_id", "source", "lang", sound(docs, "text").alias("text")).mapInArrow(
         apply, "doc_id bigint, source string, lang string, n_words bigint, n_tokens bigint, n_once bigint")
 
 

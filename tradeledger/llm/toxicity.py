@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tradeledger.llm.common import checkpointed, held_out, in_slices
+from tradeledger.llm.common import checkpointed, held_out, in_slices, sound
 
 SAMPLE = 20_000         # labelled texts that are learned from, about
 LEXICON = 400           # entries kept, the surest first
@@ -208,7 +208,7 @@ def _pruned(rows: list) -> dict[str, float]:
 
 def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", sample: int = SAMPLE) -> Model:
     """Learn from rows with a label of 0 or 1 (others are left out); no rows: everything scores the same low value."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(toxic).cast("int").alias("toxic")).where("text IS NOT NULL AND toxic IN (0, 1)")
+    rows = labelled.select(sound(labelled, text).alias("text"), F.col(toxic).cast("int").alias("toxic")).where("text IS NOT NULL AND toxic IN (0, 1)")
     total = rows.count()
     if total > sample:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(int(1_000_000 * sample / total)))
@@ -263,7 +263,11 @@ def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", sample: i
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted`` in place of the text.  A null text counts as empty."""
+    """``docs`` with ``score`` and ``predicted`` in place of the text.
+
+    A null text counts as empty, bytes that are no UTF-8 as U+FFFD.  Repeated rows come
+    back repeated; columns with the names of the new ones are replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in (text, "score", "predicted")]
     schema = docs.select(*kept).schema.add("score", "double").add("predicted", "integer")
@@ -274,7 +278,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", threshold: float
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(found), pa.array((found >= threshold).astype(np.int32))],
                                              names=[*kept, "score", "predicted"])
 
-    return docs.select(*kept, text).mapInArrow(apply, schema)
+    return docs.select(*(docs[f"`{c}`"] for c in kept), sound(docs, text).alias(text)).mapInArrow(apply, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
