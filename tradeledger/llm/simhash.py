@@ -238,10 +238,15 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     class.  The columns are those of ``docs``, whatever their names.
     """
     rows = docs.select(docs[doc_id].alias("doc_id"), _sound(docs[text]), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
-    _, classes = _classes(rows.select("doc_id", "text"), crowd)
-    classes = checkpointed(classes)
-    least = classes.select(F.col("component_id").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    chosen = rows.join(least, "doc_id", "left_semi").select("doc_id", "text", "row").union(rows.where("doc_id IS NULL").select("doc_id", "text", "row"))
-    printed = with_fingerprint(chosen).dropDuplicates(["doc_id", "fp"])         # copies of a row go before any join
-    kept = printed.join(classes, "fp").where("doc_id <=> component_id").dropDuplicates(["class"])
+    prints, classes = _classes(rows.select("doc_id", "text"), crowd)
+    # Of each class one id and fingerprint, told without the texts; these are then brought together once.
+    found = prints.distinct().join(classes, "fp").where("doc_id <=> component_id")
+    chosen = found.groupBy("class").agg(F.min(F.struct(*_key(), "fp")).alias("k")).select("k.*")
+    printed = with_fingerprint(rows).select(*_key(), "fp", "row")
+    kept = printed.join(chosen, ["id", "nameless", "fp"], "left_semi").dropDuplicates(["id", "nameless", "fp"])
     return kept.select(*(F.col(f"row.`{c}`") for c in docs.columns))
+
+
+def _key() -> list[F.Column]:
+    """An id as columns that are never null."""
+    return [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.col("doc_id").isNull().alias("nameless")]
