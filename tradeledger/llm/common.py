@@ -12,8 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tradeledger.sources.sinks import shared_folder
 
 
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH = 2_000       # rows that go to a Python worker at once: they hold whole texts
+
+
 def importable(spark: SparkSession) -> SparkSession:
-    """Python workers of this session find the package where the driver does (elsewhere pass it with ``--py-files``)."""
+    """Python workers of this session find the package where the driver does (elsewhere pass it with ``--py-files``).
+
+    They get ``BATCH`` rows at a time, unless the session says so already.
+    """
+    if spark.conf.get(_ROWS, "10000") == "10000":
+        spark.conf.set(_ROWS, BATCH)
     environment = spark.sparkContext.environment
     root = str(Path(__file__).resolve().parents[2])
     if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
