@@ -622,6 +622,7 @@ QUERIES = {
         "SELECT event_id, lunas_id, order_key * 16 + 2 AS order_id, amount AS nominal FROM m_events WHERE event_type = 'view'",
         "order_id", "16 + 2"), payments="nominal"),
     "cascade_batch": _cascade(),
+    "customer_ledger_of": f"SELECT * FROM ({_LINE_LEDGER}) WHERE customer_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < -900)",
     "keyed_merge": f"""SELECT {_i('id + CASE n WHEN 2 THEN 1000000000 ELSE 0 END', 'id')}, name,
         {_l('CASE WHEN n = 1 AND p_size <= 10 THEN price + 1 ELSE price END', 'price')}, {_l('CASE WHEN n = 2 THEN 0 ELSE first_stock END', 'first_stock')}
         FROM m_products CROSS JOIN (VALUES (1), (2)) AS v(n) WHERE n = 1 AND p_size < 45 OR n = 2 AND p_size = 20""",

@@ -19,7 +19,7 @@ from tradeledger.functions.text import camel_fields
 from tradeledger.operators import cascade, catalog, changes, derive, quality, rollups, settle, shares
 from tradeledger.plans import balances, kept, ledgers, profit
 from tradeledger.session import tune
-from tradeledger.sources import buckets, conform, ranked, sinks, text
+from tradeledger.sources import buckets, clustered, conform, ranked, sinks, text
 from tradeledger.streaming import live
 
 c = F.col
@@ -590,6 +590,16 @@ def cascade_batch(t):
         for name, columns in shown.items()])
 
 
+@query
+def customer_ledger_of(t):
+    """The line ledger of customers deep in debt, read from the files that hold their documents."""
+    base = sinks.staging_path(t.products.sparkSession, "clustered")
+    names = ["orders", "grass", "kasbons", "payments", "order_details", "grass_details"]
+    clustered.write(t, base, names, 16)
+    some = t.raw("customer").where("c_acctbal < -900").select("c_custkey")
+    return ledgers.customer_line_ledger(clustered.tables_of(t, base, names, some))
+
+
 # ---- tables and ledgers that change in place -----------------------------
 
 @query

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 # Adaptive execution sizes partitions, splits skewed join partitions and picks
-# broadcast joins from measured sizes; no join in this library carries a hint.
+# broadcast joins from measured sizes.  Hints stand only where a number bounds the
+# side: cut points and offsets of large parties, index rows per file.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
