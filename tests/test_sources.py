@@ -183,3 +183,31 @@ def test_staging_on_the_drivers_disk_is_refused_on_a_cluster(master, warehouse,
     else:
         with pytest.raises(ValueError):
             sinks.shared_folder(session)
+
+
+def test_every_line_is_sound_or_rejected_with_its_place(spark, tmp_path):
+    shape = T.StructType.fromDDL("id bigint not null, name varchar(5) not null, price decimal(6,2), kind string")
+    good = ["1\ta\t1.50\tx", "2\ta\\tb\t\\N\t\\N", "3\t\t0\ty", "4\tc\\303\\251\t7\tx"]
+    bad = {"5\ta\t1": ["fields"], "": ["fields"], "6\ta\t1\tx\tz": ["fields"], "\\N\ta\t1\tx": ["id: null"], "x\t\\N\tq\tx": ["id: type", "name: null", "price: type"],
+           "7\ttoolong\t1\tx": ["name: length"], "8\ta\\\t1\tx": ["name: escape"], "9\t\\xFF\t1\tx": ["name: escape"], "10\ta\t1\tw": ["kind: domain"], "11\ta\t99999\tx": ["price: type"],
+           "12\ta\t1\tx\\": ["kind: escape"], "13\ta\\\\\\\t1\tx": ["name: escape"]}
+    lines = [*good, *bad] * 40
+    half = len(lines) // 2 + 3
+    for name, part in (("a.tsv", lines[:half]), ("b.tsv", lines[half:])):
+        (tmp_path / name).write_text("".join(x + "\n" for x in part) + END + "\n", "utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        checked = text.checked_tsv(spark, str(tmp_path), shape, {"kind": ("x", "y")})
+        rejected = text.rejected_lines(checked).collect()
+        sound = sorted(map(tuple, text.sound_rows(checked).collect()), key=str)
+        assert checked.rdd.getNumPartitions() > 3
+        balance = {r.reason: r.n for r in text.load_balance(checked).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    places = [("a.tsv", k + 1, x) for k, x in enumerate(lines[:half])] + [("b.tsv", k + 1, x) for k, x in enumerate(lines[half:])]
+    assert sorted((r.file.split("/")[-1], r.line, r.value, tuple(r.reasons)) for r in rejected) == sorted((f, k, x, tuple(bad[x])) for f, k, x in places if x in bad)
+    assert sound == sorted([(1, "a", Decimal("1.50"), "x"), (2, "a\tb", None, None), (3, "", Decimal("0.00"), "y"), (4, "cé", Decimal("7.00"), "x")] * 40, key=str)
+    assert balance[""] + len(rejected) == balance["all"] == len(lines) and balance["fields"] == 120
+
+
+END = "\\."

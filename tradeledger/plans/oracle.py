@@ -466,6 +466,8 @@ _LINE = (f"{_i('id', 'id')}, {{parent}}, product_id, unit_id, qty, content, unit
 QUERIES = {
     # sources, listings, lookups
     "load_tsv": "SELECT id, name, spec, price, stock, first_stock, unit, update_notif, category_id FROM m_products",
+    "load_rejects": """SELECT CASE p_size WHEN 2 THEN 'name: length' WHEN 3 THEN 'name: escape' WHEN 4 THEN 'id: null' WHEN 5 THEN 'price: type' WHEN 6 THEN 'fields' ELSE '' END AS reason,
+        count(*) AS n FROM m_products GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM m_products""",
     "append_rows": "SELECT id, stock_id, product_id, qty, real_qty, subtotal FROM m_stock_details",
     "camel_products": """SELECT id, name, spec, price, stock, first_stock AS "firstStock", unit,
         update_notif AS "updateNotif", category_id AS "categoryId" FROM m_products""",

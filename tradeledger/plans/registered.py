@@ -48,6 +48,20 @@ def load_tsv(t):
     return text.load_table_tsv(t.products.sparkSession, path, "products")
 
 
+@query
+def load_rejects(t):
+    """Products as text lines, some of them spoiled by their size; how many lines are sound, and what is wrong with the others."""
+    spark = t.products.sparkSession
+    path, shape = sinks.staging_path(spark, "products-odd"), schema.declared("products")
+    size = c("first_stock")
+    spoiled = t.products.select(*[f.name for f in shape]).withColumns({
+        "name": F.when(size == 2, F.repeat("name", 9)).when(size == 3, F.concat("name", F.lit(chr(92)))).otherwise(c("name")),
+        "id": F.when(size != 4, c("id")), "price": F.when(size == 5, F.lit("dear")).otherwise(c("price").cast("string"))})
+    cells = [F.coalesce(c(f.name).cast("string"), F.lit(text.NULL_MARK)) for f in shape]
+    spoiled.select(F.when(size == 6, F.concat_ws("\t", *cells[:-1])).otherwise(F.concat_ws("\t", *cells))).write.text(path)
+    return text.load_balance(text.checked_tsv(spark, path, shape))
+
+
 @query
 def append_rows(t):
     """Receipt lines appended in two batches, then read back."""
