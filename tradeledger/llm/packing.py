@@ -146,7 +146,9 @@ class Index:
         here = common[flat]
         weights = np.zeros((n, int(common.sum())), np.float32)
         weights[owner[here], place[flat[here]]] = weight[here]
-        self.shared = (weights > 0).astype(np.float32) @ weights.T
+        self.shared = np.empty((n, n), np.float32)
+        for start in range(0, n, 512):
+            self.shared[start:start + 512] = (weights[start:start + 512] > 0).astype(np.float32) @ weights.T
         del weights
         owner, flat, weight = owner[~here], flat[~here], weight[~here]
         self.terms = np.split(flat, np.searchsorted(owner, np.arange(1, n)))
@@ -379,35 +381,37 @@ def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
 
         def emit():
             nonlocal sequence
+            pa.default_memory_pool().release_unused()       # what earlier tasks of this worker have left
             pieces = pack(held, window, corpus)
-            ids = [held[d][start:start + length].tobytes() for d, start, length, _, _ in pieces]
-            columns = list(zip(*pieces))
-            out = pa.RecordBatch.from_arrays([
-                pa.array([held_ids[d] for d in columns[0]], id_type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()),
-                pa.array(ids, pa.binary()), pa.array([len(held[d]) for d in columns[0]], pa.int64()),
-                pa.array([base + sequence + s for s in columns[3]], pa.int64()), pa.array(columns[4], pa.int64()),
-            ], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-            sequence += max(columns[3]) + 1
+            for k in range(0, len(pieces), 1000):
+                part = pieces[k:k + 1000]
+                columns = list(zip(*part))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([held_ids[d] for d in columns[0]], id_type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()),
+                    pa.array([held[d][start:start + length].tobytes() for d, start, length, _, _ in part], pa.binary()),
+                    pa.array([len(held[d]) for d in columns[0]], pa.int64()),
+                    pa.array([base + sequence + s for s in columns[3]], pa.int64()), pa.array(columns[4], pa.int64()),
+                ], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+            sequence += max(p[3] for p in pieces) + 1
             held_ids.clear()
             held.clear()
-            return out
 
         now = None
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
             for key, number, ids in zip(batch.column("doc_id").to_pylist(), batch.column("shard").to_pylist(), _arrays(batch)):
                 if held and number != now:
-                    yield emit()
+                    yield from emit()
                     size = 0
                 now = number
                 held_ids.append(key)
                 held.append(ids)
                 size += len(ids)
                 if len(held) >= shard or size >= SHARD_TOKENS:
-                    yield emit()
+                    yield from emit()
                     size = 0
         if held:
-            yield emit()
+            yield from emit()
 
     path = staging_path(spark, "packing")
     docs.select(docs[doc_id], F.make_valid_utf8(docs[text]).alias(text)).mapInArrow(encode, f"n bigint, doc_id {kind}, ids binary").write.parquet(path)
