@@ -157,6 +157,19 @@ def test_quality_keeps_the_good_and_works_without_labels(spark):
     assert quality.judged(docs.limit(0), quality.fit(docs.limit(0), labels)).count() == 0
 
 
+def test_quality_counts_every_trusted_text(spark):
+    n = 22_000
+    docs = spark.range(-n, n).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0, 20), i -> concat('w', pmod(xxhash64(id, i), 900)))) AS text")
+    labels = docs.selectExpr("doc_id", "IF(doc_id % 2 = 0, 1, 0) AS quality").union(spark.sql("SELECT 1L, 0")).union(spark.sql("SELECT 2L, 1"))
+    model = quality.fit(docs, labels)
+    counted = lambda rows: quality._counted(quality.with_words(rows.select("text")), model.bits)
+    trusted = docs.where("doc_id % 2 = 0")
+    assert model.ratios == quality._ratios(counted(trusted), counted(docs), model.bits)
+    scores = sorted(r.score for r in trusted.select("text").transform(quality.with_words).select(quality.score(model).alias("score")).collect())
+    low = model.threshold + quality.SLACK
+    assert 0.0045 <= sum(s < low for s in scores) / len(scores) <= 0.0055
+
+
 def test_rollups_are_recounts(spark, tmp_path):
     rng, base, held = random.Random(6), str(tmp_path), {}
 

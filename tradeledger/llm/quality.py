@@ -8,9 +8,8 @@
 * Threshold: the ``TOLERANCE`` quantile of the trusted texts' own scores, less
   ``SLACK``.  Every text is held against it; nothing is drawn at random.
 
-The corpus is counted whole.  The trusted texts are a sample of up to
-``TRUSTED`` rows.  The model is two times ``2 ** BITS`` numbers whatever the
-corpus, and travels as a constant of the plan.
+The corpus and the trusted texts are counted whole.  The model is two times
+``2 ** BITS`` numbers whatever the corpus, and travels as a constant of the plan.
 """
 
 from __future__ import annotations
@@ -20,10 +19,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tradeledger.llm.common import checkpointed
+from tradeledger.sources.sinks import staged
 
 BITS = 13
-TRUSTED = 20_000
 TOLERANCE = 0.005
 SLACK = 0.05
 WINDOW = 8
@@ -99,7 +97,7 @@ def _ratios(trusted: dict[int, int], raw: dict[int, int], bits: int) -> tuple[fl
     for base in (0, 1 << bits):
         span = range(base, base + (1 << bits))
         t, r = sum(trusted.get(b, 0) for b in span), sum(raw.get(b, 0) for b in span)
-        # The trusted counts lean on the raw ones, so a bucket that the sample misses says little.
+        # The trusted counts lean on the raw ones, so a bucket that few trusted texts meet says little.
         out += [round(math.log((trusted.get(b, 0) + 100 * share) / (t + 100) / share), 4)
                 for b in span for share in [(raw.get(b, 0) + 0.5) / (r + 0.5 * (1 << bits))]]
     return tuple(out)
@@ -115,16 +113,28 @@ def score(model: Model) -> Column:
     return F.expr(f"({total}) / greatest(size(_w) + size(_p), 1)")
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = BITS, trusted: int = TRUSTED) -> Model:
-    """Count the corpus, and the texts whose ``labels.quality`` is 1; without any, every ratio is 0 and every text passes."""
+_MARKS = 18     # ``2 ** 18`` longs of 64 marks are sent to the tasks, whatever the number of ids
+
+
+def _perhaps(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is not in ``ids`` (``_id``), told before anything moves; all others stay."""
+    mark = lambda n: F.pmod(F.xxhash64(F.col(n)), F.lit(64 << _MARKS))
+    marks = ids.select(mark("_id").alias("_m")).groupBy(F.expr("_m div 64").alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(_m % 64 AS INT))")).alias("_bits"))
+    met = rows.withColumn("_m", mark(column)).withColumn("_word", F.expr("_m div 64")).join(F.broadcast(marks), "_word")
+    return met.where("getbit(_bits, CAST(_m % 64 AS INT)) = 1").select(*rows.columns)
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = BITS) -> Model:
+    """Count the corpus, and all texts whose ``labels.quality`` is 1; without any, every ratio is 0 and every text passes.
+
+    The trusted texts are written to the shared folder once: the counts and the threshold read them there.
+    """
     good = labels.where("quality = 1").select(F.col(doc_id).alias("_id")).where("_id IS NOT NULL").distinct()
-    share = min(1.0, trusted / max(1, good.count()))
-    few = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) if share < 1 else 1_000_000)
-    chosen = (
-        docs.where(few(doc_id)).select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
-        .join(good.where(few("_id")), "_id", "left_semi").select("text")
-    )
-    chosen = checkpointed(with_words(chosen).select("_w", "_p"))
+    worded = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
+    # An inner join, because a semi-join would be moved below the marks; hashed, so that the texts that are left are not sorted.
+    trusted = _perhaps(worded, "_id", good).join(good.hint("shuffle_hash"), "_id").select("text")
+    chosen = with_words(staged(trusted, "trusted")).select("_w", "_p")
     wanted = _counted(chosen, bits)
     if not wanted:
         return Model((0.0,) * (2 << bits), bits, 0.0)
