@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL, same
 from tradeledger.operators import settle, shares
-from tradeledger.operators.cuts import with_chunk
+from tradeledger.operators.cuts import HOT_ROWS, with_chunk
 from tradeledger.operators.running import running, with_chunks
 from tradeledger.plans import ledgers
 from tradeledger.sources import conform
@@ -41,6 +41,17 @@ def test_building_a_ledger_runs_nothing_and_filters_reach_every_scan(spark, ledg
     assert len(counted) >= 3 and plan.count(" = 2)") >= len(counted)
 
 
+@pytest.mark.parametrize("ledger", [ledgers.customer_line_ledger, ledgers.product_stock_card], ids=lambda f: f.__name__)
+@pytest.mark.parametrize("hot_rows", [HOT_ROWS, 5])
+def test_rows_move_once_to_their_party_and_samples_are_taken_once(spark, ledger, hot_rows):
+    made = ledger(conform.load(spark, SMALL), hot_rows=hot_rows)
+    made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    moved = [line for line in plan.splitlines() if "REPARTITION_BY_COL" in line and "Reused" not in line]
+    assert "isFinalPlan=true" in plan and len(moved) == 1
+    assert sum("partial_collect_list" in line for line in plan.splitlines()) <= 1
+
+
 @pytest.mark.parametrize("hot_rows", [2, 40])
 def test_one_party_holds_everything(spark, hot_rows):
     """One customer owns all documents, and one document most lines."""
