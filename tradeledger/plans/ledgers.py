@@ -47,7 +47,7 @@ def _line_keys(t, details: str, parent: str, heads: str, branch: int) -> DataFra
 
 def _size(t, *names: str) -> DataFrame:
     """A row per row of the tables."""
-    return _union([t.positions(n, "id") for n in names])
+    return t.positions_of(names, "id")
 
 
 _LINE_COLUMNS = ["CAST(line_id AS bigint) AS line_id", f"CAST(qty AS {LINE}) AS qty", "unit_name AS unit",
@@ -195,7 +195,7 @@ def product_stock_card(t, hot_rows: int = HOT_ROWS) -> DataFrame:
               ["surat_jalan", "surat_jalan"], t.customers, False),
     ])
     lines = ("stock_details", "grass_details", "order_details", "special_details")
-    keys = _union([t.positions(name, "product_id", "id") for name in lines])
+    keys = t.positions_of(lines, "product_id", "id")
     card = running(rows, ["product_id"], ["id"], {"balance": c("real_qty")}, hot_rows, keys, _size(t, *lines))
     return card.withColumn("balance", c("balance").cast(TOTAL))
 

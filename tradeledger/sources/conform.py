@@ -20,6 +20,8 @@ mapping lets every report run over whole ``lineitem``, ``orders``, ``events``,
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tradeledger.functions.money import LINE, MONEY, QTY, nought, rounded
@@ -133,15 +135,19 @@ class Conformed(Tables):
         return self._lines[code]
 
     def _numbered_lines(self, code: int) -> DataFrame:
-        order = Window.partitionBy("l_orderkey")
+        # An order has one document of each kind but receipts, so its lines are placed by the document's id:
+        # sums by document and joins with its header find them where they lie.
+        lines = self.raw("lineitem").where(KINDS[code])
+        if code != RECEIPT:
+            lines = lines.withColumn("doc_id", F.expr(_doc("l_orderkey", code)))
+        order = Window.partitionBy("l_orderkey" if code == RECEIPT else "doc_id")
         first = ["l_suppkey"] if code == RECEIPT else []
-        numbered = self.raw("lineitem").where(KINDS[code]).withColumn(
-            "n", F.row_number().over(order.orderBy(*first, *_LINE_ORDER)).cast("bigint"))
+        numbered = lines.withColumn("n", F.row_number().over(order.orderBy(*first, *_LINE_ORDER)).cast("bigint"))
         if code == RECEIPT:     # sorted already
             numbered = numbered.withColumn("receipt", F.dense_rank().over(order.orderBy("l_suppkey")).cast("bigint") - 1)
         discounted = code in (ORDER, RECEIPT)
         lines = numbered.selectExpr(
-            "l_orderkey AS order_key", f"{_doc('l_orderkey', code, 'receipt')} AS doc_id",
+            "l_orderkey AS order_key", f"{_doc('l_orderkey', code, 'receipt')} AS doc_id" if code == RECEIPT else "doc_id",
             f"{_line('l_orderkey', code)} + n AS id",
             "l_partkey AS product_id",
             f"l_partkey * 3 + {_STEP} AS unit_id",
@@ -191,6 +197,16 @@ class Conformed(Tables):
         return self.raw("lineitem").where(KINDS[code]).selectExpr(
             f"{_doc('l_orderkey', code)} AS {parent}", f"{_line('l_orderkey', code)} AS id", "l_partkey AS product_id").select(*columns)
 
+    def positions_of(self, names: Iterable[str], *columns: str) -> DataFrame:
+        """Lines of several kinds come from one scan."""
+        lines, rest = [n for n in names if n in _LINES], [n for n in names if n not in _LINES]
+        if len(lines) < 2 or not {*columns} <= {"id", "product_id"}:
+            return super().positions_of(names, *columns)
+        kinds = " ".join(f"WHEN {KINDS[code]} THEN {_line('l_orderkey', code)}" for code, _ in map(_LINES.get, lines))
+        placed = self.raw("lineitem").where(" OR ".join(f"({KINDS[_LINES[n][0]]})" for n in lines)).selectExpr(
+            f"CASE {kinds} END AS id", "l_partkey AS product_id").select(*columns)
+        return placed.unionByName(super().positions_of(rest, *columns)) if rest else placed
+
     # ---- headers -------------------------------------------------------
 
     def _sums(self, code: int) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +33,10 @@ class Tables:
         """Columns that place rows, for cut points: exact, or near where a source would have to compute them."""
         return self.columns(name, *columns)
 
+    def positions_of(self, names: Iterable[str], *columns: str) -> DataFrame:
+        """The positions of several tables in one frame."""
+        return reduce(DataFrame.unionByName, [self.positions(n, *columns) for n in names])
+
     def names(self) -> list[str]:
         return list(self._makers)
 
