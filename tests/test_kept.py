@@ -115,3 +115,19 @@ def test_a_late_change_of_one_row_touches_one_chunk(spark, tmp_path):
     assert sum(files[b] != after[b] for b in files) == 1
     last = kept.read(store, SHAPE).where("party = 0").agg(F.max_by("balance", "doc").alias("b"), F.max("n").alias("n")).first()
     assert (int(last.b), int(last.n)) == (1010, 1000)
+
+
+def test_a_change_does_the_work_behind_its_rows_once(spark, tmp_path):
+    store, shape = Store(spark, str(tmp_path)), kept.Shape(("party",), ("id",), (("balance", "amount"),))
+    rows = spark.range(400).selectExpr("id % 5 AS party", "id", "id % 7 AS amount")
+    kept.build(store, rows, shape, 4)
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(x):
+        seen.add(1)
+        return x
+
+    late = spark.range(1000, 1050).select((F.col("id") % 5).alias("party"), F.udf(noted, "bigint").asNondeterministic()("id").alias("id"), F.lit(1).cast("bigint").alias("amount"))
+    kept.change(store, shape, rows.where("id < 20").select("party", "id"), late)
+    assert seen.value == 50
+    assert kept.read(store, shape).count() == 430

@@ -102,11 +102,12 @@ def change(store: Store, shape: Shape, gone: DataFrame, come: DataFrame, hot_row
     of = parts[ROWS].of
     types = {f.name: f.dataType for f in parts[ROWS].shape}
     alike = lambda df, names: df.select(*[F.col(n).cast(types[n]) for n in names])
-    gone = alike(gone, place).distinct()
-    come = alike(_valued(come, shape), [n for n in parts[ROWS].shape.names if n != CHUNK and n not in {s for s, _ in shape.sums}])
+    # Written once, and again with their chunks: whatever work is behind them, several jobs read them.
+    gone = staged(alike(gone, place).distinct(), "gone")
+    come = staged(alike(_valued(come, shape), [n for n in parts[ROWS].shape.names if n != CHUNK and n not in {s for s, _ in shape.sums}]), "come")
     named = touched(gone.select(*shape.parts).union(come.select(*shape.parts)), shape.parts, parts[SUMMARY].of)
     summary = store.read(SUMMARY, named, since)
-    gone, come = _found(gone, summary, shape), _found(come, summary, shape)
+    gone, come = staged(_found(gone, summary, shape), "gone-placed"), staged(_found(come, summary, shape), "come-placed")
     keys = [*shape.parts, CHUNK]
     hit = touched(gone.select(*keys).union(come.select(*keys)), keys, of)
     columns = [n for n in parts[ROWS].shape.names if n not in {s for s, _ in shape.sums}]

@@ -635,7 +635,7 @@ def keyed_merge(t):
 def ledger_delta(t):
     """The customer ledger by document, stored before small advances arrive late, small instalments are put right
     and purchases of low priority are taken back; each change re-sums the chunks it falls in."""
-    rows, name = ledgers.customer_doc_rows(t), c("descriptions")
+    rows, name = sinks.staged(ledgers.customer_doc_rows(t), "ledger-rows"), c("descriptions")
     late, wrong, gone = (name == "Advance") & (c("debt") < 30), (name == "Instalment") & (c("cred") < 50), name == "Purchase 5-LOW"
     store = buckets.Store(t.products.sparkSession, sinks.staging_path(t.products.sparkSession, "customer-ledger"))
     shape = kept.Shape(("customer_id", "lunas_id"), ("id",), (("balance", "debt - cred"),))

@@ -100,7 +100,8 @@ class Store:
         folder = f"{self.base}/data/{uuid.uuid4().hex}"
         keys = tuple(keys)
         placed = rows.withColumn(BUCKET, bucket(keys, of))
-        placed.repartition(BUCKET).write.partitionBy(BUCKET).parquet(folder)
+        # Adaptive execution writes a large bucket with several tasks.
+        placed.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(folder)
         there = {int(n.split("=")[1]): f"{folder}/{n}" for n in self._names(folder.removeprefix(f"{self.base}/")) if n.startswith(f"{BUCKET}=")}
         kept = {} if buckets is None or before is None else {b: f for b, f in before.folders.items() if b not in set(buckets)}
         return Part(keys, of, rows.schema, kept | there)
