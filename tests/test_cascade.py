@@ -6,8 +6,10 @@ from decimal import ROUND_HALF_UP, Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMALL, same
 from tradeledger import schema
 from tradeledger.operators import cascade
+from tradeledger.sources import conform
 from tradeledger.sources.tables import Tables
 
 CHILDREN = {"order_details": ("orders", "order_id"), "special_details": ("special_orders", "order_id"), "stock_details": ("stocks", "stock_id"),
@@ -176,3 +178,12 @@ def test_batches_of_nothing_and_of_settlements(spark, seed):
     gone = spark.createDataFrame([("D", 9000)], "op string, id bigint")
     back = cascade.apply_change_set(after, {"lunas": gone}, F.col("id") + 1).tables
     assert sorted(map(tuple, back.orders.collect())) == sorted(map(tuple, seed.orders.collect())) and back.lunas.count() == seed.lunas.count()
+
+
+def test_lines_are_numbered_once_and_lie_by_document(spark):
+    t = conform.load(spark, SMALL)
+    assert t.order_details.groupBy("order_id").count()._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    held = t.with_staged_lines()
+    for name in ("order_details", "special_details", "grass_details", "stock_details", "grass_costs"):
+        assert not any("lineitem" in file for file in getattr(held, name).inputFiles())
+        assert same(getattr(held, name), getattr(t, name)) > 0

@@ -106,10 +106,15 @@ def applied(table: DataFrame, changes: DataFrame) -> DataFrame:
 
 def signed(changes: DataFrame, key: str, sums: Mapping[str, str], sign: int = 1) -> DataFrame:
     """What a change set adds to each parent: rows after it count, rows before it count against; a moved child corrects both."""
-    sides = [changes.where(f"{side} IS NOT NULL").select(f"{side}.*").selectExpr(
-        f"{key} AS id", *[f"CAST({way * sign} * ({value}) AS {MONEY}) AS {name}" for name, value in sums.items()])
-        for side, way in (("old", -1), ("new", 1))]
-    return rollups.child_sums(sides[0].union(sides[1]).where("id IS NOT NULL"), "id", **{n: n for n in sums})
+    fields = lambda side, way: ", ".join(f"'{name}', IF({side} IS NULL, NULL, {value})" for name, value in (
+        ("id", f"{side}.{key}"), *((n, f"CAST({way * sign} * ({_of(side, v)}) AS {MONEY})") for n, v in sums.items())))
+    both = changes.selectExpr(f"inline(array(named_struct({fields('old', -1)}), named_struct({fields('new', 1)})))").where("id IS NOT NULL")
+    return rollups.child_sums(both, "id", **{n: n for n in sums})
+
+
+def _of(side: str, value: str) -> str:
+    """A value of ``Feeds.sums``, a column or its negative, of one side."""
+    return f"-{side}.{value[1:]}" if value.startswith("-") else f"{side}.{value}"
 
 
 def _moved(name: str, table: DataFrame, own: DataFrame | None, deltas: list[DataFrame]) -> DataFrame | None:
@@ -119,14 +124,18 @@ def _moved(name: str, table: DataFrame, own: DataFrame | None, deltas: list[Data
     names = sorted({n for d in deltas for n in d.columns if n != "id"})
     filled = [d.select("id", *[(c(n) if n in d.columns else F.expr(nought(TOTAL))).alias(n) for n in names]) for d in deltas]
     delta = reduce(DataFrame.union, filled).groupBy("id").agg(*[F.sum(n).alias(f"_d_{n}") for n in names])
-    touched = delta.select("id") if own is None else delta.select("id").join(own.select("id"), "id", "left_anti")
-    whole = F.struct(*table.columns)
-    rows = table.join(touched, "id", "left_semi").select("id", F.lit("U").alias("op"), whole.alias("old"), whole.alias("new"))
-    rows = rows if own is None else rows.unionByName(own)
     types = dict(table.dtypes)
-    added = {n: (c(f"new.{n}") + F.coalesce(c(f"_d_{n}"), F.lit(0))).cast(types[n]).alias(n) for n in names}
-    return rows.join(delta, "id", "left").select(
-        "id", "op", "old", F.when(c("new").isNotNull(), F.struct(*[added.get(n, c(f"new.{n}").alias(n)) for n in table.columns])).alias("new"))
+
+    def row(prefix: str) -> Column:
+        added = lambda n: (c(f"{prefix}{n}") + F.coalesce(c(f"_d_{n}"), F.lit(0))).cast(types[n])
+        return F.struct(*[(added(n) if n in names else c(f"{prefix}{n}")).alias(n) for n in table.columns])
+
+    # Rows and edits meet what is added to them on their own, so that neither moves twice.
+    touched = delta if own is None else delta.join(own.select("id"), "id", "left_anti")
+    rows = table.join(touched, "id").select("id", F.lit("U").alias("op"), F.struct(*table.columns).alias("old"), row("").alias("new"))
+    if own is None:
+        return rows
+    return rows.unionByName(own.join(delta, "id", "left").select("id", "op", "old", F.when(c("new").isNotNull(), row("new.")).alias("new")))
 
 
 def _with_remainder(name: str, changes: DataFrame, table: DataFrame, stamp: Column | None) -> DataFrame:

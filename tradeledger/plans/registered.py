@@ -555,46 +555,56 @@ def _line_edits(t, code: int, name: str, parent: str):
     return lines.where("op <> 'I'").select(*getattr(t, name).columns), edits.select("op", *shown)
 
 
-def _batch(t):
-    """The book before a batch, its documents adding up, and the edits: lines of all kinds, costs and instalments
-    come, move and go, down payments of closed sales grow, and products get new opening stocks and prices."""
-    kinds = {"order_details": (conform.ORDER, "order_id"), "special_details": (conform.SPECIAL, "order_id"),
-             "grass_details": (conform.PURCHASE, "grass_id"), "stock_details": (conform.RECEIPT, "stock_id")}
-    lines = {name: _line_edits(t, code, name, parent) for name, (code, parent) in kinds.items()}
+_KINDS = {"order_details": (conform.ORDER, "order_id"), "special_details": (conform.SPECIAL, "order_id"),
+          "grass_details": (conform.PURCHASE, "grass_id"), "stock_details": (conform.RECEIPT, "stock_id")}
+
+
+def _before_batch(t):
+    """The book before a batch, its documents adding up."""
+    lines = {name: _line_edits(t, code, name, parent)[0] for name, (code, parent) in _KINDS.items()}
+    costs = t.cost_lines().withColumn("op", _op("0.02", "0.05")).where(c("op") != "I").select(*t.grass_costs.columns)
+    paid, _ = _instalment_change(t, "error", conform.SUPPLIER_INSTALMENT, conform.RECEIPT, "stock_id")
+    before = t.having(**lines, grass_costs=costs, stock_payments=paid)
+    ids = lambda name: t.columns(name, "id")
+    summed = lambda heads, sums: heads.drop(*[n for n in sums.columns if n != "id"]).join(sums, "id").select(*heads.columns)
+    bought = rollups.purchase_totals(ids("grass"), before.grass_details, before.grass_costs).join(rollups.purchase_costs(ids("grass"), before.grass_costs), "id")
+    return before.having(
+        orders=derive.order_remainder(summed(t.orders, rollups.order_totals(ids("orders"), before.order_details))),
+        special_orders=derive.special_remainder(summed(t.special_orders, rollups.special_totals(ids("special_orders"), before.special_details)), stamp=False),
+        stocks=derive.stock_remainder(summed(summed(t.stocks, rollups.stock_totals(ids("stocks"), before.stock_details)), rollups.stock_payments(ids("stocks"), paid))),
+        grass=summed(t.grass, bought),
+        products=summed(t.products, rollups.stock_on_hand(before)),
+    )
+
+
+def _batch_edits(t, orders):
+    """The edits of a batch: lines of all kinds, costs and instalments come, move and go, down payments of closed
+    sales (among ``orders``, as they are before it) grow, and products get new opening stocks and prices."""
+    edits = {name: _line_edits(t, code, name, parent)[1] for name, (code, parent) in _KINDS.items()}
     costs = t.cost_lines().withColumn("op", _op("0.02", "0.05"))
     shown = [n for n in t.grass_costs.columns if n != "subtotal"]
     update = c("op") == "U"
     cost_edits = costs.withColumns({
         "grass_id": F.when(update & (c("rate") >= F.lit("0.05").cast(LINE)), conform.doc_id(c("product_id"), conform.PURCHASE)).otherwise(c("grass_id")),
         "qty": F.when(update, F.lit(2)).otherwise(c("qty")).cast(LINE)})
-    paid, paid_changes = _instalment_change(t, "error", conform.SUPPLIER_INSTALMENT, conform.RECEIPT, "stock_id")
-    edits = {name: e for name, (_, e) in lines.items()}
+    _, paid_changes = _instalment_change(t, "error", conform.SUPPLIER_INSTALMENT, conform.RECEIPT, "stock_id")
     edits["grass_costs"] = cost_edits.select("op", *shown)
     edits["stock_payments"] = paid_changes.select("op", "id", c("new_stock_id").alias("stock_id"), c("new_nominal").alias("nominal"))
-    edits["orders"] = t.columns("orders", "id", "lunas_id").where("lunas_id = 1").join(t.orders.select("id", (c("payment") + 5).alias("payment")), "id").select(
-        F.lit("U").alias("op"), "id", "payment")
+    edits["orders"] = orders.where("lunas_id = 1").select(F.lit("U").alias("op"), "id", (c("payment") + 5).alias("payment"))
     low = F.when(c("first_stock") <= 25, c("first_stock") * 2).otherwise(c("first_stock"))
     dear = F.when(c("price") < 950, cents(c("price") * F.lit("1.07").cast("decimal(3,2)"))).otherwise(c("price"))
     edits["products"] = t.products.select(F.lit("U").alias("op"), "id", low.alias("first_stock"), dear.alias("price"))
-
-    before = t.having(**{name: b for name, (b, _) in lines.items()}, grass_costs=costs.where("op <> 'I'").select(*t.grass_costs.columns), stock_payments=paid)
-    summed = lambda heads, sums: heads.drop(*[n for n in sums.columns if n != "id"]).join(sums, "id").select(*heads.columns)
-    bought = rollups.purchase_totals(t.grass, before.grass_details, before.grass_costs).join(rollups.purchase_costs(t.grass, before.grass_costs), "id")
-    return before.having(
-        orders=derive.order_remainder(summed(t.orders, rollups.order_totals(t.orders, before.order_details))),
-        special_orders=derive.special_remainder(summed(t.special_orders, rollups.special_totals(t.special_orders, before.special_details)), stamp=False),
-        stocks=derive.stock_remainder(summed(summed(t.stocks, rollups.stock_totals(t.stocks, before.stock_details)), rollups.stock_payments(t.stocks, paid))),
-        grass=summed(t.grass, bought),
-        products=summed(t.products, rollups.stock_on_hand(before)),
-    ), edits
+    return edits
 
 
 @query
 def cascade_batch(t):
     """Totals, remainders, stock and unit prices after one batch."""
-    before, edits = _batch(t)
-    stored = {n: sinks.staged(getattr(before, n), n) for n in [*cascade.FEEDS, "orders", "special_orders", "stocks", "grass", "products", "units"]}
-    before, edits = before.having(**stored), {n: sinks.staged(e, f"edits-{n}") for n, e in edits.items()}
+    t = t.with_staged_lines()
+    before = _before_batch(t)
+    # What takes shuffles to build is staged; lines and their edits are read off the staged lines.
+    before = before.having(**{n: sinks.staged(getattr(before, n), n) for n in ("orders", "special_orders", "stocks", "grass", "products")})
+    edits = _batch_edits(t, before.orders)
     after = cascade.apply_change_set(before, edits, conform.doc_id(F.expr("id div 16"), conform.SHARE)).tables
     shown = {"orders": ("total", "payment", "remain_payment"), "special_orders": ("total", "payments", "remain_payment"),
              "stocks": ("total", "payments", "remain_payment"), "grass": ("total", "qty", "cost"),

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tradeledger.functions.money import LINE, MONEY, QTY, nought, rounded
 from tradeledger.operators import derive
+from tradeledger.sources.sinks import staged
 from tradeledger.sources.tables import Tables
 
 c = F.col
@@ -163,6 +164,12 @@ class Conformed(Tables):
         )
         return (derive.order_lines if discounted else derive.special_lines)(lines)
 
+    def with_staged_lines(self) -> "Conformed":
+        """The same tables over lines that are numbered once and staged, for jobs that each read them."""
+        made = Conformed(self._spark, self._dir)
+        made._lines = {code: staged(self.lines(code), f"lines-{code}") for code in KINDS}
+        return made
+
     def _details(self, code: int, parent: str, *extra: str) -> DataFrame:
         return self.lines(code).selectExpr(
             f"doc_id AS {parent}", "id", "product_id", "unit_id", "qty", "content", "unit_name",
