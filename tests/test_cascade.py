@@ -1,6 +1,7 @@
 """A batch through all rules against a recount of everything, in plain Python."""
 
 import random
+import re
 from decimal import ROUND_HALF_UP, Decimal as D
 
 import pytest
@@ -8,8 +9,9 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL, same
 from tradeledger import schema
-from tradeledger.operators import cascade
-from tradeledger.sources import conform
+from tradeledger.operators import cascade, changes
+from tradeledger.plans import registered
+from tradeledger.sources import conform, sinks
 from tradeledger.sources.tables import Tables
 
 CHILDREN = {"order_details": ("orders", "order_id"), "special_details": ("special_orders", "order_id"), "stock_details": ("stocks", "stock_id"),
@@ -187,3 +189,73 @@ def test_lines_are_numbered_once_and_lie_by_document(spark):
     for name in ("order_details", "special_details", "grass_details", "stock_details", "grass_costs"):
         assert not any("lineitem" in file for file in getattr(held, name).inputFiles())
         assert same(getattr(held, name), getattr(t, name)) > 0
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def stored(spark, tmp_path):
+    """A book of more rows than may be sent to every task, in small files."""
+    def table(name):
+        value = {"string": F.lit("x"), "boolean": F.lit(False), "timestamp": F.lit("2024-01-01"), "timestamp_ntz": F.lit("2024-01-01")}
+        columns = [(F.col("id") if f.name in ("id", "product_id", "order_id") else value.get(f.dataType.simpleString(), F.lit(1))).cast(f.dataType).alias(f.name) for f in schema.read_schema(name)]
+        spark.range(cascade.SENT + 10_000).select(*columns).write.parquet(str(tmp_path / name))
+        return spark.read.schema(schema.read_schema(name)).parquet(str(tmp_path / name))
+    made = {n: spark.createDataFrame([], schema.read_schema(n)) for n in schema.DDL}
+    made |= {n: table(n) for n in ("orders", "order_details", "products", "units")}
+    return Tables({n: (lambda d=d: d) for n, d in made.items()})
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """The plan of each change set that is written."""
+    seen = {}
+
+    def spy(df, name):
+        seen[name] = planned(df)
+        return sinks.staged(df, name)
+    monkeypatch.setattr(cascade, "staged", spy)
+    return seen
+
+
+def edited(t, tmp_path, most):
+    """Products get dearer, lines get one piece more."""
+    spark, made = t.products.sparkSession, {}
+    for name, column in (("products", "price"), ("order_details", "qty")):
+        rows = getattr(t, name).where(F.col("id") < most).select(F.lit("U").alias("op"), "id", (F.col(column) + 1).alias(column))
+        rows.write.parquet(str(tmp_path / f"edits-{name}"))
+        made[name] = spark.read.parquet(str(tmp_path / f"edits-{name}"))
+    return made
+
+
+def test_no_table_goes_through_the_driver_because_its_files_are_small(spark, stored, plans, tmp_path):
+    n = stored.products.count()
+    after = cascade.apply_change_set(stored, edited(stored, tmp_path, n), F.col("id")).tables
+    names = ["orders", "order_details", "products", "units"]
+    assert set(plans) == {f"changes-{name}" for name in names}
+    assert [name for name, plan in plans.items() if "Broadcast" in plan] == []
+    assert [name for name in names if "Broadcast" in planned(getattr(after, name))] == []
+    assert (n, n) == (after.products.where("price = 2 AND stock = 0").count(), after.units.where("price = 4 AND buy_price = 2").count())
+    assert (n, 0) == (after.orders.where("total = 0").count(), after.order_details.where("qty <> 2").count())
+
+
+def test_few_changes_meet_large_tables_where_these_lie(spark, stored, plans, tmp_path):
+    after = cascade.apply_change_set(stored, edited(stored, tmp_path, 3), F.col("id")).tables
+    assert "Inner, BuildRight" in plans["changes-orders"]
+    assert not any("BuildLeft" in plan for plan in plans.values())
+    for name in ("orders", "order_details", "products", "units"):
+        assert "LeftAnti, BuildRight" in planned(getattr(after, name))
+        assert getattr(after, name).count() == getattr(stored, name).count()
+    assert (3, 3) == (after.products.where("price = 2 AND stock = 0").count(), after.orders.where("total = 0").count())
+
+
+def test_tables_before_a_batch_meet_by_shuffles(spark, stored, tmp_path):
+    t = conform.load(spark, SMALL)
+    before = registered._before_batch(t)
+    for name in ("orders", "special_orders", "stocks", "grass", "products"):
+        assert re.search(r"\w+Join", planned(getattr(before, name)))[0] == "SortMergeJoin"
+    for name in ("special_payments", "stock_payments"):
+        assert "Broadcast" not in planned(getattr(t, name))
+    assert "Broadcast" not in planned(changes.change_set(stored.products, edited(stored, tmp_path, 3)["products"], "id"))

@@ -12,6 +12,11 @@ Change sets hold whole rows before and after, only of what changes.  Each is
 written to the shared folder once, so several rules read it and a lost executor
 costs one step; the stored tables are only joined with keys that a batch touches.
 
+Spark tells from the size of files whether a side of a join is small enough to go
+through the driver to every task, and compressed files of many rows are small.  So
+up to the unit prices stored tables are never that side, and of staged change sets,
+whose rows are counted, only those of up to ``SENT`` rows are.
+
 Columns that follow from others (amounts of lines, totals, remainders, stock) are
 never taken from edits.
 """
@@ -61,6 +66,9 @@ KEPT = {"orders": ["total"], "special_orders": ["total", "payments"], "stocks":
         "grass": ["total", "qty", "cost"], "products": ["stock"]}
 REMAINDERS = {"orders": derive.ORDER_REMAINDER, "stocks": derive.STOCK_REMAINDER, "special_orders": derive.SPECIAL_REMAINDER}
 
+# Fixed value: so many rows at most may go through the driver to every task.
+SENT = 50_000
+
 
 @dataclass
 class Batch:
@@ -89,7 +97,7 @@ def changes_of(name: str, table: DataFrame, edits: DataFrame) -> DataFrame:
         return given
 
     old = table.select("id", F.struct(*table.columns).alias("old"))
-    met = edits.select("id", "op", F.struct(*edits.columns).alias("_e")).join(old, "id", "left").where((c("op") == "I") == c("old").isNull())
+    met = edits.select("id", "op", F.struct(*edits.columns).alias("_e")).join(old.hint("merge"), "id", "left").where((c("op") == "I") == c("old").isNull())
     rows = met.select("id", "op", "old", *[value(n).cast(types[n]).alias(n) for n in table.columns if n != "id"])
     if name in DERIVES:
         rows = DERIVES[name](rows)
@@ -98,12 +106,17 @@ def changes_of(name: str, table: DataFrame, edits: DataFrame) -> DataFrame:
     return rows.select("id", "op", "old", F.when(c("op") != "D", F.struct(*[c(n).cast(types[n]).alias(n) for n in table.columns])).alias("new"))
 
 
-def applied(table: DataFrame, changes: DataFrame) -> DataFrame:
-    """The table after a change set."""
-    return table.join(changes.select("id"), "id", "left_anti").select(*table.columns).unionByName(
+def applied(table: DataFrame, changes: DataFrame, rows: int = 0) -> DataFrame:
+    """The table after a change set of so many ``rows``; 0: not known."""
+    return table.join(_shuffled(changes.select("id"), rows), "id", "left_anti").select(*table.columns).unionByName(
         changes.where("new IS NOT NULL").select("new.*").select(*table.columns))
 
 
+def _shuffled(side: DataFrame, rows: int) -> DataFrame:
+    """A side of a join that is not sent to every task if it is of more than ``SENT`` rows."""
+    return side.hint("merge") if rows > SENT else side
+
+
 def signed(changes: DataFrame, key: str, sums: Mapping[str, str], sign: int = 1) -> DataFrame:
     """What a change set adds to each parent: rows after it count, rows before it count against; a moved child corrects both."""
     fields = lambda side, way: ", ".join(f"'{name}', IF({side} IS NULL, NULL, {value})" for name, value in (
@@ -117,8 +130,8 @@ def _of(side: str, value: str) -> str:
     return f"-{side}.{value[1:]}" if value.startswith("-") else f"{side}.{value}"
 
 
-def _moved(name: str, table: DataFrame, own: DataFrame | None, deltas: list[DataFrame]) -> DataFrame | None:
-    """The change set of a table from its own edits and what its children add."""
+def _moved(name: str, table: DataFrame, own: DataFrame | None, deltas: list[DataFrame], rows: int) -> DataFrame | None:
+    """The change set of a table from its own edits and what its children add, to ``rows`` of its rows at most."""
     if not deltas:
         return own
     names = sorted({n for d in deltas for n in d.columns if n != "id"})
@@ -132,10 +145,10 @@ def _moved(name: str, table: DataFrame, own: DataFrame | None, deltas: list[Data
 
     # Rows and edits meet what is added to them on their own, so that neither moves twice.
     touched = delta if own is None else delta.join(own.select("id"), "id", "left_anti")
-    rows = table.join(touched, "id").select("id", F.lit("U").alias("op"), F.struct(*table.columns).alias("old"), row("").alias("new"))
+    fed = table.join(touched.hint("broadcast" if rows <= SENT else "merge"), "id").select("id", F.lit("U").alias("op"), F.struct(*table.columns).alias("old"), row("").alias("new"))
     if own is None:
-        return rows
-    return rows.unionByName(own.join(delta, "id", "left").select("id", "op", "old", F.when(c("new").isNotNull(), row("new.")).alias("new")))
+        return fed
+    return fed.unionByName(own.join(_shuffled(delta, rows), "id", "left").select("id", "op", "old", F.when(c("new").isNotNull(), row("new.")).alias("new")))
 
 
 def _with_remainder(name: str, changes: DataFrame, table: DataFrame, stamp: Column | None) -> DataFrame:
@@ -148,15 +161,15 @@ def _with_remainder(name: str, changes: DataFrame, table: DataFrame, stamp: Colu
     return flat.select("id", "op", "old", F.when(~c("_gone"), F.struct(*table.columns)).alias("new"))
 
 
-def _units_change(units: DataFrame, own: DataFrame | None, products: DataFrame) -> DataFrame:
-    """M16: units of products whose price changed, besides their own edits."""
-    prices = products.where("op = 'U' AND NOT old.price <=> new.price").select("id", "new.price")
+def _units_change(units: DataFrame, own: DataFrame | None, products: DataFrame, rows: int) -> DataFrame:
+    """M16: units of products whose price changed, of a change set of so many ``rows``, besides their own edits."""
+    prices = _shuffled(products.where("op = 'U' AND NOT old.price <=> new.price").select("id", "new.price"), rows)
     after = units if own is None else applied(units, own)
     hit = after.join(prices.select(c("id").alias("product_id")), "product_id", "left_semi").select(*units.columns)
     fresh = rollups.unit_price_refresh(hit, prices).select(*[c(n).cast(t).alias(n) for n, t in units.dtypes])
     new = fresh.select("id", F.struct(*units.columns).alias("new"))
     old = units.select("id", F.struct(*units.columns).alias("old"))
-    priced = new.join(old, "id", "left").select("id", F.when(c("old").isNull(), "I").otherwise("U").alias("op"), "old", "new")
+    priced = new.join(old.hint("merge"), "id", "left").select("id", F.when(c("old").isNull(), "I").otherwise("U").alias("op"), "old", "new")
     return priced if own is None else own.join(priced.select("id"), "id", "left_anti").select("id", "op", "old", "new").unionByName(priced)
 
 
@@ -172,10 +185,15 @@ def apply_change_set(t: Tables, edits: Mapping[str, DataFrame], new_id: Column,
     if unknown:
         raise ValueError(f"no such table: {', '.join(sorted(unknown))}")
     changes: dict[str, DataFrame] = {}
+    rows: dict[str, int] = {}
 
     def settled(name: str, found: DataFrame | None) -> None:
         if found is not None:
             changes[name] = staged(found, f"changes-{name}")
+            rows[name] = changes[name].count()      # of staged files, which state it
+
+    # A change set adds to two parents a row at most, the one before and the one after.
+    fed = lambda children: sum(2 * rows[n] for n in children)
 
     own = {n: changes_of(n, getattr(t, n), e) for n, e in edits.items() if n != "lunas"}
     if "grass" in own:                          # V6: costs go with their purchase
@@ -192,22 +210,24 @@ def apply_change_set(t: Tables, edits: Mapping[str, DataFrame], new_id: Column,
         settled(name, own.get(name))
     for parent in dict.fromkeys(f.parent for f in FEEDS.values()):
         table = getattr(t, parent)
-        deltas = [signed(changes[n], f.key, f.sums) for n, f in FEEDS.items() if f.parent == parent and n in changes]
-        found = _moved(parent, table, own.get(parent), deltas)
+        children = [n for n, f in FEEDS.items() if f.parent == parent and n in changes]
+        deltas = [signed(changes[n], FEEDS[n].key, FEEDS[n].sums) for n in children]
+        found = _moved(parent, table, own.get(parent), deltas, fed(children))
         if found is not None and parent in REMAINDERS:
             found = _with_remainder(parent, found, table, stamp)
         settled(parent, found)
     # Stock on hand and opening stock (M6-M9, M15), then unit prices (M16).
-    moves = [signed(changes[n], "product_id", {"stock": "real_qty"}, way) for n, way in rollups.DIRECTION.items() if n in changes]
-    settled("products", _moved("products", t.products, own.get("products"), moves))
+    children = [n for n in rollups.DIRECTION if n in changes]
+    moves = [signed(changes[n], "product_id", {"stock": "real_qty"}, rollups.DIRECTION[n]) for n in children]
+    settled("products", _moved("products", t.products, own.get("products"), moves, fed(children)))
     if "products" in own:
-        settled("units", _units_change(t.units, own.get("units"), changes["products"]))
+        settled("units", _units_change(t.units, own.get("units"), changes["products"], rows["products"]))
     else:
         settled("units", own.get("units"))
     for name in own:
         if name not in changes:
             settled(name, own[name])
-    after = t.having(**{n: applied(getattr(t, n), ch) for n, ch in changes.items()})
+    after = t.having(**{n: applied(getattr(t, n), ch, rows[n]) for n, ch in changes.items()})
 
     # Profit shares (M12): payments of purchases that are new, changed or gone.
     if "grass" in changes:
@@ -226,4 +246,4 @@ def _settlements(t: Tables, edits: DataFrame, new_id: Column) -> Tables:
     after = settle.revoke_settlements(t, of("D", "old"))
     after = after.having(kasbons=settle.amend_settlements(after.kasbons, of("U", "new"), new_id))
     after = settle.apply_settlements(after, of("I", "new"), new_id)
-    return after.having(lunas=applied(t.lunas, changes))
+    return after.having(lunas=applied(t.lunas, changes, changes.count()))

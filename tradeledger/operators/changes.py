@@ -96,4 +96,5 @@ def change_set(table: DataFrame, edits: DataFrame, key: str) -> DataFrame:
     keep = F.col("op") != "D"
     new = edits.select(key, "op", *[F.when(keep, F.col(n)).alias(f"new_{n}") for n in fields])
     found = F.coalesce(F.col(_HIT), F.lit(False))
-    return new.join(old, key, "left").where((F.col("op") == "I") != found).drop(_HIT)
+    # The whole table never goes through the driver to every task, however small its files are.
+    return new.join(old.hint("merge"), key, "left").where((F.col("op") == "I") != found).drop(_HIT)

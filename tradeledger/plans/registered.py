@@ -566,7 +566,8 @@ def _before_batch(t):
     paid, _ = _instalment_change(t, "error", conform.SUPPLIER_INSTALMENT, conform.RECEIPT, "stock_id")
     before = t.having(**lines, grass_costs=costs, stock_payments=paid)
     ids = lambda name: t.columns(name, "id")
-    summed = lambda heads, sums: heads.drop(*[n for n in sums.columns if n != "id"]).join(sums, "id").select(*heads.columns)
+    # Whole tables on both sides, of which none goes through the driver however small its files are.
+    summed = lambda heads, sums: heads.drop(*[n for n in sums.columns if n != "id"]).join(sums.hint("merge"), "id").select(*heads.columns)
     bought = rollups.purchase_totals(ids("grass"), before.grass_details, before.grass_costs).join(rollups.purchase_costs(ids("grass"), before.grass_costs), "id")
     return before.having(
         orders=derive.order_remainder(summed(t.orders, rollups.order_totals(ids("orders"), before.order_details))),

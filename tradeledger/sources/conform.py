@@ -294,7 +294,8 @@ class Conformed(Tables):
 
     def _special_payments(self) -> DataFrame:
         owner = self.raw("orders").selectExpr("o_orderkey AS order_key", "o_custkey AS customer_id")
-        return self.events("view").join(owner, "order_key").selectExpr(
+        # Neither events nor orders are few because their files are small.
+        return self.events("view").join(owner.hint("merge"), "order_key").selectExpr(
             "customer_id", f"{_doc('order_key', SPECIAL)} AS order_id",
             f"{_doc('event_id', SPECIAL_INSTALMENT)} AS id", f"{_NO_TEXT} AS descriptions", "ts AS payment_at",
             "amount AS nominal", "concat('W-', event_id) AS pay_num", "lunas_id")
@@ -307,7 +308,7 @@ class Conformed(Tables):
 
     def _stock_payments(self) -> DataFrame:
         known = self.raw("orders").selectExpr(f"{_doc('o_orderkey', RECEIPT)} AS stock_id")
-        return self.supplier_instalments().join(known, "stock_id", "left_semi")
+        return self.supplier_instalments().join(known.hint("merge"), "stock_id", "left_semi")
 
     # ---- dimensions ----------------------------------------------------
 
